@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from tokentally.operators.filters import Filters
 from tokentally.plans import catalog
 from tokentally.plans import oracle as O
+from tokentally.sources import driver_tables as D
+from tokentally.sources import ingest as I
 from tokentally.sources.driver_tables import driver_tables
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -84,6 +86,52 @@ def _analytics(query_id: str, args: dict) -> Callable[[SparkSession, str], DataF
     return run
 
 
+def _ingest_table(table: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return D.ingest_roundtrip(spark, sf_dir).tables.fact(table)
+    return run
+
+
+def _ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.ingest_roundtrip(spark, sf_dir).counts
+
+
+def _reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rej = D.ingest_roundtrip(spark, sf_dir).rejects
+    return rej.groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _reject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.reject_summary(D.ingest_roundtrip(spark, sf_dir).rejects)
+
+
+def _pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S20 output parsed back: per batch its size, first/last event and date parts."""
+    lines = D.pack_batches(D.telemetry_events(D.read_driver(spark, sf_dir, "events")),
+                           "batch_id", "event_id", id_col="event_id", epoch_ms_col="epoch_ms")
+    schema = "logEvents array<struct<id string, timestamp bigint, message string>>, " \
+             "year int, month int, day int"
+    b = lines.select("batch_id", F.from_json("value", schema).alias("b"))
+    ids = F.transform("b.logEvents", lambda x: x["id"].cast("bigint"))
+    return b.select("batch_id", F.size("b.logEvents").alias("n_events"),
+                    F.array_min(ids).alias("first_event_id"), F.array_max(ids).alias("last_event_id"),
+                    "b.year", "b.month", "b.day")
+
+
+INGEST = {
+    "s8_ingest_user_prompts": (_ingest_table("user_prompts"), "user_prompts"),
+    "s9_ingest_api_requests": (_ingest_table("api_requests"), "api_requests"),
+    "s10_ingest_tool_decisions": (_ingest_table("tool_decisions"), "tool_decisions"),
+    "s11_ingest_tool_results": (_ingest_table("tool_results"), "tool_results"),
+    "s12_ingest_api_errors": (_ingest_table("api_errors"), "api_errors"),
+    "s14_ingest_counts": (_ingest_counts, "counts"),
+    "s13_reject_counts": (_reject_counts, "reject_counts"),
+    "s15_reject_summary": (_reject_summary, None),
+    "s20_pack_batches": (_pack_batches, "pack"),
+    "s21_employees_csv_roundtrip": (D.employees_csv_roundtrip, "employees"),
+}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: Q14 top engineers (fact/dimension join, session-cost roll-up, top-k,
     favourite model) on the sf0.001 tables."""
@@ -96,6 +144,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[qid] = _analytics(qid, FULL)
     for rid, qid, args in FILTERED:
         out[rid] = _analytics(qid, args)
+    for rid, (fn, _) in INGEST.items():
+        out[rid] = fn
     return out
 
 
@@ -107,4 +157,8 @@ def oracle_sql() -> dict[str, str]:
     for rid, qid, args in FILTERED:
         sql = O.query_sql(O.SqlFilter(**args))[qid]
         out[rid] = O.round_cols(sql, ROUND.get(qid, []))
+    ing = O.ingest_sql()
+    for rid, (_, key) in INGEST.items():
+        if key is not None:
+            out[rid] = ing[key]
     return out

@@ -26,7 +26,7 @@ ev AS (
          'user' || CAST(user_id AS VARCHAR) || '@example.com' AS user_email,
          'term-' || CAST(user_id % 4 AS VARCHAR) AS terminal_type
   FROM events),
-user_prompts AS (
+__EV_OK__user_prompts AS (
   SELECT session_id, user_email, "timestamp", CAST(k * 10 AS INTEGER) AS prompt_length, terminal_type
   FROM ev WHERE event_type = 'signup'),
 api_requests AS (
@@ -59,6 +59,64 @@ sc AS (SELECT session_id, SUM(cost_usd) AS total_cost FROM api_requests GROUP BY
 """
 
 
+# Fault rules of ``sources.driver_tables.telemetry_events`` (ingest round trip).
+INGEST_FAULTS = dict(
+    bad_line="(event_id // 7) % 61 = 3",
+    bad_message="event_id % 83 = 5",
+    unknown_body="event_id % 97 = 11",
+    drop_field="event_id % 89 = 7",
+    bad_int="(event_type = 'purchase' AND event_id % 79 = 3)",
+)
+_F = INGEST_FAULTS
+INGESTED_EVENTS = (f"NOT ({_F['bad_line']}) AND NOT ({_F['bad_message']}) AND NOT ({_F['unknown_body']}) "
+                   f"AND NOT ({_F['drop_field']}) AND NOT {_F['bad_int']}")
+
+
+def mapping_ctes(ingested_only: bool = False) -> str:
+    """The six curated tables as CTEs; with ``ingested_only`` the facts keep only
+    the events that survive the ingest round trip's faults."""
+    if not ingested_only:
+        return MAPPING_CTES.replace("__EV_OK__", "")
+    text = MAPPING_CTES.replace("__EV_OK__", f"ev_ok AS (SELECT * FROM ev WHERE {INGESTED_EVENTS}),\n")
+    return text.replace(" FROM ev WHERE event_type", " FROM ev_ok WHERE event_type") \
+               .replace("FROM ev)\n  WHERE event_type", "FROM ev_ok)\n  WHERE event_type")
+
+
+def ingest_sql() -> dict[str, str]:
+    """Oracles for the ingest round trip, computed straight from ``events``."""
+    out = {}
+    for t, cols in (("user_prompts", None), ("api_requests", None), ("tool_decisions", None),
+                    ("tool_results", None), ("api_errors", None)):
+        out[t] = f"WITH {mapping_ctes(True).strip()}\nSELECT * FROM {t}"
+    f = _F
+    live = f"NOT ({f['bad_line']})"
+    out["counts"] = f"""
+        SELECT (SELECT COUNT(*) FROM events WHERE {INGESTED_EVENTS}) AS ingested,
+               (SELECT COUNT(DISTINCT event_id // 7) FROM events WHERE {f['bad_line']}) AS malformed,
+               (SELECT COUNT(*) FROM events WHERE {live} AND (({f['bad_message']}) OR
+                    (NOT ({f['unknown_body']}) AND (({f['drop_field']}) OR {f['bad_int']})))) AS missing_fields,
+               (SELECT COUNT(*) FROM events WHERE {live} AND NOT ({f['bad_message']})
+                    AND {f['unknown_body']}) AS unknown_types"""
+    out["reject_counts"] = f"""
+        SELECT reason, COUNT(*) AS count FROM (
+          SELECT CASE WHEN {f['bad_message']} THEN 'missing_fields'
+                      WHEN {f['unknown_body']} THEN 'unknown_types'
+                      ELSE 'missing_fields' END AS reason
+          FROM events WHERE {live} AND NOT ({INGESTED_EVENTS})
+          UNION ALL
+          SELECT 'malformed' FROM events WHERE {f['bad_line']} GROUP BY event_id // 7)
+        GROUP BY reason"""
+    out["pack"] = """
+        SELECT event_id // 7 AS batch_id, COUNT(*) AS n_events, MIN(event_id) AS first_event_id,
+               MAX(event_id) AS last_event_id,
+               CAST(year(arg_min(ts, event_id)) AS INTEGER) AS year,
+               CAST(month(arg_min(ts, event_id)) AS INTEGER) AS month,
+               CAST(day(arg_min(ts, event_id)) AS INTEGER) AS day
+        FROM events GROUP BY 1"""
+    out["employees"] = f"WITH {mapping_ctes().strip()}\nSELECT * FROM employees"
+    return out
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -85,7 +143,7 @@ class SqlFilter:
 
 
 def with_mapping(body: str, extra_ctes: str = "") -> str:
-    ctes = MAPPING_CTES.strip() + ((",\n" + extra_ctes.strip()) if extra_ctes else "")
+    ctes = mapping_ctes().strip() + ((",\n" + extra_ctes.strip()) if extra_ctes else "")
     return f"WITH {ctes}\n{body}"
 
 

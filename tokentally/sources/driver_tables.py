@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokentally.sources.export import pack_batches, render_message
 from tokentally.sources.schemas import TABLE_SCHEMAS
 from tokentally.sources.tables import Tables
 
@@ -145,3 +146,112 @@ def driver_tables(spark: SparkSession, root: str, **kw) -> Tables:
                          read_driver(spark, root, "region"))
     facts = {t: fact_view(events, t) for t in EVENT_TYPE_TABLE.values()}
     return Tables(employees=emp, **facts, **kw)
+
+
+# ---------------------------------------------------------------------------------------
+# events -> raw telemetry (for the ingest round trip)
+
+# event_type -> event body.
+EVENT_BODIES = {
+    "signup": "claude_code.user_prompt",
+    "purchase": "claude_code.api_request",
+    "click": "claude_code.tool_decision",
+    "view": "claude_code.tool_result",
+    "error": "claude_code.api_error",
+}
+# Deterministic faults so every reject class occurs (rules on event_id / batch id).
+FAULT_BAD_MESSAGE = (83, 5)     # event_id % 83 == 5: message text is cut -> missing_fields
+FAULT_UNKNOWN_BODY = (97, 11)   # event_id % 97 == 11: unknown body -> unknown_types
+FAULT_DROP_FIELD = (89, 7)      # event_id % 89 == 7: no terminal.type -> missing_fields
+FAULT_BAD_INT = (79, 3)         # event_id % 79 == 3, requests: duration_ms '12.5' -> missing_fields
+FAULT_BAD_LINE = (61, 3)        # batch % 61 == 3: closing brace cut -> malformed line
+UNKNOWN_BODY = "claude_code.unknown_future_event"
+
+
+def _is(rule: tuple[int, int], col: str = "event_id") -> Column:
+    return F.col(col) % rule[0] == rule[1]
+
+
+def _attributes(table: str) -> Column:
+    """All event attributes as strings, like the telemetry exporter sends them."""
+    cols = fact_columns(table)
+    extra_keys = {"result_size_bytes": "tool_result_size_bytes"}
+    pairs = []
+    for name in TABLE_SCHEMAS[table].fieldNames():
+        if name in ("session_id", "user_email", "timestamp", "terminal_type"):
+            continue
+        c = cols[name]
+        if name == "success":
+            c = F.when(c, F.lit("true")).otherwise(F.lit("false"))
+        if table == "api_requests" and name == "duration_ms":
+            c = F.when(_is(FAULT_BAD_INT), F.lit("12.5")).otherwise(c.cast("string"))
+        pairs += [F.lit(extra_keys.get(name, name)), c.cast("string")]
+    return F.create_map(*pairs)
+
+
+def telemetry_events(events: DataFrame) -> DataFrame:
+    """One raw telemetry event per driver event: event_id, epoch ms, message JSON."""
+    ev = _event_columns(events)
+    common = F.create_map(
+        F.lit("session.id"), F.col("session_id"),
+        F.lit("user.email"), F.col("user_email"),
+        F.lit("event.timestamp"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        F.lit("terminal.type"), F.col("terminal_type"),
+        F.lit("event.name"), F.regexp_replace(
+            F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in EVENT_BODIES.items()]),
+            r"^claude_code\.", ""),
+    )
+    specific = None
+    for etype, table in EVENT_TYPE_TABLE.items():
+        cond = F.col("event_type") == etype
+        specific = (F.when(cond, _attributes(table)) if specific is None
+                    else specific.when(cond, _attributes(table)))
+    attrs = F.map_filter(F.map_concat(common, specific), lambda k, v: v.isNotNull())
+    attrs = F.when(_is(FAULT_DROP_FIELD), F.map_filter(attrs, lambda k, v: k != "terminal.type")) \
+             .otherwise(attrs)
+    body = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in EVENT_BODIES.items()])
+    body = F.when(_is(FAULT_UNKNOWN_BODY), F.lit(UNKNOWN_BODY)).otherwise(body)
+    msg = render_message(body, attrs)
+    msg = F.when(_is(FAULT_BAD_MESSAGE), F.substring(msg, 1, 25)).otherwise(msg)
+    return ev.select(
+        "event_id",
+        (F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                          F.col("timestamp"))).alias("epoch_ms"),
+        msg.alias("message"),
+        F.expr(f"event_id div {BATCH_EVENTS}").alias("batch_id"))
+
+
+def telemetry_lines(events: DataFrame) -> DataFrame:
+    """events -> packed JSONL batch lines (``batch_id``, ``value``), some lines broken."""
+    packed = pack_batches(telemetry_events(events), "batch_id", "event_id",
+                          id_col="event_id", epoch_ms_col="epoch_ms")
+    broken = F.expr("substring(value, 1, length(value) - 1)")
+    return packed.select("batch_id", F.when(_is(FAULT_BAD_LINE, "batch_id"), broken)
+                         .otherwise(F.col("value")).alias("value"))
+
+
+def ingest_roundtrip(spark: SparkSession, root: str, persist: bool = False):
+    """events -> JSONL batches written under the shared checkpoint folder -> S1 text
+    scan -> ingest.  Returns the ``IngestResult`` (tables, rejects, counts)."""
+    from tokentally.session import scratch_path
+    from tokentally.sources.export import write_lines
+    from tokentally.sources.ingest import ingest, read_batch_lines
+
+    path = scratch_path(spark, "telemetry-jsonl")
+    write_lines(telemetry_lines(read_driver(spark, root, "events")), path)
+    emp = employees_view(read_driver(spark, root, "customer"), read_driver(spark, root, "nation"),
+                         read_driver(spark, root, "region"))
+    return ingest(read_batch_lines(spark, path), emp, persist=persist)
+
+
+def employees_csv_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    """S21 write then S2 read of the employee directory."""
+    from tokentally.session import scratch_path
+    from tokentally.sources.export import write_employees_csv
+    from tokentally.sources.ingest import read_employees_csv
+
+    emp = employees_view(read_driver(spark, root, "customer"), read_driver(spark, root, "nation"),
+                         read_driver(spark, root, "region"))
+    path = scratch_path(spark, "employees-csv")
+    write_employees_csv(emp, path)
+    return read_employees_csv(spark, path)
