@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tokentally.operators.filters import Filters
 from tokentally.plans import catalog
+from tokentally.plans.reshaped import RESHAPED
 from tokentally.plans import oracle as O
 from tokentally.sources import driver_tables as D
 from tokentally.sources import ingest as I
@@ -86,6 +87,22 @@ def _analytics(query_id: str, args: dict) -> Callable[[SparkSession, str], DataF
     return run
 
 
+ROUND.update({
+    "p4_log_histogram": ["bin_lo", "bin_hi", "bin_center"],
+    "p5_box_stats": ["min", "q1", "median", "q3", "max", "whisker_low", "whisker_high"],
+    "p8_model_share": ["total_cost", "share"],
+    "p8_business_hours_share": ["share"],
+    "p9_normalize_series": ["y"],
+})
+
+
+def _reshaped(rid: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_doubles(RESHAPED[rid](driver_tables(spark, sf_dir), _filters(FULL)))
+    run.__name__ = rid
+    return run
+
+
 def _ingest_table(table: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return D.ingest_roundtrip(spark, sf_dir).tables.fact(table)
@@ -146,6 +163,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[rid] = _analytics(qid, args)
     for rid, (fn, _) in INGEST.items():
         out[rid] = fn
+    for rid in RESHAPED:
+        out[rid] = _reshaped(rid)
     return out
 
 
@@ -157,6 +176,8 @@ def oracle_sql() -> dict[str, str]:
     for rid, qid, args in FILTERED:
         sql = O.query_sql(O.SqlFilter(**args))[qid]
         out[rid] = O.round_cols(sql, ROUND.get(qid, []))
+    for rid, sql in O.reshape_sql(O.SqlFilter(**FULL)).items():
+        out[rid] = O.round_cols(sql, ROUND.get(rid, []))
     ing = O.ingest_sql()
     for rid, (_, key) in INGEST.items():
         if key is not None:

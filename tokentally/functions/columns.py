@@ -33,7 +33,7 @@ def weekday_name(ts: str | Column) -> Column:
 def weekday_rank(day_name: str | Column) -> Column:
     """0 for Monday ... 6 for Sunday; NULL for anything else."""
     pos = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), _col(day_name))
-    return F.when(pos > 0, pos - 1)
+    return F.when(pos > 0, pos - 1).cast("int")
 
 
 def level_rank(level: str | Column) -> Column:

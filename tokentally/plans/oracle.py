@@ -155,6 +155,10 @@ def round_cols(sql: str, cols: list[str], digits: int = 6) -> str:
 
 
 def query_sql(f: SqlFilter) -> dict[str, str]:
+    return {k: with_mapping(*v) for k, v in query_bodies(f).items()}
+
+
+def query_bodies(f: SqlFilter) -> dict[str, tuple[str, str]]:
     ar, up, td = f.fact("api_requests", "ar"), f.fact("user_prompts", "up"), f.fact("tool_decisions", "td")
     tr, ae = f.fact("tool_results", "tr"), f.fact("api_errors", "ae")
     # user_prompts joined to employees and to the lifetime session cost (one row per prompt)
@@ -264,4 +268,77 @@ def query_sql(f: SqlFilter) -> dict[str, str]:
     q["q27_level_cost_correlation"] = f"""
         SELECT e.level, SUM(COALESCE(sc.total_cost, 0.0)) / COUNT(DISTINCT up.session_id)
                AS avg_cost_per_session FROM {up_sc} GROUP BY 1"""
-    return {k: with_mapping(*v) if isinstance(v, tuple) else with_mapping(v) for k, v in q.items()}
+    return {k: v if isinstance(v, tuple) else (v, "") for k, v in q.items()}
+
+
+_WEEKDAY_RANK = ("CASE {c} WHEN 'Monday' THEN 0 WHEN 'Tuesday' THEN 1 WHEN 'Wednesday' THEN 2 "
+                 "WHEN 'Thursday' THEN 3 WHEN 'Friday' THEN 4 WHEN 'Saturday' THEN 5 "
+                 "WHEN 'Sunday' THEN 6 END")
+
+
+def reshape_sql(f: SqlFilter) -> dict[str, str]:
+    """Oracles for P1-P9, each over the SQL of the query it reshapes."""
+    b = {k: v[0] for k, v in query_bodies(f).items()}
+    hours = ", ".join(f'CAST(SUM(CASE WHEN hour = {h} THEN session_count ELSE 0 END) AS BIGINT) AS "{h}"'
+                      for h in range(24))
+    q = {}
+    q["p1_heatmap_pivot"] = f"""
+        SELECT day_of_week, {hours}, CAST({_WEEKDAY_RANK.format(c='day_of_week')} AS INTEGER) AS day_rank
+        FROM ({b['q16_hourly_heatmap']}) q GROUP BY day_of_week"""
+    q["p2_weekday_sorted"] = f"""
+        SELECT day_of_week, session_count, CAST({_WEEKDAY_RANK.format(c='day_of_week')} AS INTEGER) AS day_rank
+        FROM ({b['q17_day_of_week_counts']}) q"""
+    q["p3_accept_reject_unpivot"] = f"""
+        SELECT tool_name, 'accept_count' AS decision, accept_count AS count FROM ({b['q20_tool_accept_reject']}) q
+        UNION ALL
+        SELECT tool_name, 'reject_count', reject_count FROM ({b['q20_tool_accept_reject']}) q"""
+    q["p4_log_histogram"] = f"""
+        SELECT i AS bin, lo AS bin_lo, hi AS bin_hi, sqrt(lo * hi) AS bin_center,
+               CAST(COALESCE(c, 0) AS BIGINT) AS count
+        FROM (SELECT CAST(g.i AS INTEGER) AS i, power(10.0, s.a + g.i * s.w) AS lo,
+                     CASE WHEN g.i = s.n - 1 THEN power(10.0, s.b) ELSE power(10.0, s.a + (g.i + 1) * s.w) END AS hi,
+                     h.c
+              FROM stats s, range(0, 30) g(i)
+              LEFT JOIN (SELECT CASE WHEN s2.w > 0 THEN least(s2.n - 1, CAST(floor((log10(v) - s2.a) / s2.w) AS INTEGER))
+                                     ELSE 0 END AS k, COUNT(*) AS c
+                         FROM pos, stats s2 GROUP BY 1) h ON h.k = g.i
+              WHERE g.i < s.n)"""
+    q["p5_box_stats"] = f"""
+        SELECT f.practice, f.n, m.mn AS min, f.q1, f.median, f.q3, m.mx AS max,
+               m.wl AS whisker_low, m.wh AS whisker_high, m.outliers
+        FROM (SELECT practice, COUNT(*) AS n, quantile_cont(total_cost, 0.25) AS q1,
+                     quantile_cont(total_cost, 0.5) AS median, quantile_cont(total_cost, 0.75) AS q3
+              FROM box_in GROUP BY practice) f
+        JOIN (SELECT i.practice, MIN(total_cost) AS mn, MAX(total_cost) AS mx,
+                     MIN(CASE WHEN total_cost >= q1 - 1.5 * (q3 - q1) THEN total_cost END) AS wl,
+                     MAX(CASE WHEN total_cost <= q3 + 1.5 * (q3 - q1) THEN total_cost END) AS wh,
+                     COUNT(*) FILTER (WHERE total_cost < q1 - 1.5 * (q3 - q1)
+                                         OR total_cost > q3 + 1.5 * (q3 - q1)) AS outliers
+              FROM box_in i JOIN (SELECT practice, quantile_cont(total_cost, 0.25) AS q1,
+                                         quantile_cont(total_cost, 0.75) AS q3
+                                  FROM box_in GROUP BY practice) qq ON qq.practice = i.practice
+              GROUP BY i.practice) m ON m.practice = f.practice"""
+    q["p6_status_code_order"] = f"""
+        SELECT status_code, count,
+               CASE WHEN regexp_full_match(status_code, '[0-9]+') THEN 0
+                    WHEN lower(status_code) = 'unknown' THEN 2 ELSE 1 END AS code_class,
+               CASE WHEN lower(status_code) = 'unknown' AND NOT regexp_full_match(status_code, '[0-9]+') THEN 0
+                    ELSE COALESCE(TRY_CAST(regexp_replace(status_code, '[^0-9]', '', 'g') AS BIGINT), 0) END
+                 AS code_number
+        FROM ({b['q26_error_breakdown']}) q"""
+    q["p8_model_share"] = f"""
+        SELECT model, call_count, total_cost, CAST(call_count AS DOUBLE) / SUM(call_count) OVER () AS share
+        FROM ({b['q10_model_distribution']}) q"""
+    q["p8_business_hours_share"] = f"""
+        SELECT category, session_count, CAST(session_count AS DOUBLE) / SUM(session_count) OVER () AS share
+        FROM ({b['q18_business_hours_split']}) q"""
+    q["p9_normalize_series"] = f"SELECT ds, y FROM ({b['q9_daily_cost_totals']}) q"
+    extra = {
+        "p4_log_histogram": f"""
+            pos AS (SELECT duration_mins AS v FROM ({b['q23_session_duration_hist']}) q WHERE duration_mins > 0),
+            stats AS (SELECT a, b, CASE WHEN b > a THEN 30 ELSE 1 END AS n,
+                             CASE WHEN b > a THEN (b - a) / 30 ELSE 0.0 END AS w
+                      FROM (SELECT log10(MIN(v)) AS a, log10(MAX(v)) AS b FROM pos) WHERE a IS NOT NULL)""",
+        "p5_box_stats": f"box_in AS ({b['q24_session_cost_by_practice']})",
+    }
+    return {k: with_mapping(v, extra.get(k, "")) for k, v in q.items()}

@@ -206,14 +206,20 @@ def telemetry_events(events: DataFrame) -> DataFrame:
         cond = F.col("event_type") == etype
         specific = (F.when(cond, _attributes(table)) if specific is None
                     else specific.when(cond, _attributes(table)))
-    attrs = F.map_filter(F.map_concat(common, specific), lambda k, v: v.isNotNull())
-    attrs = F.when(_is(FAULT_DROP_FIELD), F.map_filter(attrs, lambda k, v: k != "terminal.type")) \
-             .otherwise(attrs)
     body = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in EVENT_BODIES.items()])
-    body = F.when(_is(FAULT_UNKNOWN_BODY), F.lit(UNKNOWN_BODY)).otherwise(body)
-    msg = render_message(body, attrs)
-    msg = F.when(_is(FAULT_BAD_MESSAGE), F.substring(msg, 1, 25)).otherwise(msg)
-    return ev.select(
+    # Built in steps so that each map / JSON text is computed once per row.
+    step = ev.select(
+        "event_id", "timestamp",
+        F.map_filter(F.map_concat(common, specific), lambda k, v: v.isNotNull()).alias("attrs"),
+        F.when(_is(FAULT_UNKNOWN_BODY), F.lit(UNKNOWN_BODY)).otherwise(body).alias("body"))
+    step = step.select(
+        "event_id", "timestamp", "body",
+        F.when(_is(FAULT_DROP_FIELD), F.map_filter("attrs", lambda k, v: k != "terminal.type"))
+         .otherwise(F.col("attrs")).alias("attrs"))
+    step = step.select("event_id", "timestamp",
+                       render_message(F.col("body"), F.col("attrs")).alias("message"))
+    msg = F.when(_is(FAULT_BAD_MESSAGE), F.substring("message", 1, 25)).otherwise(F.col("message"))
+    return step.select(
         "event_id",
         (F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                           F.col("timestamp"))).alias("epoch_ms"),
