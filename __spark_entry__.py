@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 from tokentally.operators.filters import Filters
 from tokentally.plans import catalog
+from tokentally.operators import forecast as FC
+from tokentally.plans import forecasts as FP
 from tokentally.plans.reshaped import RESHAPED
 from tokentally.plans import oracle as O
 from tokentally.sources import driver_tables as D
@@ -103,6 +105,55 @@ def _reshaped(rid: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+F1_RANGE = dict(date_start=_dt.date(2023, 12, 28), date_end=_dt.date(2024, 2, 10))
+FORECAST_ROUND = {
+    "f1_normalize_daily": ["y"],
+    "f2_fit_predict": ["yhat", "yhat_lower", "yhat_upper"],
+    "f3_anomalies": ["actual_cost", "expected_cost", "residual"],
+    "f4_backtest": ["mae", "mape", "coverage"],
+    "f6_forecast_future": ["yhat", "yhat_lower", "yhat_upper"],
+}
+
+
+def _f1(spark, sf_dir):
+    s = FP.practice_daily_cost(driver_tables(spark, sf_dir), _filters(FULL))
+    return round_doubles(FC.normalize_daily(s, ["practice"], **F1_RANGE), 4)
+
+
+def _f2(spark, sf_dir):
+    return round_doubles(FC.fit_predict(FP.orders_daily(spark, sf_dir), ["priority"]), 4)
+
+
+def _f3(spark, sf_dir):
+    h = FP.orders_daily(spark, sf_dir)
+    fitted = FC.fit_predict(h, ["priority"]).join(h, ["priority", "ds"])
+    return round_doubles(FC.detect_anomalies(fitted, ["priority"]), 4)
+
+
+def _f4(spark, sf_dir):
+    return round_doubles(FC.backtest(FP.orders_daily(spark, sf_dir), ["priority"]), 4)
+
+
+def _f6_status(spark, sf_dir):
+    s = FP.practice_daily_cost(driver_tables(spark, sf_dir), _filters(FULL))
+    return FC.forecast_summary(s, ["practice"]).status
+
+
+def _f6_future(spark, sf_dir):
+    s = FP.practice_daily_cost(driver_tables(spark, sf_dir), _filters(FULL))
+    return round_doubles(FC.forecast_summary(s, ["practice"]).forecast, 4)
+
+
+FORECAST = {
+    "f1_normalize_daily": _f1,
+    "f2_fit_predict": _f2,
+    "f3_anomalies": _f3,
+    "f4_backtest": _f4,
+    "f6_forecast_status": _f6_status,
+    "f6_forecast_future": _f6_future,
+}
+
+
 def _ingest_table(table: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return D.ingest_roundtrip(spark, sf_dir).tables.fact(table)
@@ -165,6 +216,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[rid] = fn
     for rid in RESHAPED:
         out[rid] = _reshaped(rid)
+    out.update(FORECAST)
     return out
 
 
@@ -178,6 +230,10 @@ def oracle_sql() -> dict[str, str]:
         out[rid] = O.round_cols(sql, ROUND.get(qid, []))
     for rid, sql in O.reshape_sql(O.SqlFilter(**FULL)).items():
         out[rid] = O.round_cols(sql, ROUND.get(rid, []))
+    fsql = O.forecast_sql(O.SqlFilter(**FULL), FC.Z_80, FC.PERIODS,
+                          F1_RANGE["date_start"], F1_RANGE["date_end"])
+    for rid, sql in fsql.items():
+        out[rid] = O.round_cols(sql, FORECAST_ROUND.get(rid, []), 4)
     ing = O.ingest_sql()
     for rid, (_, key) in INGEST.items():
         if key is not None:

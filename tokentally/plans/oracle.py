@@ -342,3 +342,102 @@ def reshape_sql(f: SqlFilter) -> dict[str, str]:
         "p5_box_stats": f"box_in AS ({b['q24_session_cost_by_practice']})",
     }
     return {k: with_mapping(v, extra.get(k, "")) for k, v in q.items()}
+
+
+# ---------------------------------------------------------------------------------------
+# Forecasting (F1-F6): the same closed-form model written directly in SQL; the
+# back-test is brute force (history x cut-offs joined and refitted per cut-off).
+
+def _fit_ctes(p: str, src: str, sid: list[str]) -> str:
+    k = ", ".join(sid)
+    on = " AND ".join(f"se.{c} = h.{c}" for c in sid)
+    return f"""
+{p}_first AS (SELECT {k}, MIN(ds) AS start, MAX(ds) AS last FROM {src} GROUP BY {k}),
+{p}_h AS (SELECT s.*, f.start, CAST(date_diff('day', f.start, s.ds) AS DOUBLE) AS t
+          FROM {src} s JOIN {p}_first f USING ({k})),
+{p}_sums AS (SELECT {k}, CAST(COUNT(*) AS DOUBLE) AS n, SUM(t) AS st, SUM(y) AS sy,
+                    SUM(t * t) AS stt, SUM(t * y) AS sty FROM {p}_h GROUP BY {k}),
+{p}_coef AS (SELECT {k}, b, (sy - b * st) / n AS a FROM (
+               SELECT *, CASE WHEN n * stt - st * st <> 0 THEN (n * sty - st * sy) / (n * stt - st * st)
+                              ELSE 0.0 END AS b FROM {p}_sums)),
+{p}_season AS (SELECT {k}, dayofweek(h.ds) AS dow, AVG(h.y - (c.a + c.b * h.t)) AS s
+               FROM {p}_h h JOIN {p}_coef c USING ({k}) GROUP BY ALL),
+{p}_fit AS (SELECT h.*, c.a + c.b * h.t + COALESCE(se.s, 0.0) AS yhat
+            FROM {p}_h h JOIN {p}_coef c USING ({k})
+            LEFT JOIN {p}_season se ON {on} AND se.dow = dayofweek(h.ds)),
+{p}_sigma AS (SELECT {k}, COALESCE(stddev_samp(y - yhat), 0.0) AS sigma FROM {p}_fit GROUP BY {k})"""
+
+
+def _predict(p: str, rows: str, sid: list[str], z: float) -> str:
+    """SELECT rows(sid..., ds[, y]) with yhat and band from model ``p``."""
+    k = ", ".join(sid)
+    on = " AND ".join(f"se.{c} = r.{c}" for c in sid)
+    return f"""
+SELECT r.*, c.a + c.b * CAST(date_diff('day', f.start, r.ds) AS DOUBLE) + COALESCE(se.s, 0.0) AS yhat,
+       c.a + c.b * CAST(date_diff('day', f.start, r.ds) AS DOUBLE) + COALESCE(se.s, 0.0) - {z!r} * g.sigma
+         AS yhat_lower,
+       c.a + c.b * CAST(date_diff('day', f.start, r.ds) AS DOUBLE) + COALESCE(se.s, 0.0) + {z!r} * g.sigma
+         AS yhat_upper
+FROM {rows} r JOIN {p}_first f USING ({k}) JOIN {p}_coef c USING ({k}) JOIN {p}_sigma g USING ({k})
+LEFT JOIN {p}_season se ON {on} AND se.dow = dayofweek(r.ds)"""
+
+
+def _normalize_cte(name: str, raw: str, key: str, date_start=None, date_end=None) -> str:
+    s = f"DATE '{date_start}'" if date_start else "MIN(ds)"
+    e = f"least(DATE '{date_end}', MAX(ds))" if date_end else "MAX(ds)"
+    return f"""
+{name}_d AS (SELECT {key}, CAST(ds AS DATE) AS ds, SUM(y) AS y FROM ({raw}) GROUP BY 1, 2),
+{name}_b AS (SELECT {key}, {s} AS s, {e} AS e FROM {name}_d GROUP BY 1),
+{name}_days AS (SELECT {key}, CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS ds
+                FROM {name}_b WHERE s <= e),
+{name} AS (SELECT x.{key}, x.ds, COALESCE(d.y, 0.0) AS y FROM {name}_days x
+           LEFT JOIN {name}_d d ON d.{key} = x.{key} AND d.ds = x.ds)"""
+
+
+ORDERS_RAW = ("SELECT o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS ds, o_totalprice AS y "
+              "FROM orders")
+
+
+def forecast_sql(f: SqlFilter, z: float, periods: int = 14, f1_start=None, f1_end=None) -> dict[str, str]:
+    b = {k: v[0] for k, v in query_bodies(f).items()}
+    q5 = f"SELECT practice, date AS ds, total_cost AS y FROM ({b['q5_cost_by_practice_over_time']})"
+    out = {}
+    out["f1_normalize_daily"] = with_mapping(
+        "SELECT practice, ds, y FROM pr", _normalize_cte("pr", q5, "practice", f1_start, f1_end))
+    ordr = _normalize_cte("od", ORDERS_RAW, "priority") + "," + _fit_ctes("m", "od", ["priority"])
+    fut = (f"fut AS (SELECT priority, CAST(unnest(generate_series(last + 1, last + {periods}, "
+           f"INTERVAL 1 DAY)) AS DATE) AS ds FROM m_first)")
+    out["f2_fit_predict"] = "WITH " + ordr + "," + fut + "\n" + \
+        "SELECT priority, ds, yhat, yhat_lower, yhat_upper FROM (" + \
+        _predict("m", "(SELECT priority, ds FROM od UNION ALL SELECT priority, ds FROM fut)", ["priority"], z) + ")"
+    out["f3_anomalies"] = "WITH " + ordr + """
+SELECT priority, ds, y AS actual_cost, yhat AS expected_cost, y - yhat AS residual FROM (
+  SELECT *, stddev_samp(y - yhat) OVER (PARTITION BY priority) AS sd FROM m_fit)
+WHERE sd IS NOT NULL AND sd <> 0 AND abs(y - yhat) > 2.0 * sd"""
+    bt = (_normalize_cte("od", ORDERS_RAW, "priority") + """,
+bounds AS (SELECT priority, MIN(ds) AS lo, MAX(ds) AS hi, COUNT(*) AS n FROM od GROUP BY 1),
+cuts AS (SELECT priority, CAST(hi - CAST(14 + 7 * k AS INTEGER) AS DATE) AS cutoff FROM bounds,
+         range(0, CAST(floor((date_diff('day', lo, hi) - 43) / 7) AS BIGINT) + 1) r(k)
+         WHERE n >= 44 AND date_diff('day', lo, hi) >= 43),
+train AS (SELECT od.priority, c.cutoff, od.ds, od.y FROM od JOIN cuts c USING (priority) WHERE od.ds <= c.cutoff),
+test AS (SELECT od.priority, c.cutoff, od.ds, od.y FROM od JOIN cuts c USING (priority)
+         WHERE od.ds > c.cutoff AND od.ds <= c.cutoff + 14),""" + _fit_ctes("cv", "train", ["priority", "cutoff"]))
+    out["f4_backtest"] = "WITH " + bt + "\n" + f"""
+SELECT priority, COUNT(DISTINCT cutoff) AS n_cutoffs, AVG(abs(y - yhat)) AS mae,
+       AVG(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) AS mape,
+       AVG(CASE WHEN y >= yhat_lower AND y <= yhat_upper THEN 1.0 ELSE 0.0 END) AS coverage
+FROM ({_predict("cv", "test", ["priority", "cutoff"], z)}) GROUP BY 1"""
+    pr = _normalize_cte("pr", q5, "practice") + "," + _fit_ctes("m", "pr", ["practice"])
+    out["f6_forecast_status"] = with_mapping(f"""
+SELECT r.practice, CASE WHEN COALESCE(h.n, 0) < 14 THEN 'insufficient_data' ELSE 'ok' END AS status,
+       CASE WHEN COALESCE(h.n, 0) < 14 THEN 'At least 14 days of daily cost history are required for forecasting.'
+            WHEN h.n < 44 THEN 'Cross-validation metrics require at least 44 days of history.' END AS message,
+       CAST(COALESCE(h.n, 0) AS BIGINT) AS history_days
+FROM (SELECT DISTINCT practice FROM ({q5})) r LEFT JOIN (SELECT practice, COUNT(*) AS n FROM pr GROUP BY 1) h
+  USING (practice)""", pr)
+    fut2 = (f"fut AS (SELECT practice, CAST(unnest(generate_series(last + 1, last + {periods}, "
+            f"INTERVAL 1 DAY)) AS DATE) AS ds FROM m_first)")
+    out["f6_forecast_future"] = with_mapping(
+        "SELECT practice, ds, yhat, yhat_lower, yhat_upper FROM (" +
+        _predict("m", "(SELECT practice, ds FROM fut)", ["practice"], z) + ")", pr + "," + fut2)
+    return out
