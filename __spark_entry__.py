@@ -186,7 +186,37 @@ def _pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "b.year", "b.month", "b.day")
 
 
+def _stream_ingest(spark: SparkSession, sf_dir: str, table: str = "api_requests") -> DataFrame:
+    """JSONL files -> streaming ingest (several micro-batches) -> table."""
+    from tokentally.session import scratch_path
+    from tokentally.sources.export import write_lines
+    from tokentally.streaming import ingest_stream as S
+    src = scratch_path(spark, "stream-src")
+    write_lines(D.telemetry_lines(D.read_driver(spark, sf_dir, "events")), src)
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    S.start_ingest_stream(spark, src, out, ck, max_files_per_trigger=2).awaitTermination()
+    return S.read_stream_table(spark, out, table), out
+
+
+def _e1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_ingest(spark, sf_dir)[0]
+
+
+def _e2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarked daily cost per practice over the streamed requests."""
+    from tokentally.session import scratch_path
+    from tokentally.streaming import ingest_stream as S
+    _, out = _stream_ingest(spark, sf_dir)
+    emp = D.employees_view(D.read_driver(spark, sf_dir, "customer"), D.read_driver(spark, sf_dir, "nation"),
+                           D.read_driver(spark, sf_dir, "region"))
+    res, ck = scratch_path(spark, "daily-cost"), scratch_path(spark, "daily-cost-ck")
+    S.start_daily_cost_stream(spark, f"{out}/api_requests", emp, res, ck).awaitTermination()
+    return round_doubles(spark.read.parquet(res))
+
+
 INGEST = {
+    "e1_stream_ingest_api_requests": (_e1, "api_requests"),
+    "e2_stream_daily_cost": (_e2, "stream_daily_cost"),
     "s8_ingest_user_prompts": (_ingest_table("user_prompts"), "user_prompts"),
     "s9_ingest_api_requests": (_ingest_table("api_requests"), "api_requests"),
     "s10_ingest_tool_decisions": (_ingest_table("tool_decisions"), "tool_decisions"),

@@ -114,6 +114,14 @@ def ingest_sql() -> dict[str, str]:
                CAST(day(arg_min(ts, event_id)) AS INTEGER) AS day
         FROM events GROUP BY 1"""
     out["employees"] = f"WITH {mapping_ctes().strip()}\nSELECT * FROM employees"
+    # Daily cost per practice over the ingested requests, days closed by a
+    # one-day watermark (window end <= last event time - 1 day).
+    out["stream_daily_cost"] = f"""WITH {mapping_ctes(True).strip()}
+        SELECT CAST(ar."timestamp" AS DATE) AS date, e.practice, ROUND(SUM(ar.cost_usd), 6) AS total_cost
+        FROM api_requests ar JOIN employees e ON ar.user_email = e.email
+        WHERE CAST(CAST(ar."timestamp" AS DATE) AS TIMESTAMP) + INTERVAL 2 DAY
+              <= (SELECT MAX("timestamp") FROM api_requests)
+        GROUP BY 1, 2"""
     return out
 
 
