@@ -210,8 +210,8 @@ def cutoffs(history: DataFrame, keys: list[str], initial: int = CV_INITIAL,
                                    F.count(F.lit(1)).alias("n"))
     kmax = F.floor((F.datediff("hi", "lo") - F.lit(horizon + initial)) / F.lit(period)).cast("int")
     return (b.where((F.col("n") >= min_days) & (kmax >= 0))
-             .select(*keys, "hi", F.explode(F.sequence(F.lit(0), kmax)).alias("k"))
-             .select(*keys, F.date_sub("hi", F.lit(horizon) + F.lit(period) * F.col("k")).alias("cutoff")))
+             .select(*keys, "hi", F.explode(F.sequence(F.lit(0), kmax)).alias("_step"))
+             .select(*keys, F.date_sub("hi", F.lit(horizon) + F.lit(period) * F.col("_step")).alias("cutoff")))
 
 
 def safe_mape(actual: Column, predicted: Column) -> Column:
