@@ -104,3 +104,18 @@ def test_many_series_at_once(spark):
     assert st == {"a": "ok", "b": "insufficient_data"}
     assert {r["k"] for r in s.forecast.collect()} == {"a"}
     assert [r["k"] for r in s.metrics.collect()] == ["a"]
+
+
+def test_running_sum_backtest_equals_refit(spark):
+    import random
+    rnd = random.Random(3)
+    ys_a = [50 + 0.3 * i + rnd.gauss(0, 4) + (8 if i % 7 == 2 else 0) for i in range(90)]
+    ys_b = [rnd.choice([0.0, 1.0, 5.0]) for _ in range(60)]
+    df = series(spark, ys_a, key="a").unionByName(series(spark, ys_b, key="b"))
+    fast = {r["k"]: r for r in FC.backtest(df, ["k"]).collect()}
+    slow = {r["k"]: r for r in FC.backtest_refit(df, ["k"]).collect()}
+    assert set(fast) == set(slow) == {"a", "b"}
+    for key in fast:
+        assert fast[key]["n_cutoffs"] == slow[key]["n_cutoffs"]
+        for m in ("mae", "mape", "coverage"):
+            assert fast[key][m] == pytest.approx(slow[key][m], rel=1e-9, abs=1e-12), (key, m)

@@ -140,12 +140,21 @@ def fact_view(events: DataFrame, table: str) -> DataFrame:
     return ev.select(*out)
 
 
+_EMPLOYEE_ROWS: dict[tuple[str, str], int] = {}
+
+
 def driver_tables(spark: SparkSession, root: str, **kw) -> Tables:
     events = read_driver(spark, root, "events")
     emp = employees_view(read_driver(spark, root, "customer"), read_driver(spark, root, "nation"),
                          read_driver(spark, root, "region"))
     facts = {t: fact_view(events, t) for t in EVENT_TYPE_TABLE.values()}
-    return Tables(employees=emp, **facts, **kw)
+    tables = Tables(employees=emp, **facts, **kw)
+    # The directory size check is one count per data root and application.
+    key = (spark.sparkContext.applicationId, root.rstrip("/"))
+    if key not in _EMPLOYEE_ROWS:
+        _EMPLOYEE_ROWS[key] = tables.employee_rows()
+    tables._employee_rows = _EMPLOYEE_ROWS[key]
+    return tables
 
 
 # ---------------------------------------------------------------------------------------

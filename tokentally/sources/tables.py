@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tokentally.functions.columns import event_day
 from tokentally.sources.schemas import FACT_SCHEMAS, TABLE_SCHEMAS
 
-# Largest employee directory we broadcast.  ~5 short strings per row keeps this
-# well under 100 MB; above it the fact/dimension join is a shuffle join with
-# AQE skew splitting instead.
+# Largest employee directory we hint for broadcast under the "checked" policy.
+# ~5 short strings per row keeps this well under 100 MB.
 DEFAULT_BROADCAST_MAX_ROWS = 500_000
 
 
@@ -24,6 +23,12 @@ class Tables:
     tool_decisions: DataFrame
     tool_results: DataFrame
     api_errors: DataFrame
+    # "checked": count the dimension once and hint a broadcast when it is under
+    #            the row bound; above it, a shuffle join with AQE skew splitting.
+    # "auto":    no hint; Spark's own size estimate decides.  Derived fact views can
+    #            look smaller than the directory on small files, so Spark may then
+    #            broadcast the fact side instead.
+    broadcast_policy: str = "checked"
     broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
     _employee_rows: int | None = field(default=None, repr=False)
 
@@ -62,7 +67,10 @@ class Tables:
         return self.employee_rows() <= self.broadcast_max_rows
 
     def dimension(self, df: DataFrame | None = None) -> DataFrame:
-        """The (optionally pre-filtered) employee side, hinted for broadcast only when
-        the whole dimension is under the checked row bound."""
+        """The (optionally pre-filtered) employee side of J1.  Hinted for broadcast
+        only under the "checked" policy and when the whole dimension is under the
+        counted row bound; otherwise Spark's size checks decide."""
         emp = self.employees if df is None else df
-        return F.broadcast(emp) if self.employees_broadcastable() else emp
+        if self.broadcast_policy == "checked" and self.employees_broadcastable():
+            return F.broadcast(emp)
+        return emp
