@@ -118,7 +118,8 @@ def ingest_sql() -> dict[str, str]:
     # one-day watermark (window end <= last event time - 1 day).
     out["stream_daily_cost"] = f"""WITH {mapping_ctes(True).strip()}
         SELECT CAST(ar."timestamp" AS DATE) AS date, e.practice,
-               CAST(ROUND(TRY_CAST(SUM(ar.cost_usd) AS DECIMAL(38,12)), 6) AS DOUBLE) AS total_cost
+               CAST(ROUND(TRY_CAST(CAST(SUM(ar.cost_usd) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE)
+                 AS total_cost
         FROM api_requests ar JOIN employees e ON ar.user_email = e.email
         WHERE CAST(CAST(ar."timestamp" AS DATE) AS TIMESTAMP) + INTERVAL 2 DAY
               <= (SELECT MAX("timestamp") FROM api_requests)
@@ -159,7 +160,9 @@ def with_mapping(body: str, extra_ctes: str = "") -> str:
 def round_cols(sql: str, cols: list[str], digits: int = 6) -> str:
     if not cols:
         return sql
-    rep = ", ".join(f"CAST(ROUND(TRY_CAST({c} AS DECIMAL(38,12)), {digits}) AS DOUBLE) AS {c}" for c in cols)
+    # Via the shortest decimal text of the double, as Spark converts DOUBLE to DECIMAL.
+    rep = ", ".join(f"CAST(ROUND(TRY_CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,12)), {digits}) AS DOUBLE) AS {c}"
+                    for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _r"
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tokentally.functions.columns import event_day
@@ -77,7 +78,7 @@ def daily_cost_stream(requests: DataFrame, employees: DataFrame, watermark: str
 
 def start_daily_cost_stream(spark: SparkSession, requests_dir: str, employees: DataFrame,
                             output_dir: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
-    schema = API_REQUESTS.add("event_date", "date")
+    schema = T.StructType(API_REQUESTS.fields + [T.StructField("event_date", T.DateType())])
     requests = spark.readStream.schema(schema).parquet(requests_dir)
     out = daily_cost_stream(requests, employees, watermark)
     return (out.writeStream.outputMode("append").format("parquet")
