@@ -329,9 +329,9 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
     """
     keys = _keys(keys)
     ensure_checkpoint_dir(df.sparkSession)
-    # The daily history (days x series rows) and the fitted parameters are small
-    # and read many times below: checkpoint them to the shared folder once, which
-    # also keeps the plans of the five outputs short.
+    # The daily history (days x series rows) and the per-series row counts are
+    # small and read many times below: checkpoint them to the shared folder once,
+    # which also keeps the plans of the five outputs short.
     hist = normalize_daily(df, keys, ds, y, date_start, date_end).checkpoint(eager=True)
     h, k = _with_key(hist, keys)
     n = h.groupBy(*k).agg(F.count(F.lit(1)).alias("history_days"))
@@ -341,10 +341,10 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
         # A global aggregate always yields one row, so an empty input gets a status too.
         rows = df.agg(F.count(F.lit(1)).alias("raw_rows")).withColumn(_NOKEY, F.lit(0))
     base = rows.join(n, k, "left").select(
-        *k, "raw_rows", F.coalesce("history_days", F.lit(0)).cast("bigint").alias("history_days"))
+        *k, "raw_rows", F.coalesce("history_days", F.lit(0)).cast("bigint").alias("history_days")) \
+        .checkpoint(eager=True)
     ok_h = h.join(base.where(F.col("history_days") >= HISTORY_MIN_DAYS).select(*k), k, "left_semi")
     m = fit(ok_h, k)
-    m = Model(k, m.coef.checkpoint(eager=True), m.season.checkpoint(eager=True))
     bad_fit = m.coef.where(F.isnan("a") | F.isnan("b") | F.col("a").isNull()).select(*k, F.lit(True).alias("_bad"))
     status = base.join(bad_fit, k, "left").select(
         *k, "history_days",

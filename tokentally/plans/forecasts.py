@@ -16,10 +16,14 @@ def practice_daily_cost(tables, filters: Filters) -> DataFrame:
     return q.select("practice", F.col("date").alias("ds"), F.col("total_cost").alias("y"))
 
 
+def orders_raw(spark: SparkSession, root: str) -> DataFrame:
+    """Order totals per priority and day (one row per order)."""
+    o = spark.read.parquet(f"{root.rstrip('/')}/orders.parquet")
+    return o.select(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("ds"),
+                    F.col("o_totalprice").alias("y"))
+
+
 def orders_daily(spark: SparkSession, root: str) -> DataFrame:
     """A long daily series per order priority (1995-2001) from the driver's
     ``orders`` table; the telemetry spans only 30 days, the back-test needs 44+."""
-    o = spark.read.parquet(f"{root.rstrip('/')}/orders.parquet")
-    raw = o.select(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("ds"),
-                   F.col("o_totalprice").alias("y"))
-    return FC.normalize_daily(raw, ["priority"])
+    return FC.normalize_daily(orders_raw(spark, root), ["priority"])
