@@ -106,11 +106,35 @@ def field_ok(kind: str, key: str) -> Column:
     return parsed_value(kind, key).isNotNull()
 
 
+def _all_fields() -> dict[str, tuple[str, str]]:
+    """Every output column once: column -> (attribute key, parse kind)."""
+    out: dict[str, tuple[str, str]] = {}
+    for specs in [COMMON_FIELDS] + list(EVENT_FIELDS.values()):
+        for col, key, kind in specs:
+            prev = out.setdefault(col, (key, kind))
+            if prev != (key, kind):
+                raise ValueError(f"column {col!r} parsed two ways")
+    return out
+
+
+def _presence_col(key: str) -> str:
+    return "has_" + key.replace(".", "_")
+
+
+def _typed_ok(col: str, key: str, kind: str) -> Column:
+    """Field check on the already typed column (see ``field_ok``)."""
+    if kind == "true":
+        return F.col(_presence_col(key))
+    if kind == "opt_int":
+        return ~F.col(_presence_col(key)) | F.col(col).isNotNull()
+    return F.col(col).isNotNull()
+
+
 def _first_bad_field(body: str) -> Column:
     """Name of the first failing field of one event body (NULL when all are fine)."""
     expr = None
-    for _, key, kind in COMMON_FIELDS + EVENT_FIELDS[body]:
-        bad = ~field_ok(kind, key)
+    for col, key, kind in COMMON_FIELDS + EVENT_FIELDS[body]:
+        bad = ~_typed_ok(col, key, kind)
         expr = F.when(bad, F.lit(key)) if expr is None else expr.when(bad, F.lit(key))
     return expr
 
@@ -152,28 +176,38 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     if "source_file" not in lines.columns:
         lines = lines.withColumn("source_file", F.lit(None).cast("string"))
     arr = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), T.ArrayType(BATCH))
-    parsed = lines.select(
-        "source_file", F.xxhash64("value").alias("line_hash"), "value",
-        F.when(F.size(arr) == 1, F.get(arr, 0)).alias("batch"))
-
-    malformed = parsed.where(F.col("batch").isNull()).select(
-        F.lit("malformed").alias("status"), F.lit(None).cast("string").alias("table"),
-        F.lit("malformed JSON line").alias("detail"),
-        "source_file", "line_hash", F.lit(None).cast("int").alias("event_idx"),
-        F.col("value").alias("raw"), F.lit(None).cast("string").alias("body"),
-        F.lit(None).cast(T.MapType(T.StringType(), T.StringType())).alias("attributes"))
-
-    events = parsed.where(F.col("batch").isNotNull()).select(
-        "source_file", "line_hash",
-        F.posexplode(F.col("batch.logEvents")).alias("event_idx", "log_event"))
-    marr = F.from_json(F.concat(F.lit("["), F.col("log_event.message"), F.lit("]")), T.ArrayType(MESSAGE))
-    events = events.select(
-        "source_file", "line_hash", F.col("event_idx").cast("int").alias("event_idx"),
-        F.col("log_event.message").alias("raw"),
-        F.when(F.size(marr) == 1, F.get(marr, 0)).alias("msg"))
-    events = events.select("source_file", "line_hash", "event_idx", "raw",
+    parsed = lines.select("source_file", F.xxhash64("value").alias("line_hash"), "value", arr.alias("arr"))
+    parsed = parsed.select("source_file", "line_hash", "value",
+                           F.when(F.size("arr") == 1, F.get(F.col("arr"), 0)).alias("batch"))
+    # Each event's message is parsed inside the array, before the explode: filters
+    # on the classification (e.g. one table's rows) cannot be pushed below the
+    # explode, so the JSON is parsed once per event whatever the consumer.
+    msg_type = T.ArrayType(MESSAGE)
+    item_type = T.StructType([T.StructField("message", T.StringType()),
+                              T.StructField("marr", msg_type)])
+    items = F.when(F.col("batch").isNull(), F.array(F.lit(None).cast(item_type))).otherwise(
+        F.transform("batch.logEvents", lambda e: F.struct(
+            e["message"].alias("message"),
+            F.from_json(F.concat(F.lit("["), e["message"], F.lit("]")), msg_type).alias("marr"))))
+    exploded = parsed.select(
+        "source_file", "line_hash", F.col("batch").isNull().alias("malformed"),
+        F.when(F.col("batch").isNull(), F.col("value")).alias("line"),
+        F.posexplode(items).alias("event_idx", "item"))
+    marr = F.col("item.marr")
+    events = exploded.select(
+        "source_file", "line_hash", "malformed",
+        F.when(~F.col("malformed"), F.col("event_idx").cast("int")).alias("event_idx"),
+        F.coalesce(F.col("line"), F.col("item.message")).alias("raw"),
+        F.when(~F.col("malformed") & (F.size(marr) == 1), F.get(marr, 0)).alias("msg"))
+    events = events.select("source_file", "line_hash", "event_idx", "raw", "malformed",
                            F.col("msg.body").alias("body"), F.col("msg.attributes").alias("attributes"),
                            F.col("msg").isNull().alias("bad_message"))
+    # Each attribute is looked up and typed once; checks and projections reuse it.
+    fields = _all_fields()
+    presence = sorted({key for key, kind in fields.values() if kind in ("true", "opt_int")})
+    events = events.select(
+        "*", *[parsed_value(kind, key).alias(col) for col, (key, kind) in fields.items()],
+        *[_has(key).alias(_presence_col(key)) for key in presence])
 
     where = F.concat(F.lit("event index "), F.col("event_idx").cast("string"), F.lit(": "))
     known = F.col("body").isin(list(EVENT_TABLES))
@@ -184,13 +218,16 @@ def classify_lines(lines: DataFrame) -> DataFrame:
                      else bad_field.when(cond, _first_bad_field(body)))
     no_envelope = (F.col("body").isNull() | (F.col("body") == "")
                    | F.col("attributes").isNull() | (F.size("attributes") == 0))
-    events = events.withColumn("bad_field", F.when(known & ~F.col("bad_message") & ~no_envelope, bad_field))
-    status = (F.when(F.col("bad_message"), F.lit("missing_fields"))
+    events = events.withColumn("bad_field", F.when(~F.col("malformed") & known & ~F.col("bad_message")
+                                                   & ~no_envelope, bad_field))
+    status = (F.when(F.col("malformed"), F.lit("malformed"))
+               .when(F.col("bad_message"), F.lit("missing_fields"))
                .when(no_envelope, F.lit("missing_fields"))
                .when(~known, F.lit("unknown_types"))
                .when(F.col("bad_field").isNotNull(), F.lit("missing_fields"))
                .otherwise(F.lit("ingested")))
-    detail = (F.when(F.col("bad_message"), F.concat(where, F.lit("failed to parse message JSON")))
+    detail = (F.when(F.col("malformed"), F.lit("malformed JSON line"))
+               .when(F.col("bad_message"), F.concat(where, F.lit("failed to parse message JSON")))
                .when(no_envelope, F.concat(where, F.lit("missing 'body' or 'attributes'")))
                .when(~known, F.concat(where, F.lit("unknown type '"), F.col("body"), F.lit("'")))
                .when(F.col("bad_field").isNotNull(),
@@ -200,21 +237,21 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     for body, tname in EVENT_TABLES.items():
         cond = F.col("body") == F.lit(body)
         table = F.when(cond, F.lit(tname)) if table is None else table.when(cond, F.lit(tname))
-    events = events.select(status.alias("status"), table.alias("table"), detail.alias("detail"),
-                           "source_file", "line_hash", "event_idx", "raw", "body", "attributes")
-    return malformed.unionByName(events)
+    out = events.select(status.alias("status"), F.when(~F.col("malformed"), table).alias("table"),
+                        detail.alias("detail"), "source_file", "line_hash", "event_idx", "raw",
+                        *fields)
+    # Raw text is kept for rejects only; typed values for ingested events only.
+    ok = F.col("status") == "ingested"
+    return out.select("status", "table", "detail", "source_file", "line_hash", "event_idx",
+                      F.when(~ok, F.col("raw")).alias("raw"),
+                      *[F.when(ok, F.col(c)).alias(c) for c in fields])
 
 
 def project_table(classified: DataFrame, table: str) -> DataFrame:
     """Typed columns of one fact, in DDL order, from its ingested events."""
-    body = {t: b for b, t in EVENT_TABLES.items()}[table]
-    specs = {col: (key, kind) for col, key, kind in COMMON_FIELDS + EVENT_FIELDS[body]}
     schema = FACT_SCHEMAS[table]
     rows = classified.where((F.col("status") == "ingested") & (F.col("table") == table))
-    return rows.select(*[
-        parsed_value(specs[f.name][1], specs[f.name][0]).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ])
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def rejects_of(classified: DataFrame) -> DataFrame:
