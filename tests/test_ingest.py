@@ -182,3 +182,11 @@ def test_employee_csv_round_trip(spark):
     X.write_employees_csv(emp, d + "/e")
     back = I.read_employees_csv(spark, d + "/e")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, emp.collect()))
+
+
+def test_employee_row_with_missing_field_is_a_constraint_reject(spark):
+    d = employees_csv((("a@x", "A", "P", "L1", "C"), ("b@x", "", "P", "L2", "C")))
+    res = I.ingest(I.read_batch_lines(spark, write(SAMPLE)), I.read_employees_csv(spark, d), persist=False)
+    assert [r["email"] for r in res.tables.employees.collect()] == ["a@x"]
+    (rej,) = res.rejects.where("reason = 'constraint'").collect()
+    assert '"b@x"' in rej["raw"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokentally.functions.columns import level_rank
 from tokentally.operators.filters import Filters, filtered_fact
+from tokentally.session import ensure_checkpoint_dir
 from tokentally.operators.rollups import (
     favourite_model,
     prompts_with_session_cost,
@@ -52,6 +53,10 @@ def top_engineers(tables, filters: Filters, k: int = TOP_ENGINEERS) -> DataFrame
                        F.try_divide(F.col("total_cost"), F.col("session_count").cast("double")))
            .orderBy(F.desc("session_count"), "email")
            .limit(k))
+    # The k winners are used twice (output and favourite-model semi-join): write
+    # them once to the shared checkpoint folder instead of ranking prompts twice.
+    ensure_checkpoint_dir(tables.employees.sparkSession)
+    top = top.checkpoint(eager=True)
     fav = favourite_model(tables.api_requests, top.select("email"))
     out = top.join(F.broadcast(fav), top["email"] == fav["user_email"], "left")
     return (out.select("full_name", "practice", "level", "session_count", "total_cost",

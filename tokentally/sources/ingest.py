@@ -154,6 +154,23 @@ def read_employees_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*EMPLOYEES.fieldNames())
 
 
+def split_employees(employees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S18 NOT NULL: rows with a missing or empty field go to rejects (reason
+    ``constraint``) instead of aborting the load.  Returns (valid, rejects)."""
+    cols = EMPLOYEES.fieldNames()
+    ok = None
+    for c in cols:
+        cond = F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
+        ok = cond if ok is None else ok & cond
+    valid = employees.where(ok)
+    bad = employees.where(~ok).select(
+        F.lit("constraint").alias("reason"),
+        F.lit("employee row with a missing field").alias("detail"),
+        F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("long").alias("line_hash"),
+        F.lit(None).cast("int").alias("event_idx"), F.to_json(F.struct(*cols)).alias("raw"))
+    return valid, bad
+
+
 def check_employee_keys(employees: DataFrame) -> None:
     """The directory must have a unique, non-null email (raises otherwise)."""
     dup = employees.groupBy("email").count().where((F.col("count") > 1) | F.col("email").isNull())
@@ -324,8 +341,10 @@ def ingest(lines: DataFrame, employees: DataFrame, persist: bool = True) -> Inge
     if persist:
         classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
     facts = {t: project_table(classified, t) for t in FACT_SCHEMAS}
-    tables = Tables(employees=employees, **facts)
-    return IngestResult(tables, classified, rejects_of(classified), ingest_counts(classified))
+    valid_emp, bad_emp = split_employees(employees)
+    tables = Tables(employees=valid_emp, **facts)
+    rejects = rejects_of(classified).unionByName(bad_emp)
+    return IngestResult(tables, classified, rejects, ingest_counts(classified))
 
 
 def run_ingest(spark: SparkSession, telemetry_path: str, employees_path: str,
