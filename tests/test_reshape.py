@@ -58,3 +58,21 @@ def test_unpivot_share_and_normalize(spark):
     raw = spark.createDataFrame([("2025-12-02", "1.5"), ("bad", "2"), ("2025-12-01", "x")], "ds string, y string")
     out = R.normalize_series(raw, ["y"]).collect()
     assert [(str(r["ds"]), r["y"]) for r in out] == [("2025-12-01", None), ("2025-12-02", 1.5)]
+
+
+def test_hot_value_is_split_over_partitions(spark):
+    from pyspark.sql import functions as F
+    # a third of all rows share one group AND one value
+    rows = [("p", 0.0)] * 3000 + [("p", float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sorted_ = df.select("g", "v", F.monotonically_increasing_id().alias("tb")).orderBy("g", "v", "tb")
+        sizes = sorted_.groupBy(F.spark_partition_id().alias("pid")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in sizes) < 3000
+    (q,) = R.exact_quantiles(df, "g", "v").collect()
+    vals = sorted(v for _, v in rows)
+    assert q["q25"] == pytest.approx(float(np.percentile(vals, 25)))
+    assert q["q50"] == pytest.approx(float(np.percentile(vals, 50)))

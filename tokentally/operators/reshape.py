@@ -83,12 +83,15 @@ def exact_quantiles(df: DataFrame, group: str, value: str,
     4. only the rows at the wanted ranks are kept and interpolated.
     Columns: group, n, q<p*100> for each p (e.g. q25, q50, q75).
     """
-    d = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")) \
+    # ``tb`` breaks ties: rows sharing one (group, value) -- e.g. a third of all
+    # rows with cost 0.0 -- still spread over several range partitions.
+    d = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"),
+                  F.monotonically_increasing_id().alias("tb")) \
           .where(F.col("v").isNotNull())
     # Written once to the shared checkpoint folder: both uses below must see the
     # same partition boundaries, and the lineage (a sort) is cut for retries.
     ensure_checkpoint_dir(df.sparkSession)
-    ranked = d.orderBy("g", "v").select(
+    ranked = d.orderBy("g", "v", "tb").select(
         "g", "v", F.spark_partition_id().alias("pid"),
         F.monotonically_increasing_id().alias("rid")).checkpoint(eager=True)
     blocks = ranked.groupBy("g", "pid").agg(F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("rid0"))
