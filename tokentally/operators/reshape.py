@@ -156,12 +156,10 @@ def level_sorted(df: DataFrame, col: str = "level") -> DataFrame:
 
 
 def with_share(df: DataFrame, value: str, share_col: str = "share") -> DataFrame:
-    """Value / total of value (pie shares).  The total is a one-row
-    aggregate joined on a constant key (a broadcast of exactly one row)."""
-    total = df.agg(F.sum(value).alias("_total")).withColumn("_k", F.lit(1))
-    return (df.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
-              .withColumn(share_col, F.try_divide(F.col(value).cast("double"), F.col("_total").cast("double")))
-              .drop("_k", "_total"))
+    """Value / total of value (pie shares).  The total is a scalar subquery:
+    one global aggregate, evaluated once, with no join."""
+    total = df.agg(F.sum(F.col(value)).cast("double")).scalar()
+    return df.withColumn(share_col, F.try_divide(F.col(value).cast("double"), total))
 
 
 def normalize_series(df: DataFrame, numeric: list[str], ds: str = "ds") -> DataFrame:
