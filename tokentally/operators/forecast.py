@@ -169,13 +169,55 @@ def future_days(model: Model, periods: int = PERIODS) -> DataFrame:
         F.date_add("last", 1), F.date_add("last", periods), F.expr("INTERVAL 1 DAY"))).alias("ds"))
 
 
+def fit_rows(rows: DataFrame, keys: list[str], z: float = Z_80) -> DataFrame:
+    """F2 as window functions: ``rows`` (keys..., ds, y) hold every day to fit and
+    to predict, with y NULL on days to predict.  Adds yhat, yhat_lower, yhat_upper
+    fitted on each series' rows with y.
+
+    All statistics are windows partitioned by the series key (the weekday means
+    by key and weekday, which the same hash partitioning satisfies), so the whole
+    fit costs one shuffle and no joins.  A series is one row per day, so a
+    window partition is bounded by the series' span.
+    """
+    w = Window.partitionBy(*keys)
+    wd = Window.partitionBy(*keys, "_dow")
+    hist = F.col("y").isNotNull()
+    r = rows.withColumn("_dow", F.dayofweek("ds")) \
+            .withColumn("_start", F.min(F.when(hist, F.col("ds"))).over(w))
+    r = r.withColumn("_t", _t(F.col("ds"), F.col("_start")))
+    th = F.when(hist, F.col("_t"))
+    r = r.select("*", F.count(th).over(w).cast("double").alias("_n"), F.sum(th).over(w).alias("_st"),
+                 F.sum("y").over(w).alias("_sy"), F.sum(th * th).over(w).alias("_stt"),
+                 F.sum(th * F.col("y")).over(w).alias("_sty"))
+    n, st, sy, stt, sty = (F.col(c) for c in ("_n", "_st", "_sy", "_stt", "_sty"))
+    den = n * stt - st * st
+    r = r.withColumn("_b", F.when(den != 0, (n * sty - st * sy) / den).otherwise(F.lit(0.0)))
+    r = r.withColumn("_a", (sy - F.col("_b") * st) / n)
+    r = r.withColumn("_trend", F.col("_a") + F.col("_b") * F.col("_t"))
+    r = r.withColumn("_s", F.avg(F.when(hist, F.col("y") - F.col("_trend"))).over(wd))
+    r = r.withColumn("yhat", F.col("_trend") + F.coalesce(F.col("_s"), F.lit(0.0)))
+    r = r.withColumn("_sigma", F.coalesce(
+        F.stddev_samp(F.when(hist, F.col("y") - F.col("yhat"))).over(w), F.lit(0.0)))
+    r = r.withColumn("yhat_lower", F.col("yhat") - F.lit(z) * F.col("_sigma")) \
+         .withColumn("yhat_upper", F.col("yhat") + F.lit(z) * F.col("_sigma"))
+    return r.drop("_dow", "_start", "_t", "_n", "_st", "_sy", "_stt", "_sty", "_b", "_a", "_trend",
+                  "_s", "_sigma")
+
+
+def _with_future(h: DataFrame, k: list[str], periods: int) -> DataFrame:
+    """History rows plus ``periods`` days after each series' last day (y NULL)."""
+    last = h.groupBy(*k).agg(F.max("ds").alias("_last"))
+    fut = last.select(*k, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", periods),
+                                               F.expr("INTERVAL 1 DAY"))).alias("ds"),
+                      F.lit(None).cast("double").alias("y"))
+    return h.select(*k, "ds", F.col("y").cast("double").alias("y")).unionByName(fut)
+
+
 def fit_predict(history: DataFrame, keys=(), periods: int = PERIODS) -> DataFrame:
     """history and ``periods`` future days per series with yhat and band."""
     keys = _keys(keys)
     h, k = _with_key(history, keys)
-    m = fit(h, k)
-    rows = h.select(*k, "ds").unionByName(future_days(m, periods))
-    out = predict(m, rows).select(*k, "ds", "yhat", "yhat_lower", "yhat_upper")
+    out = fit_rows(_with_future(h, k, periods), k).select(*k, "ds", "yhat", "yhat_lower", "yhat_upper")
     return _drop_key(out, k)
 
 
@@ -189,9 +231,8 @@ def detect_anomalies(history_fit: DataFrame, keys=(), sigma_threshold: float = S
     keys = _keys(keys)
     h, k = _with_key(history_fit, keys)
     r = h.withColumn("residual", F.col("y").cast("double") - F.col("yhat").cast("double"))
-    sd = r.groupBy(*k).agg(F.stddev_samp("residual").alias("sd"))
-    out = (r.join(sd, k)
-            .where(F.col("sd").isNotNull() & (F.col("sd") != 0)
+    r = r.withColumn("sd", F.stddev_samp("residual").over(Window.partitionBy(*k)))
+    out = (r.where(F.col("sd").isNotNull() & (F.col("sd") != 0)
                    & (F.abs("residual") > F.lit(sigma_threshold) * F.col("sd")))
             .select(*k, "ds", F.col("y").cast("double").alias("actual_cost"),
                     F.col("yhat").cast("double").alias("expected_cost"), "residual"))
@@ -344,9 +385,12 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
         *k, "raw_rows", F.coalesce("history_days", F.lit(0)).cast("bigint").alias("history_days")) \
         .checkpoint(eager=True)
     ok_h = h.join(base.where(F.col("history_days") >= HISTORY_MIN_DAYS).select(*k), k, "left_semi")
-    m = fit(ok_h, k)
-    bad_fit = m.coef.where(F.isnan("a") | F.isnan("b") | F.col("a").isNull()).select(*k, F.lit(True).alias("_bad"))
-    status = base.join(bad_fit, k, "left").select(
+    # One fit per series over history + future days; small (days x series), so it
+    # is checkpointed and read by the status, forecast and anomaly outputs.
+    fitted = fit_rows(_with_future(ok_h, k, periods), k).checkpoint(eager=True)
+    bad_fit = fitted.groupBy(*k).agg(
+        F.max(F.when(F.col("yhat").isNull() | F.isnan("yhat"), 1).otherwise(0)).alias("_bad"))
+    status = base.join(bad_fit, k, "left").withColumn("_bad", F.col("_bad") == 1).select(
         *k, "history_days",
         F.when(F.col("raw_rows") == 0, F.lit("insufficient_data"))
          .when(F.col("history_days") < HISTORY_MIN_DAYS, F.lit("insufficient_data"))
@@ -357,9 +401,8 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
          .when(F.col("_bad"), F.lit(MSG_FAILED + "degenerate series"))
          .when(F.col("history_days") < CV_MIN_DAYS, F.lit(MSG_NO_CV)).alias("message"))
     good = status.where(F.col("status") == "ok").select(*k)
-    fitted = predict(m, ok_h.select(*k, "ds", "y"))
-    anomalies = detect_anomalies(fitted.join(good, k, "left_semi"), k)
-    fut = predict(m, future_days(m, periods).join(good, k, "left_semi")) \
+    anomalies = detect_anomalies(fitted.where(F.col("y").isNotNull()).join(good, k, "left_semi"), k)
+    fut = fitted.where(F.col("y").isNull()).join(good, k, "left_semi") \
         .select(*k, "ds", "yhat", "yhat_lower", "yhat_upper")
     long_h = ok_h.join(base.where(F.col("history_days") >= CV_MIN_DAYS).select(*k), k, "left_semi") \
                  .join(good, k, "left_semi")
