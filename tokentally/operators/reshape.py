@@ -72,28 +72,27 @@ def log_histogram(values: DataFrame, col: str, bins: int = LOG_BINS) -> DataFram
                  .orderBy("bin"))
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str,
-                    probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact linear-interpolation quantiles per group without gathering a group.
-
-    1. global sort on (group, value): range partitioning samples the keys, so a
-       group holding a third of all rows is split over many tasks;
-    2. per (partition, group): row count and first row id (a small table);
-    3. running counts over partitions give each row its rank in its group;
-    4. only the rows at the wanted ranks are kept and interpolated.
-    Columns: group, n, q<p*100> for each p (e.g. q25, q50, q75).
+def _ranked(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(g, v, pid, rid): the rows globally sorted on (group, value), checkpointed.
+
+    Range partitioning samples the keys, so a group holding a third of all rows
+    is split over many tasks; ``tb`` breaks ties so that rows sharing one
+    (group, value) spread too.  The result is written once to the shared
+    checkpoint folder: every later pass sees the same partitions, and retries
+    do not redo the sort.
     """
-    # ``tb`` breaks ties: rows sharing one (group, value) -- e.g. a third of all
-    # rows with cost 0.0 -- still spread over several range partitions.
     d = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"),
                   F.monotonically_increasing_id().alias("tb")) \
           .where(F.col("v").isNotNull())
-    # Written once to the shared checkpoint folder: both uses below must see the
-    # same partition boundaries, and the lineage (a sort) is cut for retries.
     ensure_checkpoint_dir(df.sparkSession)
-    ranked = d.orderBy("g", "v", "tb").select(
+    return d.orderBy("g", "v", "tb").select(
         "g", "v", F.spark_partition_id().alias("pid"),
         F.monotonically_increasing_id().alias("rid")).checkpoint(eager=True)
+
+
+def _quantiles(ranked: DataFrame, probs: tuple[float, ...]) -> DataFrame:
+    """Quantiles from ranked rows: per (partition, group) row counts and first row
+    ids (a small table) give each row its rank; only rows at wanted ranks remain."""
     blocks = ranked.groupBy("g", "pid").agg(F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("rid0"))
     w = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("g", "pid", "rid0",
@@ -114,27 +113,46 @@ def exact_quantiles(df: DataFrame, group: str, value: str,
     q = per.select("g", "n", "p",
                    (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
     out = q.groupBy("g", "n").pivot("p", [float(p) for p in probs]).agg(F.first("q"))
-    names = [f"q{round(p * 100):d}" for p in probs]
-    return out.select(F.col("g").alias(group), "n",
-                      *[F.col(f"`{float(p)}`").alias(nm) for p, nm in zip(probs, names)])
+    return out.select("g", "n", *[F.col(f"`{float(p)}`").alias(_qname(p)) for p in probs])
+
+
+def _qname(p: float) -> str:
+    return f"q{round(p * 100):d}"
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str,
+                    probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact linear-interpolation quantiles per group without gathering a group.
+    Columns: group, n, q<p*100> for each p (e.g. q25, q50, q75)."""
+    q = _quantiles(_ranked(df, group, value), probs)
+    return q.withColumnRenamed("g", group)
+
+
+GROUP_BROADCAST_MAX = 1_000_000
 
 
 def box_stats(df: DataFrame, group: str, value: str, whisker: float = WHISKER) -> DataFrame:
     """P5: per group n, min, q1, median, q3, max, whisker ends (most extreme values
-    within ``whisker`` x IQR of the quartiles) and outlier count."""
-    q = exact_quantiles(df, group, value)
-    fences = q.select(group, "n", "q25", "q50", "q75",
+    within ``whisker`` x IQR of the quartiles) and outlier count.
+
+    The input is sorted and checkpointed once; quartiles and the whisker pass
+    both read that copy.  The per-group fences (one row per group) are
+    broadcast only after counting them under ``GROUP_BROADCAST_MAX``.
+    """
+    ranked = _ranked(df, group, value)
+    q = _quantiles(ranked, (0.25, 0.5, 0.75))
+    fences = q.select("g", "n", "q25", "q50", "q75",
                       (F.col("q25") - whisker * (F.col("q75") - F.col("q25"))).alias("lf"),
-                      (F.col("q75") + whisker * (F.col("q75") - F.col("q25"))).alias("uf"))
-    v = F.col(value).cast("double")
-    joined = df.select(group, v.alias("v")).where(F.col("v").isNotNull()).join(fences, group)
-    agg = joined.groupBy(group).agg(
+                      (F.col("q75") + whisker * (F.col("q75") - F.col("q25"))).alias("uf")) \
+              .checkpoint(eager=True)
+    side = F.broadcast(fences) if fences.count() <= GROUP_BROADCAST_MAX else fences
+    agg = ranked.select("g", "v").join(side.select("g", "lf", "uf"), "g").groupBy("g").agg(
         F.min("v").alias("min"), F.max("v").alias("max"),
         F.min(F.when(F.col("v") >= F.col("lf"), F.col("v"))).alias("whisker_low"),
         F.max(F.when(F.col("v") <= F.col("uf"), F.col("v"))).alias("whisker_high"),
         F.count_if((F.col("v") < F.col("lf")) | (F.col("v") > F.col("uf"))).alias("outliers"))
-    return fences.join(agg, group).select(
-        group, "n", "min", F.col("q25").alias("q1"), F.col("q50").alias("median"),
+    return fences.join(agg, "g").select(
+        F.col("g").alias(group), "n", "min", F.col("q25").alias("q1"), F.col("q50").alias("median"),
         F.col("q75").alias("q3"), "max", "whisker_low", "whisker_high", "outliers")
 
 
