@@ -190,3 +190,8 @@ def test_employee_row_with_missing_field_is_a_constraint_reject(spark):
     assert [r["email"] for r in res.tables.employees.collect()] == ["a@x"]
     (rej,) = res.rejects.where("reason = 'constraint'").collect()
     assert '"b@x"' in rej["raw"]
+
+
+def test_k15_redelivered_batches_count_twice(spark):
+    c = counts(ingest_lines(spark, SAMPLE + SAMPLE))
+    assert c["ingested"] == 10

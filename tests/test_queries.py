@@ -220,3 +220,43 @@ def test_filters_all_values_equals_no_filter(tables):
     a = sorted(map(tuple, run(tables, "q10_model_distribution", **allf).collect()))
     b = sorted(map(tuple, run(tables, "q10_model_distribution").collect()))
     assert a == b
+
+
+def test_k9_error_rate_can_exceed_one(spark):
+    ae = [("s2", "bob@example.com", T(f"2025-12-11 20:0{i}:30"), "m", "e", "500", 1, 5, "iterm") for i in range(5)]
+    t = make_tables(spark, api_errors=ae)
+    (r,) = rows(catalog.run("q1_kpi_metrics", t, Filters(**FILTER)))
+    assert r["error_rate"] == pytest.approx(5 / 3)
+
+
+def test_k10_grouped_queries_are_empty_on_no_data(tables):
+    for qid in ("q2_daily_sessions", "q5_cost_by_practice_over_time", "q10_model_distribution",
+                "q12_usage_by_practice", "q14_top_engineers", "q16_hourly_heatmap", "q19_tool_frequency",
+                "q23_session_duration_hist", "q24_session_cost_by_practice", "q26_error_breakdown"):
+        assert run(tables, qid, locations=["Canada"]).count() == 0, qid
+
+
+def test_hot_session_matches_brute_force(spark):
+    # one session holds most prompts: the pre-aggregated join must equal the
+    # per-prompt join of the reference
+    up = USER_PROMPTS + [("hot", "alice@example.com", T("2025-12-12 10:00:00") + dt.timedelta(seconds=i), 1, "vscode")
+                         for i in range(2000)]
+    ar = API_REQUESTS + [("hot", "alice@example.com", T("2025-12-12 09:00:00"), "m", 1, 1, 1, 1, 0.25, 5, "vscode")]
+    t = make_tables(spark, api_requests=ar, user_prompts=up)
+    f = Filters(**FILTER)
+    cost = {}
+    for s, *_rest in ar:
+        cost[s] = cost.get(s, 0.0) + _rest[7]
+    emp = {e[0]: e for e in EMPLOYEES}
+    exp_total, exp_sessions = {}, {}
+    for s, u, *_ in up:
+        p = emp[u][2]
+        exp_total[p] = exp_total.get(p, 0.0) + cost.get(s, 0.0)
+        exp_sessions.setdefault(p, set()).add(s)
+    got = {r["practice"]: r for r in rows(catalog.run("q12_usage_by_practice", t, f))}
+    for p in exp_total:
+        assert got[p]["total_cost"] == pytest.approx(exp_total[p])
+        assert got[p]["session_count"] == len(exp_sessions[p])
+    lv = {r["level"]: r["avg_cost_per_session"] for r in rows(catalog.run("q27_level_cost_correlation", t, f))}
+    assert lv["L5"] == pytest.approx(exp_total["Backend Engineering"] / len(exp_sessions["Backend Engineering"]))
+    assert catalog.run("q24_session_cost_by_practice", t, f).where("session_id = 'hot'").count() == 2000
