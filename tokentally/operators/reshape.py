@@ -44,27 +44,23 @@ def log_histogram(values: DataFrame, col: str, bins: int = LOG_BINS) -> DataFram
     values; the last bin is closed; empty bins are kept with count 0.
 
     Columns: bin, bin_lo, bin_hi, bin_center (geometric mean), count.  With a
-    single distinct value there is one bin.  The two bounds are one small
-    aggregate; they enter the plan as literals.
+    single distinct value there is one bin; with no positive value, no rows.
+    The bounds are scalar subqueries (one small aggregate, no driver round trip,
+    no join); counting is a partial aggregate on at most ``bins`` keys.
     """
     pos = values.select(F.col(col).cast("double").alias("v")).where(F.col("v") > 0)
-    row = pos.agg(F.log10(F.min("v")).alias("a"), F.log10(F.max("v")).alias("b")).first()
-    spark = values.sparkSession
-    if row is None or row["a"] is None:
-        return spark.range(0).select(
-            F.col("id").cast("int").alias("bin"), *[F.lit(None).cast("double").alias(c)
-                                                   for c in ("bin_lo", "bin_hi", "bin_center")],
-            F.lit(0).cast("bigint").alias("count"))
-    a, b = float(row["a"]), float(row["b"])
-    n = bins if b > a else 1
-    w = (b - a) / n if b > a else 0.0
-    idx = (F.least(F.lit(n - 1), F.floor((F.log10("v") - F.lit(a)) / F.lit(w)).cast("int"))
-           if w > 0 else F.lit(0))
+    # one subquery (Spark reuses it for every reference)
+    bounds = pos.agg(F.struct(F.log10(F.min("v")).alias("a"), F.log10(F.max("v")).alias("b"))).scalar()
+    a, b = bounds["a"], bounds["b"]
+    n = F.when(b > a, F.lit(bins)).otherwise(F.lit(1))
+    w = F.when(b > a, (b - a) / F.lit(bins)).otherwise(F.lit(0.0))
+    idx = F.when(w > 0, F.least(n - 1, F.floor((F.log10("v") - a) / w).cast("int"))).otherwise(F.lit(0))
     counts = pos.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    edges = spark.range(n).select(F.col("id").cast("int").alias("bin"))
-    lo = F.pow(F.lit(10.0), F.lit(a) + F.col("bin") * F.lit(w))
-    hi = F.when(F.col("bin") == n - 1, F.pow(F.lit(10.0), F.lit(b))) \
-          .otherwise(F.pow(F.lit(10.0), F.lit(a) + (F.col("bin") + 1) * F.lit(w)))
+    edges = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")) \
+                  .where(a.isNotNull() & (F.col("bin") < n))
+    lo = F.pow(F.lit(10.0), a + F.col("bin") * w)
+    hi = F.when(F.col("bin") == n - 1, F.pow(F.lit(10.0), b)) \
+          .otherwise(F.pow(F.lit(10.0), a + (F.col("bin") + 1) * w))
     return (edges.join(counts, "bin", "left")
                  .select("bin", lo.alias("bin_lo"), hi.alias("bin_hi"),
                          F.sqrt(lo * hi).alias("bin_center"),
