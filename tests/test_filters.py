@@ -33,3 +33,10 @@ def test_custom_domains_and_no_validation():
     Filters(date_start="2024-01-01", date_end="2024-01-31", practices=["anything"], domains=None)
     with pytest.raises(ValueError):
         Filters(date_start="2024-01-01", date_end="2024-01-31", practices=["Sales"], domains=d)
+
+
+def test_domains_from_the_directory(spark):
+    from fixtures import make_tables
+    d = Domains.from_employees(make_tables(spark).employees)
+    assert d.practices == frozenset({"Backend Engineering", "Frontend Engineering"})
+    assert d.levels == frozenset({"L5", "L3"}) and d.locations == frozenset({"Germany", "Poland"})

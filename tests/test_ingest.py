@@ -195,3 +195,23 @@ def test_employee_row_with_missing_field_is_a_constraint_reject(spark):
 def test_k15_redelivered_batches_count_twice(spark):
     c = counts(ingest_lines(spark, SAMPLE + SAMPLE))
     assert c["ingested"] == 10
+
+
+def test_curated_tables_read_back_and_prune_by_event_date(spark):
+    import contextlib
+    import io
+
+    from tokentally.operators.filters import Filters
+    from tokentally.plans import catalog
+    from tokentally.sources.tables import Tables
+    res = ingest_lines(spark, SAMPLE)
+    out = tempfile.mkdtemp(prefix="tt-cur-")
+    res.write(out)
+    t = Tables.from_parquet(spark, out)
+    f = Filters(date_start="2025-12-01", date_end="2025-12-31")
+    (r,) = catalog.run("q1_kpi_metrics", t, f).collect()
+    assert r["total_sessions"] == 1 and r["total_cost"] == 0.005
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        catalog.run("q5_cost_by_practice_over_time", t, f).explain("formatted")
+    assert "PartitionFilters: [isnotnull(event_date" in buf.getvalue()

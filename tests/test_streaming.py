@@ -2,6 +2,8 @@
 
 import tempfile
 
+import pytest
+
 from tokentally.sources import driver_tables as D
 from tokentally.sources import export as X
 from tokentally.sources import ingest as I
@@ -24,3 +26,26 @@ def test_stream_equals_batch(spark):
     # a restart with the same checkpoint finds nothing new
     S.start_ingest_stream(spark, src, out, ck).awaitTermination()
     assert S.read_stream_table(spark, out, "api_requests").count() == batch.tables.api_requests.count()
+
+
+def test_watermarked_daily_cost_emits_closed_days(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+    src = tempfile.mkdtemp(prefix="tt-src2-") + "/in"
+    X.write_lines(D.telemetry_lines(D.read_driver(spark, SF, "events")), src)
+    out, ck = tempfile.mkdtemp(prefix="tt-out2-"), tempfile.mkdtemp(prefix="tt-ck2-")
+    S.start_ingest_stream(spark, src, out, ck).awaitTermination()
+    emp = D.employees_view(*[D.read_driver(spark, SF, n) for n in ("customer", "nation", "region")])
+    res, ck2 = tempfile.mkdtemp(prefix="tt-res-") + "/r", tempfile.mkdtemp(prefix="tt-ck3-")
+    S.start_daily_cost_stream(spark, f"{out}/api_requests", emp, res, ck2).awaitTermination()
+    got = {(r["date"], r["practice"]): r["total_cost"] for r in spark.read.parquet(res).collect()}
+    ar = S.read_stream_table(spark, out, "api_requests")
+    last = ar.agg(F.max("timestamp")).first()[0]
+    j = ar.join(emp, ar.user_email == emp.email)
+    exp = {(r["d"], r["practice"]): r["c"] for r in
+           j.groupBy(F.to_date("timestamp").alias("d"), "practice").agg(F.sum("cost_usd").alias("c")).collect()
+           if dt.datetime.combine(r["d"], dt.time()) + dt.timedelta(days=2) <= last}
+    assert set(got) == set(exp) and len(got) > 0
+    for key, v in exp.items():
+        assert got[key] == pytest.approx(v)
