@@ -260,3 +260,13 @@ def test_hot_session_matches_brute_force(spark):
     lv = {r["level"]: r["avg_cost_per_session"] for r in rows(catalog.run("q27_level_cost_correlation", t, f))}
     assert lv["L5"] == pytest.approx(exp_total["Backend Engineering"] / len(exp_sessions["Backend Engineering"]))
     assert catalog.run("q24_session_cost_by_practice", t, f).where("session_id = 'hot'").count() == 2000
+
+
+def test_materialised_session_cost_gives_the_same_answers(quirky):
+    m = quirky.with_session_cost()
+    f = Filters(**FILTER)
+    for qid in ("q8_avg_cost_per_session_over_time", "q12_usage_by_practice", "q14_top_engineers",
+                "q24_session_cost_by_practice", "q27_level_cost_correlation"):
+        a = sorted(map(repr, catalog.run(qid, quirky, f).collect()))
+        b = sorted(map(repr, catalog.run(qid, m, f).collect()))
+        assert a == b, qid

@@ -15,7 +15,7 @@ def session_cost(api_requests: DataFrame) -> DataFrame:
     return api_requests.groupBy("session_id").agg(F.sum("cost_usd").alias("session_cost"))
 
 
-def prompts_with_session_cost(prompts: DataFrame, api_requests: DataFrame,
+def prompts_with_session_cost(prompts: DataFrame, costs: DataFrame,
                               keys: list[str]) -> DataFrame:
     """J2 without the per-prompt fan-out in the shuffle.
 
@@ -23,11 +23,12 @@ def prompts_with_session_cost(prompts: DataFrame, api_requests: DataFrame,
     n prompts adds its cost n times to a SUM (K1).  We keep that result but
     pre-aggregate prompts to one row per (session, keys) carrying ``n_prompts``
     first; the join then moves one row per session and group instead of one per
-    prompt.  Output: keys..., session_id, n_prompts, session_cost (NULL when the
-    session has no requests).
+    prompt.  ``costs`` is the A1 roll-up (``Tables.session_cost()``).  Output:
+    keys..., session_id, n_prompts, session_cost (NULL when the session has no
+    requests).
     """
     per_session = prompts.groupBy("session_id", *keys).agg(F.count(F.lit(1)).alias("n_prompts"))
-    return per_session.join(session_cost(api_requests), "session_id", "left")
+    return per_session.join(costs, "session_id", "left")
 
 
 def weighted_cost_sum(col: str = "session_cost", weight: str = "n_prompts"):

@@ -45,7 +45,7 @@ def avg_cost_per_session_over_time(tables, filters: Filters) -> DataFrame:
     """Q8: per day, prompt-weighted lifetime session cost / distinct sessions (K1, K3)."""
     up = filtered_fact(tables, "user_prompts", filters).select(
         "session_id", event_day("timestamp").alias("date"))
-    j = prompts_with_session_cost(up, tables.api_requests, ["date"])
+    j = prompts_with_session_cost(up, tables.session_cost(), ["date"])
     return (j.groupBy("date")
               .agg((F.coalesce(weighted_cost_sum(), F.lit(0.0)) / F.count(F.lit(1)))
                    .alias("avg_cost_per_session"))

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from tokentally.functions.columns import level_rank, minutes_between
 from tokentally.operators.filters import Filters, filtered_fact
-from tokentally.operators.rollups import (
-    prompts_with_session_cost,
-    session_cost,
-    weighted_cost_sum,
-)
+from tokentally.operators.rollups import prompts_with_session_cost, weighted_cost_sum
 
 
 def session_duration_hist(tables, filters: Filters) -> DataFrame:
@@ -29,7 +25,7 @@ def session_cost_by_practice(tables, filters: Filters) -> DataFrame:
     left side of this left join.
     """
     up = filtered_fact(tables, "user_prompts", filters).select("session_id", "practice")
-    sc = session_cost(tables.api_requests)
+    sc = tables.session_cost()
     return (up.join(sc, "session_id", "left")
               .select("session_id", "practice",
                       F.coalesce(F.col("session_cost"), F.lit(0.0)).alias("total_cost")))
@@ -53,7 +49,7 @@ def error_breakdown(tables, filters: Filters) -> DataFrame:
 def level_cost_correlation(tables, filters: Filters) -> DataFrame:
     """Q27: prompt-weighted session cost / distinct sessions per level (an average, K1)."""
     up = filtered_fact(tables, "user_prompts", filters).select("session_id", "level")
-    j = prompts_with_session_cost(up, tables.api_requests, ["level"])
+    j = prompts_with_session_cost(up, tables.session_cost(), ["level"])
     return (j.groupBy("level")
               .agg((F.coalesce(weighted_cost_sum(), F.lit(0.0)) / F.count(F.lit(1)))
                    .alias("avg_cost_per_session"))

@@ -20,7 +20,7 @@ TOP_ENGINEERS = 10
 def usage_by_practice(tables, filters: Filters) -> DataFrame:
     """Q12: distinct prompt sessions and prompt-weighted session cost per practice (K1, K3)."""
     up = filtered_fact(tables, "user_prompts", filters).select("session_id", "practice")
-    j = prompts_with_session_cost(up, tables.api_requests, ["practice"])
+    j = prompts_with_session_cost(up, tables.session_cost(), ["practice"])
     return (j.groupBy("practice")
               .agg(F.count(F.lit(1)).alias("session_count"),
                    F.coalesce(weighted_cost_sum(), F.lit(0.0)).alias("total_cost"))
@@ -43,7 +43,7 @@ def top_engineers(tables, filters: Filters, k: int = TOP_ENGINEERS) -> DataFrame
     """
     up = filtered_fact(tables, "user_prompts", filters).select(
         "session_id", "email", "full_name", "practice", "level")
-    j = prompts_with_session_cost(up, tables.api_requests,
+    j = prompts_with_session_cost(up, tables.session_cost(),
                                   ["email", "full_name", "practice", "level"])
     per_engineer = (j.groupBy("full_name", "practice", "level", "email")
                      .agg(F.count(F.lit(1)).alias("session_count"),

@@ -31,6 +31,7 @@ class Tables:
     broadcast_policy: str = "checked"
     broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
     _employee_rows: int | None = field(default=None, repr=False)
+    _session_cost: DataFrame | None = field(default=None, repr=False)
 
     # ---- S19: read the curated tables -------------------------------------------------
     @classmethod
@@ -56,6 +57,31 @@ class Tables:
             raise ValueError(f"Unknown table: {name!r}")
         return getattr(self, name)
 
+    # ---- A1 session-cost roll-up ----------------------------------------------------------
+    def session_cost(self) -> DataFrame:
+        """Lifetime cost per session (unfiltered, K3): the materialised copy when
+        ``with_session_cost`` was called, else the lazy aggregate."""
+        if self._session_cost is not None:
+            return self._session_cost
+        from tokentally.operators.rollups import session_cost
+        return session_cost(self.api_requests)
+
+    def with_session_cost(self) -> "Tables":
+        """Materialise A1 once for every query that needs it (Q8, Q12, Q14, Q24, Q27).
+
+        Written to the shared checkpoint folder; the checkpoint keeps the
+        aggregate's hash partitioning on ``session_id``, so later joins on that
+        key do not shuffle this side again.
+        """
+        from tokentally.operators.rollups import session_cost
+        from tokentally.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.api_requests.sparkSession)
+        sc = session_cost(self.api_requests).checkpoint(eager=True)
+        out = Tables(self.employees, self.user_prompts, self.api_requests, self.tool_decisions,
+                     self.tool_results, self.api_errors, self.broadcast_policy, self.broadcast_max_rows)
+        out._employee_rows, out._session_cost = self._employee_rows, sc
+        return out
+
     # ---- J1 join policy -------------------------------------------------------------------
     def employee_rows(self) -> int:
         """Row count of the dimension, computed once (one small job)."""
