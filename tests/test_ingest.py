@@ -97,8 +97,9 @@ def test_missing_field_names_event_and_field(spark):
                                      event("claude_code.user_prompt", 1, drop=["prompt_length"]))])
     assert counts(res)["missing_fields"] == 1
     (rej,) = res.rejects.collect()
-    assert rej["reason"] == "missing_fields"
-    assert "event index 1" in rej["detail"] and "'prompt_length'" in rej["detail"]
+    assert rej["reason"] == "missing_fields" and rej["line"] == 1
+    assert rej["detail"] == ("Line 1 (event index 1): missing or invalid field in "
+                             "'claude_code.user_prompt': 'prompt_length'")
     assert rej["source_file"].endswith("telemetry.jsonl")
 
 
@@ -215,3 +216,23 @@ def test_curated_tables_read_back_and_prune_by_event_date(spark):
     with contextlib.redirect_stdout(buf):
         catalog.run("q5_cost_by_practice_over_time", t, f).explain("formatted")
     assert "PartitionFilters: [isnotnull(event_date" in buf.getvalue()
+
+
+def test_reject_line_numbers_are_exact_across_splits(spark):
+    # one file cut into many splits: numbering must still count every line
+    lines = [SAMPLE[i % 2] for i in range(200)]
+    bad_at = {7, 64, 133, 199}
+    for i in bad_at:
+        lines[i - 1] = "not json " + str(i)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        res = ingest_lines(spark, lines)
+        got = sorted(r["line"] for r in res.rejects.collect())
+        assert I.read_batch_lines(spark, write(lines)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted(bad_at)
+    s = {r["reason"]: r for r in I.reject_summary(res.rejects).collect()}
+    assert [d.split(" ", 1)[1] for d in s["malformed"]["first_locations"]] == [
+        f"Line {i}: malformed JSON line" for i in sorted(bad_at)]

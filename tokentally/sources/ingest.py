@@ -18,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tokentally.functions.columns import parse_utc_timestamp
 from tokentally.sources.schemas import BATCH, EMPLOYEES, FACT_SCHEMAS, MESSAGE
@@ -144,8 +145,36 @@ def _first_bad_field(body: str) -> Column:
 
 
 def read_batch_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """S1 scan: one row per line with its file (text scans split large files)."""
-    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
+    """S1 scan: one row per line with its file, the start of its split and a row id
+    that increases through each split (text scans split large files)."""
+    return with_positions(spark.read.text(paths))
+
+
+def with_positions(text: DataFrame) -> DataFrame:
+    """Add source_file, block_start and row_id to a batch text scan."""
+    return file_columns(text).withColumn("row_id", F.monotonically_increasing_id())
+
+
+def file_columns(text: DataFrame) -> DataFrame:
+    """value, source_file, block_start of a text scan (batch or streaming)."""
+    return text.select("value", F.col("_metadata.file_path").alias("source_file"),
+                       F.col("_metadata.file_block_start").alias("block_start"))
+
+
+def line_offsets(lines: DataFrame) -> DataFrame:
+    """Exact 1-based line numbers without a pass through one task or the driver.
+
+    Per (file, split): its row count and first row id -- one small row per split.
+    Lines before a split = running sum of the counts of the file's earlier splits.
+    A line's number is then lines_before + (row_id - first_row_id) + 1, because
+    ``row_id`` increases row by row through each split.
+    """
+    blocks = lines.groupBy("source_file", "block_start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_id"))
+    w = Window.partitionBy("source_file").orderBy("block_start") \
+              .rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("source_file", "block_start", "first_id",
+                         F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
 
 
 def read_employees_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +195,8 @@ def split_employees(employees: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = employees.where(~ok).select(
         F.lit("constraint").alias("reason"),
         F.lit("employee row with a missing field").alias("detail"),
-        F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("long").alias("line_hash"),
+        F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("long").alias("line"),
+        F.lit(None).cast("long").alias("line_hash"),
         F.lit(None).cast("int").alias("event_idx"), F.to_json(F.struct(*cols)).alias("raw"))
     return valid, bad
 
@@ -190,11 +220,13 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     batches; it is valid iff exactly one non-null object came out (garbage,
     trailing text, blank lines, top-level arrays and ``{},{}`` all fail).
     """
-    if "source_file" not in lines.columns:
-        lines = lines.withColumn("source_file", F.lit(None).cast("string"))
+    for c, t in (("source_file", "string"), ("block_start", "long"), ("row_id", "long")):
+        if c not in lines.columns:
+            lines = lines.withColumn(c, F.lit(None).cast(t))
     arr = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), T.ArrayType(BATCH))
-    parsed = lines.select("source_file", F.xxhash64("value").alias("line_hash"), "value", arr.alias("arr"))
-    parsed = parsed.select("source_file", "line_hash", "value",
+    pos = ["source_file", "block_start", "row_id"]
+    parsed = lines.select(*pos, F.xxhash64("value").alias("line_hash"), "value", arr.alias("arr"))
+    parsed = parsed.select(*pos, "line_hash", "value",
                            F.when(F.size("arr") == 1, F.get(F.col("arr"), 0)).alias("batch"))
     # Each event's message is parsed inside the array, before the explode: filters
     # on the classification (e.g. one table's rows) cannot be pushed below the
@@ -207,16 +239,16 @@ def classify_lines(lines: DataFrame) -> DataFrame:
             e["message"].alias("message"),
             F.from_json(F.concat(F.lit("["), e["message"], F.lit("]")), msg_type).alias("marr"))))
     exploded = parsed.select(
-        "source_file", "line_hash", F.col("batch").isNull().alias("malformed"),
+        *pos, "line_hash", F.col("batch").isNull().alias("malformed"),
         F.when(F.col("batch").isNull(), F.col("value")).alias("line"),
         F.posexplode(items).alias("event_idx", "item"))
     marr = F.col("item.marr")
     events = exploded.select(
-        "source_file", "line_hash", "malformed",
+        *pos, "line_hash", "malformed",
         F.when(~F.col("malformed"), F.col("event_idx").cast("int")).alias("event_idx"),
         F.coalesce(F.col("line"), F.col("item.message")).alias("raw"),
         F.when(~F.col("malformed") & (F.size(marr) == 1), F.get(marr, 0)).alias("msg"))
-    events = events.select("source_file", "line_hash", "event_idx", "raw", "malformed",
+    events = events.select(*pos, "line_hash", "event_idx", "raw", "malformed",
                            F.col("msg.body").alias("body"), F.col("msg.attributes").alias("attributes"),
                            F.col("msg").isNull().alias("bad_message"))
     # Each attribute is looked up and typed once; checks and projections reuse it.
@@ -226,7 +258,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         "*", *[parsed_value(kind, key).alias(col) for col, (key, kind) in fields.items()],
         *[_has(key).alias(_presence_col(key)) for key in presence])
 
-    where = F.concat(F.lit("event index "), F.col("event_idx").cast("string"), F.lit(": "))
+    where = F.lit("")   # the location ("Line n (event index i): ") is added in rejects_of
     known = F.col("body").isin(list(EVENT_TABLES))
     bad_field = None
     for body in EVENT_TABLES:
@@ -255,11 +287,11 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         cond = F.col("body") == F.lit(body)
         table = F.when(cond, F.lit(tname)) if table is None else table.when(cond, F.lit(tname))
     out = events.select(status.alias("status"), F.when(~F.col("malformed"), table).alias("table"),
-                        detail.alias("detail"), "source_file", "line_hash", "event_idx", "raw",
+                        detail.alias("detail"), *pos, "line_hash", "event_idx", "raw",
                         *fields)
     # Raw text is kept for rejects only; typed values for ingested events only.
     ok = F.col("status") == "ingested"
-    return out.select("status", "table", "detail", "source_file", "line_hash", "event_idx",
+    return out.select("status", "table", "detail", *pos, "line_hash", "event_idx",
                       F.when(~ok, F.col("raw")).alias("raw"),
                       *[F.when(ok, F.col(c)).alias(c) for c in fields])
 
@@ -271,10 +303,26 @@ def project_table(classified: DataFrame, table: str) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def rejects_of(classified: DataFrame) -> DataFrame:
-    """The reject table (reason, detail, location, raw text)."""
-    return classified.where(F.col("status") != "ingested").select(
-        F.col("status").alias("reason"), "detail", "source_file", "line_hash", "event_idx", "raw")
+def rejects_of(classified: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
+    """The reject table (reason, detail with location, file, line, raw text).
+
+    With ``offsets`` (from ``line_offsets`` of the same scan) each reject gets its
+    1-based line number and the detail reads "Line n (event index i): ...".
+    """
+    bad = classified.where(F.col("status") != "ingested")
+    if offsets is not None:
+        bad = bad.join(offsets, ["source_file", "block_start"], "left")
+        line = F.col("before") + F.col("row_id") - F.col("first_id") + F.lit(1)
+    else:
+        line = F.lit(None).cast("long")
+    bad = bad.withColumn("line", line)
+    idx = F.concat(F.lit("event index "), F.col("event_idx").cast("string"))
+    loc = F.when(F.col("line").isNotNull(), F.concat(
+        F.lit("Line "), F.col("line").cast("string"),
+        F.when(F.col("event_idx").isNotNull(), F.concat(F.lit(" ("), idx, F.lit(")"))).otherwise(F.lit(""))
+    )).otherwise(F.coalesce(idx, F.lit("line")))
+    return bad.select(F.col("status").alias("reason"), F.concat(loc, F.lit(": "), F.col("detail")).alias("detail"),
+                      "source_file", "line", "line_hash", "event_idx", "raw")
 
 
 def ingest_counts(classified: DataFrame) -> DataFrame:
@@ -292,7 +340,7 @@ def reject_summary(rejects: DataFrame, first_n: int = 10) -> DataFrame:
     (``orderBy().limit()``), so no reason's rejects are gathered in one task.
     """
     reasons = ("malformed", "missing_fields", "unknown_types")
-    order = ["source_file", "line_hash", "event_idx"]
+    order = ["source_file", "line", "line_hash", "event_idx"]
     firsts = None
     for r in reasons:
         top = (rejects.where(F.col("reason") == r).orderBy(*order).limit(first_n)
@@ -300,8 +348,7 @@ def reject_summary(rejects: DataFrame, first_n: int = 10) -> DataFrame:
         firsts = top if firsts is None else firsts.unionByName(top)
     locs = firsts.groupBy("reason").agg(F.sort_array(F.collect_list("loc")).alias("first_locations"))
     counts = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
-    where = lambda x: F.concat_ws(" ", F.concat(F.coalesce(x["source_file"], F.lit("")), F.lit("#"),
-                                               x["line_hash"].cast("string")), x["detail"])
+    where = lambda x: F.concat_ws(" ", F.coalesce(x["source_file"], F.lit("")), x["detail"])
     return counts.join(locs, "reason", "left").select(
         "reason", "count",
         F.transform(F.coalesce(F.col("first_locations"), F.array()), where).alias("first_locations"))
@@ -343,7 +390,8 @@ def ingest(lines: DataFrame, employees: DataFrame, persist: bool = True) -> Inge
     facts = {t: project_table(classified, t) for t in FACT_SCHEMAS}
     valid_emp, bad_emp = split_employees(employees)
     tables = Tables(employees=valid_emp, **facts)
-    rejects = rejects_of(classified).unionByName(bad_emp)
+    offsets = line_offsets(lines) if "block_start" in lines.columns else None
+    rejects = rejects_of(classified, offsets).unionByName(bad_emp)
     return IngestResult(tables, classified, rejects, ingest_counts(classified))
 
 

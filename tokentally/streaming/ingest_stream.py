@@ -19,7 +19,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tokentally.functions.columns import event_day
-from tokentally.sources.ingest import classify_lines, project_table, rejects_of
+from tokentally.sources.ingest import (
+    classify_lines,
+    file_columns,
+    line_offsets,
+    project_table,
+    rejects_of,
+)
 from tokentally.sources.schemas import API_REQUESTS, FACT_SCHEMAS
 
 
@@ -27,13 +33,17 @@ def _write_batch(output_root: str):
     root = output_root.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # row ids are per micro-batch (a plain DataFrame here)
+        batch = batch.withColumn("row_id", F.monotonically_increasing_id())
         classified = classify_lines(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for t in FACT_SCHEMAS:
                 (project_table(classified, t).withColumn("event_date", event_day("timestamp"))
                  .write.mode("overwrite").partitionBy("event_date")
                  .parquet(f"{root}/{t}/batch_id={batch_id}"))
-            rejects_of(classified).write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
+            # every file lies wholly inside one micro-batch, so line numbers are exact
+            rejects_of(classified, line_offsets(batch)).write.mode("overwrite") \
+                .parquet(f"{root}/rejects/batch_id={batch_id}")
         finally:
             classified.unpersist()
     return write
@@ -46,7 +56,7 @@ def start_ingest_stream(spark: SparkSession, source_dir: str, output_root: str,
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(source_dir).select("value", F.col("_metadata.file_path").alias("source_file"))
+    lines = file_columns(reader.load(source_dir))
     w = lines.writeStream.foreachBatch(_write_batch(output_root)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
