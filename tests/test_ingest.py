@@ -236,3 +236,11 @@ def test_reject_line_numbers_are_exact_across_splits(spark):
     s = {r["reason"]: r for r in I.reject_summary(res.rejects).collect()}
     assert [d.split(" ", 1)[1] for d in s["malformed"]["first_locations"]] == [
         f"Line {i}: malformed JSON line" for i in sorted(bad_at)]
+
+
+def test_lines_without_events_are_counted_for_numbering_only(spark):
+    lines = [batch(), json.dumps({"messageType": "CONTROL_MESSAGE"}), "bad", SAMPLE[0]]
+    res = ingest_lines(spark, lines)
+    assert counts(res) == {"ingested": 3, "malformed": 1, "missing_fields": 0, "unknown_types": 0}
+    (rej,) = res.rejects.collect()
+    assert rej["line"] == 3 and rej["detail"] == "Line 3: malformed JSON line"

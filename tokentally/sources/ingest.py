@@ -161,20 +161,23 @@ def file_columns(text: DataFrame) -> DataFrame:
                        F.col("_metadata.file_block_start").alias("block_start"))
 
 
-def line_offsets(lines: DataFrame) -> DataFrame:
+def line_offsets(classified: DataFrame) -> DataFrame:
     """Exact 1-based line numbers without a pass through one task or the driver.
 
-    Per (file, split): its row count and first row id -- one small row per split.
-    Lines before a split = running sum of the counts of the file's earlier splits.
-    A line's number is then lines_before + (row_id - first_row_id) + 1, because
-    ``row_id`` increases row by row through each split.
+    Works on the classified frame (every line leaves at least one row there), so
+    the raw text is not read again.  Per (file, split): first and last row id --
+    one small row per split; ``row_id`` increases by one per line through a
+    split, so the split holds last - first + 1 lines.  Lines before a split =
+    running sum over the file's earlier splits.  A line's number is then
+    lines_before + (row_id - first_row_id) + 1.
     """
-    blocks = lines.groupBy("source_file", "block_start").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_id"))
+    blocks = classified.where(F.col("row_id").isNotNull()).groupBy("source_file", "block_start").agg(
+        F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
     w = Window.partitionBy("source_file").orderBy("block_start") \
               .rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col("last_id") - F.col("first_id") + 1
     return blocks.select("source_file", "block_start", "first_id",
-                         F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+                         F.coalesce(F.sum(n).over(w), F.lit(0)).alias("before"))
 
 
 def read_employees_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -234,21 +237,25 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     msg_type = T.ArrayType(MESSAGE)
     item_type = T.StructType([T.StructField("message", T.StringType()),
                               T.StructField("marr", msg_type)])
-    items = F.when(F.col("batch").isNull(), F.array(F.lit(None).cast(item_type))).otherwise(
+    # A line without events (empty or missing logEvents) keeps one placeholder row
+    # (status "empty") so that every line is present for line numbering.
+    no_events = F.coalesce(F.size("batch.logEvents"), F.lit(0)) <= 0
+    items = F.when(F.col("batch").isNull() | no_events, F.array(F.lit(None).cast(item_type))).otherwise(
         F.transform("batch.logEvents", lambda e: F.struct(
             e["message"].alias("message"),
             F.from_json(F.concat(F.lit("["), e["message"], F.lit("]")), msg_type).alias("marr"))))
     exploded = parsed.select(
         *pos, "line_hash", F.col("batch").isNull().alias("malformed"),
+        (F.col("batch").isNotNull() & no_events).alias("empty"),
         F.when(F.col("batch").isNull(), F.col("value")).alias("line"),
         F.posexplode(items).alias("event_idx", "item"))
     marr = F.col("item.marr")
     events = exploded.select(
-        *pos, "line_hash", "malformed",
+        *pos, "line_hash", "malformed", "empty",
         F.when(~F.col("malformed"), F.col("event_idx").cast("int")).alias("event_idx"),
         F.coalesce(F.col("line"), F.col("item.message")).alias("raw"),
         F.when(~F.col("malformed") & (F.size(marr) == 1), F.get(marr, 0)).alias("msg"))
-    events = events.select(*pos, "line_hash", "event_idx", "raw", "malformed",
+    events = events.select(*pos, "line_hash", "event_idx", "raw", "malformed", "empty",
                            F.col("msg.body").alias("body"), F.col("msg.attributes").alias("attributes"),
                            F.col("msg").isNull().alias("bad_message"))
     # Each attribute is looked up and typed once; checks and projections reuse it.
@@ -270,6 +277,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     events = events.withColumn("bad_field", F.when(~F.col("malformed") & known & ~F.col("bad_message")
                                                    & ~no_envelope, bad_field))
     status = (F.when(F.col("malformed"), F.lit("malformed"))
+               .when(F.col("empty"), F.lit("empty"))
                .when(F.col("bad_message"), F.lit("missing_fields"))
                .when(no_envelope, F.lit("missing_fields"))
                .when(~known, F.lit("unknown_types"))
@@ -309,7 +317,7 @@ def rejects_of(classified: DataFrame, offsets: DataFrame | None = None) -> DataF
     With ``offsets`` (from ``line_offsets`` of the same scan) each reject gets its
     1-based line number and the detail reads "Line n (event index i): ...".
     """
-    bad = classified.where(F.col("status") != "ingested")
+    bad = classified.where(~F.col("status").isin("ingested", "empty"))
     if offsets is not None:
         bad = bad.join(offsets, ["source_file", "block_start"], "left")
         line = F.col("before") + F.col("row_id") - F.col("first_id") + F.lit(1)
@@ -390,7 +398,7 @@ def ingest(lines: DataFrame, employees: DataFrame, persist: bool = True) -> Inge
     facts = {t: project_table(classified, t) for t in FACT_SCHEMAS}
     valid_emp, bad_emp = split_employees(employees)
     tables = Tables(employees=valid_emp, **facts)
-    offsets = line_offsets(lines) if "block_start" in lines.columns else None
+    offsets = line_offsets(classified) if "row_id" in lines.columns else None
     rejects = rejects_of(classified, offsets).unionByName(bad_emp)
     return IngestResult(tables, classified, rejects, ingest_counts(classified))
 

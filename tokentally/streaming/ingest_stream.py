@@ -42,7 +42,7 @@ def _write_batch(output_root: str):
                  .write.mode("overwrite").partitionBy("event_date")
                  .parquet(f"{root}/{t}/batch_id={batch_id}"))
             # every file lies wholly inside one micro-batch, so line numbers are exact
-            rejects_of(classified, line_offsets(batch)).write.mode("overwrite") \
+            rejects_of(classified, line_offsets(classified)).write.mode("overwrite") \
                 .parquet(f"{root}/rejects/batch_id={batch_id}")
         finally:
             classified.unpersist()
