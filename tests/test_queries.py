@@ -270,3 +270,12 @@ def test_materialised_session_cost_gives_the_same_answers(quirky):
         a = sorted(map(repr, catalog.run(qid, quirky, f).collect()))
         b = sorted(map(repr, catalog.run(qid, m, f).collect()))
         assert a == b, qid
+
+
+def test_filters_as_a_dict_like_the_reference_api(tables):
+    out = rows(catalog.run("q15_usage_by_location", tables, {"date_start": "2025-12-01", "date_end": "2026-02-28",
+                                                             "locations": ["Germany"]}))
+    assert out == [{"location": "Germany", "session_count": 1}]
+    with pytest.raises(ValueError, match="Invalid location"):
+        catalog.run("q15_usage_by_location", tables, {"date_start": "2025-12-01", "date_end": "2026-02-28",
+                                                      "locations": ["Atlantis"]})

@@ -36,4 +36,11 @@ QUERIES = {
 
 
 def run(query_id: str, tables, filters):
+    """Run one query.  ``filters`` is a ``Filters`` or a dict with date_start,
+    date_end and optional practices / levels / locations (validated)."""
+    from tokentally.operators.filters import Filters
+    if isinstance(filters, dict):
+        filters = Filters.from_dict(filters)
+    if query_id not in QUERIES:
+        raise ValueError(f"Unknown query: {query_id!r}")
     return QUERIES[query_id](tables, filters)
