@@ -187,7 +187,7 @@ def _pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
              "year int, month int, day int"
     b = lines.select("batch_id", F.from_json("value", schema).alias("b"))
     ids = F.transform("b.logEvents", lambda x: x["id"].cast("bigint"))
-    return b.select("batch_id", F.size("b.logEvents").alias("n_events"),
+    return b.select("batch_id", F.size("b.logEvents").cast("bigint").alias("n_events"),
                     F.array_min(ids).alias("first_event_id"), F.array_max(ids).alias("last_event_id"),
                     "b.year", "b.month", "b.day")
 
