@@ -27,6 +27,7 @@ from tokentally.sources.ingest import (
     rejects_of,
 )
 from tokentally.sources.schemas import API_REQUESTS, FACT_SCHEMAS
+from tokentally.sources.tables import DEFAULT_BROADCAST_MAX_ROWS
 
 
 def _write_batch(output_root: str):
@@ -71,7 +72,7 @@ def read_stream_table(spark: SparkSession, output_root: str, table: str) -> Data
 def daily_cost_stream(requests: DataFrame, employees: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Streaming api_requests -> (date, practice, total_cost) per closed day.
 
-    A stream-static join to the (small, checked) directory, then a tumbling
+    A stream-static join to the directory (broadcast under the counted bound), then a tumbling
     one-day window; with the watermark each day is emitted once, in append mode.
     """
     # Watermarks need an instant (TIMESTAMP); the facts hold the UTC wall clock
@@ -79,7 +80,11 @@ def daily_cost_stream(requests: DataFrame, employees: DataFrame, watermark: str
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp")))
     r = requests.withColumn("event_time", instant).withWatermark("event_time", watermark)
-    j = r.join(F.broadcast(employees.select("email", "practice")), F.col("user_email") == F.col("email"))
+    emp = employees.select("email", "practice")
+    # broadcast only a directory under the checked row bound (counted once here)
+    if emp.count() <= DEFAULT_BROADCAST_MAX_ROWS:
+        emp = F.broadcast(emp)
+    j = r.join(emp, F.col("user_email") == F.col("email"))
     agg = j.groupBy(F.window("event_time", "1 day").alias("w"), "practice") \
            .agg(F.sum("cost_usd").alias("total_cost"))
     day = F.date_from_unix_date(F.floor(F.unix_micros(F.col("w.start")) / F.lit(86_400_000_000)).cast("int"))
