@@ -244,3 +244,11 @@ def test_lines_without_events_are_counted_for_numbering_only(spark):
     assert counts(res) == {"ingested": 3, "malformed": 1, "missing_fields": 0, "unknown_types": 0}
     (rej,) = res.rejects.collect()
     assert rej["line"] == 3 and rej["detail"] == "Line 3: malformed JSON line"
+
+
+def test_run_ingest_end_to_end(spark):
+    out = tempfile.mkdtemp(prefix="tt-run-")
+    c = I.run_ingest(spark, write(SAMPLE + ["broken"]), employees_csv(), output_root=out)
+    assert c == {"ingested": 5, "malformed": 1, "missing_fields": 0, "unknown_types": 0}
+    rej = spark.read.parquet(f"{out}/rejects").collect()
+    assert [r["detail"] for r in rej] == ["Line 3: malformed JSON line"]

@@ -76,3 +76,8 @@ def test_hot_value_is_split_over_partitions(spark):
     vals = sorted(v for _, v in rows)
     assert q["q25"] == pytest.approx(float(np.percentile(vals, 25)))
     assert q["q50"] == pytest.approx(float(np.percentile(vals, 50)))
+
+
+def test_level_order(spark):
+    df = spark.createDataFrame([("L10",), ("L2",), ("L1",), ("L9",)], "level string")
+    assert [r["level"] for r in R.level_sorted(df).collect()] == ["L1", "L2", "L9", "L10"]

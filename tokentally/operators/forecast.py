@@ -163,12 +163,6 @@ def predict(model: Model, rows: DataFrame, z: float = Z_80) -> DataFrame:
                .drop("sigma"))
 
 
-def future_days(model: Model, periods: int = PERIODS) -> DataFrame:
-    k = model.keys
-    return model.coef.select(*k, F.explode(F.sequence(
-        F.date_add("last", 1), F.date_add("last", periods), F.expr("INTERVAL 1 DAY"))).alias("ds"))
-
-
 def fit_rows(rows: DataFrame, keys: list[str], z: float = Z_80) -> DataFrame:
     """F2 as window functions: ``rows`` (keys..., ds, y) hold every day to fit and
     to predict, with y NULL on days to predict.  Adds yhat, yhat_lower, yhat_upper

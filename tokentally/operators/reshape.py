@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokentally.functions.columns import WEEKDAYS, level_rank, weekday_rank
+from tokentally.functions.columns import level_rank, weekday_rank
 from tokentally.session import ensure_checkpoint_dir
 
 HOURS = list(range(24))
@@ -185,6 +185,3 @@ def normalize_series(df: DataFrame, numeric: list[str], ds: str = "ds") -> DataF
               .where(F.col(ds).isNotNull())
               .orderBy(ds))
 
-
-def weekday_names() -> list[str]:
-    return list(WEEKDAYS)

@@ -58,6 +58,7 @@ def top_engineers(tables, filters: Filters, k: int = TOP_ENGINEERS) -> DataFrame
     ensure_checkpoint_dir(tables.employees.sparkSession)
     top = top.checkpoint(eager=True)
     fav = favourite_model(tables.api_requests, top.select("email"))
+    # fav has at most k rows (one per winner)
     out = top.join(F.broadcast(fav), top["email"] == fav["user_email"], "left")
     return (out.select("full_name", "practice", "level", "session_count", "total_cost",
                        "avg_cost_per_session", "preferred_model", "email")
