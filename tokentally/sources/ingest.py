@@ -33,6 +33,13 @@ EVENT_TABLES = {
     "claude_code.api_error": "api_errors",
 }
 
+# Reject message texts (the location "Line n (event index i): " is prefixed).
+MSG_MALFORMED_LINE = "malformed JSON line"
+MSG_BAD_MESSAGE = "failed to parse message JSON"
+MSG_NO_ENVELOPE = "missing 'body' or 'attributes'"
+MSG_UNKNOWN_TYPE = "unknown type '{body}'"
+MSG_BAD_FIELD = "missing or invalid field in '{body}': '{field}'"
+
 # Fixed values: (column, attribute key, parse kind) per event body.
 # Kinds: str = required text; int / float / ts = required and must parse;
 # true = required, value == "true"; opt_int = may be absent, must parse if present.
@@ -265,7 +272,6 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         "*", *[parsed_value(kind, key).alias(col) for col, (key, kind) in fields.items()],
         *[_has(key).alias(_presence_col(key)) for key in presence])
 
-    where = F.lit("")   # the location ("Line n (event index i): ") is added in rejects_of
     known = F.col("body").isin(list(EVENT_TABLES))
     bad_field = None
     for body in EVENT_TABLES:
@@ -283,13 +289,21 @@ def classify_lines(lines: DataFrame) -> DataFrame:
                .when(~known, F.lit("unknown_types"))
                .when(F.col("bad_field").isNotNull(), F.lit("missing_fields"))
                .otherwise(F.lit("ingested")))
-    detail = (F.when(F.col("malformed"), F.lit("malformed JSON line"))
-               .when(F.col("bad_message"), F.concat(where, F.lit("failed to parse message JSON")))
-               .when(no_envelope, F.concat(where, F.lit("missing 'body' or 'attributes'")))
-               .when(~known, F.concat(where, F.lit("unknown type '"), F.col("body"), F.lit("'")))
+    def fmt(template: str, **cols) -> Column:
+        """Fill a fixed message template with columns (the text around them stays literal)."""
+        parts, rest = [], template
+        while "{" in rest:
+            head, tail = rest.split("{", 1)
+            name, rest = tail.split("}", 1)
+            parts += [F.lit(head), cols[name]]
+        return F.concat(*parts, F.lit(rest))
+
+    detail = (F.when(F.col("malformed"), F.lit(MSG_MALFORMED_LINE))
+               .when(F.col("bad_message"), F.lit(MSG_BAD_MESSAGE))
+               .when(no_envelope, F.lit(MSG_NO_ENVELOPE))
+               .when(~known, fmt(MSG_UNKNOWN_TYPE, body=F.col("body")))
                .when(F.col("bad_field").isNotNull(),
-                     F.concat(where, F.lit("missing or invalid field in '"), F.col("body"),
-                              F.lit("': '"), F.col("bad_field"), F.lit("'"))))
+                     fmt(MSG_BAD_FIELD, body=F.col("body"), field=F.col("bad_field"))))
     table = None
     for body, tname in EVENT_TABLES.items():
         cond = F.col("body") == F.lit(body)
