@@ -49,3 +49,20 @@ def test_watermarked_daily_cost_emits_closed_days(spark):
     assert set(got) == set(exp) and len(got) > 0
     for key, v in exp.items():
         assert got[key] == pytest.approx(v)
+
+
+def test_redelivered_batches_can_be_dropped(spark):
+    import shutil
+    src = tempfile.mkdtemp(prefix="tt-src3-")
+    X.write_lines(D.telemetry_lines(D.read_driver(spark, SF, "events")), src + "/a")
+    files = sorted(f for f in __import__("os").listdir(src + "/a") if f.startswith("part-"))
+    feed = src + "/feed"
+    __import__("os").makedirs(feed)
+    for f in files:
+        shutil.copy(f"{src}/a/{f}", f"{feed}/{f}")
+    shutil.copy(f"{src}/a/{files[0]}", f"{feed}/again-{files[0]}")      # one file delivered twice
+    out, ck = tempfile.mkdtemp(prefix="tt-out4-"), tempfile.mkdtemp(prefix="tt-ck4-")
+    S.start_ingest_stream(spark, feed, out, ck, dedupe_within="1 day").awaitTermination()
+    batch = I.ingest(I.read_batch_lines(spark, src + "/a"), D.employees_view(
+        *[D.read_driver(spark, SF, n) for n in ("customer", "nation", "region")]), persist=False)
+    assert S.read_stream_table(spark, out, "api_requests").count() == batch.tables.api_requests.count()

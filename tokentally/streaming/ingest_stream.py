@@ -52,12 +52,26 @@ def _write_batch(output_root: str):
 
 def start_ingest_stream(spark: SparkSession, source_dir: str, output_root: str, checkpoint: str,
                         available_now: bool = True, max_files_per_trigger: int | None = None,
-                        processing_time: str = "1 minute") -> StreamingQuery:
-    """Watch ``source_dir`` for JSONL batch files and ingest each new file once."""
+                        processing_time: str = "1 minute",
+                        dedupe_within: str | None = None) -> StreamingQuery:
+    """Watch ``source_dir`` for JSONL batch files and ingest each new file once.
+
+    ``dedupe_within`` (e.g. "1 hour"): drop a batch line delivered again (same
+    text) while its first event is within that delay of the latest event seen.
+    State is bounded by the watermark.  Off by default, as in the batch ingest
+    (K15).
+    """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = file_columns(reader.load(source_dir))
+    if dedupe_within:
+        first_ms = F.get_json_object("value", "$.logEvents[0].timestamp").try_cast("bigint")
+        lines = (lines.withColumn("_line_hash", F.xxhash64("value"))
+                      .withColumn("_first_event", F.timestamp_millis(F.coalesce(first_ms, F.lit(0))))
+                      .withWatermark("_first_event", dedupe_within)
+                      .dropDuplicatesWithinWatermark(["_line_hash"])
+                      .drop("_line_hash", "_first_event"))
     w = lines.writeStream.foreachBatch(_write_batch(output_root)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
