@@ -176,26 +176,26 @@ def fit_rows(rows: DataFrame, keys: list[str], z: float = Z_80) -> DataFrame:
     w = Window.partitionBy(*keys)
     wd = Window.partitionBy(*keys, "_dow")
     hist = F.col("y").isNotNull()
-    r = rows.withColumn("_dow", F.dayofweek("ds")) \
-            .withColumn("_start", F.min(F.when(hist, F.col("ds"))).over(w))
-    r = r.withColumn("_t", _t(F.col("ds"), F.col("_start")))
+    # Few wide selects rather than a chain of withColumn calls.
+    r = rows.select("*", F.dayofweek("ds").alias("_dow"), F.min(F.when(hist, F.col("ds"))).over(w).alias("_start"))
+    r = r.select("*", _t(F.col("ds"), F.col("_start")).alias("_t"))
     th = F.when(hist, F.col("_t"))
     r = r.select("*", F.count(th).over(w).cast("double").alias("_n"), F.sum(th).over(w).alias("_st"),
                  F.sum("y").over(w).alias("_sy"), F.sum(th * th).over(w).alias("_stt"),
                  F.sum(th * F.col("y")).over(w).alias("_sty"))
     n, st, sy, stt, sty = (F.col(c) for c in ("_n", "_st", "_sy", "_stt", "_sty"))
     den = n * stt - st * st
-    r = r.withColumn("_b", F.when(den != 0, (n * sty - st * sy) / den).otherwise(F.lit(0.0)))
-    r = r.withColumn("_a", (sy - F.col("_b") * st) / n)
-    r = r.withColumn("_trend", F.col("_a") + F.col("_b") * F.col("_t"))
-    r = r.withColumn("_s", F.avg(F.when(hist, F.col("y") - F.col("_trend"))).over(wd))
-    r = r.withColumn("yhat", F.col("_trend") + F.coalesce(F.col("_s"), F.lit(0.0)))
-    r = r.withColumn("_sigma", F.coalesce(
-        F.stddev_samp(F.when(hist, F.col("y") - F.col("yhat"))).over(w), F.lit(0.0)))
-    r = r.withColumn("yhat_lower", F.col("yhat") - F.lit(z) * F.col("_sigma")) \
-         .withColumn("yhat_upper", F.col("yhat") + F.lit(z) * F.col("_sigma"))
-    return r.drop("_dow", "_start", "_t", "_n", "_st", "_sy", "_stt", "_sty", "_b", "_a", "_trend",
-                  "_s", "_sigma")
+    b = F.when(den != 0, (n * sty - st * sy) / den).otherwise(F.lit(0.0))
+    r = r.select("*", b.alias("_b"))
+    r = r.select("*", ((sy - F.col("_b") * st) / n).alias("_a"))
+    r = r.select("*", (F.col("_a") + F.col("_b") * F.col("_t")).alias("_trend"))
+    r = r.select("*", F.avg(F.when(hist, F.col("y") - F.col("_trend"))).over(wd).alias("_s"))
+    r = r.select("*", (F.col("_trend") + F.coalesce(F.col("_s"), F.lit(0.0))).alias("yhat"))
+    r = r.select("*", F.coalesce(F.stddev_samp(F.when(hist, F.col("y") - F.col("yhat"))).over(w),
+                                 F.lit(0.0)).alias("_sigma"))
+    keep = [c for c in r.columns if not c.startswith("_") or c in keys]
+    return r.select(*keep, (F.col("yhat") - F.lit(z) * F.col("_sigma")).alias("yhat_lower"),
+                    (F.col("yhat") + F.lit(z) * F.col("_sigma")).alias("yhat_upper"))
 
 
 def _with_future(h: DataFrame, k: list[str], periods: int) -> DataFrame:
@@ -296,23 +296,30 @@ def backtest(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: float =
         running += [F.sum(F.when(F.col("dow") == dw, terms[s]).otherwise(0.0)).over(w).alias(f"{s}{dw}")
                     for s in _STATS]
     at_cut = d.select(*k, "ds", "start", *running) \
-              .join(cuts.withColumnRenamed("cutoff", "ds"), [*k, "ds"], "left_semi") \
-              .withColumnRenamed("ds", "cutoff")
+              .join(cuts.select(*k, F.col("cutoff").alias("ds")), [*k, "ds"], "left_semi")
+    at_cut = at_cut.select(*k, F.col("ds").alias("cutoff"), *[c for c in at_cut.columns if c not in (*k, "ds")])
+    # Few wide selects rather than a chain of withColumn calls (each of which
+    # would re-analyse the growing plan).
     den = F.col("n") * F.col("stt") - F.col("st") * F.col("st")
-    p = at_cut.withColumn("b", F.when(den != 0, (F.col("n") * F.col("sty") - F.col("st") * F.col("sy")) / den)
-                                .otherwise(F.lit(0.0)))
-    p = p.withColumn("a", (F.col("sy") - F.col("b") * F.col("st")) / F.col("n"))
+    p = at_cut.select(*k, "cutoff", "start", *[F.col(c) for c in at_cut.columns if c[:1] in "nst"
+                                                 and c not in ("start",)],
+                      F.when(den != 0, (F.col("n") * F.col("sty") - F.col("st") * F.col("sy")) / den)
+                       .otherwise(F.lit(0.0)).alias("b"))
+    p = p.select("*", ((F.col("sy") - F.col("b") * F.col("st")) / F.col("n")).alias("a"))
     a, b = F.col("a"), F.col("b")
+    seasons = []
+    for dw in range(1, 8):
+        nd, std, syd = F.col(f"n{dw}"), F.col(f"st{dw}"), F.col(f"sy{dw}")
+        seasons.append(F.when(nd > 0, (syd - a * nd - b * std) / nd).otherwise(F.lit(0.0)).alias(f"s{dw}"))
+    p = p.select("*", *seasons)
     sse = F.lit(0.0)
     for dw in range(1, 8):
         nd, std, syd = F.col(f"n{dw}"), F.col(f"st{dw}"), F.col(f"sy{dw}")
-        sd = F.when(nd > 0, (syd - a * nd - b * std) / nd).otherwise(F.lit(0.0))
-        p = p.withColumn(f"s{dw}", sd)
         e2 = (F.col(f"syy{dw}") - 2 * a * syd - 2 * b * F.col(f"sty{dw}") + a * a * nd
               + 2 * a * b * std + b * b * F.col(f"stt{dw}"))
         sse = sse + e2 - nd * F.col(f"s{dw}") * F.col(f"s{dw}")
-    p = p.withColumn("sigma", F.when(F.col("n") > 1, F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n") - 1)))
-                               .otherwise(F.lit(0.0)))
+    p = p.select("*", F.when(F.col("n") > 1, F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n") - 1)))
+                       .otherwise(F.lit(0.0)).alias("sigma"))
     season = F.coalesce(*[F.when(F.col("dow") == dw, F.col(f"s{dw}")) for dw in range(1, 8)])
     params = p.select(*k, "cutoff", "start", "a", "b", "sigma", *[f"s{dw}" for dw in range(1, 8)])
     days = params.select(*k, "cutoff", "start", "a", "b", "sigma", *[f"s{dw}" for dw in range(1, 8)],
@@ -320,9 +327,9 @@ def backtest(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: float =
                                               F.expr("INTERVAL 1 DAY"))).alias("ds"))
     test = days.join(h, [*k, "ds"]).withColumn("dow", F.dayofweek("ds"))
     yhat = F.col("a") + F.col("b") * _t(F.col("ds"), F.col("start")) + season
-    scored = test.select(*k, "cutoff", "y", yhat.alias("yhat"), "sigma") \
-                 .withColumn("yhat_lower", F.col("yhat") - F.lit(z) * F.col("sigma")) \
-                 .withColumn("yhat_upper", F.col("yhat") + F.lit(z) * F.col("sigma"))
+    scored = test.select(*k, "cutoff", "y", yhat.alias("yhat"), "sigma")
+    scored = scored.select(*k, "cutoff", "y", "yhat", (F.col("yhat") - F.lit(z) * F.col("sigma")).alias("yhat_lower"),
+                           (F.col("yhat") + F.lit(z) * F.col("sigma")).alias("yhat_upper"))
     return _drop_key(_score(scored, k), k)
 
 
@@ -347,11 +354,19 @@ def backtest_refit(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: fl
 
 @dataclass
 class ForecastSummary:
+    """The five outputs of F6.  They read a few small cached frames (daily history,
+    per-series counts, fitted days); call ``unpersist`` when done."""
+
     status: DataFrame      # keys..., status, message, history_days
     history: DataFrame     # keys..., ds, y
     forecast: DataFrame    # keys..., ds, yhat, yhat_lower, yhat_upper (future days of ok series)
     anomalies: DataFrame   # keys..., ds, actual_cost, expected_cost, residual
     metrics: DataFrame     # keys..., n_cutoffs, mae, mape, coverage (series with >= 44 days)
+    cached: tuple = ()
+
+    def unpersist(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
 
 def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", periods: int = PERIODS,
@@ -364,10 +379,10 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
     """
     keys = _keys(keys)
     ensure_checkpoint_dir(df.sparkSession)
-    # The daily history (days x series rows) and the per-series row counts are
-    # small and read many times below: checkpoint them to the shared folder once,
-    # which also keeps the plans of the five outputs short.
-    hist = normalize_daily(df, keys, ds, y, date_start, date_end).checkpoint(eager=True)
+    # The daily history (days x series rows), the per-series counts and the fitted
+    # days are small and read several times below: cache them (lost blocks are
+    # recomputed from these short plans).
+    hist = normalize_daily(df, keys, ds, y, date_start, date_end).persist()
     h, k = _with_key(hist, keys)
     n = h.groupBy(*k).agg(F.count(F.lit(1)).alias("history_days"))
     if keys:
@@ -377,11 +392,11 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
         rows = df.agg(F.count(F.lit(1)).alias("raw_rows")).withColumn(_NOKEY, F.lit(0))
     base = rows.join(n, k, "left").select(
         *k, "raw_rows", F.coalesce("history_days", F.lit(0)).cast("bigint").alias("history_days")) \
-        .checkpoint(eager=True)
+        .persist()
     ok_h = h.join(base.where(F.col("history_days") >= HISTORY_MIN_DAYS).select(*k), k, "left_semi")
-    # One fit per series over history + future days; small (days x series), so it
-    # is checkpointed and read by the status, forecast and anomaly outputs.
-    fitted = fit_rows(_with_future(ok_h, k, periods), k).checkpoint(eager=True)
+    # One fit per series over history + future days; read by status, forecast and
+    # anomalies.
+    fitted = fit_rows(_with_future(ok_h, k, periods), k).persist()
     bad_fit = fitted.groupBy(*k).agg(
         F.max(F.when(F.col("yhat").isNull() | F.isnan("yhat"), 1).otherwise(0)).alias("_bad"))
     status = base.join(bad_fit, k, "left").withColumn("_bad", F.col("_bad") == 1).select(
@@ -404,4 +419,4 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
     return ForecastSummary(
         status=_drop_key(status.select(*k, "status", "message", "history_days"), k),
         history=_drop_key(h, k), forecast=_drop_key(fut, k),
-        anomalies=_drop_key(anomalies, k), metrics=_drop_key(metrics, k))
+        anomalies=_drop_key(anomalies, k), metrics=_drop_key(metrics, k), cached=(hist, base, fitted))
