@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokentally.session import ensure_checkpoint_dir
 
 # Gating and back-test constants of the reference (days).
 HISTORY_MIN_DAYS = 14
@@ -378,7 +377,6 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
     ok:                message set when there are fewer than 44 days (no metrics).
     """
     keys = _keys(keys)
-    ensure_checkpoint_dir(df.sparkSession)
     # The daily history (days x series rows), the per-series counts and the fitted
     # days are small and read several times below: cache them (lost blocks are
     # recomputed from these short plans).
