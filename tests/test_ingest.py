@@ -252,3 +252,14 @@ def test_run_ingest_end_to_end(spark):
     assert c == {"ingested": 5, "malformed": 1, "missing_fields": 0, "unknown_types": 0}
     rej = spark.read.parquet(f"{out}/rejects").collect()
     assert [r["detail"] for r in rej] == ["Line 3: malformed JSON line"]
+
+
+def test_staged_table_gives_the_same_result(spark):
+    lines = SAMPLE + ["broken", batch(event("claude_code.unknown_x", 3))]
+    emp = I.read_employees_csv(spark, employees_csv())
+    a = I.ingest(I.read_batch_lines(spark, write(lines)), emp, persist=False)
+    b = I.ingest(I.read_batch_lines(spark, write(lines)), emp, stage="table")
+    assert counts(a) == counts(b)
+    for t in ("user_prompts", "api_requests", "tool_results"):
+        assert sorted(map(tuple, a.tables.fact(t).collect())) == sorted(map(tuple, b.tables.fact(t).collect()))
+    assert sorted(r["detail"] for r in a.rejects.collect()) == sorted(r["detail"] for r in b.rejects.collect())

@@ -321,7 +321,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 def project_table(classified: DataFrame, table: str) -> DataFrame:
     """Typed columns of one fact, in DDL order, from its ingested events."""
     schema = FACT_SCHEMAS[table]
-    rows = classified.where((F.col("status") == "ingested") & (F.col("table") == table))
+    rows = classified.where((F.col("table") == table) & (F.col("status") == "ingested"))
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -399,14 +399,31 @@ class IngestResult:
         self.classified.unpersist()
 
 
-def ingest(lines: DataFrame, employees: DataFrame, persist: bool = True) -> IngestResult:
+def ingest(lines: DataFrame, employees: DataFrame, persist: bool = True,
+           stage: str | None = None) -> IngestResult:
     """Classify every line/event once; the five facts, rejects and counts read it.
 
-    ``persist`` keeps the classified events (memory, spilling to disk) because
-    six writes and the counts read them; lost blocks are recomputed from the
-    source files by Spark, so a lost executor costs time, not results.
+    How the classified events are kept for their six readers:
+
+    * ``persist=True`` (default): cached in memory, spilling to disk; lost blocks
+      are recomputed from the source files, so a lost executor costs time, not
+      results.  Best when the data fits the cluster comfortably.
+    * ``stage="table"``: written once as Parquet under the shared checkpoint
+      folder, partitioned by target table.  Each fact then reads only its own
+      partition and columns, and nothing depends on executors staying alive --
+      the choice for very large loads.
+    * neither: every reader re-parses the input.
     """
     classified = classify_lines(lines)
+    if stage == "table":
+        from tokentally.session import scratch_path
+        path = scratch_path(lines.sparkSession, "ingest-classified")
+        classified.withColumn("part", F.coalesce(F.col("table"), F.col("status"))) \
+                  .write.mode("overwrite").partitionBy("part").parquet(path)
+        classified = lines.sparkSession.read.parquet(path).drop("part")
+        persist = False
+    elif stage is not None:
+        raise ValueError(f"Unknown stage: {stage!r}")
     if persist:
         classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
     facts = {t: project_table(classified, t) for t in FACT_SCHEMAS}
