@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokentally.session import ensure_checkpoint_dir
+
 
 # Gating and back-test constants of the reference (days).
 HISTORY_MIN_DAYS = 14
@@ -353,19 +355,14 @@ def backtest_refit(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: fl
 
 @dataclass
 class ForecastSummary:
-    """The five outputs of F6.  They read a few small cached frames (daily history,
-    per-series counts, fitted days); call ``unpersist`` when done."""
+    """The outputs of F6; they read two small checkpointed frames (daily history
+    and fitted days)."""
 
     status: DataFrame      # keys..., status, message, history_days
     history: DataFrame     # keys..., ds, y
     forecast: DataFrame    # keys..., ds, yhat, yhat_lower, yhat_upper (future days of ok series)
     anomalies: DataFrame   # keys..., ds, actual_cost, expected_cost, residual
     metrics: DataFrame     # keys..., n_cutoffs, mae, mape, coverage (series with >= 44 days)
-    cached: tuple = ()
-
-    def unpersist(self) -> None:
-        for df in self.cached:
-            df.unpersist()
 
 
 def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", periods: int = PERIODS,
@@ -377,10 +374,11 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
     ok:                message set when there are fewer than 44 days (no metrics).
     """
     keys = _keys(keys)
-    # The daily history (days x series rows), the per-series counts and the fitted
-    # days are small and read several times below: cache them (lost blocks are
-    # recomputed from these short plans).
-    hist = normalize_daily(df, keys, ds, y, date_start, date_end).persist()
+    # The daily history (days x series rows) and the fitted days are small and
+    # read several times below: checkpoint them to the shared folder once, which
+    # cuts their lineage and keeps the plans of the four outputs short.
+    ensure_checkpoint_dir(df.sparkSession)
+    hist = normalize_daily(df, keys, ds, y, date_start, date_end).checkpoint(eager=True)
     h, k = _with_key(hist, keys)
     n = h.groupBy(*k).agg(F.count(F.lit(1)).alias("history_days"))
     if keys:
@@ -389,12 +387,11 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
         # A global aggregate always yields one row, so an empty input gets a status too.
         rows = df.agg(F.count(F.lit(1)).alias("raw_rows")).withColumn(_NOKEY, F.lit(0))
     base = rows.join(n, k, "left").select(
-        *k, "raw_rows", F.coalesce("history_days", F.lit(0)).cast("bigint").alias("history_days")) \
-        .persist()
+        *k, "raw_rows", F.coalesce("history_days", F.lit(0)).cast("bigint").alias("history_days"))
     ok_h = h.join(base.where(F.col("history_days") >= HISTORY_MIN_DAYS).select(*k), k, "left_semi")
     # One fit per series over history + future days; read by status, forecast and
     # anomalies.
-    fitted = fit_rows(_with_future(ok_h, k, periods), k).persist()
+    fitted = fit_rows(_with_future(ok_h, k, periods), k).checkpoint(eager=True)
     bad_fit = fitted.groupBy(*k).agg(
         F.max(F.when(F.col("yhat").isNull() | F.isnan("yhat"), 1).otherwise(0)).alias("_bad"))
     status = base.join(bad_fit, k, "left").withColumn("_bad", F.col("_bad") == 1).select(
@@ -417,4 +414,4 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
     return ForecastSummary(
         status=_drop_key(status.select(*k, "status", "message", "history_days"), k),
         history=_drop_key(h, k), forecast=_drop_key(fut, k),
-        anomalies=_drop_key(anomalies, k), metrics=_drop_key(metrics, k), cached=(hist, base, fitted))
+        anomalies=_drop_key(anomalies, k), metrics=_drop_key(metrics, k))
