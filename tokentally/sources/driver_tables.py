@@ -176,11 +176,11 @@ EVENT_BODIES = {
     "error": "claude_code.api_error",
 }
 # Deterministic faults so every reject class occurs (rules on event_id / batch id).
-FAULT_BAD_MESSAGE = (83, 5)     # event_id % 83 == 5: message text is cut -> missing_fields
+FAULT_BAD_MESSAGE = (83, 5)     # event_id % 83 == 5: text after the message object -> missing_fields
 FAULT_UNKNOWN_BODY = (97, 11)   # event_id % 97 == 11: unknown body -> unknown_types
 FAULT_DROP_FIELD = (89, 7)      # event_id % 89 == 7: no terminal.type -> missing_fields
 FAULT_BAD_INT = (79, 3)         # event_id % 79 == 3, requests: duration_ms '12.5' -> missing_fields
-FAULT_BAD_LINE = (61, 3)        # batch % 61 == 3: closing brace cut -> malformed line
+FAULT_BAD_LINE = (61, 3)        # batch % 61 == 3: text after the batch object -> malformed line
 UNKNOWN_BODY = "claude_code.unknown_future_event"
 
 
@@ -234,7 +234,8 @@ def telemetry_events(events: DataFrame) -> DataFrame:
          .otherwise(F.col("attrs")).alias("attrs"))
     step = step.select("event_id", "timestamp",
                        render_message(F.col("body"), F.col("attrs")).alias("message"))
-    msg = F.when(_is(FAULT_BAD_MESSAGE), F.substring("message", 1, 25)).otherwise(F.col("message"))
+    msg = F.when(_is(FAULT_BAD_MESSAGE), F.concat(F.col("message"), F.lit(" trailing"))) \
+           .otherwise(F.col("message"))
     return step.select(
         "event_id",
         (F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
@@ -247,7 +248,7 @@ def telemetry_lines(events: DataFrame) -> DataFrame:
     """events -> packed JSONL batch lines (``batch_id``, ``value``), some lines broken."""
     packed = pack_batches(telemetry_events(events), "batch_id", "event_id",
                           id_col="event_id", epoch_ms_col="epoch_ms")
-    broken = F.expr("substring(value, 1, length(value) - 1)")
+    broken = F.concat(F.col("value"), F.lit(" }"))
     # Range-sorted by batch (= time): each output file then covers a contiguous
     # stretch of time, as exported log files do.
     return packed.select("batch_id", F.when(_is(FAULT_BAD_LINE, "batch_id"), broken)
