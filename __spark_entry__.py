@@ -3,9 +3,11 @@
 ``queries()`` maps a stable ID (SURVEY section 2) to ``(spark, sf_dir) -> DataFrame``.
 Every query reads the driver's parquet tables through the mapping in
 ``tokentally.sources.driver_tables`` and runs over the whole tables.
-``oracle_sql()`` gives independent DuckDB SQL over the same parquet views.
-DOUBLE results are rounded to 6 decimals on both sides (summation order differs
-between engines in the last bits).
+``oracle_sql()`` gives independent DuckDB SQL over the same parquet views
+(all but ``s15_reject_summary``, whose locations depend on the file layout).
+DOUBLE results are rounded on both sides the same way -- shortest decimal text,
+12 places, then 6 (4 for forecasts) -- because summation order differs between
+engines in the last bits.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokentally.operators import forecast as FC
 from tokentally.operators.filters import Filters
 from tokentally.plans import catalog
-from tokentally.operators import forecast as FC
 from tokentally.plans import forecasts as FP
-from tokentally.plans.reshaped import RESHAPED
 from tokentally.plans import oracle as O
+from tokentally.plans.reshaped import RESHAPED
 from tokentally.sources import driver_tables as D
 from tokentally.sources import ingest as I
 from tokentally.sources.driver_tables import driver_tables
