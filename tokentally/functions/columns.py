@@ -64,7 +64,8 @@ def parse_utc_timestamp(text: str | Column) -> Column:
     instant = s.try_cast("timestamp")
     naive_micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), naive)
     shift = F.unix_micros(instant) - naive_micros
-    return F.when(
+    # Fast path: a trailing "Z" (the exporter's format) is UTC already.
+    return F.when(s.endswith("Z") | s.endswith("z"), naive).when(
         s.rlike(_ZONE_SUFFIX),
         F.when(instant.isNotNull(), F.timestamp_add("MICROSECOND", shift, naive)),
     ).otherwise(naive)
