@@ -120,6 +120,7 @@ FORECAST_ROUND = {
     "f3_anomalies": ["actual_cost", "expected_cost", "residual"],
     "f4_backtest": ["mae", "mape", "coverage"],
     "f6_forecast_future": ["yhat", "yhat_lower", "yhat_upper"],
+    "f6_daily_cost_forecast": ["yhat", "yhat_lower", "yhat_upper"],
 }
 
 
@@ -152,6 +153,14 @@ def _f6_future(spark, sf_dir):
     return round_doubles(FC.forecast_summary(s, ["practice"]).forecast, 4)
 
 
+def _f6_daily_status(spark, sf_dir):
+    return FP.daily_cost_forecast(driver_tables(spark, sf_dir), _filters(FULL)).status
+
+
+def _f6_daily_forecast(spark, sf_dir):
+    return round_doubles(FP.daily_cost_forecast(driver_tables(spark, sf_dir), _filters(FULL)).forecast, 4)
+
+
 FORECAST = {
     "f1_normalize_daily": _f1,
     "f2_fit_predict": _f2,
@@ -159,6 +168,8 @@ FORECAST = {
     "f4_backtest": _f4,
     "f6_forecast_status": _f6_status,
     "f6_forecast_future": _f6_future,
+    "f6_daily_cost_status": _f6_daily_status,
+    "f6_daily_cost_forecast": _f6_daily_forecast,
 }
 
 

@@ -27,3 +27,11 @@ def orders_daily(spark: SparkSession, root: str) -> DataFrame:
     """A long daily series per order priority (1995-2001) from the driver's
     ``orders`` table; the telemetry spans only 30 days, the back-test needs 44+."""
     return FC.normalize_daily(orders_raw(spark, root), ["priority"])
+
+
+def daily_cost_forecast(tables, filters: Filters, periods: int = FC.PERIODS) -> FC.ForecastSummary:
+    """The reference's forecast flow: Q9 daily totals under the filter as one
+    series, gap-filled over the filter's dates, then F2-F6."""
+    q = costs.daily_cost_totals(tables, filters)
+    return FC.forecast_summary(q, (), periods=periods, date_start=filters.date_start,
+                               date_end=filters.date_end)

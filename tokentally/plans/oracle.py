@@ -447,6 +447,22 @@ SELECT r.practice, CASE WHEN COALESCE(h.n, 0) < 14 THEN 'insufficient_data' ELSE
        CAST(COALESCE(h.n, 0) AS BIGINT) AS history_days
 FROM (SELECT DISTINCT practice FROM ({q5})) r LEFT JOIN (SELECT practice, COUNT(*) AS n FROM pr GROUP BY 1) h
   USING (practice)""", pr)
+    # the reference's own flow: Q9 daily totals under the filter, one series,
+    # gap-filled over the filter's dates (end clamped to the last day with data)
+    q9 = f"SELECT 'all' AS series, ds, y FROM ({b['q9_daily_cost_totals']})"
+    one = (_normalize_cte("dc", q9, "series", f.date_start, f.date_end) + ","
+           + _fit_ctes("m1", "dc", ["series"]))
+    out["f6_daily_cost_status"] = with_mapping("""
+SELECT CASE WHEN n < 14 THEN 'insufficient_data' ELSE 'ok' END AS status,
+       CASE WHEN n < 14 THEN 'At least 14 days of daily cost history are required for forecasting.'
+            WHEN n < 44 THEN 'Cross-validation metrics require at least 44 days of history.' END AS message,
+       CAST(n AS BIGINT) AS history_days
+FROM (SELECT COUNT(*) AS n FROM dc)""", one)
+    fut1 = (f"fut1 AS (SELECT series, CAST(unnest(generate_series(last + 1, last + {periods}, "
+            f"INTERVAL 1 DAY)) AS DATE) AS ds FROM m1_first)")
+    out["f6_daily_cost_forecast"] = with_mapping(
+        "SELECT ds, yhat, yhat_lower, yhat_upper FROM (" +
+        _predict("m1", "(SELECT series, ds FROM fut1)", ["series"], z) + ")", one + "," + fut1)
     fut2 = (f"fut AS (SELECT practice, CAST(unnest(generate_series(last + 1, last + {periods}, "
             f"INTERVAL 1 DAY)) AS DATE) AS ds FROM m_first)")
     out["f6_forecast_future"] = with_mapping(
