@@ -119,3 +119,10 @@ def test_running_sum_backtest_equals_refit(spark):
         assert fast[key]["n_cutoffs"] == slow[key]["n_cutoffs"]
         for m in ("mae", "mape", "coverage"):
             assert fast[key][m] == pytest.approx(slow[key][m], rel=1e-9, abs=1e-12), (key, m)
+
+
+def test_degenerate_series_is_a_forecast_error(spark):
+    ys = [1.0] * 20
+    ys[5] = float("nan")              # e.g. a cost of "nan" passed the parser, as in the reference
+    (st,) = FC.forecast_summary(series(spark, ys)).status.collect()
+    assert st["status"] == "forecast_error" and st["message"].startswith(FC.MSG_FAILED)
