@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tokentally.functions.columns import parse_utc_timestamp
 from tokentally.sources.schemas import BATCH, EMPLOYEES, FACT_SCHEMAS, MESSAGE
-from tokentally.sources.tables import Tables
+from tokentally.sources.tables import Tables, run_all
 
 # Event bodies and the table each one feeds.
 EVENT_TABLES = {
@@ -387,12 +387,17 @@ class IngestResult:
     rejects: DataFrame
     counts: DataFrame
 
-    def write(self, root: str) -> dict:
-        """Overwrite all tables + rejects; return the counts as a dict."""
+    def write(self, root: str, concurrent: int = 4) -> dict:
+        """Overwrite all tables + rejects; return the counts as a dict.
+
+        The counts run first (that fills the cache of classified events); the
+        seven independent writes then run as concurrent Spark jobs.
+        """
         check_employee_keys(self.tables.employees)
-        self.tables.write_parquet(root)
-        self.rejects.write.mode("overwrite").parquet(f"{root.rstrip('/')}/rejects")
         row = self.counts.first()
+        jobs = self.tables.writers(root) + [
+            lambda: self.rejects.write.mode("overwrite").parquet(f"{root.rstrip('/')}/rejects")]
+        run_all(jobs, concurrent)
         return row.asDict()
 
     def unpersist(self) -> None:
