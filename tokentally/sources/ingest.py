@@ -1,8 +1,9 @@
 """Raw JSONL batches + employee CSV -> five typed facts, one dimension, rejects.
 
-Everything is narrow (per line, per event): the only shuffles are the
-partitioned writes' none and the small reject summary.  Bad records never fail
-the load; they land in ``rejects`` with a reason and a location:
+Parsing, classification and the five projections are narrow (per line, per
+event) -- no shuffle; only the small per-split line-number table and the
+reject summary aggregate.  Bad records never fail the load; they land in
+``rejects`` with a reason and a location ("Line n (event index i): ..."):
 
 malformed       the line is not exactly one JSON object
 missing_fields  message not JSON / no body or attributes / a required field
