@@ -6,7 +6,7 @@ Every query reads the driver's parquet tables through the mapping in
 ``oracle_sql()`` gives independent DuckDB SQL over the same parquet views
 (all but ``s15_reject_summary``, whose locations depend on the file layout).
 DOUBLE results are rounded on both sides the same way -- shortest decimal text,
-12 places, then 6 (4 for forecasts) -- because summation order differs between
+12 places, then 6 (cents for forecast money values) -- because summation order differs between
 engines in the last bits.
 """
 
@@ -69,15 +69,16 @@ FILTERED = [
 ]
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+def round_doubles(df: DataFrame, digits: int = 6, per_col: dict | None = None) -> DataFrame:
     """Round DOUBLE columns in two decimal steps (12 places, then ``digits``).
 
     The first step absorbs last-bit noise of summation order, so values that sit
     exactly on a rounding tie (averages of cent amounts) round the same way in
     every engine; the oracle SQL does the same.
     """
+    per_col = per_col or {}
     return df.select(*[
-        F.round(F.col(f.name).try_cast("decimal(38,12)"), digits).cast("double").alias(f.name)
+        F.round(F.col(f.name).try_cast("decimal(38,12)"), per_col.get(f.name, digits)).cast("double").alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
@@ -114,33 +115,36 @@ def _reshaped(rid: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 F1_RANGE = dict(date_start=_dt.date(2023, 12, 28), date_end=_dt.date(2024, 2, 10))
+# Forecast values are money totals (up to millions at larger scales): cents.
+# Ratios (MAPE, coverage) keep 6 decimals; F1's sums of cent-based costs keep 4.
+_MONEY = ("yhat", "yhat_lower", "yhat_upper", "actual_cost", "expected_cost", "residual", "mae")
 FORECAST_ROUND = {
-    "f1_normalize_daily": ["y"],
-    "f2_fit_predict": ["yhat", "yhat_lower", "yhat_upper"],
-    "f3_anomalies": ["actual_cost", "expected_cost", "residual"],
-    "f4_backtest": ["mae", "mape", "coverage"],
-    "f6_forecast_future": ["yhat", "yhat_lower", "yhat_upper"],
-    "f6_daily_cost_forecast": ["yhat", "yhat_lower", "yhat_upper"],
+    "f1_normalize_daily": {"y": 4},
+    "f2_fit_predict": {c: 2 for c in _MONEY[:3]},
+    "f3_anomalies": {c: 2 for c in _MONEY[3:6]},
+    "f4_backtest": {"mae": 2, "mape": 6, "coverage": 6},
+    "f6_forecast_future": {c: 2 for c in _MONEY[:3]},
+    "f6_daily_cost_forecast": {c: 2 for c in _MONEY[:3]},
 }
 
 
 def _f1(spark, sf_dir):
     s = FP.practice_daily_cost(driver_tables(spark, sf_dir), _filters(FULL))
-    return round_doubles(FC.normalize_daily(s, ["practice"], **F1_RANGE), 4)
+    return round_doubles(FC.normalize_daily(s, ["practice"], **F1_RANGE), per_col=FORECAST_ROUND["f1_normalize_daily"])
 
 
 def _f2(spark, sf_dir):
-    return round_doubles(FC.fit_predict(FP.orders_daily(spark, sf_dir), ["priority"]), 4)
+    return round_doubles(FC.fit_predict(FP.orders_daily(spark, sf_dir), ["priority"]), per_col=FORECAST_ROUND["f2_fit_predict"])
 
 
 def _f3(spark, sf_dir):
     h = FP.orders_daily(spark, sf_dir)
     fitted = FC.fit_predict(h, ["priority"]).join(h, ["priority", "ds"])
-    return round_doubles(FC.detect_anomalies(fitted, ["priority"]), 4)
+    return round_doubles(FC.detect_anomalies(fitted, ["priority"]), per_col=FORECAST_ROUND["f3_anomalies"])
 
 
 def _f4(spark, sf_dir):
-    return round_doubles(FC.backtest(FP.orders_daily(spark, sf_dir), ["priority"]), 4)
+    return round_doubles(FC.backtest(FP.orders_daily(spark, sf_dir), ["priority"]), per_col=FORECAST_ROUND["f4_backtest"])
 
 
 def _f6_status(spark, sf_dir):
@@ -150,7 +154,7 @@ def _f6_status(spark, sf_dir):
 
 def _f6_future(spark, sf_dir):
     s = FP.practice_daily_cost(driver_tables(spark, sf_dir), _filters(FULL))
-    return round_doubles(FC.forecast_summary(s, ["practice"]).forecast, 4)
+    return round_doubles(FC.forecast_summary(s, ["practice"]).forecast, per_col=FORECAST_ROUND["f6_forecast_future"])
 
 
 def _f6_daily_status(spark, sf_dir):
@@ -158,7 +162,7 @@ def _f6_daily_status(spark, sf_dir):
 
 
 def _f6_daily_forecast(spark, sf_dir):
-    return round_doubles(FP.daily_cost_forecast(driver_tables(spark, sf_dir), _filters(FULL)).forecast, 4)
+    return round_doubles(FP.daily_cost_forecast(driver_tables(spark, sf_dir), _filters(FULL)).forecast, per_col=FORECAST_ROUND["f6_daily_cost_forecast"])
 
 
 FORECAST = {
@@ -282,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
     fsql = O.forecast_sql(O.SqlFilter(**FULL), FC.Z_80, FC.PERIODS,
                           F1_RANGE["date_start"], F1_RANGE["date_end"])
     for rid, sql in fsql.items():
-        out[rid] = O.round_cols(sql, FORECAST_ROUND.get(rid, []), 4)
+        out[rid] = O.round_cols(sql, FORECAST_ROUND.get(rid, {}))
     ing = O.ingest_sql()
     for rid, (_, key) in INGEST.items():
         if key is not None:

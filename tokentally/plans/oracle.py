@@ -157,12 +157,14 @@ def with_mapping(body: str, extra_ctes: str = "") -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def round_cols(sql: str, cols: list[str], digits: int = 6) -> str:
+def round_cols(sql: str, cols, digits: int = 6) -> str:
+    """Round columns (a list, or a dict column -> decimals) like ``round_doubles``."""
     if not cols:
         return sql
+    per = cols if isinstance(cols, dict) else {c: digits for c in cols}
     # Via the shortest decimal text of the double, as Spark converts DOUBLE to DECIMAL.
-    rep = ", ".join(f"CAST(ROUND(TRY_CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,12)), {digits}) AS DOUBLE) AS {c}"
-                    for c in cols)
+    rep = ", ".join(f"CAST(ROUND(TRY_CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,12)), {d}) AS DOUBLE) AS {c}"
+                    for c, d in per.items())
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _r"
 
 
