@@ -106,10 +106,24 @@ def daily_cost_stream(requests: DataFrame, employees: DataFrame, watermark: str
 
 
 def start_daily_cost_stream(spark: SparkSession, requests_dir: str, employees: DataFrame,
-                            output_dir: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
+                            output_dir: str, checkpoint: str, watermark: str = "1 day",
+                            state_partitions: int | None = None) -> StreamingQuery:
+    """E2 as a running query (append mode, one row per closed day and practice).
+
+    ``state_partitions`` sets how many partitions hold the aggregation state
+    (default: the cluster's parallelism).  Spark fixes that number when a query
+    first starts from a checkpoint, so it is set only around ``start()``.
+    """
     schema = T.StructType(API_REQUESTS.fields + [T.StructField("event_date", T.DateType())])
     requests = spark.readStream.schema(schema).parquet(requests_dir)
     out = daily_cost_stream(requests, employees, watermark)
-    return (out.writeStream.outputMode("append").format("parquet")
-               .option("path", output_dir).option("checkpointLocation", checkpoint)
-               .trigger(availableNow=True).start())
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        return (out.writeStream.outputMode("append").format("parquet")
+                   .option("path", output_dir).option("checkpointLocation", checkpoint)
+                   .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
