@@ -287,9 +287,9 @@ def backtest(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: float =
     keys = _keys(keys)
     h, k = _with_key(history.select(*keys, "ds", F.col("y").cast("double").alias("y")), keys)
     cuts = cutoffs(h, k, horizon=horizon)
-    first = h.groupBy(*k).agg(F.min("ds").alias("start"))
-    d = h.join(first, k).select(*k, "ds", "y", "start", _t(F.col("ds"), F.col("start")).alias("t"),
-                                F.dayofweek("ds").alias("dow"))
+    start = F.min("ds").over(Window.partitionBy(*k))
+    d = h.select(*k, "ds", "y", start.alias("start")).select(
+        *k, "ds", "y", "start", _t(F.col("ds"), F.col("start")).alias("t"), F.dayofweek("ds").alias("dow"))
     w = Window.partitionBy(*k).orderBy("ds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     terms = _stat_terms(F.col("t"), F.col("y"))
     running = [F.sum(terms[s]).over(w).alias(s) for s in _STATS]
@@ -380,6 +380,8 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
     ensure_checkpoint_dir(df.sparkSession)
     hist = normalize_daily(df, keys, ds, y, date_start, date_end).checkpoint(eager=True)
     h, k = _with_key(hist, keys)
+    if not keys:
+        return _single_series_summary(df, h, k, periods)
     n = h.groupBy(*k).agg(F.count(F.lit(1)).alias("history_days"))
     if keys:
         rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_rows"))
@@ -415,3 +417,35 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
         status=_drop_key(status.select(*k, "status", "message", "history_days"), k),
         history=_drop_key(h, k), forecast=_drop_key(fut, k),
         anomalies=_drop_key(anomalies, k), metrics=_drop_key(metrics, k))
+
+
+def _status_cols(raw_rows: Column, days: Column, bad: Column) -> list[Column]:
+    return [
+        F.when(raw_rows == 0, F.lit("insufficient_data"))
+         .when(days < HISTORY_MIN_DAYS, F.lit("insufficient_data"))
+         .when(bad, F.lit("forecast_error"))
+         .otherwise(F.lit("ok")).alias("status"),
+        F.when(raw_rows == 0, F.lit(MSG_NO_DATA))
+         .when(days < HISTORY_MIN_DAYS, F.lit(MSG_SHORT))
+         .when(bad, F.lit(MSG_FAILED + "degenerate series"))
+         .when(days < CV_MIN_DAYS, F.lit(MSG_NO_CV)).alias("message"),
+        days.cast("bigint").alias("history_days"),
+    ]
+
+
+def _single_series_summary(df: DataFrame, h: DataFrame, k: list[str], periods: int) -> ForecastSummary:
+    """F6 for one series: the counts and the fit flag are scalar subqueries, so
+    no output needs a join (a join on the constant series key would be a cross
+    join)."""
+    raw_rows = df.agg(F.count(F.lit(1))).scalar()
+    days = h.agg(F.count(F.lit(1))).scalar()
+    enough = days >= HISTORY_MIN_DAYS
+    fitted = fit_rows(_with_future(h.where(enough), k, periods), k).checkpoint(eager=True)
+    bad = F.coalesce(fitted.agg(F.max(F.col("yhat").isNull() | F.isnan("yhat"))).scalar(), F.lit(False))
+    ok = (raw_rows > 0) & enough & ~bad
+    status = df.sparkSession.range(1).select(*_status_cols(raw_rows, days, bad))
+    anomalies = detect_anomalies(fitted.where(F.col("y").isNotNull() & ok), k)
+    fut = fitted.where(F.col("y").isNull() & ok).select(*k, "ds", "yhat", "yhat_lower", "yhat_upper")
+    metrics = backtest(h.where(ok & (days >= CV_MIN_DAYS)), k)
+    return ForecastSummary(status=status, history=_drop_key(h, k), forecast=_drop_key(fut, k),
+                           anomalies=_drop_key(anomalies, k), metrics=_drop_key(metrics, k))
