@@ -126,3 +126,9 @@ def test_degenerate_series_is_a_forecast_error(spark):
     ys[5] = float("nan")              # e.g. a cost of "nan" passed the parser, as in the reference
     (st,) = FC.forecast_summary(series(spark, ys)).status.collect()
     assert st["status"] == "forecast_error" and st["message"].startswith(FC.MSG_FAILED)
+
+
+def test_series_key_may_not_shadow_internal_columns(spark):
+    df = series(spark, [1.0] * 20, key="a").withColumnRenamed("k", "sigma")
+    with pytest.raises(ValueError, match="sigma"):
+        FC.fit_predict(df, ["sigma"])

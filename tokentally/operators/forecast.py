@@ -49,8 +49,20 @@ MSG_FAILED = "Forecasting failed: "
 _NOKEY = "_series"
 
 
+# Column names used inside the forecast operators; series keys must not reuse them.
+_RESERVED = {"ds", "y", "yhat", "yhat_lower", "yhat_upper", "cutoff", "start", "last", "t", "dow",
+             "a", "b", "sigma", "residual", "sd", "actual_cost", "expected_cost", "history_days",
+             "raw_rows", "status", "message", "n_cutoffs", "mae", "mape", "coverage", "lo", "hi", "n",
+             "s", "e"} | {f"{p}{d}" for p in ("n", "st", "sy", "stt", "sty", "syy", "s", "")
+                                  for d in ("",) + tuple(str(i) for i in range(1, 8))} - {""}
+
+
 def _keys(keys) -> list[str]:
-    return list(keys) if keys else []
+    out = [keys] if isinstance(keys, str) else (list(keys) if keys else [])
+    clash = sorted(set(out) & _RESERVED)
+    if clash:
+        raise ValueError(f"series key name(s) {clash} are used internally; rename them")
+    return out
 
 
 def _with_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
