@@ -29,6 +29,15 @@ from tokentally.sources import driver_tables as D
 from tokentally.sources import ingest as I
 from tokentally.sources.driver_tables import driver_tables
 
+# The training-data operators (subpackage llm) and their pipeline are optional.
+try:
+    import corpus_pipeline
+    from tokentally.llm import queries as LLM
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tokentally.llm"):
+        raise
+    corpus_pipeline = LLM = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Registered queries cover the whole driver data (all of January 2024 lies in this year).
@@ -270,6 +279,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for rid in RESHAPED:
         out[rid] = _reshaped(rid)
     out.update(FORECAST)
+    if LLM is not None:
+        out.update(LLM.LLM_QUERIES)
+        out["pipeline"] = corpus_pipeline.run
     return out
 
 
@@ -291,4 +303,8 @@ def oracle_sql() -> dict[str, str]:
     for rid, (_, key) in INGEST.items():
         if key is not None:
             out[rid] = ing[key]
+    if LLM is not None:
+        out.update(LLM.LLM_SQL)
+        if corpus_pipeline.ORACLE_SQL is not None:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
