@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentally.llm import simhash
+from tokentally.llm import packing, simhash
 from tokentally.llm.common import read_table
 
 
@@ -14,5 +14,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), derive={"ids_crc32": F.crc32("ids")}, keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing)}
 LLM_SQL: dict[str, str] = {}
