@@ -56,7 +56,9 @@ def test_plan_uses_every_piece_once_and_comes_near_best_fit(seed):
 
 
 def test_plan_finds_exact_triples_and_hot_lengths():
-    assert P.plan_sequences({10: 3, 2: 3, 3: 3, 1: 3}, 16) == [([(10, 1), (3, 1), (2, 1), (1, 1)], 3)]
+    assert P.plan_sequences({10: 3, 3: 3, 2: 3, 1: 3}, 16)[0][0] == [(10, 1), (3, 2)]
+    assert sum(b for _, b in P.plan_sequences({10: 3, 3: 3, 2: 3, 1: 3}, 16)) == 3
+    assert P.plan_sequences({11: 9, 3: 9, 2: 9}, 16) == [([(11, 1), (3, 1), (2, 1)], 9)]
     assert sum(b for _, b in P.plan_sequences({5: 1_000_000}, 1024)) == -(-1_000_000 // 204)
     assert P.plan_sequences({}, 1024) == []
 

@@ -46,8 +46,8 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str
 
     ``ids`` holds little-endian unsigned 32-bit ids; ``nth`` counts the task's pieces of that length.
     """
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("piece", "int").add("start", "long") \
-        .add("length", "long").add("ids", "binary").add("task", "int").add("nth", "long")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("piece", "integer").add("start", "long") \
+        .add("length", "long").add("ids", "binary").add("task", "integer").add("nth", "long")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
