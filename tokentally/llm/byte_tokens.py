@@ -1,20 +1,37 @@
 """Whole-text token ids by the ``tokenizers`` library, with a bounded per-worker memo.
 
 Byte-level BPE never joins bytes across a single space or newline between two other
-characters, so a text in which white space is such single spaces and newlines is the
-concatenation of its chunks (" word", "\\nWord"). Chunks repeat, so each is encoded once per
-worker and remembered; texts with other white space or special-token strings are encoded whole.
+characters, nor across the end of a run of letters. So a text in which white space is such
+single spaces and newlines is the concatenation of its chunks (" word,", "\\nWord"), and most
+chunks are a word and its punctuation. Both repeat: a worker encodes each once and remembers
+it. Texts with other white space or special-token strings are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from array import array
+from itertools import filterfalse
 
-import numpy as np
+_MEMO_MAX = 400_000  # chunks in a generation of the memo; a worker keeps two
+_TAIL = ".,!?*$%&#|;:)\"-"
 
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]")
-_MEMO_MAX = 400_000  # chunks a worker remembers; then it starts again
+
+def regular(text: str) -> bool:
+    """White space only as single spaces and newlines between other characters."""
+    return " ".join(text.split()) == text.replace("\n", " ")
+
+
+def chunks(text: str) -> list[str]:
+    """Keys of a regular text's chunks: without the leading space; "\\r" marks the first chunk."""
+    keys = text.replace("\n", " \n").split(" ")
+    keys[0] = "\r" + keys[0]
+    return keys
+
+
+def spelled(key: str) -> str:
+    """The string that a chunk key stands for."""
+    return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
 
 class ChunkTokenizer:
@@ -26,30 +43,46 @@ class ChunkTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}    # the generation before
+        self.tails: dict[str, bytes] = {}  # punctuation behind a word
 
     def _encode(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, keys: set[str]) -> None:
+        """Put every key into the memo: a word with a punctuation tail from its two parts."""
+        memo, fresh, joined = self.memo, set(), []
+        for k in keys:
+            word = k.rstrip(_TAIL)
+            # Below U+0250 the letters are the same in every Unicode version.
+            if len(word) < len(k) and word.isalpha() and max(word) < "\u0250":
+                joined.append((k, word, k[len(word):]))
+                k = word
+            if k not in memo:
+                fresh.add(k)
+        known = {k: self.old[k] for k in fresh if k in self.old}
+        fresh = list(fresh.difference(known))
+        memo.update(known)
+        memo.update(zip(fresh, self._encode(list(map(spelled, fresh)))))
+        tails = list({t for _, _, t in joined}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails)))
+        tail = self.tails
+        memo.update([(k, memo[w] + tail[t]) for k, w, t in joined])
 
     def blobs(self, texts: list) -> list[bytes]:
         """One blob per text; null counts as empty."""
         if len(self.memo) > _MEMO_MAX:
-            self.memo.clear()
+            self.memo, self.old = {}, self.memo
         split, missing = [], set()
         for t in texts:
             if not t:
                 split.append(None)
-                continue
-            if _IRREGULAR.search(t) or any(s in t for s in self.special):
+            elif not regular(t) or any(s in t for s in self.special):
                 split.append(t)
-                continue
-            keys = t.replace("\n", " \n").split(" ")
-            keys[0] = "\r" + keys[0]  # regular texts hold no carriage return
-            split.append(keys)
-            missing |= set(keys).difference(self.memo)
-        missing = list(missing)
-        # A key is the chunk without its leading space; "\r" marks a text's first chunk.
-        real = [k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else " " + k for k in missing]
-        self.memo.update(zip(missing, self._encode(real)))
+            else:
+                split.append(chunks(t))
+                missing.update(filterfalse(self.memo.__contains__, split[-1]))
+        self._learn(missing)
         get = self.memo.__getitem__
         return [b"" if s is None else self._encode([s])[0] if isinstance(s, str) else b"".join(map(get, s)) for s in split]
 
