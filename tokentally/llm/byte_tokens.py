@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 from array import array
 from itertools import filterfalse
+from operator import add
 
 _MEMO_MAX = 400_000  # chunks in a generation of the memo; a worker keeps two
 _TAIL = ".,!?*$%&#|;:)\"-"
@@ -34,40 +35,45 @@ def spelled(key: str) -> str:
     return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
 
-class ChunkTokenizer:
-    """Token ids of texts as little-endian unsigned 32-bit blobs."""
+class ChunkMemo:
+    """Ids of texts as little-endian unsigned 32-bit blobs, chunk by chunk with a bounded memo.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+    Subclasses encode strings (``_encode``) and say which texts must be encoded whole (``_whole``).
+    """
+
+    def __init__(self):
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}    # the generation before
         self.tails: dict[str, bytes] = {}  # punctuation behind a word
 
     def _encode(self, strings: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+        raise NotImplementedError
+
+    def _whole(self, text: str) -> bool:
+        return not regular(text)
 
     def _learn(self, keys: set[str]) -> None:
         """Put every key into the memo: a word with a punctuation tail from its two parts."""
-        memo, fresh, joined = self.memo, set(), []
+        memo, fresh = self.memo, set()
+        whole, words, tails = [], [], []
         for k in keys:
             word = k.rstrip(_TAIL)
             # Below U+0250 the letters are the same in every Unicode version.
-            if len(word) < len(k) and word.isalpha() and max(word) < "\u0250":
-                joined.append((k, word, k[len(word):]))
-                k = word
-            if k not in memo:
+            if len(word) < len(k) and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                whole.append(k)
+                words.append(word)
+                tails.append(k[len(word):])
+                fresh.add(word)
+            else:
                 fresh.add(k)
-        known = {k: self.old[k] for k in fresh if k in self.old}
-        fresh = list(fresh.difference(known))
-        memo.update(known)
+        fresh = list(filterfalse(memo.__contains__, fresh))
+        if self.old:
+            memo.update([(k, self.old[k]) for k in fresh if k in self.old])
+            fresh = list(filterfalse(memo.__contains__, fresh))
         memo.update(zip(fresh, self._encode(list(map(spelled, fresh)))))
-        tails = list({t for _, _, t in joined}.difference(self.tails))
-        self.tails.update(zip(tails, self._encode(tails)))
-        tail = self.tails
-        memo.update([(k, memo[w] + tail[t]) for k, w, t in joined])
+        new = list(set(tails).difference(self.tails))
+        self.tails.update(zip(new, self._encode(new)))
+        memo.update(zip(whole, map(add, map(memo.__getitem__, words), map(self.tails.__getitem__, tails))))
 
     def blobs(self, texts: list) -> list[bytes]:
         """One blob per text; null counts as empty."""
@@ -77,7 +83,7 @@ class ChunkTokenizer:
         for t in texts:
             if not t:
                 split.append(None)
-            elif not regular(t) or any(s in t for s in self.special):
+            elif self._whole(t):
                 split.append(t)
             else:
                 split.append(chunks(t))
@@ -87,6 +93,23 @@ class ChunkTokenizer:
         return [b"" if s is None else self._encode([s])[0] if isinstance(s, str) else b"".join(map(get, s)) for s in split]
 
 
+class ChunkTokenizer(ChunkMemo):
+    """The ``tokenizers`` library on a tokenizer file."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+
+    def _encode(self, strings: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _whole(self, text: str) -> bool:
+        return not regular(text) or any(s in text for s in self.special)
+
+
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
