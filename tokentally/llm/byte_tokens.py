@@ -14,7 +14,7 @@ from array import array
 from itertools import filterfalse
 from operator import add
 
-_MEMO_MAX = 400_000  # chunks in a generation of the memo; a worker keeps two
+_MEMO_MAX = 250_000  # chunks in a generation of the memo; a worker keeps two
 _TAIL = ".,!?*$%&#|;:)\"-"
 
 
