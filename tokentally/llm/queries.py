@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentally.llm import ann, byte_bpe, exact_topk, packing, simhash
-from tokentally.llm.common import read_table
+from tokentally.llm import ann, byte_bpe, exact_topk, langid, packing, quality, simhash
+from tokentally.llm.common import crc_fold, read_table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,23 @@ def op7_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    named = langid.predict_languages(docs.select("doc_id", "text"), langid.fit_languages(docs))
+    return named.select("doc_id", (crc_fold("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred",
+                        F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_fold("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out"),
+                         F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op5_exact_topk, op6_byte_level_bpe,
-                                       op7_approximate_nearest)}
+                                       op7_approximate_nearest, op9_language_id, op10_quality_classifier)}
 EXACT_TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
