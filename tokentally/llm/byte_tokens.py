@@ -52,6 +52,9 @@ class ChunkMemo:
     def _whole(self, text: str) -> bool:
         return not regular(text)
 
+    def _join(self, parts):
+        return b"".join(parts)
+
     def _learn(self, keys: set[str]) -> None:
         """Put every key into the memo: a word with a punctuation tail from its two parts."""
         memo, fresh = self.memo, set()
@@ -75,8 +78,8 @@ class ChunkMemo:
         self.tails.update(zip(new, self._encode(new)))
         memo.update(zip(whole, map(add, map(memo.__getitem__, words), map(self.tails.__getitem__, tails))))
 
-    def blobs(self, texts: list) -> list[bytes]:
-        """One blob per text; null counts as empty."""
+    def blobs(self, texts: list) -> list:
+        """One blob (or what ``_encode`` gives) per text; null counts as empty."""
         if len(self.memo) > _MEMO_MAX:
             self.memo, self.old = {}, self.memo
         split, missing = [], set()
@@ -90,7 +93,7 @@ class ChunkMemo:
                 missing.update(filterfalse(self.memo.__contains__, split[-1]))
         self._learn(missing)
         get = self.memo.__getitem__
-        return [b"" if s is None else self._encode([s])[0] if isinstance(s, str) else b"".join(map(get, s)) for s in split]
+        return [self._join(()) if s is None else self._encode([s])[0] if isinstance(s, str) else self._join(map(get, s)) for s in split]
 
 
 class ChunkTokenizer(ChunkMemo):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentally.llm import ann, byte_bpe, exact_topk, langid, packing, quality, simhash
+from tokentally.llm import ann, byte_bpe, exact_topk, langid, packing, quality, secret_scan, simhash, token_counts
 from tokentally.llm.common import crc_fold, read_table
 
 
@@ -19,6 +19,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _joined(spans):
+    one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(one, ",")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = secret_scan.scan_secrets(docs, secret_scan.fit_secrets(docs))
+    spans = F.col("secret_spans")
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    base = _joined(F.filter(spans, lambda s: s["kind"] != secret_scan.ADDED_KIND))
+    return scanned.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(read_table(spark, sf_dir, "embeddings"))
 
@@ -35,6 +49,10 @@ def op7_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     named = langid.predict_languages(docs.select("doc_id", "text"), langid.fit_languages(docs))
@@ -50,8 +68,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op5_exact_topk, op6_byte_level_bpe,
-                                       op7_approximate_nearest, op9_language_id, op10_quality_classifier)}
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op4_secret_scan, op5_exact_topk, op6_byte_level_bpe,
+                                       op7_approximate_nearest, op8_token_counts, op9_language_id, op10_quality_classifier)}
 EXACT_TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
