@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentally.llm import ann, byte_bpe, exact_topk, langid, packing, quality, secret_scan, simhash, token_counts
+from tokentally.llm import ann, byte_bpe, exact_topk, langid, packing, quality, secret_scan, simhash, token_counts, url_filter
 from tokentally.llm.common import crc_fold, read_table
 
 
@@ -19,6 +19,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filter_urls(read_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def _joined(spans):
     one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return F.array_join(one, ",")
@@ -28,7 +33,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = secret_scan.scan_secrets(docs, secret_scan.fit_secrets(docs))
     spans = F.col("secret_spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    of_kind = lambda k: F.filter(spans, lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
     base = _joined(F.filter(spans, lambda s: s["kind"] != secret_scan.ADDED_KIND))
     return scanned.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
@@ -68,16 +74,60 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op4_secret_scan, op5_exact_topk, op6_byte_level_bpe,
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_url_filter, op4_secret_scan, op5_exact_topk, op6_byte_level_bpe,
                                        op7_approximate_nearest, op8_token_counts, op9_language_id, op10_quality_classifier)}
 EXACT_TOPK_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
       FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-LLM_SQL: dict[str, str] = {"op5_exact_topk": EXACT_TOPK_SQL}
+# The models of op3 in SQL: n-gram counts, interpolated log-probabilities level by level, weights, calibration.
+_LEVEL = """l{k} AS (SELECT c.g, c.na, c.nb,
+  ln((c.na + 2.0 * exp(t.la)) / (h.na + 2.0)) AS la, ln((c.nb + 2.0 * exp(t.lb)) / (h.nb + 2.0)) AS lb,
+  ln((c.na + 2.0 * exp(t.la)) / (h.na + 2.0)) - t.la - ln(2.0 / (h.na + 2.0)) AS ga,
+  ln((c.nb + 2.0 * exp(t.lb)) / (h.nb + 2.0)) - t.lb - ln(2.0 / (h.nb + 2.0)) AS gb
+  FROM c JOIN c h ON h.g = substring(c.g, 1, {k} - 1) JOIN l{j} t ON t.g = substring(c.g, 2, {k} - 1) WHERE length(c.g) = {k})"""
+URL_FILTER_SQL = """
+WITH r AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(url, '://([^/?#]*)([^?#]*)', 2) AS path FROM r),
+f AS (SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+u AS (SELECT url, count(*) AS n, any_value(rule) AS rule, any_value(rule) IN ('example.net/en/', 'org/fr/') AS ok,
+             substring(md5(url), 1, 1) IN ('0', '1', '2') AS held FROM f GROUP BY url),
+e AS (SELECT url, n, ok, chr(2) || url || chr(3) AS t, unnest(range(1, length(url) + 3)) AS i FROM u WHERE rule IS NOT NULL AND NOT held),
+ek AS (SELECT *, unnest([1, 2, 3, 4]) AS k FROM e),
+c AS (SELECT substring(t, i, k) AS g, coalesce(sum(n) FILTER (ok), 0)::DOUBLE AS na, coalesce(sum(n) FILTER (NOT ok), 0)::DOUBLE AS nb
+      FROM ek WHERE i + k <= length(t) + 1 GROUP BY 1 HAVING na >= 2 OR nb >= 2),
+tot AS (SELECT coalesce(sum(n * (length(url) + 2)) FILTER (ok), 0)::DOUBLE AS a, coalesce(sum(n * (length(url) + 2)) FILTER (NOT ok), 0)::DOUBLE AS b
+        FROM u WHERE rule IS NOT NULL AND NOT held),
+l1 AS (SELECT g, na, nb, ln((na + 2.0 / 256) / (a + 2.0)) AS la, ln((nb + 2.0 / 256) / (b + 2.0)) AS lb,
+              ln((na + 2.0 / 256) / (a + 2.0)) - ln(2.0 / 256 / (a + 2.0)) AS ga, ln((nb + 2.0 / 256) / (b + 2.0)) - ln(2.0 / 256 / (b + 2.0)) AS gb
+       FROM c, tot WHERE length(g) = 1),
+""" + ",\n".join(_LEVEL.format(k=k, j=k - 1) for k in (2, 3, 4)) + """,
+l AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4),
+w AS (SELECT g, CASE WHEN na >= 2 THEN ga + CASE WHEN length(g) < 4 AND NOT ends_with(g, chr(3)) THEN ln(2.0 / (na + 2.0)) ELSE 0 END ELSE 0 END
+              - CASE WHEN nb >= 2 THEN gb + CASE WHEN length(g) < 4 AND NOT ends_with(g, chr(3)) THEN ln(2.0 / (nb + 2.0)) ELSE 0 END ELSE 0 END AS w FROM l),
+x AS (SELECT url, chr(2) || url || chr(3) AS t, unnest(range(1, length(url) + 3)) AS i FROM u WHERE rule IS NULL OR held),
+xk AS (SELECT *, unnest([1, 2, 3, 4]) AS k FROM x),
+sums AS (SELECT xk.url, sum(w.w) AS w FROM xk JOIN w ON w.g = substring(xk.t, xk.i, xk.k) WHERE xk.i + xk.k <= length(xk.t) + 1 GROUP BY 1),
+s AS (SELECT u.*, coalesce(sums.w, 0) / (length(u.url) + 2) + ln((tot.b + 2.0) / (tot.a + 2.0)) AS score
+      FROM u LEFT JOIN sums USING (url), tot WHERE rule IS NULL OR held),
+b AS (SELECT greatest(-1000, least(1000, floor(score / 0.02)))::INT AS bin, coalesce(sum(n) FILTER (ok), 0) AS na, coalesce(sum(n) FILTER (NOT ok), 0) AS nb
+      FROM s WHERE rule IS NOT NULL GROUP BY 1),
+g AS (SELECT bin, sum(na) OVER (ORDER BY bin DESC) / greatest(sum(na) OVER (), 1) - sum(nb) OVER (ORDER BY bin DESC) / greatest(sum(nb) OVER (), 1) AS gain FROM b),
+th AS (SELECT coalesce((SELECT bin * 0.02 FROM g ORDER BY round(gain, 9) DESC, abs(bin), bin LIMIT 1), 0.0) AS th)
+SELECT f.page_id, f.host, f.path, f.rule,
+       CASE WHEN f.rule IS NOT NULL THEN CASE WHEN f.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' ELSE 'block' END
+            WHEN s.score >= th.th THEN 'allow' ELSE 'block' END AS verdict
+FROM f LEFT JOIN s ON s.url = f.url AND s.rule IS NULL, th
+"""
+
+LLM_SQL: dict[str, str] = {"op3_url_filter": URL_FILTER_SQL, "op5_exact_topk": EXACT_TOPK_SQL}
