@@ -28,6 +28,7 @@ LEVEL = 6
 MIN_MARGIN = 0.0005   # runner-up's extra size, as a share of the winner's
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
+COLUMNS = ("lang_pred", "lang_score", "lang_rejected")
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 

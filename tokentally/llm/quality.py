@@ -36,6 +36,7 @@ BINS = 1_000
 LOW, HIGH = -0.5, 1.5  # raw scores outside are counted in the end bins
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
+COLUMNS = ("quality_score", "quality_predicted")
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes(c for c in range(256) if c >= 128 or chr(c).isalpha())
@@ -198,7 +199,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "
     Null and empty texts are scored as texts without words. Without a model nothing is known against a
     document: score 1. Rows and other columns are kept; an empty table gives an empty result.
     """
-    kept = [f for f in docs.schema if f.name not in ("quality_score", "quality_predicted")]
+    kept = [f for f in docs.schema if f.name not in COLUMNS]
     schema = T.StructType([*kept, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
