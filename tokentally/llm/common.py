@@ -32,3 +32,10 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 def crc_fold(id_col: str, folds: int):
     """crc32 of the id's decimal text, modulo ``folds`` (null ids: of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes: texts differ widely in size."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "8388608"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):
+        df.sparkSession.conf.set(key, value)
+    return df

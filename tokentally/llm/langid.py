@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokentally.llm.common import crc_fold
+from tokentally.llm.common import crc_fold, small_batches
 
 SAMPLE_DOCS = 400     # labelled documents a language's dictionary is made of, in expectation
 SAMPLE_CHARS = 2_000  # of each sampled document
@@ -105,4 +105,4 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
                 [*[b.column(f.name) for f in kept], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
                  pa.array([x[2] for x in found], pa.bool_())], [f.name for f in schema])
 
-    return docs.select(*[F.col(f.name) for f in kept]).mapInArrow(run, schema)
+    return small_batches(docs).select(*[F.col(f.name) for f in kept]).mapInArrow(run, schema)

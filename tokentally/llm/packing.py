@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokentally.llm.byte_tokens import tokenizer
-from tokentally.llm.common import shared_table
+from tokentally.llm.common import shared_table, small_batches
 
 SIZE = 1024
 END_ID = 2
@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str
                      pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array([task] * len(row), pa.int32()),
                      pa.array(nth, pa.int64())], [f.name for f in schema.fields])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, int]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokentally.llm.common import checkpointed, crc_fold
+from tokentally.llm.common import checkpointed, crc_fold, small_batches
 
 FEATURES = 300
 BANDWIDTH = 3.0  # of the Gaussian kernel, in standard deviations
@@ -78,7 +78,7 @@ def with_statistics(docs: DataFrame, columns: list[str], text_col: str = "text")
             stats = [statistics(t) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(stats, pa.list_(pa.float64()))], [*columns, "stats"])
 
-    return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 @dataclass
@@ -209,4 +209,4 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                                              [f.name for f in schema])
 
-    return docs.select(*[F.col(f.name) for f in kept]).mapInArrow(run, schema)
+    return small_batches(docs).select(*[F.col(f.name) for f in kept]).mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokentally.llm.common import checkpointed
+from tokentally.llm.common import checkpointed, small_batches
 from tokentally.llm.graph import components
 from tokentally.llm.xxh import xxh64_ranges
 
@@ -107,7 +107,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             fp = fingerprints(b.column(1).to_pylist(), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _masks(radius: int, m: int) -> dict[int, np.ndarray]:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokentally.llm.byte_tokens import ChunkMemo, regular
+from tokentally.llm.common import small_batches
 
 _TRIE_MAX = 400_000       # nodes a worker keeps; then it starts again
 _GROUP_CHARS = 4_000_000  # text counted at once in a task
@@ -130,4 +131,4 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
                 held += n
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
