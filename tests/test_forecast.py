@@ -132,3 +132,18 @@ def test_series_key_may_not_shadow_internal_columns(spark):
     df = series(spark, [1.0] * 20, key="a").withColumnRenamed("k", "sigma")
     with pytest.raises(ValueError, match="sigma"):
         FC.fit_predict(df, ["sigma"])
+
+
+@pytest.mark.parametrize("level", [1e4, 1e6, 1e8, 1e10])
+def test_backtest_equals_refit_on_large_totals(spark, level):
+    import random
+    rng = random.Random(7)
+    df = series(spark, [level + rng.gauss(0, 1) for _ in range(120)])
+    (fast,), (slow,) = FC.backtest(df).collect(), FC.backtest_refit(df).collect()
+    assert fast["coverage"] == pytest.approx(slow["coverage"], abs=0.02)
+    assert fast["mae"] == pytest.approx(slow["mae"], rel=1e-2)
+
+
+def test_normalize_skips_nan(spark):
+    df = spark.createDataFrame([(dt.date(2025, 12, 10), 1.0), (dt.date(2025, 12, 10), float("nan"))], "ds date, y double")
+    assert [r["y"] for r in FC.normalize_daily(df).collect()] == [1.0]

@@ -263,3 +263,19 @@ def test_staged_table_gives_the_same_result(spark):
     for t in ("user_prompts", "api_requests", "tool_results"):
         assert sorted(map(tuple, a.tables.fact(t).collect())) == sorted(map(tuple, b.tables.fact(t).collect()))
     assert sorted(r["detail"] for r in a.rejects.collect()) == sorted(r["detail"] for r in b.rejects.collect())
+
+
+def test_employee_csv_standard_quoting_both_ways(spark):
+    import csv
+    rows = [("a@x.com", 'Ann "Bo" Lee', "P, Q", "L1", "Line one\nline two"), ("b@x.com", "plain", "P", "L2", 'back\\slash "q"')]
+    cols = ["email", "full_name", "practice", "level", "location"]
+    path = tempfile.mkdtemp(prefix="tt-csv-") + "/in.csv"
+    with open(path, "w", newline="") as f:
+        csv.writer(f).writerows([cols, *rows])
+    assert sorted(tuple(r) for r in I.read_employees_csv(spark, path).collect()) == rows
+    from tokentally.sources import export
+    out = tempfile.mkdtemp(prefix="tt-csv-") + "/out"
+    export.write_employees_csv(spark.createDataFrame(rows, cols).coalesce(1), out)
+    import glob
+    with open(glob.glob(out + "/part-*")[0], newline="") as f:
+        assert sorted(map(tuple, list(csv.reader(f))[1:])) == rows

@@ -57,7 +57,7 @@ def test_unpivot_share_and_normalize(spark):
     assert sh == {"a": 0.25, "b": 0.75}
     raw = spark.createDataFrame([("2025-12-02", "1.5"), ("bad", "2"), ("2025-12-01", "x")], "ds string, y string")
     out = R.normalize_series(raw, ["y"]).collect()
-    assert [(str(r["ds"]), r["y"]) for r in out] == [("2025-12-01", None), ("2025-12-02", 1.5)]
+    assert [(str(r["ds"]), r["y"]) for r in out] == [("2025-12-02", 1.5)]  # bad dates and bad numbers both drop
 
 
 def test_hot_value_is_split_over_partitions(spark):
@@ -81,3 +81,9 @@ def test_hot_value_is_split_over_partitions(spark):
 def test_level_order(spark):
     df = spark.createDataFrame([("L10",), ("L2",), ("L1",), ("L9",)], "level string")
     assert [r["level"] for r in R.level_sorted(df).collect()] == ["L1", "L2", "L9", "L10"]
+
+
+def test_normalize_series_drops_unusable_dates_and_numbers(spark):
+    from tokentally.operators import reshape
+    df = spark.createDataFrame([("2025-01-02", "1.5"), ("2025-01-01", "x"), ("bad", "2"), ("2025-01-01", "3"), (None, "4"), ("2025-01-03", None)], "ds string, y string")
+    assert [(str(r.ds), r.y) for r in reshape.normalize_series(df, ["y"]).collect()] == [("2025-01-01", 3.0), ("2025-01-02", 1.5)]

@@ -66,3 +66,31 @@ def test_redelivered_batches_can_be_dropped(spark):
     batch = I.ingest(I.read_batch_lines(spark, src + "/a"), D.employees_view(
         *[D.read_driver(spark, SF, n) for n in ("customer", "nation", "region")]), persist=False)
     assert S.read_stream_table(spark, out, "api_requests").count() == batch.tables.api_requests.count()
+
+
+def test_dedupe_never_drops_a_first_delivery(spark):
+    """Late first-time lines, malformed lines and empty batches reach tables or rejects with their line numbers."""
+    import json
+    import os
+    import time
+
+    def line(day, n):
+        attrs = {"session.id": f"s{n}", "user.email": "a@x.com", "event.timestamp": f"2025-12-{day:02d}T10:00:00.{n:03d}Z", "prompt_length": "5",
+                 "terminal.type": "t", "event.name": "user_prompt"}
+        message = json.dumps({"body": "claude_code.user_prompt", "attributes": attrs})
+        return json.dumps({"logEvents": [{"id": str(n), "timestamp": 1_766_000_000_000 + n, "message": message}]})
+
+    src, out, ck = (tempfile.mkdtemp(prefix=p) for p in ("tt-src5-", "tt-out5-", "tt-ck5-"))
+    feeds = [[line(20, n) for n in range(30)],
+             [line(20, n) for n in range(30, 40)] + ["not json"] * 5 + ['{"logEvents": []}'],
+             [line(5, n) for n in range(40, 50)],
+             [line(20, n) for n in range(30)] + ["again not json"]]  # the first file once more
+    for i, own in enumerate(feeds):
+        with open(f"{src}/f{i}.jsonl", "w") as f:
+            f.write("\n".join(own) + "\n")
+        os.utime(f"{src}/f{i}.jsonl", (time.time() - 100 + i, time.time() - 100 + i))
+    S.start_ingest_stream(spark, src, out, ck, max_files_per_trigger=1, dedupe_within="1 day").awaitTermination()
+    assert S.read_stream_table(spark, out, "user_prompts").count() == 50
+    rejects = S.read_stream_table(spark, out, "rejects").where("reason = 'malformed'")
+    assert sorted((os.path.basename(r.source_file), r.line) for r in rejects.collect()) == \
+        [("f1.jsonl", n) for n in range(11, 16)] + [("f3.jsonl", 31)]

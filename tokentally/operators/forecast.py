@@ -97,7 +97,8 @@ def normalize_daily(df: DataFrame, keys=(), ds: str = "ds", y: str = "y",
     (K17); otherwise an empty result.  Output: keys..., ds, y.
     """
     keys = _keys(keys)
-    d = df.select(*keys, F.to_date(F.col(ds)).alias("ds"), F.col(y).cast("double").alias("y"))
+    value = F.col(y).cast("double")
+    d = df.select(*keys, F.to_date(F.col(ds)).alias("ds"), F.when(~F.isnan(value), value).alias("y"))  # NaN counts as missing
     d, k = _with_key(d, keys)
     daily = d.groupBy(*k, "ds").agg(F.sum("y").alias("y"))
     ds0, ds1 = _date_lit(date_start), _date_lit(date_end)
@@ -300,15 +301,18 @@ def backtest(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: float =
     h, k = _with_key(history.select(*keys, "ds", F.col("y").cast("double").alias("y")), keys)
     cuts = cutoffs(h, k, horizon=horizon)
     start = F.min("ds").over(Window.partitionBy(*k))
-    d = h.select(*k, "ds", "y", start.alias("start")).select(
-        *k, "ds", "y", "start", _t(F.col("ds"), F.col("start")).alias("t"), F.dayofweek("ds").alias("dow"))
+    # Sums of squares cancel when y is large against its spread: work on y minus the series mean.
+    shift = F.avg("y").over(Window.partitionBy(*k))
+    d = h.select(*k, "ds", "y", start.alias("start"), shift.alias("shift")).select(
+        *k, "ds", (F.col("y") - F.col("shift")).alias("y"), "start", "shift",
+        _t(F.col("ds"), F.col("start")).alias("t"), F.dayofweek("ds").alias("dow"))
     w = Window.partitionBy(*k).orderBy("ds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     terms = _stat_terms(F.col("t"), F.col("y"))
     running = [F.sum(terms[s]).over(w).alias(s) for s in _STATS]
     for dw in range(1, 8):
         running += [F.sum(F.when(F.col("dow") == dw, terms[s]).otherwise(0.0)).over(w).alias(f"{s}{dw}")
                     for s in _STATS]
-    at_cut = d.select(*k, "ds", "start", *running) \
+    at_cut = d.select(*k, "ds", "start", "shift", *running) \
               .join(cuts.select(*k, F.col("cutoff").alias("ds")), [*k, "ds"], "left_semi")
     at_cut = at_cut.select(*k, F.col("ds").alias("cutoff"), *[c for c in at_cut.columns if c not in (*k, "ds")])
     # Few wide selects rather than a chain of withColumn calls (each of which
@@ -334,12 +338,12 @@ def backtest(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: float =
     p = p.select("*", F.when(F.col("n") > 1, F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n") - 1)))
                        .otherwise(F.lit(0.0)).alias("sigma"))
     season = F.coalesce(*[F.when(F.col("dow") == dw, F.col(f"s{dw}")) for dw in range(1, 8)])
-    params = p.select(*k, "cutoff", "start", "a", "b", "sigma", *[f"s{dw}" for dw in range(1, 8)])
-    days = params.select(*k, "cutoff", "start", "a", "b", "sigma", *[f"s{dw}" for dw in range(1, 8)],
+    params = p.select(*k, "cutoff", "start", "shift", "a", "b", "sigma", *[f"s{dw}" for dw in range(1, 8)])
+    days = params.select(*k, "cutoff", "start", "shift", "a", "b", "sigma", *[f"s{dw}" for dw in range(1, 8)],
                          F.explode(F.sequence(F.date_add("cutoff", 1), F.date_add("cutoff", horizon),
                                               F.expr("INTERVAL 1 DAY"))).alias("ds"))
     test = days.join(h, [*k, "ds"]).withColumn("dow", F.dayofweek("ds"))
-    yhat = F.col("a") + F.col("b") * _t(F.col("ds"), F.col("start")) + season
+    yhat = F.col("shift") + (F.col("a") + F.col("b") * _t(F.col("ds"), F.col("start")) + season)
     scored = test.select(*k, "cutoff", "y", yhat.alias("yhat"), "sigma")
     scored = scored.select(*k, "cutoff", "y", "yhat", (F.col("yhat") - F.lit(z) * F.col("sigma")).alias("yhat_lower"),
                            (F.col("yhat") + F.lit(z) * F.col("sigma")).alias("yhat_upper"))

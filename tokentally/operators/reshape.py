@@ -177,11 +177,11 @@ def with_share(df: DataFrame, value: str, share_col: str = "share") -> DataFrame
 
 
 def normalize_series(df: DataFrame, numeric: list[str], ds: str = "ds") -> DataFrame:
-    """Coerce ``ds`` to DATE and ``numeric`` to DOUBLE (bad values -> NULL),
-    drop rows without a date, order by date."""
+    """Coerce ``ds`` to DATE and ``numeric`` to DOUBLE, drop rows with an
+    unusable date or number, order by date."""
     cols = [F.col(c) for c in df.columns if c not in numeric and c != ds]
     return (df.select(F.col(ds).cast("string").try_cast("date").alias(ds),
                       *[F.col(c).cast("string").try_cast("double").alias(c) for c in numeric], *cols)
-              .where(F.col(ds).isNotNull())
+              .dropna(subset=[ds, *numeric])
               .orderBy(ds))
 

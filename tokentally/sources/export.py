@@ -57,4 +57,4 @@ def write_lines(lines: DataFrame, path: str) -> None:
 def write_employees_csv(employees: DataFrame, path: str) -> None:
     """Header + the five columns in order."""
     (employees.select(*EMPLOYEES.fieldNames())
-     .write.mode("overwrite").option("header", True).csv(path))
+     .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path))

@@ -190,7 +190,8 @@ def line_offsets(classified: DataFrame) -> DataFrame:
 
 def read_employees_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV, columns chosen by name (all text; no positional schema)."""
-    raw = spark.read.option("header", True).csv(path)
+    # Standard quoting: a doubled quote inside quotes, line breaks inside fields.
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     return raw.select(*EMPLOYEES.fieldNames())
 
 

@@ -30,23 +30,48 @@ from tokentally.sources.schemas import API_REQUESTS, FACT_SCHEMAS
 from tokentally.sources.tables import DEFAULT_BROADCAST_MAX_ROWS
 
 
-def _write_batch(output_root: str):
+_SEEN = "line_sha string, seen_at timestamp, batch_id bigint"
+
+
+def _drop_redelivered(batch: DataFrame, batch_id: int, seen_root: str, within: str) -> DataFrame:
+    """Rows of the micro-batch that were not delivered before (same text, within the delay).
+
+    Only lines that hold an event can be redeliveries; malformed and empty ones always
+    pass.  The micro-batch's own lines are added to the seen table; a retried batch
+    overwrites its own part and is not compared with it.
+    """
+    spark = batch.sparkSession
+    has_event = F.get_json_object("value", "$.logEvents[0]").isNotNull()
+    rows = batch.withColumn("line_sha", F.when(has_event, F.sha2("value", 256)))
+    first = rows.where("line_sha is not null").groupBy("line_sha").agg(F.min("row_id").alias("first_row"))
+    seen = spark.read.schema(_SEEN).parquet(seen_root).where(
+        (F.col("batch_id") != batch_id) & (F.col("seen_at") >= F.current_timestamp() - F.expr(f"INTERVAL {within}")))
+    new = first.join(seen, "line_sha", "left_anti")
+    first.select("line_sha", F.current_timestamp().alias("seen_at")).write.mode("overwrite") \
+        .parquet(f"{seen_root}/batch_id={batch_id}")
+    kept = rows.join(new.select(F.col("first_row").alias("row_id")), "row_id", "left_semi")
+    return kept.unionByName(rows.where("line_sha is null")).drop("line_sha")
+
+
+def _write_batch(output_root: str, dedupe_within: str | None = None):
     root = output_root.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # row ids are per micro-batch (a plain DataFrame here)
-        batch = batch.withColumn("row_id", F.monotonically_increasing_id())
-        classified = classify_lines(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        # row ids are per micro-batch (a plain DataFrame here), given before any line is dropped
+        batch = batch.withColumn("row_id", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        lines = _drop_redelivered(batch, batch_id, f"{root}/seen_lines", dedupe_within) if dedupe_within else batch
+        classified = classify_lines(lines).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for t in FACT_SCHEMAS:
                 (project_table(classified, t).withColumn("event_date", event_day("timestamp"))
                  .write.mode("overwrite").partitionBy("event_date")
                  .parquet(f"{root}/{t}/batch_id={batch_id}"))
             # every file lies wholly inside one micro-batch, so line numbers are exact
-            rejects_of(classified, line_offsets(classified)).write.mode("overwrite") \
+            rejects_of(classified, line_offsets(batch)).write.mode("overwrite") \
                 .parquet(f"{root}/rejects/batch_id={batch_id}")
         finally:
             classified.unpersist()
+            batch.unpersist()
     return write
 
 
@@ -57,22 +82,20 @@ def start_ingest_stream(spark: SparkSession, source_dir: str, output_root: str,
     """Watch ``source_dir`` for JSONL batch files and ingest each new file once.
 
     ``dedupe_within`` (e.g. "1 hour"): drop a batch line delivered again (same
-    text) while its first event is within that delay of the latest event seen.
-    State is bounded by the watermark.  Off by default, as in the batch ingest
-    (K15).
+    text) within that time of an earlier delivery.  Lines are compared with a
+    table of seen lines under ``output_root``; a line never seen is never
+    dropped, however late its events, and malformed or empty lines always reach
+    the rejects.  Off by default, as in the batch ingest (K15).
     """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = file_columns(reader.load(source_dir))
     if dedupe_within:
-        first_ms = F.get_json_object("value", "$.logEvents[0].timestamp").try_cast("bigint")
-        lines = (lines.withColumn("_line_hash", F.xxhash64("value"))
-                      .withColumn("_first_event", F.timestamp_millis(F.coalesce(first_ms, F.lit(0))))
-                      .withWatermark("_first_event", dedupe_within)
-                      .dropDuplicatesWithinWatermark(["_line_hash"])
-                      .drop("_line_hash", "_first_event"))
-    w = lines.writeStream.foreachBatch(_write_batch(output_root)).option("checkpointLocation", checkpoint)
+        # an empty part, so that the first micro-batch finds a table of seen lines
+        spark.createDataFrame([], "line_sha string, seen_at timestamp").write.mode("overwrite") \
+            .parquet(f"{output_root.rstrip('/')}/seen_lines/batch_id=-1")
+    w = lines.writeStream.foreachBatch(_write_batch(output_root, dedupe_within)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
 
