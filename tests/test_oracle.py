@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import duckdb
 import pytest
@@ -11,6 +12,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
+TRAINING_DATA = re.compile(r"op\d+_|pipeline$")  # tested in their own folder
 SLOW = {"e1_stream_ingest_api_requests", "e2_stream_daily_cost"}
 
 
@@ -31,7 +33,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle_or_is_documented():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = {n for n in set(E.queries()) - set(E.oracle_sql()) if not TRAINING_DATA.match(n)}
     assert missing == {"s15_reject_summary"}
 
 

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-SIDE_EFFECTS = re.compile(r"^(s\d+_|e\d+_)")   # these run jobs of their own; covered elsewhere
+SIDE_EFFECTS = re.compile(r"^(s\d+_|e\d+_|op\d+_|pipeline$)")   # these run jobs of their own; covered elsewhere
 
 
 def explain(df) -> str:
