@@ -4,7 +4,7 @@
 Every query reads the driver's parquet tables through the mapping in
 ``tokentally.sources.driver_tables`` and runs over the whole tables.
 ``oracle_sql()`` gives independent DuckDB SQL over the same parquet views
-(all but ``s15_reject_summary``, whose locations depend on the file layout).
+(the training-data queries only where SQL can express them).
 DOUBLE results are rounded on both sides the same way -- shortest decimal text,
 12 places, then 6 (cents for forecast money values) -- because summation order differs between
 engines in the last bits.
@@ -19,15 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokentally.functions.columns import event_day, level_rank
 from tokentally.operators import forecast as FC
-from tokentally.operators.filters import Filters
+from tokentally.operators.filters import Filters, invalid_values
+from tokentally.operators.reshape import level_sorted, normalize_series
 from tokentally.plans import catalog
 from tokentally.plans import forecasts as FP
 from tokentally.plans import oracle as O
 from tokentally.plans.reshaped import RESHAPED
+from tokentally.session import scratch_path
 from tokentally.sources import driver_tables as D
 from tokentally.sources import ingest as I
 from tokentally.sources.driver_tables import driver_tables
+from tokentally.sources.schemas import FACT_SCHEMAS
+from tokentally.sources.tables import Tables
 
 # The training-data operators (subpackage llm) and their pipeline are optional.
 try:
@@ -40,8 +45,8 @@ except ModuleNotFoundError as missing:
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
-# Registered queries cover the whole driver data (all of January 2024 lies in this year).
-FULL = dict(date_start=_dt.date(2024, 1, 1), date_end=_dt.date(2024, 12, 31))
+# Registered queries cover the whole driver data: no date bounds, no lists.
+FULL: dict = {}
 # Filter features: a window that cuts weekly sessions (K3) and the three list filters.
 WINDOW = dict(date_start=_dt.date(2024, 1, 5), date_end=_dt.date(2024, 1, 20))
 LISTS = dict(practices=("AUTOMOBILE", "BUILDING", "MACHINERY"),
@@ -81,13 +86,14 @@ FILTERED = [
 def round_doubles(df: DataFrame, digits: int = 6, per_col: dict | None = None) -> DataFrame:
     """Round DOUBLE columns in two decimal steps (12 places, then ``digits``).
 
+    A value that is no finite decimal(38,12) raises (ANSI cast) instead of turning NULL.
     The first step absorbs last-bit noise of summation order, so values that sit
     exactly on a rounding tie (averages of cent amounts) round the same way in
     every engine; the oracle SQL does the same.
     """
     per_col = per_col or {}
     return df.select(*[
-        F.round(F.col(f.name).try_cast("decimal(38,12)"), per_col.get(f.name, digits)).cast("double").alias(f.name)
+        F.round(F.col(f.name).cast("decimal(38,12)"), per_col.get(f.name, digits)).cast("double").alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
@@ -129,6 +135,9 @@ F1_RANGE = dict(date_start=_dt.date(2023, 12, 28), date_end=_dt.date(2024, 2, 10
 _MONEY = ("yhat", "yhat_lower", "yhat_upper", "actual_cost", "expected_cost", "residual", "mae")
 FORECAST_ROUND = {
     "f1_normalize_daily": {"y": 4},
+    "f1_nan_totals": {"y": 2},
+    "f6_summary_anomalies": {c: 2 for c in _MONEY[3:6]},
+    "f6_summary_metrics": {"mae": 2, "mape": 6, "coverage": 6},
     "f2_fit_predict": {c: 2 for c in _MONEY[:3]},
     "f3_anomalies": {c: 2 for c in _MONEY[3:6]},
     "f4_backtest": {"mae": 2, "mape": 6, "coverage": 6},
@@ -174,7 +183,23 @@ def _f6_daily_forecast(spark, sf_dir):
     return round_doubles(FP.daily_cost_forecast(driver_tables(spark, sf_dir), _filters(FULL)).forecast, per_col=FORECAST_ROUND["f6_daily_cost_forecast"])
 
 
+def _f1_nan(spark, sf_dir):
+    """F1 where every 11th order total is NaN: it counts as missing, not as a NaN day."""
+    o = FP.orders_raw(spark, sf_dir, nan_rule=(11, 3))
+    return round_doubles(FC.normalize_daily(o, ["priority"]), per_col=FORECAST_ROUND["f1_nan_totals"])
+
+
+def _f6_orders(output: str, key: str):
+    def run(spark, sf_dir):
+        out = getattr(FC.forecast_summary(FP.orders_raw(spark, sf_dir), ["priority"]), output)
+        return round_doubles(out, per_col=FORECAST_ROUND[key])
+    return run
+
+
 FORECAST = {
+    "f1_nan_totals": _f1_nan,
+    "f6_summary_anomalies": _f6_orders("anomalies", "f3_anomalies"),
+    "f6_summary_metrics": _f6_orders("metrics", "f4_backtest"),
     "f1_normalize_daily": _f1,
     "f2_fit_predict": _f2,
     "f3_anomalies": _f3,
@@ -201,10 +226,6 @@ def _reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rej.groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _reject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.reject_summary(D.ingest_roundtrip(spark, sf_dir).rejects)
-
-
 def _pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S20 output parsed back: per batch its size, first/last event and date parts."""
     lines = D.pack_batches(D.telemetry_events(D.read_driver(spark, sf_dir, "events")),
@@ -220,7 +241,6 @@ def _pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_ingest(spark: SparkSession, sf_dir: str, table: str = "api_requests") -> DataFrame:
     """JSONL files -> streaming ingest (several micro-batches) -> table."""
-    from tokentally.session import scratch_path
     from tokentally.sources.export import write_lines
     from tokentally.streaming import ingest_stream as S
     src = scratch_path(spark, "stream-src")
@@ -236,7 +256,6 @@ def _e1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watermarked daily cost per practice over the streamed requests."""
-    from tokentally.session import scratch_path
     from tokentally.streaming import ingest_stream as S
     _, out = _stream_ingest(spark, sf_dir)
     emp = D.employees_view(D.read_driver(spark, sf_dir, "customer"), D.read_driver(spark, sf_dir, "nation"),
@@ -246,6 +265,73 @@ def _e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(spark.read.parquet(res))
 
 
+def _csv_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S21 then S2 with quotes, commas and line breaks in every name."""
+    name = F.concat(F.lit('Ann "Bo", '), F.col("full_name"), F.lit("\nJr. \"X\""))
+    return D.employees_csv_roundtrip(spark, sf_dir, name)
+
+
+def _tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S16/S17 write, S19 read: rows per table and day, and rows under a wrong day."""
+    path = scratch_path(spark, "curated")
+    D.driver_tables(spark, sf_dir).write_parquet(path)
+    back = Tables.from_parquet(spark, path)
+    out = back.employees.agg(F.lit("employees").alias("table_name"), F.lit(None).cast("date").alias("day"),
+                             F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("bigint").alias("misplaced"))
+    for t in FACT_SCHEMAS:
+        out = out.unionByName(back.fact(t).groupBy(F.lit(t).alias("table_name"), F.col("event_date").alias("day")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_if(event_day("timestamp") != F.col("event_date")).alias("misplaced")))
+    return out
+
+
+def _bad_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employees with an empty name or no practice go to the rejects, the others stay."""
+    emp, n = D.driver_tables(spark, sf_dir).employees, D.employee_number()
+    valid, bad = I.split_employees(
+        emp.withColumn("full_name", F.when(n % 11 == 4, F.lit(" ")).otherwise(F.col("full_name")))
+           .withColumn("practice", F.when(n % 13 != 5, F.col("practice"))))
+    return valid.select("email", F.lit("kept").alias("outcome")).unionByName(
+        bad.select(F.get_json_object("raw", "$.email").alias("email"), F.col("reason").alias("outcome")))
+
+
+def _unknown_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 with users missing from the directory: their events drop out."""
+    tables = D.without_employees(D.driver_tables(spark, sf_dir), (7, 3))
+    return round_doubles(catalog.run("q12_usage_by_practice", tables, _filters(FULL)))
+
+
+def _invalid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requested values that the directory does not have."""
+    return invalid_values(_filters(dict(practices=("BUILDING", "Alchemy"), levels=("L1", "L11"), locations=("ASIA", "asia"))),
+                          D.driver_tables(spark, sf_dir).employees)
+
+
+def _level_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 over the session counts per level."""
+    counts = catalog.run("q13_usage_by_level", driver_tables(spark, sf_dir), _filters(FULL))
+    return level_sorted(counts.withColumn("rank", level_rank("level")))
+
+
+def _dirty_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 where some days and numbers are no longer usable text."""
+    q = catalog.run("q9_daily_cost_totals", driver_tables(spark, sf_dir), _filters(FULL))
+    day = F.dayofmonth("ds")
+    raw = q.select(F.when(day % 7 == 3, F.lit("no date")).otherwise(F.col("ds").cast("string")).alias("ds"),
+                   F.when(day % 5 == 0, F.lit("x")).otherwise(F.col("y").cast("string")).alias("y"))
+    return round_doubles(normalize_series(raw, ["y"]))
+
+
+# Cases that the clean tables don't show: dirty text, bad directories, unknown users, tables written and read back.
+CASES = {
+    "d5_invalid_values": _invalid_values,
+    "j1_unknown_users": _unknown_users,
+    "p7_level_sorted": _level_sorted,
+    "p9_dirty_series": _dirty_series,
+    "s16_tables_roundtrip": _tables_roundtrip,
+    "s18_bad_directory": _bad_directory,
+    "s21_employees_csv_quoting": _csv_quoting,
+}
+
 INGEST = {
     "e1_stream_ingest_api_requests": (_e1, "api_requests"),
     "e2_stream_daily_cost": (_e2, "stream_daily_cost"),
@@ -256,7 +342,7 @@ INGEST = {
     "s12_ingest_api_errors": (_ingest_table("api_errors"), "api_errors"),
     "s14_ingest_counts": (_ingest_counts, "counts"),
     "s13_reject_counts": (_reject_counts, "reject_counts"),
-    "s15_reject_summary": (_reject_summary, None),
+    "s15_reject_summary": (D.reject_summary_by_part, "reject_summary"),
     "s20_pack_batches": (_pack_batches, "pack"),
     "s21_employees_csv_roundtrip": (D.employees_csv_roundtrip, "employees"),
 }
@@ -279,6 +365,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for rid in RESHAPED:
         out[rid] = _reshaped(rid)
     out.update(FORECAST)
+    out.update(CASES)
     if LLM is not None:
         out.update(LLM.LLM_QUERIES)
         out["pipeline"] = corpus_pipeline.run
@@ -295,14 +382,13 @@ def oracle_sql() -> dict[str, str]:
         out[rid] = O.round_cols(sql, ROUND.get(qid, []))
     for rid, sql in O.reshape_sql(O.SqlFilter(**FULL)).items():
         out[rid] = O.round_cols(sql, ROUND.get(rid, []))
-    fsql = O.forecast_sql(O.SqlFilter(**FULL), FC.Z_80, FC.PERIODS,
-                          F1_RANGE["date_start"], F1_RANGE["date_end"])
+    fsql = O.forecast_sql(O.SqlFilter(**FULL), 1.2816, 14, F1_RANGE["date_start"], F1_RANGE["date_end"])
     for rid, sql in fsql.items():
         out[rid] = O.round_cols(sql, FORECAST_ROUND.get(rid, {}))
     ing = O.ingest_sql()
     for rid, (_, key) in INGEST.items():
-        if key is not None:
-            out[rid] = ing[key]
+        out[rid] = ing[key]
+    out.update(O.case_sql())
     if LLM is not None:
         out.update(LLM.LLM_SQL)
         if corpus_pipeline.ORACLE_SQL is not None:

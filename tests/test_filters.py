@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from tokentally.operators.filters import Domains, Filters
+from tokentally.operators.filters import Domains, Filters, invalid_values
 
 
 def test_valid_filter_parses_dates():
@@ -40,3 +40,17 @@ def test_domains_from_the_directory(spark):
     d = Domains.from_employees(make_tables(spark).employees)
     assert d.practices == frozenset({"Backend Engineering", "Frontend Engineering"})
     assert d.levels == frozenset({"L5", "L3"}) and d.locations == frozenset({"Germany", "Poland"})
+
+
+def test_open_ended_dates_keep_every_row(spark):
+    df = spark.createDataFrame([(dt.datetime(y, 1, 1),) for y in (1999, 2024, 2031)], "timestamp timestamp_ntz")
+    years = lambda **kw: sorted(r[0].year for r in df.where(Filters(domains=None, **kw).date_predicate(df)).collect())
+    assert years() == [1999, 2024, 2031]
+    assert years(date_start="2024-01-01") == [2024, 2031] and years(date_end="2024-01-01") == [1999, 2024]
+
+
+def test_invalid_values_against_the_directory(spark):
+    emp = spark.createDataFrame([("ML", "L1", "UK")], "practice string, level string, location string")
+    f = Filters(practices=("ML", "AI"), levels=("L1",), domains=None)
+    assert [tuple(r) for r in invalid_values(f, emp).collect()] == [("practice", "AI")]
+    assert invalid_values(Filters(domains=None), emp).count() == 0

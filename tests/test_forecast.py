@@ -123,11 +123,19 @@ def test_running_sum_backtest_equals_refit(spark):
 
 def test_degenerate_series_is_a_forecast_error(spark):
     ys = [1.0] * 20
-    ys[5] = float("nan")              # e.g. a cost of "nan" passed the parser, as in the reference
+    ys[5] = float("inf")
     (st,) = FC.forecast_summary(series(spark, ys)).status.collect()
     assert st["status"] == "forecast_error" and st["message"].startswith(FC.MSG_FAILED)
 
 
+def test_nan_cost_counts_as_missing(spark):
+    ys = [1.0] * 20
+    ys[5] = float("nan")              # a sum skips NaN, as in the reference: the day is 0
+    s = FC.forecast_summary(series(spark, ys))
+    assert s.status.first()["status"] == "ok"
+    assert sorted(r["y"] for r in s.history.collect()) == [0.0] + [1.0] * 19
+
+
 def test_series_key_may_not_shadow_internal_columns(spark):
     df = series(spark, [1.0] * 20, key="a").withColumnRenamed("k", "sigma")
     with pytest.raises(ValueError, match="sigma"):

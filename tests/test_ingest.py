@@ -143,6 +143,8 @@ def test_reject_summary_keeps_counts_and_first_locations(spark):
     s = {r["reason"]: r for r in I.reject_summary(ingest_lines(spark, lines).rejects).collect()}
     assert s["malformed"]["count"] == 12 and len(s["malformed"]["first_locations"]) == 10
     assert s["unknown_types"]["count"] == 3
+    assert s["missing_fields"]["count"] == 0 and s["missing_fields"]["first_locations"] == []
+    assert s["total_skipped"]["count"] == 15
 
 
 def test_duplicate_employee_email_fails(spark):

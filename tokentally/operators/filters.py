@@ -17,6 +17,7 @@ DEFAULT_PRACTICES = (
     "Backend Engineering", "Frontend Engineering",
 )
 DEFAULT_LEVELS = tuple(f"L{i}" for i in range(1, 11))
+MAX_DOMAIN = 10_000
 DEFAULT_LOCATIONS = ("United States", "Germany", "United Kingdom", "Poland", "Canada")
 
 
@@ -30,14 +31,14 @@ class Domains:
 
     @classmethod
     def from_employees(cls, employees: DataFrame) -> "Domains":
-        """Domains read from the dimension itself.  The distinct sets are tiny
-        (a few values each); they are aggregated on the cluster first."""
-        row = employees.agg(
-            F.collect_set("practice").alias("p"),
-            F.collect_set("level").alias("l"),
-            F.collect_set("location").alias("c"),
-        ).first()
-        return cls(frozenset(row["p"]), frozenset(row["l"]), frozenset(row["c"]))
+        """Domains read from the dimension itself: distinct values made on the cluster;
+        more than ``MAX_DOMAIN`` of them raise instead of reaching the driver."""
+        def values(col: str) -> frozenset:
+            rows = employees.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_DOMAIN + 1).collect()
+            if len(rows) > MAX_DOMAIN:
+                raise ValueError(f"{col} has more than {MAX_DOMAIN} values: pass Domains, or domains=None")
+            return frozenset(r[0] for r in rows)
+        return cls(values("practice"), values("level"), values("location"))
 
 
 def _as_date(value, name: str) -> _dt.date:
@@ -58,27 +59,29 @@ def _as_date(value, name: str) -> _dt.date:
 
 @dataclass(frozen=True)
 class Filters:
-    """Date range (both ends inclusive) plus three allow-lists; empty list = no filter.
+    """Date range (both ends inclusive, ``None`` = no bound) plus three allow-lists;
+    empty list = no filter.
 
     Validation (D5) runs on construction and raises ``ValueError``.
     """
 
-    date_start: _dt.date
-    date_end: _dt.date
+    date_start: _dt.date | None = None
+    date_end: _dt.date | None = None
     practices: tuple = ()
     levels: tuple = ()
     locations: tuple = ()
     domains: Domains | None = field(default_factory=Domains, compare=False)
 
     def __post_init__(self):
-        object.__setattr__(self, "date_start", _as_date(self.date_start, "date_start"))
-        object.__setattr__(self, "date_end", _as_date(self.date_end, "date_end"))
+        for name in ("date_start", "date_end"):
+            value = getattr(self, name)
+            object.__setattr__(self, name, None if value is None else _as_date(value, name))
         for name in ("practices", "levels", "locations"):
             vals = getattr(self, name)
             if isinstance(vals, str):
                 vals = (vals,)
             object.__setattr__(self, name, tuple(vals or ()))
-        if self.date_start > self.date_end:
+        if None not in (self.date_start, self.date_end) and self.date_start > self.date_end:
             raise ValueError(
                 f"date_start ({self.date_start}) must be <= date_end ({self.date_end})"
             )
@@ -106,9 +109,12 @@ class Filters:
         """CAST(ts AS DATE) BETWEEN start AND end.  Catalyst turns it into a
         timestamp range that reaches the Parquet scan; on curated tables the same
         range on ``event_date`` prunes partitions."""
-        cond = event_day(ts_col).between(F.lit(self.date_start), F.lit(self.date_end))
-        if "event_date" in df.columns:
-            cond = cond & F.col("event_date").between(F.lit(self.date_start), F.lit(self.date_end))
+        cond = F.lit(True)
+        for day in [event_day(ts_col)] + [F.col(c) for c in df.columns if c == "event_date"]:
+            if self.date_start is not None:
+                cond = cond & (day >= F.lit(self.date_start))
+            if self.date_end is not None:
+                cond = cond & (day <= F.lit(self.date_end))
         return cond
 
     def employee_predicate(self):
@@ -122,6 +128,18 @@ class Filters:
         return cond
 
 
+def invalid_values(filters: Filters, employees: DataFrame) -> DataFrame:
+    """D5 against the directory itself: (field, value) for every requested practice,
+    level or location that no employee has.  An anti-join; nothing reaches the driver."""
+    asked = [(field, v) for field, vals in (("practice", filters.practices), ("level", filters.levels),
+                                            ("location", filters.locations)) for v in vals]
+    wanted = employees.sparkSession.createDataFrame(asked, "field string, value string").distinct()
+    known = employees.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("practice", "level", "location")
+    ])).alias("kv")).select("kv.*").distinct()
+    return wanted.join(known, ["field", "value"], "left_anti")
+
+
 def filtered_fact(tables, fact: str | DataFrame, filters: Filters,
                   ts_col: str = "timestamp",
                   employee_cols: Iterable[str] = ("practice", "level", "location",

@@ -97,10 +97,20 @@ def normalize_daily(df: DataFrame, keys=(), ds: str = "ds", y: str = "y",
     (K17); otherwise an empty result.  Output: keys..., ds, y.
     """
     keys = _keys(keys)
+    return _drop_key(*_fill_days(*_daily_totals(df, keys, ds, y), date_start, date_end))
+
+
+def _daily_totals(df: DataFrame, keys: list[str], ds: str, y: str) -> tuple[DataFrame, list[str]]:
+    """(keys..., ds, y, n): one row per series and day with its sum and its raw row count."""
     value = F.col(y).cast("double")
     d = df.select(*keys, F.to_date(F.col(ds)).alias("ds"), F.when(~F.isnan(value), value).alias("y"))  # NaN counts as missing
     d, k = _with_key(d, keys)
-    daily = d.groupBy(*k, "ds").agg(F.sum("y").alias("y"))
+    return d.groupBy(*k, "ds").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")), k
+
+
+def _fill_days(daily: DataFrame, k: list[str], date_start, date_end) -> tuple[DataFrame, list[str]]:
+    """The gap-filled series (keys..., ds, y) of daily totals; see ``normalize_daily``."""
+    keys = [] if k == [_NOKEY] else k
     ds0, ds1 = _date_lit(date_start), _date_lit(date_end)
     if keys:
         bounds = daily.groupBy(*k).agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
@@ -114,8 +124,7 @@ def normalize_daily(df: DataFrame, keys=(), ds: str = "ds", y: str = "y",
     spans = bounds.select(*k, start.alias("s"), end.alias("e")) \
                   .where(F.col("s").isNotNull() & F.col("e").isNotNull() & (F.col("s") <= F.col("e")))
     days = spans.select(*k, F.explode(F.sequence("s", "e", F.expr("INTERVAL 1 DAY"))).alias("ds"))
-    out = days.join(daily, [*k, "ds"], "left").select(*k, "ds", F.coalesce("y", F.lit(0.0)).alias("y"))
-    return _drop_key(out, k)
+    return days.join(daily, [*k, "ds"], "left").select(*k, "ds", F.coalesce("y", F.lit(0.0)).alias("y")), k
 
 
 # ---------------------------------------------------------------------------------------
@@ -371,8 +380,8 @@ def backtest_refit(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: fl
 
 @dataclass
 class ForecastSummary:
-    """The outputs of F6; they read two small checkpointed frames (daily history
-    and fitted days)."""
+    """The outputs of F6; they read small checkpointed frames (daily totals, daily
+    history and fitted days), never the raw rows."""
 
     status: DataFrame      # keys..., status, message, history_days
     history: DataFrame     # keys..., ds, y
@@ -387,24 +396,22 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
 
     insufficient_data: no rows, or fewer than 14 days after F1;
     forecast_error:    the fit is degenerate (non-finite coefficients);
-    ok:                message set when there are fewer than 44 days (no metrics).
+    ok:                message set when there are fewer than 44 days (no metrics); a
+                       gap-filled series of 44 days always has a cut-off.
+    The raw rows are read once, for the daily totals with their row counts.
     """
     keys = _keys(keys)
-    # The daily history (days x series rows) and the fitted days are small and
+    # Daily totals, daily history (days x series rows) and fitted days are small and
     # read several times below: checkpoint them to the shared folder once, which
     # cuts their lineage and keeps the plans of the four outputs short.
     ensure_checkpoint_dir(df.sparkSession)
-    hist = normalize_daily(df, keys, ds, y, date_start, date_end).checkpoint(eager=True)
-    h, k = _with_key(hist, keys)
+    totals, k = _daily_totals(df, keys, ds, y)
+    totals = totals.checkpoint(eager=True)
+    h = _fill_days(totals, k, date_start, date_end)[0].checkpoint(eager=True)
     if not keys:
-        return _single_series_summary(df, h, k, periods)
+        return _single_series_summary(totals, h, k, periods)
     n = h.groupBy(*k).agg(F.count(F.lit(1)).alias("history_days"))
-    if keys:
-        rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_rows"))
-    else:
-        # A global aggregate always yields one row, so an empty input gets a status too.
-        rows = df.agg(F.count(F.lit(1)).alias("raw_rows")).withColumn(_NOKEY, F.lit(0))
-    base = rows.join(n, k, "left").select(
+    base = totals.groupBy(*k).agg(F.sum("n").alias("raw_rows")).join(n, k, "left").select(
         *k, "raw_rows", F.coalesce("history_days", F.lit(0)).cast("bigint").alias("history_days"))
     ok_h = h.join(base.where(F.col("history_days") >= HISTORY_MIN_DAYS).select(*k), k, "left_semi")
     # One fit per series over history + future days; read by status, forecast and
@@ -412,16 +419,8 @@ def forecast_summary(df: DataFrame, keys=(), ds: str = "ds", y: str = "y", perio
     fitted = fit_rows(_with_future(ok_h, k, periods), k).checkpoint(eager=True)
     bad_fit = fitted.groupBy(*k).agg(
         F.max(F.when(F.col("yhat").isNull() | F.isnan("yhat"), 1).otherwise(0)).alias("_bad"))
-    status = base.join(bad_fit, k, "left").withColumn("_bad", F.col("_bad") == 1).select(
-        *k, "history_days",
-        F.when(F.col("raw_rows") == 0, F.lit("insufficient_data"))
-         .when(F.col("history_days") < HISTORY_MIN_DAYS, F.lit("insufficient_data"))
-         .when(F.col("_bad"), F.lit("forecast_error"))
-         .otherwise(F.lit("ok")).alias("status"),
-        F.when(F.col("raw_rows") == 0, F.lit(MSG_NO_DATA))
-         .when(F.col("history_days") < HISTORY_MIN_DAYS, F.lit(MSG_SHORT))
-         .when(F.col("_bad"), F.lit(MSG_FAILED + "degenerate series"))
-         .when(F.col("history_days") < CV_MIN_DAYS, F.lit(MSG_NO_CV)).alias("message"))
+    status = base.join(bad_fit, k, "left").select(
+        *k, *_status_cols(F.col("raw_rows"), F.col("history_days"), F.coalesce(F.col("_bad") == 1, F.lit(False))))
     good = status.where(F.col("status") == "ok").select(*k)
     anomalies = detect_anomalies(fitted.where(F.col("y").isNotNull()).join(good, k, "left_semi"), k)
     fut = fitted.where(F.col("y").isNull()).join(good, k, "left_semi") \
@@ -449,17 +448,17 @@ def _status_cols(raw_rows: Column, days: Column, bad: Column) -> list[Column]:
     ]
 
 
-def _single_series_summary(df: DataFrame, h: DataFrame, k: list[str], periods: int) -> ForecastSummary:
+def _single_series_summary(totals: DataFrame, h: DataFrame, k: list[str], periods: int) -> ForecastSummary:
     """F6 for one series: the counts and the fit flag are scalar subqueries, so
     no output needs a join (a join on the constant series key would be a cross
     join)."""
-    raw_rows = df.agg(F.count(F.lit(1))).scalar()
+    raw_rows = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     days = h.agg(F.count(F.lit(1))).scalar()
     enough = days >= HISTORY_MIN_DAYS
     fitted = fit_rows(_with_future(h.where(enough), k, periods), k).checkpoint(eager=True)
     bad = F.coalesce(fitted.agg(F.max(F.col("yhat").isNull() | F.isnan("yhat"))).scalar(), F.lit(False))
     ok = (raw_rows > 0) & enough & ~bad
-    status = df.sparkSession.range(1).select(*_status_cols(raw_rows, days, bad))
+    status = h.sparkSession.range(1).select(*_status_cols(raw_rows, days, bad))
     anomalies = detect_anomalies(fitted.where(F.col("y").isNotNull() & ok), k)
     fut = fitted.where(F.col("y").isNull() & ok).select(*k, "ds", "yhat", "yhat_lower", "yhat_upper")
     metrics = backtest(h.where(ok & (days >= CV_MIN_DAYS)), k)

@@ -170,9 +170,9 @@ def level_sorted(df: DataFrame, col: str = "level") -> DataFrame:
 
 
 def with_share(df: DataFrame, value: str, share_col: str = "share") -> DataFrame:
-    """Value / total of value (pie shares).  The total is a scalar subquery:
-    one global aggregate, evaluated once, with no join."""
-    total = df.agg(F.sum(F.col(value)).cast("double")).scalar()
+    """Value / total of value (pie shares) of a query result with one row per
+    category.  The total is a window over those few rows, so the facts are read once."""
+    total = F.sum(F.col(value)).over(Window.partitionBy()).cast("double")
     return df.withColumn(share_col, F.try_divide(F.col(value).cast("double"), total))
 
 

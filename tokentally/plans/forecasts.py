@@ -16,11 +16,15 @@ def practice_daily_cost(tables, filters: Filters) -> DataFrame:
     return q.select("practice", F.col("date").alias("ds"), F.col("total_cost").alias("y"))
 
 
-def orders_raw(spark: SparkSession, root: str) -> DataFrame:
-    """Order totals per priority and day (one row per order)."""
+def orders_raw(spark: SparkSession, root: str, nan_rule: tuple[int, int] | None = None) -> DataFrame:
+    """Order totals per priority and day (one row per order); ``nan_rule`` (m, r) puts NaN
+    where the order key is r modulo m."""
     o = spark.read.parquet(f"{root.rstrip('/')}/orders.parquet")
+    total = F.col("o_totalprice").cast("double")
+    if nan_rule:
+        total = F.when(F.col("o_orderkey") % nan_rule[0] == nan_rule[1], F.lit(float("nan"))).otherwise(total)
     return o.select(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("ds"),
-                    F.col("o_totalprice").alias("y"))
+                    total.alias("y"))
 
 
 def orders_daily(spark: SparkSession, root: str) -> DataFrame:

@@ -8,8 +8,6 @@ Queries affected by the prompt fan-out (K1) are written here the direct way
 
 from __future__ import annotations
 
-from tokentally.plans.overview import CACHE_SAVINGS_PER_TOKEN
-
 MAPPING_CTES = """
 employees AS (
   SELECT 'user' || CAST(c.c_custkey AS VARCHAR) || '@example.com' AS email,
@@ -106,6 +104,21 @@ def ingest_sql() -> dict[str, str]:
           UNION ALL
           SELECT 'malformed' FROM events WHERE {f['bad_line']} GROUP BY event_id // 7)
         GROUP BY reason"""
+    out["reject_summary"] = f"""
+        WITH b AS (SELECT event_id, event_type, event_id // 7000 AS part,
+                          row_number() OVER (PARTITION BY event_id // 7 ORDER BY event_id) - 1 AS idx,
+                          dense_rank() OVER (PARTITION BY event_id // 7000 ORDER BY event_id // 7) AS line FROM events),
+        r AS (SELECT DISTINCT 'malformed' AS reason, part, line, CAST(NULL AS BIGINT) AS idx FROM b WHERE {f['bad_line']}
+              UNION ALL
+              SELECT CASE WHEN {f['bad_message']} THEN 'missing_fields' WHEN {f['unknown_body']} THEN 'unknown_types'
+                          ELSE 'missing_fields' END, part, line, idx
+              FROM b WHERE {live} AND NOT ({INGESTED_EVENTS})),
+        t AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY 'part=' || part || '/', line, idx) AS rn FROM r)
+        SELECT c.reason, COUNT(t.reason) AS count,
+               COALESCE(string_agg('part=' || part || ' Line ' || line || CASE WHEN idx IS NULL THEN '' ELSE ' (event index ' || idx || ')' END,
+                                   '; ' ORDER BY rn) FILTER (rn <= 10), '') AS locations
+        FROM (VALUES ('malformed'), ('missing_fields'), ('unknown_types')) c(reason) LEFT JOIN t ON t.reason = c.reason GROUP BY 1
+        UNION ALL SELECT 'total_skipped', COUNT(*), '' FROM r"""
     out["pack"] = """
         SELECT event_id // 7 AS batch_id, COUNT(*) AS n_events, MIN(event_id) AS first_event_id,
                MAX(event_id) AS last_event_id,
@@ -127,6 +140,35 @@ def ingest_sql() -> dict[str, str]:
     return out
 
 
+def case_sql() -> dict[str, str]:
+    """Oracles of the cases that the clean tables don't show."""
+    out = {}
+    out["d5_invalid_values"] = with_mapping("""
+        SELECT field, value FROM (VALUES ('practice', 'BUILDING'), ('practice', 'Alchemy'), ('level', 'L1'), ('level', 'L11'),
+                                         ('location', 'ASIA'), ('location', 'asia')) v(field, value)
+        WHERE NOT EXISTS (SELECT 1 FROM employees e WHERE v.value = CASE v.field WHEN 'practice' THEN e.practice
+                          WHEN 'level' THEN e.level ELSE e.location END)""")
+    q = query_bodies(SqlFilter())
+    known = mapping_ctes().strip().replace("ON n.n_regionkey = r.r_regionkey)", "ON n.n_regionkey = r.r_regionkey WHERE c.c_custkey % 7 <> 3)")
+    out["j1_unknown_users"] = round_cols(f"WITH {known}\n{q['q12_usage_by_practice'][0]}", ["total_cost"])
+    out["p7_level_sorted"] = with_mapping(
+        f"SELECT level, session_count, CAST(substring(level, 2) AS INTEGER) AS rank FROM ({q['q13_usage_by_level'][0]}) q")
+    out["p9_dirty_series"] = round_cols(with_mapping(
+        f"SELECT ds, y FROM ({q['q9_daily_cost_totals'][0]}) q WHERE day(ds) % 7 <> 3 AND day(ds) % 5 <> 0"), ["y"])
+    facts = " UNION ALL ".join(f"SELECT '{t}', CAST(\"timestamp\" AS DATE), COUNT(*), 0 FROM {t} GROUP BY 2" for t in (
+        "user_prompts", "api_requests", "tool_decisions", "tool_results", "api_errors"))
+    out["s16_tables_roundtrip"] = with_mapping(
+        "SELECT 'employees' AS table_name, CAST(NULL AS DATE) AS day, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS misplaced "
+        f"FROM employees UNION ALL {facts}")
+    out["s18_bad_directory"] = """
+        SELECT 'user' || c_custkey || '@example.com' AS email,
+               CASE WHEN c_custkey % 11 = 4 OR c_custkey % 13 = 5 THEN 'constraint' ELSE 'kept' END AS outcome
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+    out["s21_employees_csv_quoting"] = with_mapping(
+        "SELECT * REPLACE ('Ann \"Bo\", ' || full_name || chr(10) || 'Jr. \"X\"' AS full_name) FROM employees")
+    return out
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -134,8 +176,8 @@ def _q(s: str) -> str:
 class SqlFilter:
     """The WHERE clause of one filter, for a fact alias joined to ``employees e``."""
 
-    def __init__(self, date_start, date_end, practices=(), levels=(), locations=()):
-        self.date_start, self.date_end = str(date_start), str(date_end)
+    def __init__(self, date_start=None, date_end=None, practices=(), levels=(), locations=()):
+        self.date_start, self.date_end = date_start, date_end
         self.lists = (("practice", practices), ("level", levels), ("location", locations))
 
     @classmethod
@@ -143,8 +185,8 @@ class SqlFilter:
         return cls(f.date_start, f.date_end, f.practices, f.levels, f.locations)
 
     def fact(self, table: str, alias: str) -> str:
-        conds = [f"CAST({alias}.\"timestamp\" AS DATE) BETWEEN DATE '{self.date_start}' "
-                 f"AND DATE '{self.date_end}'"]
+        day = f'CAST({alias}."timestamp" AS DATE)'
+        conds = ["TRUE"] + [f"{day} {op} DATE '{d}'" for op, d in ((">=", self.date_start), ("<=", self.date_end)) if d]
         for col, vals in self.lists:
             if vals:
                 conds.append(f"e.{col} IN ({', '.join(_q(v) for v in vals)})")
@@ -197,7 +239,7 @@ def query_bodies(f: SqlFilter) -> dict[str, tuple[str, str]]:
                COALESCE((SELECT CAST(COUNT(*) AS DOUBLE) / NULLIF(COUNT(DISTINCT up.session_id), 0)
                          FROM {up}), 0.0) AS avg_prompts_per_session"""
     q["q4_cache_savings"] = f"""
-        SELECT CAST(COALESCE(SUM(ar.cache_read_tokens), 0) AS DOUBLE) * {CACHE_SAVINGS_PER_TOKEN!r}
+        SELECT CAST(COALESCE(SUM(ar.cache_read_tokens), 0) AS DOUBLE) * ((3.00 - 0.30) / 1000000)
                AS cache_savings_usd FROM {ar}"""
     q["q5_cost_by_practice_over_time"] = f"""
         SELECT CAST(ar."timestamp" AS DATE) AS date, e.practice, SUM(ar.cost_usd) AS total_cost
@@ -436,11 +478,15 @@ cuts AS (SELECT priority, CAST(hi - CAST(14 + 7 * k AS INTEGER) AS DATE) AS cuto
 train AS (SELECT od.priority, c.cutoff, od.ds, od.y FROM od JOIN cuts c USING (priority) WHERE od.ds <= c.cutoff),
 test AS (SELECT od.priority, c.cutoff, od.ds, od.y FROM od JOIN cuts c USING (priority)
          WHERE od.ds > c.cutoff AND od.ds <= c.cutoff + 14),""" + _fit_ctes("cv", "train", ["priority", "cutoff"]))
+    out["f1_nan_totals"] = "WITH " + _normalize_cte("od", ORDERS_RAW.replace(
+        "o_totalprice AS y", "CASE WHEN o_orderkey % 11 <> 3 THEN o_totalprice END AS y"), "priority") + "\nSELECT priority, ds, y FROM od"
+    out["f6_summary_anomalies"] = out["f3_anomalies"]
     out["f4_backtest"] = "WITH " + bt + "\n" + f"""
 SELECT priority, COUNT(DISTINCT cutoff) AS n_cutoffs, AVG(abs(y - yhat)) AS mae,
        AVG(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) AS mape,
        AVG(CASE WHEN y >= yhat_lower AND y <= yhat_upper THEN 1.0 ELSE 0.0 END) AS coverage
 FROM ({_predict("cv", "test", ["priority", "cutoff"], z)}) GROUP BY 1"""
+    out["f6_summary_metrics"] = out["f4_backtest"]
     pr = _normalize_cte("pr", q5, "practice") + "," + _fit_ctes("m", "pr", ["practice"])
     out["f6_forecast_status"] = with_mapping(f"""
 SELECT r.practice, CASE WHEN COALESCE(h.n, 0) < 14 THEN 'insufficient_data' ELSE 'ok' END AS status,

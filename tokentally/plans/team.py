@@ -14,6 +14,7 @@ from tokentally.operators.rollups import (
     weighted_cost_sum,
 )
 
+MAX_TOP = 100_000
 TOP_ENGINEERS = 10
 
 
@@ -41,6 +42,8 @@ def top_engineers(tables, filters: Filters, k: int = TOP_ENGINEERS) -> DataFrame
     filters (K7) and is computed only for the k winners: their emails are a
     bounded broadcast semi-join into ``api_requests``.
     """
+    if k > MAX_TOP:
+        raise ValueError(f"k = {k}: the k winners are broadcast, at most {MAX_TOP}")
     up = filtered_fact(tables, "user_prompts", filters).select(
         "session_id", "email", "full_name", "practice", "level")
     j = prompts_with_session_cost(up, tables.session_cost(),

@@ -17,6 +17,8 @@ ingest path can be tested end to end against SQL computed from ``events``.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,14 +271,49 @@ def ingest_roundtrip(spark: SparkSession, root: str, persist: bool = False):
     return ingest(read_batch_lines(spark, path), emp, persist=persist)
 
 
-def employees_csv_roundtrip(spark: SparkSession, root: str) -> DataFrame:
-    """S21 write then S2 read of the employee directory."""
+PART_BATCHES = 1000
+
+
+def reject_summary_by_part(spark: SparkSession, root: str) -> DataFrame:
+    """S15 over input of a known layout: one file per ``PART_BATCHES`` batches, in order,
+    so that every location can be told from the event id.  Columns: reason, count,
+    locations (text)."""
+    from tokentally.session import scratch_path
+    from tokentally.sources.ingest import ingest, read_batch_lines, reject_summary
+
+    path = scratch_path(spark, "telemetry-parts")
+    lines = telemetry_lines(read_driver(spark, root, "events"))
+    (lines.withColumn("part", F.expr(f"batch_id div {PART_BATCHES}"))
+          .repartition("part").sortWithinPartitions("part", "batch_id")
+          .select("part", "value").write.partitionBy("part").text(path))
+    emp = employees_view(read_driver(spark, root, "customer"), read_driver(spark, root, "nation"),
+                         read_driver(spark, root, "region"))
+    summary = reject_summary(ingest(read_batch_lines(spark, path), emp, stage="table").rejects)
+    place = lambda x: F.regexp_replace(x, r"^.*(part=\d+)/\S* (Line \d+(?: \(event index \d+\))?).*$", "$1 $2")
+    return summary.select("reason", "count", F.array_join(F.transform("first_locations", place), "; ").alias("locations"))
+
+
+def employee_number(col: str = "email") -> Column:
+    """The customer key in an employee's email."""
+    return F.regexp_extract(col, r"(\d+)", 1).cast("bigint")
+
+
+def without_employees(tables: Tables, rule: tuple[int, int]) -> Tables:
+    """The same facts over a directory that lacks the employees matching the rule."""
+    emp = tables.employees.where(~(employee_number() % rule[0] == rule[1]))
+    return replace(tables, employees=emp, _employee_rows=None)
+
+
+def employees_csv_roundtrip(spark: SparkSession, root: str, full_name: Column | None = None) -> DataFrame:
+    """S21 write then S2 read of the employee directory (with ``full_name`` in place of its own)."""
     from tokentally.session import scratch_path
     from tokentally.sources.export import write_employees_csv
     from tokentally.sources.ingest import read_employees_csv
 
     emp = employees_view(read_driver(spark, root, "customer"), read_driver(spark, root, "nation"),
                          read_driver(spark, root, "region"))
+    if full_name is not None:
+        emp = emp.withColumn("full_name", full_name)
     path = scratch_path(spark, "employees-csv")
     write_employees_csv(emp, path)
     return read_employees_csv(spark, path)

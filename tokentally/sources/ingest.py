@@ -107,14 +107,6 @@ def parsed_value(kind: str, key: str) -> Column:
     raise ValueError(kind)
 
 
-def field_ok(kind: str, key: str) -> Column:
-    if kind == "true":
-        return _has(key)
-    if kind == "opt_int":
-        return ~_has(key) | parsed_value(kind, key).isNotNull()
-    return parsed_value(kind, key).isNotNull()
-
-
 def _all_fields() -> dict[str, tuple[str, str]]:
     """Every output column once: column -> (attribute key, parse kind)."""
     out: dict[str, tuple[str, str]] = {}
@@ -131,7 +123,7 @@ def _presence_col(key: str) -> str:
 
 
 def _typed_ok(col: str, key: str, kind: str) -> Column:
-    """Field check on the already typed column (see ``field_ok``)."""
+    """Field check on the already typed column."""
     if kind == "true":
         return F.col(_presence_col(key))
     if kind == "opt_int":
@@ -358,7 +350,8 @@ def ingest_counts(classified: DataFrame) -> DataFrame:
 
 
 def reject_summary(rejects: DataFrame, first_n: int = 10) -> DataFrame:
-    """Per reason its count and the first ``first_n`` locations.
+    """For each of the three reasons its count and first ``first_n`` locations
+    (zero and none where nothing was rejected), then ``total_skipped``, their sum.
 
     Each reason's first locations come from a distributed top-n
     (``orderBy().limit()``), so no reason's rejects are gathered in one task.
@@ -373,9 +366,14 @@ def reject_summary(rejects: DataFrame, first_n: int = 10) -> DataFrame:
     locs = firsts.groupBy("reason").agg(F.sort_array(F.collect_list("loc")).alias("first_locations"))
     counts = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
     where = lambda x: F.concat_ws(" ", F.coalesce(x["source_file"], F.lit("")), x["detail"])
-    return counts.join(locs, "reason", "left").select(
-        "reason", "count",
-        F.transform(F.coalesce(F.col("first_locations"), F.array()), where).alias("first_locations"))
+    listed = rejects.sparkSession.createDataFrame([(r,) for r in reasons], "reason string")
+    per_reason = listed.join(counts, "reason", "left").join(locs, "reason", "left").select(
+        "reason", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+        F.coalesce(F.transform("first_locations", where), F.array().cast("array<string>")).alias("first_locations"))
+    total = counts.where(F.col("reason").isin(*reasons)).agg(
+        F.lit("total_skipped").alias("reason"), F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("count"),
+        F.array().cast("array<string>").alias("first_locations"))
+    return per_reason.unionByName(total)
 
 
 # ---------------------------------------------------------------------------------------
@@ -442,9 +440,10 @@ def ingest(lines: DataFrame, employees: DataFrame, persist: bool = True,
 
 
 def run_ingest(spark: SparkSession, telemetry_path: str, employees_path: str,
-               output_root: str | None = None) -> IngestResult | dict:
-    """End to end: read both inputs, classify, and (with ``output_root``) write."""
-    res = ingest(read_batch_lines(spark, telemetry_path), read_employees_csv(spark, employees_path))
+               output_root: str | None = None, stage: str | None = None) -> IngestResult | dict:
+    """End to end: read both inputs, classify, and (with ``output_root``) write.
+    ``stage="table"`` for very large loads, see ``ingest``."""
+    res = ingest(read_batch_lines(spark, telemetry_path), read_employees_csv(spark, employees_path), stage=stage)
     if output_root is None:
         return res
     try:

@@ -91,16 +91,3 @@ MESSAGE = T.StructType([
     T.StructField("body", _S),
     T.StructField("attributes", T.MapType(_S, _S)),
 ])
-
-# Bad records are set aside here instead of failing the load.
-REJECTS = T.StructType([
-    T.StructField("reason", _S, False),        # malformed | missing_fields | unknown_types | constraint
-    T.StructField("detail", _S, False),
-    T.StructField("source_file", _S, True),
-    T.StructField("line", T.LongType(), True),          # 1-based line in source_file
-    T.StructField("line_hash", T.LongType(), True),
-    T.StructField("event_idx", _I, True),
-    T.StructField("raw", _S, True),
-])
-
-INGEST_STATUSES = ["ingested", "malformed", "missing_fields", "unknown_types"]
