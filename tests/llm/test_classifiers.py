@@ -107,3 +107,20 @@ def test_quality_odd_rows(spark):
     assert Q.fit_quality(docs, labels.limit(0)) is None
     assert Q.score_quality(docs.where("doc_id = 4"), None).first().quality_score == 1.0
     assert Q.score_quality(docs.limit(0), model).count() == 0
+
+
+ITALIAN = """il la che di e un una per non sono con questo quando anche come dalla nella gatto casa giorno tempo vita strada notte acqua uomo donna bambino
+lavoro parola cuore mondo mangiare vedere andare bello grande piccolo sempre mai oggi domani dove allora cosa molto poco tutti niente ancora dopo prima""".split()
+
+
+def test_unlearned_languages_are_rejected_and_labelled_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.fit_languages(docs)
+    assert L.MARGIN_RANGE[0] <= model.margin <= L.MARGIN_RANGE[1]
+    rng = np.random.default_rng(5)
+    other = [" ".join(rng.choice(ITALIAN, 120)) for _ in range(60)]
+    other += [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(120)) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t, None, None, 1, "a", "b") for i, t in enumerate(other)], EXTRA)
+    assert np.mean([r.lang_rejected for r in L.predict_languages(rows, model).collect()]) > 0.9
+    long = [r for r in L.predict_languages(docs.where("length(text) > 200"), model).collect() if fold(r.doc_id, 3) == 1]
+    assert np.mean([r.lang_rejected for r in long]) < 0.005

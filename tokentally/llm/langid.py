@@ -4,7 +4,8 @@ Each language's dictionary is raw content: normalised texts of a bounded sample
 documents. A text is normalised (lower case, ASCII characters that are no letters to single
 spaces), cut into blocks, and every block is compressed with every dictionary; the language with
 the smallest total wins, ties go to the language with more labelled documents. When the
-runner-up is nearly as small, the prediction stands but the document is marked rejected.
+runner-up is nearly as small, the prediction stands but the document is marked rejected. How near
+that is comes from labelled documents that the dictionaries did not learn from.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ SAMPLE_CHARS = 2_000  # of each sampled document
 DICT_BYTES = 120_000
 BLOCK = 1_024         # bytes compressed at once
 LEVEL = 6
-MIN_MARGIN = 0.0005   # runner-up's extra size, as a share of the winner's
+# The runner-up's extra size, as a share of the winner's, below which a document is rejected: MARGIN_SHARE of
+# the MARGIN_QUANTILE quantile that rightly named labelled documents have, kept in MARGIN_RANGE.
+MARGIN_QUANTILE, MARGIN_SHARE, MARGIN_RANGE = 0.02, 0.25, (0.01, 0.05)
+LEFT_OUT = 5          # one in so many sampled documents, by hash, measures margins
+MARGIN_DOCS = 2_000   # documents measured at most, over all languages
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 COLUMNS = ("lang_pred", "lang_score", "lang_rejected")
@@ -37,7 +42,26 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split())
 
 
-def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
+class Dictionaries(dict):
+    """Language -> dictionary, with the margin at or under which a prediction is rejected."""
+
+    margin: float = MARGIN_RANGE[0]
+
+
+def learned_margin(parts: dict[str, list[tuple[int, bytes]]]) -> float:
+    """The margin from (hash, normalised text) of each language: dictionaries of the other texts measure one in ``LEFT_OUT``."""
+    coders = Compressors({lang: _content(t for h, t in own if h % LEFT_OUT) for lang, own in parts.items()})
+    left_out = sorted((h, lang, t) for lang, own in parts.items() for h, t in own if h % LEFT_OUT == 0)[:MARGIN_DOCS]
+    found = [(lang, *coders.sizes(t)) for _, lang, t in left_out if t]
+    margins = [margin for lang, best, _, margin in found if coders.languages[best] == lang and margin < np.inf]
+    return float(np.clip(MARGIN_SHARE * np.quantile(margins, MARGIN_QUANTILE), *MARGIN_RANGE)) if margins else MARGIN_RANGE[0]
+
+
+def _content(texts) -> bytes:
+    return b" ".join(texts)[:DICT_BYTES]
+
+
+def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample_docs: int = SAMPLE_DOCS) -> Dictionaries:
     """Language -> dictionary, most frequent language first, learned outside the held-out fold.
 
     One count over the labels and one pass that samples texts by their hash; repeated texts
@@ -47,14 +71,16 @@ def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT,
         .where(crc_fold("doc_id", folds) != held_out).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return {}
+        return Dictionaries()
     rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1, sample_docs / n) * 2 ** 20)))])
     sample = learn.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")) \
         .where(F.pmod("h", F.lit(2 ** 20)) < rates[F.col("lang")]).groupBy("lang", "h").agg(F.min("t").alias("t"))
-    parts: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}
+    parts: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}
     for r in sample.orderBy("lang", "h").collect():
-        parts[r["lang"]].append(normalised(r["t"]))
-    return {lang: b" ".join(own)[:DICT_BYTES] for lang, own in parts.items()}
+        parts[r["lang"]].append((r["h"], normalised(r["t"])))
+    model = Dictionaries({lang: _content(t for _, t in own) for lang, own in parts.items()})
+    model.margin = learned_margin(parts)
+    return model
 
 
 class Compressors:
@@ -62,6 +88,7 @@ class Compressors:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.languages = list(dictionaries)
+        self.margin = getattr(dictionaries, "margin", MARGIN_RANGE[0])
         self.coders = []
         for content in dictionaries.values():
             options = dict(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -71,20 +98,23 @@ class Compressors:
                 options["dict_data"] = own
             self.coders.append(zstandard.ZstdCompressor(**options))
 
-    def classify(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score 0 to 1, rejected); no text, no letters or nothing learned: ``und``, 0, rejected."""
-        if not text or not self.coders or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0, True
-        norm = normalised(text)
+    def sizes(self, norm: bytes) -> tuple[int, np.ndarray, float]:
+        """(winner, compressed sizes, margin) of a normalised text; the margin is infinite with one language."""
         sizes = np.zeros(len(self.coders))
         for lo in range(0, len(norm), BLOCK):
             block = norm[lo:lo + BLOCK]
             sizes += [len(c.compress(block)) for c in self.coders]
         best = int(sizes.argmin())
-        score = 1 / float(np.exp2(np.maximum((sizes[best] - sizes) / 2, -60)).sum())
         rest = np.delete(sizes, best)
-        narrow = len(rest) > 0 and rest.min() - sizes[best] <= MIN_MARGIN * sizes[best]
-        return self.languages[best], score, bool(narrow)
+        return best, sizes, float((rest.min() - sizes[best]) / sizes[best]) if len(rest) else np.inf
+
+    def classify(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score 0 to 1, rejected); no text, no letters or nothing learned: ``und``, 0, rejected."""
+        if not text or not self.coders or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, True
+        best, sizes, margin = self.sizes(normalised(text))
+        score = 1 / float(np.exp2(np.maximum((sizes[best] - sizes) / 2, -60)).sum())
+        return self.languages[best], score, margin <= self.margin
 
 
 def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
