@@ -124,3 +124,15 @@ def test_unlearned_languages_are_rejected_and_labelled_ones_stay(spark):
     assert np.mean([r.lang_rejected for r in L.predict_languages(rows, model).collect()]) > 0.9
     long = [r for r in L.predict_languages(docs.where("length(text) > 200"), model).collect() if fold(r.doc_id, 3) == 1]
     assert np.mean([r.lang_rejected for r in long]) < 0.005
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    ids = [i for i in range(6_000) if fold(i, 3) != 1]
+    rows = [(d, "one text copied very often" if k < 3_000 else f"text number {k} of its own", "en", "s", 1, "a", "b") for k, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, EXTRA).repartition(3)
+    distinct = len({r[1] for r in rows})
+    assert 500 < distinct < 1_100
+    model = L.fit_languages(docs, sample_docs=400)
+    assert model["en"].count(b"of its own") + model["en"].count(b"copied") == 400
+    whole = L.fit_languages(docs, sample_docs=distinct + 5)
+    assert whole["en"].count(b"of its own") == distinct - 1 and whole["en"].count(b"copied") == 1

@@ -15,13 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokentally.llm.common import crc_fold, small_batches
 
-SAMPLE_DOCS = 400     # labelled documents a language's dictionary is made of, in expectation
+SAMPLE_DOCS = 400     # distinct labelled texts a language's dictionary is made of at most
 SAMPLE_CHARS = 2_000  # of each sampled document
 DICT_BYTES = 120_000
 BLOCK = 1_024         # bytes compressed at once
@@ -64,17 +64,19 @@ def _content(texts) -> bytes:
 def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample_docs: int = SAMPLE_DOCS) -> Dictionaries:
     """Language -> dictionary, most frequent language first, learned outside the held-out fold.
 
-    One count over the labels and one pass that samples texts by their hash; repeated texts
-    are sampled once. Rows without text or language are not learned from.
+    One count over the labels, one pass that picks each language's ``sample_docs`` smallest hashes of
+    distinct texts, and one that fetches those texts; copies weigh nothing in the choice. Rows without text
+    or language are not learned from.
     """
     learn = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")) \
         .where(crc_fold("doc_id", folds) != held_out).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Dictionaries()
-    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1, sample_docs / n) * 2 ** 20)))])
-    sample = learn.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")) \
-        .where(F.pmod("h", F.lit(2 ** 20)) < rates[F.col("lang")]).groupBy("lang", "h").agg(F.min("t").alias("t"))
+    hashed = learn.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+    smallest = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut to sample_docs a task before its shuffle
+    picked = hashed.select("lang", "h").distinct().withColumn("nth", smallest).where(F.col("nth") <= sample_docs).select("lang", "h")
+    sample = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("t").alias("t"))
     parts: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}
     for r in sample.orderBy("lang", "h").collect():
         parts[r["lang"]].append((r["h"], normalised(r["t"])))
