@@ -136,3 +136,11 @@ def test_copies_do_not_shrink_the_sample(spark):
     assert model["en"].count(b"of its own") + model["en"].count(b"copied") == 400
     whole = L.fit_languages(docs, sample_docs=distinct + 5)
     assert whole["en"].count(b"of its own") == distinct - 1 and whole["en"].count(b"copied") == 1
+
+
+def test_long_texts_teach_more_than_their_beginning(spark):
+    rows = [(i, "start " * 3_000 + f"Finale{i} " * 3_000, "en", "s", 1, "a", "b") for i in range(60)]
+    rows += [(100 + i, f"short text {i}", "en", "s", 1, "a", "b") for i in range(20)]
+    model = L.fit_languages(spark.createDataFrame(rows, EXTRA))
+    assert b"finale" in model["en"] and b"start start" in model["en"]
+    assert all(f"short text {i}".rsplit(" ", 1)[0].encode() in model["en"] for i in range(20) if fold(100 + i, 3) != 1)

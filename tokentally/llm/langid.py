@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tokentally.llm.common import crc_fold, small_batches
 
 SAMPLE_DOCS = 400     # distinct labelled texts a language's dictionary is made of at most
-SAMPLE_CHARS = 2_000  # of each sampled document
+SAMPLE_CHARS = 2_000  # of each sampled document, from a place that its hash chooses
 DICT_BYTES = 120_000
 BLOCK = 1_024         # bytes compressed at once
 LEVEL = 6
@@ -73,7 +73,9 @@ def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT,
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Dictionaries()
-    hashed = learn.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+    places = F.greatest(F.length("text") - F.lit(SAMPLE_CHARS - 1), F.lit(1)).cast("long")
+    block = F.substring("text", (F.pmod(F.xxhash64("text", F.lit(1)), places) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    hashed = learn.select("lang", F.xxhash64("text").alias("h"), block.alias("t"))
     smallest = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut to sample_docs a task before its shuffle
     picked = hashed.select("lang", "h").distinct().withColumn("nth", smallest).where(F.col("nth") <= sample_docs).select("lang", "h")
     sample = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("t").alias("t"))
