@@ -133,3 +133,11 @@ def test_empty_table_and_odd_radius(spark):
     assert S.keep_one_per_group(empty).schema == empty.schema
     with pytest.raises(ValueError):
         S.near_links(spark.createDataFrame([], T.StructType([T.StructField("fingerprint", T.LongType())])), radius=3)
+
+
+def test_repeated_ids_of_unrelated_texts_and_rows_without_id(spark):
+    a, b, c, d = ("alpha one two three four five", "beta six seven eight nine ten", "gamma red green blue white black", "delta sun moon star sky rain")
+    rows = [(5, a), (5, b), (7, a), (9, b), (2, c), (5, c), (None, d), (None, d), (None, a)]
+    docs = spark.createDataFrame([(i, t, "x", 1, s) for s, (i, t) in enumerate(rows)], "doc_id long, text string, fingerprint string, cell int, source int")
+    kept = sorted((r.doc_id or 0, r.text, r.source) for r in S.keep_one_per_group(docs.repartition(3)).collect())
+    assert kept == sorted([(5, a, 0), (5, b, 1), (2, c, 4), (0, d, 6), (0, a, 8)])

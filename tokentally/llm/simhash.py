@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,16 +98,20 @@ def _hash_group(group, shingle, out):
     out[[i for i, _ in group]] = fp
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fingerprint long) for each row, in input order; null texts count as empty."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                     text_hash: bool = False) -> DataFrame:
+    """(id, fingerprint long) for each row, with ``text_hash`` that too, in input order; null texts count as empty."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
+    hashes = [_text_hash(text_col).alias("text_hash")] if text_hash else []
+    if text_hash:
+        schema = schema.add("text_hash", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprints(b.column(1).to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], schema.names)
 
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *hashes).mapInArrow(run, schema)
 
 
 def _masks(radius: int, m: int) -> dict[int, np.ndarray]:
@@ -235,21 +239,41 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows without an id get their component's smallest id, null if it has none. Repeated rows
     are kept. An empty table gives an empty result; other columns are ignored.
     """
-    rows = checkpointed(with_fingerprint(docs, id_col, text_col, shingle))
+    rows, named = _labelled(docs, id_col, text_col, shingle, radius)
+    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _labelled(docs, id_col, text_col, shingle, radius):
+    """Rows (doc_id, fingerprint, text_hash), and each fingerprint's component_id and group, a number that no other component has."""
+    rows = checkpointed(with_fingerprint(docs, id_col, text_col, shingle, text_hash=True))
     nodes = checkpointed(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
     labels = components(near_links(nodes.select("fingerprint"), radius))
     member = nodes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     lows = member.where("root is not null").groupBy("root").agg(F.min("low").alias("component"))
     named = checkpointed(member.join(lows, "root", "left")
-                         .select("fingerprint", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id")))
-    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+                         .select("fingerprint", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id"),
+                                 F.coalesce("root", "fingerprint").alias("group")))
+    return rows, named
 
 
-def keep_one_per_group(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; one row per repeated id.
+def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component: of those with its smallest id, the smallest (fingerprint, text hash), then by the other columns.
 
-    Rows without an id cannot be named as copies and stay. Columns are unchanged.
+    A repeated id names no text: its rows count by their own components. Rows without an id cannot be named
+    as copies of one with an id; one of each component stays beside it. Columns are unchanged.
     """
-    keep = simhash_groups(docs, **params).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows, named = _labelled(docs, "doc_id", "text", shingle, radius)
+    first = rows.join(named, "fingerprint").groupBy("group", F.col("doc_id").isNull().alias("no_id")) \
+        .agg(F.min(F.struct("doc_id", "fingerprint", "text_hash")).alias("f"))
+    keep = first.select(F.col("f.doc_id").alias("_keep"), F.col("f.text_hash").alias("_keep_hash")).distinct()
+    hashed = _text_hash("text")
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (hashed == F.col("_keep_hash")), "left_semi")
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit(0)
+    nth = F.row_number().over(Window.partitionBy("doc_id", hashed).orderBy(order))
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
+def _text_hash(text_col):
+    """Of the text, null as empty: equal texts have equal fingerprints."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
