@@ -124,6 +124,8 @@ def exact_topk(df: DataFrame, k: int = K, every: int = QUERY_EVERY, id_col: str
     id and as many components (all of them, if fewer than k). Rows without an id, and vectors that are null or
     hold null or non-finite components, take no part. Repeated candidate rows each count; a repeated query
     id is answered once, with its smallest vector. An empty table gives an empty result; other columns are ignored.
+    Raises ArithmeticError for the whole table when a query's sum of absolute integer components, times the table's
+    largest, reaches 2**53 (one component of about 370,000 that is also the largest; 64 of about 46,000).
     """
     rows = usable(df, id_col, vec_col)
     spark = df.sparkSession
