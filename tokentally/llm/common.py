@@ -39,3 +39,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "8388608"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):
         df.sparkSession.conf.set(key, value)
     return df
+
+
+def join_skewed(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``groups`` (one row a key; column ``n`` counts its rows) on ``key``, hot keys included.
+
+    Keys of more than a thousandth of ``total``, at least the sum of ``n``, are under 1,000: those groups are
+    broadcast. The others are joined by a shuffle, in which no key has more than that share.
+    """
+    hot = groups.where(F.col(n) * 1000 > F.lit(total))
+    cold = groups.where(F.col(n) * 1000 <= F.lit(total)).hint("shuffle_merge")
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentally.llm import ann, byte_bpe, exact_topk, langid, packing, quality, secret_scan, simhash, token_counts, url_filter
+from tokentally.llm import (ann, byte_bpe, exact_topk, filter_audit, langid, packing, quality, secret_scan, simhash, spelling,
+                            substring_dedup, token_counts, url_filter)
 from tokentally.llm.common import crc_fold, read_table
 
 
@@ -74,8 +75,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 LLM_QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_url_filter, op4_secret_scan, op5_exact_topk, op6_byte_level_bpe,
-                                       op7_approximate_nearest, op8_token_counts, op9_language_id, op10_quality_classifier)}
+                                       op7_approximate_nearest, op8_token_counts, op9_language_id, op10_quality_classifier,
+                                       op11_spelling_variants, op12_filter_interaction_audit, op13_substring_dedup)}
 EXACT_TOPK_SQL = """
 WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -130,4 +144,38 @@ SELECT f.page_id, f.host, f.path, f.rule,
 FROM f LEFT JOIN s ON s.url = f.url AND s.rule IS NULL, th
 """
 
-LLM_SQL: dict[str, str] = {"op3_url_filter": URL_FILTER_SQL, "op5_exact_topk": EXACT_TOPK_SQL}
+_WORDS = r"[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
+
+# Every document is taken through every order of the filters; no subset counts.
+FILTER_AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, """ + _WORDS + r""" AS w FROM documents),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                            100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+                            coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM t),
+b AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN b USING (doc_id)),
+one AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+o AS (SELECT [p.x, q.x, r.x, s.x, t.x] AS ord FROM one p, one q, one r, one s, one t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+k AS (SELECT ord, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+v AS (SELECT part, ord, step, ord[step] AS own, fails[ord[step]] AS bad, good, toxic,
+             len([i FOR i IN ord[1:step - 1] IF fails[i]]) > 0 AS gone, len([i FOR i IN fails IF i]) = 1 AS alone FROM d, k),
+s AS (SELECT part, ord, step, own, count(*) FILTER (NOT gone AND NOT bad) AS kept, count(*) FILTER (NOT gone AND bad) AS removed,
+             count(*) FILTER (gone AND bad) AS redundant, count(*) FILTER (bad AND alone) AS unique_fails,
+             count(*) FILTER (NOT gone AND bad AND good) AS good_lost, count(*) FILTER (NOT gone AND bad AND toxic) AS toxic_lost FROM v GROUP BY ALL)
+SELECT part, array_to_string([substring('ABCDE', i, 1) FOR i IN ord], '') AS filter_order, step, substring('ABCDE', own, 1) AS "filter",
+       kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM s
+"""
+
+SUBSTRING_DEDUP_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, """ + _WORDS + r""" AS w FROM documents),
+x AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+y AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM x),
+m AS (SELECT s, min(doc_id) AS first FROM y GROUP BY s),
+gone AS (SELECT DISTINCT r, i + k AS i FROM (SELECT r, i, unnest(range(13)) AS k FROM y JOIN m USING (s) WHERE doc_id > first)),
+p AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+q AS (SELECT p.r, string_agg(x, ' ' ORDER BY p.i) FILTER (gone.i IS NULL) AS kept, count(gone.i) AS n FROM p LEFT JOIN gone USING (r, i) GROUP BY p.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN q USING (r)
+"""
+
+LLM_SQL: dict[str, str] = {"op3_url_filter": URL_FILTER_SQL, "op5_exact_topk": EXACT_TOPK_SQL,
+                           "op12_filter_interaction_audit": FILTER_AUDIT_SQL, "op13_substring_dedup": SUBSTRING_DEDUP_SQL}
