@@ -11,6 +11,7 @@ Identical texts meet by their SHA-256 digests, which carry the smallest id of ea
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
@@ -147,34 +148,34 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     counts = subset_survivors(survival_words(docs, labels, id_col, text_col, part_col))
     entry = F.struct("subset", F.struct("n_all", "n_good", "n_toxic"))
-    parts = counts.groupBy("part").agg(F.map_from_entries(F.collect_list(entry)).alias("of"))  # 32 entries a part
-    orders = F.array(*[F.lit("".join(p)) for p in permutations(FILTERS)])
-    rows = parts.withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
-    rows = rows.withColumns({"filter": F.substring("filter_order", F.col("step"), F.lit(1)),
-                             "before": _mask(F.substring("filter_order", F.lit(1), F.col("step") - 1))})
-    rows = rows.withColumn("own", _mask(F.col("filter"))).withColumn("after", F.col("before") + F.col("own"))
+    parts = counts.groupBy("part").agg(F.map_from_entries(F.collect_list(entry)).alias("of"),  # 32 entries a part
+                                       F.create_map(*[c for x in FILTERS for c in (F.lit(x), F.sum(_all_orders(x)))]).alias("shapley"))
+    step = "array<struct<filter_order string, step int, filter string, before int, own int>>"
+    rows = parts.select("part", "of", "shapley", F.inline(F.from_json(F.lit(json.dumps(_steps())), step)))
     n = lambda s, kind="n_all": F.col("of")[s][kind]
-    removed = n(F.col("before")) - n(F.col("after"))
-    every = F.lit(SUBSETS - 1)
+    before, own, every = F.col("before"), F.col("own"), F.lit(SUBSETS - 1)
+    removed = n(before) - n(before + own)
     return rows.select(
-        "part", "filter_order", "step", "filter", n(F.col("after")).alias("kept"), removed.alias("removed"),
-        (n(F.lit(0)) - n(F.col("own")) - removed).alias("redundant"),
-        (n(every - F.col("own")) - n(every)).alias("unique_fails"),
-        (n(F.col("before"), "n_good") - n(F.col("after"), "n_good")).alias("good_lost"),
-        (n(F.col("before"), "n_toxic") - n(F.col("after"), "n_toxic")).alias("toxic_lost"),
-        _over_all_orders(n).alias("shapley"))
-
-
-def _mask(letters: Column) -> Column:
-    return sum((F.when(F.instr(letters, x) > 0, F.lit(1 << i)).otherwise(0) for i, x in enumerate(FILTERS)), F.lit(0))
-
-
-def _over_all_orders(n) -> Column:
-    """What the step's filter removes, summed over all orders: each subset before it occurs in |S|! (4 - |S|)! of them."""
-    total = F.lit(0).cast("long")
-    for i, x in enumerate(FILTERS):
-        subsets = [s for s in range(SUBSETS) if not s >> i & 1]
-        times = [factorial(s.bit_count()) * factorial(len(FILTERS) - 1 - s.bit_count()) for s in subsets]
-        gains = sum(((n(F.lit(s)) - n(F.lit(s | 1 << i))) * t for s, t in zip(subsets, times)), F.lit(0))
-        total = total + F.when(F.col("filter") == x, gains).otherwise(0)
-    return total
+        "part", "filter_order", "step", "filter", n(before + own).alias("kept"), removed.alias("removed"),
+        (n(F.lit(0)) - n(own) - removed).alias("redundant"),
+        (n(every - own) - n(every)).alias("unique_fails"),
+        (n(before, "n_good") - n(before + own, "n_good")).alias("good_lost"),
+        (n(before, "n_toxic") - n(before + own, "n_toxic")).alias("toxic_lost"),
+        F.col("shapley")[F.col("filter")].alias("shapley"))
+
+
+def _steps() -> list[dict]:
+    """All orders of the filters, step by step, with the mask of the filters before."""
+    return [{"filter_order": "".join(order), "step": k + 1, "filter": x, "before": sum(1 << FILTERS.index(y) for y in order[:k]), "own": 1 << FILTERS.index(x)}
+            for order in permutations(FILTERS) for k, x in enumerate(order)]
+
+
+def _all_orders(x: str) -> Column:
+    """A subset's share of what filter ``x`` removes, summed over all orders.
+
+    A subset S without x comes just before x in |S|! (4 - |S|)! orders; its survivors count for it, those of S and x against it.
+    """
+    own, last = 1 << FILTERS.index(x), len(FILTERS) - 1
+    times = [-factorial(s.bit_count() - 1) * factorial(last + 1 - s.bit_count()) if s & own else factorial(s.bit_count()) * factorial(last - s.bit_count())
+             for s in range(SUBSETS)]
+    return F.element_at(F.array(*map(F.lit, times)), F.col("subset") + 1) * F.col("n_all")
