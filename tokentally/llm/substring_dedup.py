@@ -21,22 +21,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokentally.llm.common import join_skewed, shared_table, small_batches
+from tokentally.llm.xxh import xxh64_ranges
 
 WINDOW = 13
 GRAM = 3
 RUN = 64                # windows in a packed string: as many as its marks have bits
 CODES = 65_535          # words with a two-byte code
 RARE = 65_535           # the code of all others, which are spelled out
-CELLS = 1 << 16
+CELLS = 1 << 18
 HOT_STRINGS = 20_000    # a cell is hot beyond this and beyond HOT_MEANS times the mean
 HOT_MEANS = 4
-_HELD_WORDS = 200_000   # distinct words that a task counts before it passes on the commonest
+BUCKET_STRINGS = 100_000
+_HELD_WORDS = 500_000   # distinct words that a task counts before it passes on the commonest
+_BLOCK = 1 << 12        # cells whose counts travel as one row
 _CHUNK_BYTES = 16_000_000
 
 _U = np.uint64
@@ -62,6 +64,12 @@ class Words:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def hashes(self) -> np.ndarray:
+        """XXH64 of every distinct word."""
+        spelled = self.distinct.cast(pa.binary())
+        at = np.frombuffer(spelled.buffers()[1], np.int32)[spelled.offset:][:len(spelled) + 1].astype(np.int64)
+        return xxh64_ranges((spelled.buffers()[2] or b"").to_pybytes() if len(spelled) else b"", at[:-1], np.diff(at), 42)
+
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> _U(31)) * _U(0x9E3779B97F4A7C15)
@@ -75,11 +83,11 @@ def super_kmers(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.nd
     empty = np.zeros(0, np.int64)
     if n < window:
         return empty, empty, empty, empty.view(_U)
-    spelled = np.array([xxhash.xxh64_intdigest(w, 42) for w in words.distinct.cast(pa.binary()).to_pylist()], _U)
-    h = spelled[words.ids]
+    h = words.hashes()[words.ids]
     grams = np.zeros(n - gram + 1, _U)
     for i in range(gram):
-        grams = _mixed(grams + h[i:i + len(grams)])
+        grams = grams * _U(0xD6E8FEB86659FD93) + h[i:i + len(grams)]
+    grams = _mixed(grams)
     low, width, span = grams, 1, window - gram + 1
     while width < span:  # minimum over ever wider spans
         step = min(width, span - width)
@@ -99,69 +107,118 @@ def super_kmers(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.nd
     return text[starts], at[starts], np.diff(np.append(starts, len(text))), low[starts]
 
 
-def _survey(rows: DataFrame, window: int, gram: int, cells: int) -> tuple[list[str], set[int]]:
-    """The commonest words of all texts, and the cells that hold too many super-k-mers."""
+def _survey(rows: DataFrame, window: int, gram: int, cells: int) -> tuple[list[str], list[int], int]:
+    """The commonest words of all texts, the cells that hold too many super-k-mers, and how many there are.
+
+    Words seen once in a batch of texts are not counted: which words get a code changes sizes, not results.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         strings = np.zeros(cells, np.int64)
         for b in batches:
             words = Words(b.column("text"))
-            seen = np.bincount(words.ids, minlength=len(words.distinct)).tolist()
-            counts.update({w: c for w, c in zip(words.distinct.to_pylist(), seen) if len(w) < 64})
+            seen = np.bincount(words.ids, minlength=len(words.distinct))
+            some = np.flatnonzero(seen > 1)
+            counts.update({w: c for w, c in zip(words.distinct.take(pa.array(some)).to_pylist(), seen[some].tolist()) if len(w) < 64})
             if len(counts) > _HELD_WORDS:
-                yield _named(counts.most_common(CODES), "word")
+                yield from commonest(counts)
                 counts = Counter()
             strings += np.bincount((super_kmers(words, window, gram)[3] % _U(cells)).astype(np.int64), minlength=cells)
-        yield _named(counts.most_common(CODES), "word")
-        some = np.flatnonzero(strings)
-        yield _named(list(zip(map(str, some.tolist()), strings[some].tolist())), "cell")
+        yield from commonest(counts)
+        for i in range(0, cells, _BLOCK):
+            if strings[i:i + _BLOCK].any():
+                yield _row([None], [i], [strings[i:i + _BLOCK].tobytes()])
+
+    def commonest(counts: Counter) -> Iterator[pa.RecordBatch]:
+        top = counts.most_common(CODES)
+        yield _row([w for w, _ in top], [n for _, n in top], [None] * len(top))
+
+    def _row(word: list, n: list, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(counts, pa.binary())], ["word", "n", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, c in zip(b.column("n").to_pylist(), b.column("counts").to_pylist()):
+                held[i] = held.get(i, 0) + np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([i + k for i, c in held.items() for k in np.flatnonzero(c).tolist()], pa.int64()),
+                                          pa.array([x for c in held.values() for x in c[c > 0].tolist()], pa.int64())], ["cell", "n"])
+
+    found = shared_table(rows.mapInArrow(run, "word string, n long, counts binary"), "passages-survey")
+    words = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    common = words.orderBy(F.desc("n"), "word").limit(CODES).collect()  # words of under 64 characters
+    cell = shared_table(found.where("counts is not null").select("n", "counts").repartition("n").mapInArrow(total, "cell long, n long"), "passages-cells")
+    strings = cell.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = cell.where(F.col("n") > max(HOT_STRINGS, HOT_MEANS * strings / cells)).collect()  # at most cells / HOT_MEANS
+    return [r["word"] for r in common], [r["cell"] for r in hot], strings
 
-    def _named(pairs: list, kind: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(pairs), pa.string()), pa.array([p[0] for p in pairs], pa.string()),
-                                           pa.array([p[1] for p in pairs], pa.int64())], ["kind", "name", "n"])
 
-    counts = shared_table(rows.mapInArrow(run, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")), "passages-survey")
-    common = counts.where("kind = 'word'").orderBy(F.desc("n"), "name").limit(CODES).collect()  # words of under 64 characters
-    cell = counts.where("kind = 'cell'")
-    total = cell.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = cell.where(F.col("n") > max(HOT_STRINGS, HOT_MEANS * total / cells)).collect()  # at most cells / HOT_MEANS
-    return [r["name"] for r in common], {int(r["name"]) for r in hot}
+def _gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``values[start:start + length]`` of every range, one behind the other."""
+    before = np.cumsum(length) - length
+    return values[np.arange(int(length.sum())) + np.repeat(start - before, length)]
 
 
-def _packed(rows: DataFrame, codes: dict[str, int], hot: set[int], window: int, gram: int, cells: int) -> DataFrame:
-    """Super-k-mers of all texts; those of hot cells window by window, without a minimiser."""
+def _packed(rows: DataFrame, common: list[str], hot: list[int], window: int, gram: int, cells: int, buckets: int) -> DataFrame:
+    """(bucket, hot, strings): the super-k-mers of all texts, those of hot cells window by window, as ``_Strings`` a bucket."""
     is_hot = np.zeros(cells, bool)
-    is_hot[list(hot)] = True
+    is_hot[hot] = True
+    codes = {w: i for i, w in enumerate(common)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = Words(b.column("text"))
             text, at, n, low = super_kmers(words, window, gram)
             split = is_hot[(low % _U(cells)).astype(np.int64)]
+            bucket = (low // _U(cells) % _U(buckets)).astype(np.int64)
             if split.any():
                 each = np.repeat(np.arange(len(n)), np.where(split, n, 1))
-                first = np.concatenate([[True], each[1:] != each[:-1]])
-                nth = np.arange(len(each)) - np.maximum.accumulate(np.where(first, np.arange(len(each)), 0))
-                text, at, low, split = text[each], at[each] + nth, low[each], split[each]
+                first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+                nth = np.arange(len(each)) - np.repeat(first, np.diff(np.append(first, len(each))))
+                text, at, split = text[each], at[each] + nth, split[each]
                 n = np.where(split, 1, n[each])
-            code = np.array([codes.get(w, RARE) for w in words.distinct.to_pylist()], np.uint16)[words.ids] if len(words) else np.zeros(0, np.uint16)
+                bucket = np.where(split, buckets + np.arange(len(each)) % buckets, bucket[each])
+            if not len(at):
+                continue
+            order = np.argsort(bucket, kind="stable")
+            text, at, n, bucket = text[order], at[order], n[order] + window - 1, bucket[order]
+            spelled = words.distinct.to_pylist()
+            code = np.array([codes.get(w, RARE) for w in spelled], np.uint16)[words.ids]
             rare = np.flatnonzero(code == RARE)
-            spelled = pc.binary_join_element_wise(words.distinct.take(pa.array(words.ids[rare])), "", " ")  # each with a space behind
-            ends = np.concatenate([[0], np.cumsum(pc.binary_length(spelled).to_numpy(zero_copy_only=False))])
-            letters = pc.binary_join(pa.array([spelled.to_pylist()], pa.list_(pa.string())), "")[0].as_py().encode() if len(rare) else b""
-            flat = code.tobytes()
-            to = at + n + window - 1
-            ra, rb = ends[np.searchsorted(rare, at)].tolist(), ends[np.searchsorted(rare, to)].tolist()
-            yield pa.RecordBatch.from_arrays([
-                pa.array(low.view(np.int64), mask=split),
-                pa.array([flat[2 * x:2 * y] for x, y in zip(at.tolist(), to.tolist())], pa.binary()),
-                pa.array([letters[x:y] for x, y in zip(ra, rb)], pa.binary()),
-                b.column("doc_id").take(pa.array(text)), b.column("text_key").take(pa.array(text)),
-                pa.array((at - words.ends[text]).astype(np.int32))], [f.name for f in schema.fields])
-
-    schema = T.StructType().add("minimiser", "long").add("codes", "binary").add("rare", "binary").add("doc_id", "long").add("text_key", "long").add("start", "integer")
-    return rows.mapInArrow(run, schema)
+            letters = pc.binary_join_element_wise(words.distinct.cast(pa.binary()).take(pa.array(words.ids[rare])), b"", b" ").to_pylist()  # a space behind each
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, letters), np.int64, len(letters)))])
+            r0, r1 = ends[np.searchsorted(rare, at)], ends[np.searchsorted(rare, at + n)]
+            columns = [b.column("doc_id").to_numpy()[text], b.column("text_key").to_numpy()[text], (at - words.ends[text]).astype(np.int32), n.astype(np.int32),
+                       (r1 - r0).astype(np.int32)]
+            packed = _gathered(code, at, n)
+            behind = _gathered(np.frombuffer(b"".join(letters), np.uint8), r0, r1 - r0)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+            word_end, rare_end = np.concatenate([[0], np.cumsum(n)]).tolist(), np.concatenate([[0], np.cumsum(r1 - r0)]).tolist()
+            blobs = [b"".join([int(y - x).to_bytes(4, "little"), *(c[x:y].tobytes() for c in columns),
+                               packed[word_end[x]:word_end[y]].tobytes(), behind[rare_end[x]:rare_end[y]].tobytes()])
+                     for x, y in zip(cut, [*cut[1:], len(at)])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut] % buckets), pa.array(bucket[cut] >= buckets), pa.array(blobs, pa.binary())], ["bucket", "hot", "strings"])
+
+    return rows.mapInArrow(run, "bucket long, hot boolean, strings binary")
+
+
+class _Strings:
+    """Packed strings of some rows: doc_id, text_key, start (first word), n (words), spelled (bytes of rare words), codes and rare words."""
+
+    def __init__(self, blobs: list[bytes]):
+        parts: list[list] = [[], [], [], [], [], [], []]
+        for blob in blobs:
+            k, at = int.from_bytes(blob[:4], "little"), 4
+            for part, kind in zip(parts, (np.int64, np.int64, np.int32, np.int32, np.int32)):
+                part.append(np.frombuffer(blob, kind, k, at))
+                at += part[-1].nbytes
+            words = int(parts[3][-1].sum())
+            parts[5].append(np.frombuffer(blob, np.uint16, words, at))
+            parts[6].append(blob[at + 2 * words:])
+        self.doc_id, self.text_key, self.start, n, spelled, self.codes = map(np.concatenate, parts[:6])
+        self.n, self.spelled = n.astype(np.int64), spelled.astype(np.int64)
+        self.rare = b"".join(parts[6])
 
 
 def first_of_equal(words: np.ndarray, at: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
@@ -190,45 +247,62 @@ def first_of_equal(words: np.ndarray, at: np.ndarray, doc: np.ndarray, window: i
     return out
 
 
-def _marks_of_chunk(chunk: pa.Table, window: int) -> pa.RecordBatch:
-    """(doc_id, text_key, start, marks) of the packed strings with a window that a smaller id has too."""
-    chunk = chunk.combine_chunks()
-    packed, doc = chunk["codes"].combine_chunks(), chunk["doc_id"].to_numpy()
-    n = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-    words = np.frombuffer(b"".join(packed.to_pylist()), np.uint16).astype(np.int64)
-    spelled = pc.split_pattern(pa.array([b"".join(chunk["rare"].to_pylist())], pa.binary()), b" ").flatten()
+_FOUND = "doc_id long, text_key long, start int, marks long, codes binary, rare binary"
+
+
+def _marks_of_chunk(blobs: list[bytes], window: int) -> pa.RecordBatch:
+    """The packed strings with a window that a smaller id has too, and which of their windows."""
+    s = _Strings(blobs)
+    words = s.codes.astype(np.int64)
+    spelled = pc.split_pattern(pa.array([s.rare], pa.binary()), b" ").flatten()
     words[words == RARE] = RARE + spelled[:len(spelled) - 1].dictionary_encode().indices.to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(n)), n - window + 1)
-    windows = np.concatenate([[0], np.cumsum(n - window + 1)])
-    nth = np.arange(len(row)) - windows[row]
-    at = np.concatenate([[0], np.cumsum(n)])[row] + nth
-    late = first_of_equal(words, at, doc[row], window) < doc[row]
-    marks = np.add.reduceat(late.astype(_U) << nth.astype(_U), windows[:-1])
+    count = s.n - window + 1
+    row = np.repeat(np.arange(len(count)), count)
+    begin = np.cumsum(count) - count
+    nth = np.arange(len(row)) - begin[row]
+    at = (np.cumsum(s.n) - s.n)[row] + nth
+    doc = s.doc_id[row]
+    late = first_of_equal(words, at, doc, window) < doc
+    marks = np.add.reduceat(late.astype(_U) << nth.astype(_U), begin)
     keep = np.flatnonzero(marks)
-    return pa.RecordBatch.from_arrays([*[chunk[c].combine_chunks().take(pa.array(keep)) for c in ("doc_id", "text_key", "start")],
-                                       pa.array(marks[keep].view(np.int64))], ["doc_id", "text_key", "start", "marks"])
+    none = pa.nulls(len(keep), pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in (s.doc_id, s.text_key, s.start, marks.view(np.int64))), none, none], _FOUND_NAMES)
+
+
+def _passed_on(blobs: list[bytes]) -> pa.RecordBatch:
+    """Single windows of hot cells, as rows without marks."""
+    s = _Strings(blobs)
+    a, b = (np.concatenate([[0], np.cumsum(n)]).tolist() for n in (2 * s.n, s.spelled))
+    flat = s.codes.tobytes()
+    return pa.RecordBatch.from_arrays([*map(pa.array, (s.doc_id, s.text_key, s.start)), pa.nulls(len(s.n), pa.int64()),
+                                       pa.array([flat[x:y] for x, y in zip(a, a[1:])], pa.binary()),
+                                       pa.array([s.rare[x:y] for x, y in zip(b, b[1:])], pa.binary())], _FOUND_NAMES)
+
+
+_FOUND_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 
 
 def _marks_of_buckets(packed: DataFrame, window: int) -> DataFrame:
-    """Every bucket's marks: a task takes its sorted minimisers in chunks that never split one."""
+    """Every bucket's marks: a task takes its sorted buckets in chunks that never split one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held: list[bytes] = []
+        size, last = 0, None
         for b in batches:
-            key = b.column("minimiser").to_numpy()
-            if size > _CHUNK_BYTES:
-                last = held[-1].column("minimiser")[-1].as_py()
-                cut = int(np.searchsorted(key, last, "right"))  # what belongs to the chunk's last minimiser
-                if cut < len(key):
-                    yield _marks_of_chunk(pa.Table.from_batches([*held, b.slice(0, cut)]), window)
-                    held, size, b = [], 0, b.slice(cut)
-            held.append(b)
-            size += b.nbytes
-        if sum(len(b) for b in held):
-            yield _marks_of_chunk(pa.Table.from_batches(held), window)
-
-    return packed.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "doc_id long, text_key long, start int, marks long")
+            for bucket, hot, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "hot", "strings"))):
+                if hot:
+                    yield _passed_on([blob])
+                    continue
+                if size > _CHUNK_BYTES and bucket != last:
+                    yield _marks_of_chunk(held, window)
+                    held, size = [], 0
+                held.append(blob)
+                size += len(blob)
+                last = bucket
+        if held:
+            yield _marks_of_chunk(held, window)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
 def _marks_of_hot(windows: DataFrame) -> DataFrame:
@@ -246,12 +320,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``text_key`` is the text's hash: marks depend on id and text alone, so repeated rows share them. Rows without an id have none.
     """
     rows = _rows(docs, id_col, text_col).where("doc_id is not null")
-    common, hot = _survey(rows, window, gram, cells)
-    packed = _packed(rows, {w: i for i, w in enumerate(common)}, hot, window, gram, cells)
-    marks = _marks_of_buckets(packed.where("minimiser is not null") if hot else packed, window)
-    if hot:
-        marks = marks.unionByName(_marks_of_hot(shared_table(packed.where("minimiser is null"), "passages-hot")))
-    return shared_table(marks, "passages-marks")
+    common, hot, strings = _survey(rows, window, gram, cells)
+    buckets = max(strings // BUCKET_STRINGS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = shared_table(_marks_of_buckets(_packed(rows, common, hot, window, gram, cells, buckets), window), "passages-found")
+    marks = found.where("marks is not null").select("doc_id", "text_key", "start", "marks")
+    return marks.unionByName(_marks_of_hot(found.where("marks is null"))) if hot else marks
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
