@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from refit import backtest_refit
 from tokentally.operators import forecast as FC
 
 D0 = dt.date(2025, 12, 1)
@@ -113,7 +114,7 @@ def test_running_sum_backtest_equals_refit(spark):
     ys_b = [rnd.choice([0.0, 1.0, 5.0]) for _ in range(60)]
     df = series(spark, ys_a, key="a").unionByName(series(spark, ys_b, key="b"))
     fast = {r["k"]: r for r in FC.backtest(df, ["k"]).collect()}
-    slow = {r["k"]: r for r in FC.backtest_refit(df, ["k"]).collect()}
+    slow = {r["k"]: r for r in backtest_refit(df, ["k"]).collect()}
     assert set(fast) == set(slow) == {"a", "b"}
     for key in fast:
         assert fast[key]["n_cutoffs"] == slow[key]["n_cutoffs"]
@@ -147,7 +148,7 @@ def test_backtest_equals_refit_on_large_totals(spark, level):
     import random
     rng = random.Random(7)
     df = series(spark, [level + rng.gauss(0, 1) for _ in range(120)])
-    (fast,), (slow,) = FC.backtest(df).collect(), FC.backtest_refit(df).collect()
+    (fast,), (slow,) = FC.backtest(df).collect(), backtest_refit(df).collect()
     assert fast["coverage"] == pytest.approx(slow["coverage"], abs=0.02)
     assert fast["mae"] == pytest.approx(slow["mae"], rel=1e-2)
 
@@ -155,3 +156,64 @@ def test_backtest_equals_refit_on_large_totals(spark, level):
 def test_normalize_skips_nan(spark):
     df = spark.createDataFrame([(dt.date(2025, 12, 10), 1.0), (dt.date(2025, 12, 10), float("nan"))], "ds date, y double")
     assert [r["y"] for r in FC.normalize_daily(df).collect()] == [1.0]
+
+
+@pytest.mark.parametrize("slopes", [(0,), (1e3,), (1e5,), (1e6,), (1e7,), (1e8,), (0, 1e6), (1e7, -1e6)])
+def test_backtest_equals_refit_on_steep_trends(spark, slopes):
+    """Also where the trend breaks in the middle."""
+    import random
+    rng = random.Random(11)
+    ys, level = [], 0.0
+    for i in range(200):
+        level += slopes[i * len(slopes) // 200]
+        ys.append(level + rng.gauss(0, 1) + (2 if i % 7 == 3 else 0))
+    df = series(spark, ys)
+    (fast,), (slow,) = FC.backtest(df).collect(), backtest_refit_numpy(ys)
+    assert fast["n_cutoffs"] == slow["n_cutoffs"]
+    assert fast["coverage"] == pytest.approx(slow["coverage"], abs=1e-6)
+    assert fast["mae"] == pytest.approx(slow["mae"], rel=1e-6)
+
+
+def backtest_refit_numpy(ys):
+    """Residuals of every refit by solving for the line on centred days."""
+    import numpy as np
+    y, first = np.array(ys), D0.weekday()
+    misses, inside, n = [], [], 0
+    for cut in range(len(ys) - 1 - 14, 28, -7):
+        t = np.arange(cut + 1, dtype=float)
+        line = np.array([((t - t.mean()) * (y[:cut + 1] - y[:cut + 1].mean())).sum() / ((t - t.mean()) ** 2).sum()])
+        r = y[:cut + 1] - y[:cut + 1].mean() - line * (t - t.mean())
+        day = (np.arange(len(ys)) + first) % 7
+        s = np.array([r[day[:cut + 1] == d].mean() for d in range(7)])
+        sigma = (r - s[day[:cut + 1]]).std(ddof=1)
+        new = np.arange(cut + 1, cut + 15)
+        miss = np.abs(y[new] - (y[:cut + 1].mean() + line * (new - t.mean()) + s[day[new]]))
+        misses += miss.tolist()
+        inside += (miss <= FC.Z_80 * sigma).tolist()
+        n += 1
+    return [{"n_cutoffs": n, "mae": float(np.mean(misses)), "coverage": float(np.mean(inside))}]
+
+
+def test_conformal_bands_hold_what_they_promise(spark):
+    import random
+    rng = random.Random(5)
+    walk, ys = 0.0, []
+    for _ in range(1500):  # a slow wander and heavy tails: the normal band is too narrow here
+        walk = 0.98 * walk + rng.gauss(0, 3)
+        ys.append(100 + walk + rng.choice([1, 1, 1, 6]) * rng.gauss(0, 2))
+    df = series(spark, ys, key="a").unionByName(series(spark, ys[:40], key="b"))
+    (c,) = FC.conformal_coverage(df, ["k"]).collect()
+    assert c["k"] == "a" and 0.77 <= c["coverage"] <= 0.83
+    rows = FC.conformal_forecast(df, ["k"]).orderBy("ds").collect()
+    assert len(rows) == 14 and {r["k"] for r in rows} == {"a"} and all(r["yhat_lower"] < r["yhat"] < r["yhat_upper"] for r in rows)
+    misses = FC.backtest_rows(df, ["k"]).where("datediff(ds, cutoff) = 3").selectExpr("abs(y - yhat) AS m").collect()
+    m = sorted(r["m"] for r in misses)
+    width = FC.conformal_widths(FC.backtest_rows(df, ["k"]), ["k"]).where("step = 3").first()
+    assert width["n"] == len(m) and width["width"] == m[-(-8 * (len(m) + 1) // 10) - 1]
+
+
+def test_conformal_widths_of_few_cutoffs_and_no_rows(spark):
+    (c,) = FC.conformal_widths(FC.backtest_rows(series(spark, [float(i % 9) for i in range(44)]))).where("step = 1").collect()
+    assert c["n"] == 1
+    assert FC.conformal_forecast(series(spark, [1.0] * 20)).count() == 0
+    assert FC.conformal_coverage(series(spark, []).limit(0)).count() == 0

@@ -131,61 +131,10 @@ def _fill_days(daily: DataFrame, k: list[str], date_start, date_end) -> tuple[Da
 # F2
 
 
-@dataclass
-class Model:
-    """Fitted parameters: one row per series (start, a, b, sigma, last) and one row
-    per (series, weekday) for the weekday effect."""
-
-    keys: list[str]
-    coef: DataFrame
-    season: DataFrame
-
-
 def _t(ds: Column, start: Column) -> Column:
     return F.datediff(ds, start).cast("double")
 
 
-def fit(history: DataFrame, keys: list[str]) -> Model:
-    """F2 fit.  Least squares from sums (n, St, Sy, Stt, Sty) in one aggregate."""
-    h = history.select(*keys, "ds", F.col("y").cast("double").alias("y"))
-    first = h.groupBy(*keys).agg(F.min("ds").alias("start"), F.max("ds").alias("last"))
-    h = h.join(first, keys).withColumn("t", _t(F.col("ds"), F.col("start")))
-    s = h.groupBy(*keys, "start", "last").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("t").alias("st"), F.sum("y").alias("sy"),
-        F.sum(F.col("t") * F.col("t")).alias("stt"), F.sum(F.col("t") * F.col("y")).alias("sty"))
-    den = F.col("n") * F.col("stt") - F.col("st") * F.col("st")
-    b = F.when(den != 0, (F.col("n") * F.col("sty") - F.col("st") * F.col("sy")) / den).otherwise(F.lit(0.0))
-    coef = s.select(*keys, "start", "last", "n", b.alias("b"), "sy", "st")
-    coef = coef.select(*keys, "start", "last", "n", "b",
-                       ((F.col("sy") - F.col("b") * F.col("st")) / F.col("n")).alias("a"))
-    trend = h.join(coef.select(*keys, "a", "b"), keys) \
-             .withColumn("r", F.col("y") - (F.col("a") + F.col("b") * F.col("t")))
-    season = trend.groupBy(*keys, F.dayofweek("ds").alias("dow")).agg(F.avg("r").alias("s"))
-    fitted = _apply(coef, season, keys, h.select(*keys, "ds", "y"))
-    sigma = fitted.groupBy(*keys).agg(
-        F.coalesce(F.stddev_samp(F.col("y") - F.col("yhat")), F.lit(0.0)).alias("sigma"))
-    coef = coef.join(sigma, keys, "left").withColumn("sigma", F.coalesce("sigma", F.lit(0.0)))
-    return Model(keys, coef, season)
-
-
-def _apply(coef: DataFrame, season: DataFrame, keys: list[str], rows: DataFrame) -> DataFrame:
-    r = rows.join(coef.select(*keys, "start", "a", "b"), keys) \
-            .withColumn("dow", F.dayofweek("ds"))
-    r = r.join(season, [*keys, "dow"], "left")
-    yhat = F.col("a") + F.col("b") * _t(F.col("ds"), F.col("start")) + F.coalesce(F.col("s"), F.lit(0.0))
-    return r.withColumn("yhat", yhat).drop("start", "a", "b", "dow", "s")
-
-
-def predict(model: Model, rows: DataFrame, z: float = Z_80) -> DataFrame:
-    """yhat and the band for arbitrary (keys, ds) rows."""
-    k = model.keys
-    out = _apply(model.coef, model.season, k, rows)
-    out = out.join(model.coef.select(*k, "sigma"), k)
-    return (out.withColumn("yhat_lower", F.col("yhat") - F.lit(z) * F.col("sigma"))
-               .withColumn("yhat_upper", F.col("yhat") + F.lit(z) * F.col("sigma"))
-               .drop("sigma"))
-
-
 def fit_rows(rows: DataFrame, keys: list[str], z: float = Z_80) -> DataFrame:
     """F2 as window functions: ``rows`` (keys..., ds, y) hold every day to fit and
     to predict, with y NULL on days to predict.  Adds yhat, yhat_lower, yhat_upper
@@ -288,90 +237,121 @@ def _score(scored: DataFrame, k: list[str]) -> DataFrame:
                .otherwise(0.0)).alias("coverage"))
 
 
-_STATS = ("n", "st", "sy", "stt", "sty", "syy")
-
+def backtest_rows(history: DataFrame, keys=(), horizon: int = CV_HORIZON) -> DataFrame:
+    """The days that F4 scores: keys..., cutoff, ds, y, yhat, sigma, as fitted on the days up to the cut-off.
 
-def _stat_terms(t: Column, y: Column) -> dict[str, Column]:
-    return {"n": F.lit(1.0), "st": t, "sy": y, "stt": t * t, "sty": t * y, "syy": y * y}
+    The refits are not recomputed from the raw days: running means and co-moments (Spark's updating
+    aggregates), overall and per weekday, hold the line and the weekday effects of every cut-off. The
+    residual sum of squares is the running sum of squared recursive residuals: what a day misses the
+    line of the days before it by, over its leverage. All its terms are positive, so nothing cancels,
+    however steep the trend or large the totals; the whole series' line is taken off first.
+    One window per series, one row per day: linear in days instead of days x cut-offs.
+    """
+    keys = _keys(keys)
+    h, k = _with_key(history.select(*keys, "ds", F.col("y").cast("double").alias("y")), keys)
+    return _drop_key(_backtest_rows(h, k, horizon), k)
+
+
+def _backtest_rows(h: DataFrame, k: list[str], horizon: int) -> DataFrame:
+    series, run = Window.partitionBy(*k), Window.partitionBy(*k).orderBy("ds")
+    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    d = h.select(*k, "ds", "y", F.min("ds").over(series).alias("start"), F.dayofweek("ds").alias("dow"))
+    d = d.select("*", _t(F.col("ds"), F.col("start")).alias("t"))
+    d = d.select("*", zero(F.regr_slope("y", "t").over(series)).alias("slope"))
+    d = d.select("*", F.avg(F.col("y") - F.col("slope") * F.col("t")).over(series).alias("level"))
+    d = d.select("*", (F.col("y") - F.col("level") - F.col("slope") * F.col("t")).alias("z"))
+    moments = [F.count("z").over(upto).cast("double").alias("n"), F.avg("t").over(upto).alias("mt"), F.avg("z").over(upto).alias("mz"),
+               F.var_pop("t").over(upto).alias("vt"), F.covar_pop("t", "z").over(upto).alias("vtz")]
+    for dw in range(1, 8):
+        own = F.col("dow") == dw
+        moments += [F.count(F.when(own, 1)).over(upto).alias(f"n{dw}"), F.avg(F.when(own, F.col("t"))).over(upto).alias(f"mt{dw}"),
+                    F.avg(F.when(own, F.col("z"))).over(upto).alias(f"mz{dw}")]
+    d = d.select("*", *moments)
+    before = {c: F.lag(c).over(run) for c in ("n", "mt", "mz", "vt", "vtz")}
+    off = F.col("t") - before["mt"]
+    miss = F.col("z") - before["mz"] - before["vtz"] / before["vt"] * off
+    leverage = (1 + off * off / before["vt"]) / before["n"]
+    d = d.select("*", F.when(before["vt"] > 0, miss * miss / (1 + leverage)).otherwise(F.lit(0.0)).alias("w"))
+    d = d.select("*", F.sum("w").over(upto).alias("sse"), F.when(F.col("vt") > 0, F.col("vtz") / F.col("vt")).otherwise(F.lit(0.0)).alias("b"))
+    cuts = cutoffs(h, k, horizon=horizon).withColumnRenamed("cutoff", "ds")
+    seasons = [zero(F.col(f"mz{dw}") - F.col("mz") - F.col("b") * (F.col(f"mt{dw}") - F.col("mt"))).alias(f"s{dw}") for dw in range(1, 8)]
+    p = d.join(cuts, [*k, "ds"], "left_semi").select("*", *seasons)
+    rest = F.col("sse") - sum((F.col(f"n{dw}") * F.col(f"s{dw}") * F.col(f"s{dw}") for dw in range(1, 8)), F.lit(0.0))
+    sigma = F.when(F.col("n") > 1, F.sqrt(F.greatest(rest, F.lit(0.0)) / (F.col("n") - 1))).otherwise(F.lit(0.0))
+    params = p.select(*k, F.col("ds").alias("cutoff"), "start", "slope", "level", "mt", "mz", "b", sigma.alias("sigma"), *[f"s{dw}" for dw in range(1, 8)])
+    test = params.select("*", F.explode(F.sequence(F.date_add("cutoff", 1), F.date_add("cutoff", horizon), F.expr("INTERVAL 1 DAY"))).alias("ds")) \
+        .join(h, [*k, "ds"])
+    t = _t(F.col("ds"), F.col("start"))
+    season = F.element_at(F.array(*[F.col(f"s{dw}") for dw in range(1, 8)]), F.dayofweek("ds"))
+    yhat = F.col("level") + F.col("slope") * t + (F.col("mz") + F.col("b") * (t - F.col("mt")) + season)
+    return test.select(*k, "cutoff", "ds", "y", yhat.alias("yhat"), "sigma")
 
 
 def backtest(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: float = Z_80) -> DataFrame:
     """refit at every cut-off on the days up to it, score the next ``horizon``
     days; per series the mean absolute error, zero-safe MAPE and band coverage.
-
-    The refits are not recomputed from the raw days: every quantity the fit needs
-    (n, sum t, sum y, sum t^2, sum t*y, sum y^2, overall and per weekday) is a
-    running sum over the series' days, so the fit at a cut-off is read off the
-    cut-off's own row.  Work is linear in the number of days per series (one
-    window per series, one row per day), instead of days x cut-offs.
     Output: keys..., n_cutoffs, mae, mape, coverage.
     """
     keys = _keys(keys)
     h, k = _with_key(history.select(*keys, "ds", F.col("y").cast("double").alias("y")), keys)
-    cuts = cutoffs(h, k, horizon=horizon)
-    start = F.min("ds").over(Window.partitionBy(*k))
-    # Sums of squares cancel when y is large against its spread: work on y minus the series mean.
-    shift = F.avg("y").over(Window.partitionBy(*k))
-    d = h.select(*k, "ds", "y", start.alias("start"), shift.alias("shift")).select(
-        *k, "ds", (F.col("y") - F.col("shift")).alias("y"), "start", "shift",
-        _t(F.col("ds"), F.col("start")).alias("t"), F.dayofweek("ds").alias("dow"))
-    w = Window.partitionBy(*k).orderBy("ds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    terms = _stat_terms(F.col("t"), F.col("y"))
-    running = [F.sum(terms[s]).over(w).alias(s) for s in _STATS]
-    for dw in range(1, 8):
-        running += [F.sum(F.when(F.col("dow") == dw, terms[s]).otherwise(0.0)).over(w).alias(f"{s}{dw}")
-                    for s in _STATS]
-    at_cut = d.select(*k, "ds", "start", "shift", *running) \
-              .join(cuts.select(*k, F.col("cutoff").alias("ds")), [*k, "ds"], "left_semi")
-    at_cut = at_cut.select(*k, F.col("ds").alias("cutoff"), *[c for c in at_cut.columns if c not in (*k, "ds")])
-    # Few wide selects rather than a chain of withColumn calls (each of which
-    # would re-analyse the growing plan).
-    den = F.col("n") * F.col("stt") - F.col("st") * F.col("st")
-    p = at_cut.select(*k, "cutoff", "start", *[F.col(c) for c in at_cut.columns if c[:1] in "nst"
-                                                 and c not in ("start",)],
-                      F.when(den != 0, (F.col("n") * F.col("sty") - F.col("st") * F.col("sy")) / den)
-                       .otherwise(F.lit(0.0)).alias("b"))
-    p = p.select("*", ((F.col("sy") - F.col("b") * F.col("st")) / F.col("n")).alias("a"))
-    a, b = F.col("a"), F.col("b")
-    seasons = []
-    for dw in range(1, 8):
-        nd, std, syd = F.col(f"n{dw}"), F.col(f"st{dw}"), F.col(f"sy{dw}")
-        seasons.append(F.when(nd > 0, (syd - a * nd - b * std) / nd).otherwise(F.lit(0.0)).alias(f"s{dw}"))
-    p = p.select("*", *seasons)
-    sse = F.lit(0.0)
-    for dw in range(1, 8):
-        nd, std, syd = F.col(f"n{dw}"), F.col(f"st{dw}"), F.col(f"sy{dw}")
-        e2 = (F.col(f"syy{dw}") - 2 * a * syd - 2 * b * F.col(f"sty{dw}") + a * a * nd
-              + 2 * a * b * std + b * b * F.col(f"stt{dw}"))
-        sse = sse + e2 - nd * F.col(f"s{dw}") * F.col(f"s{dw}")
-    p = p.select("*", F.when(F.col("n") > 1, F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n") - 1)))
-                       .otherwise(F.lit(0.0)).alias("sigma"))
-    season = F.coalesce(*[F.when(F.col("dow") == dw, F.col(f"s{dw}")) for dw in range(1, 8)])
-    params = p.select(*k, "cutoff", "start", "shift", "a", "b", "sigma", *[f"s{dw}" for dw in range(1, 8)])
-    days = params.select(*k, "cutoff", "start", "shift", "a", "b", "sigma", *[f"s{dw}" for dw in range(1, 8)],
-                         F.explode(F.sequence(F.date_add("cutoff", 1), F.date_add("cutoff", horizon),
-                                              F.expr("INTERVAL 1 DAY"))).alias("ds"))
-    test = days.join(h, [*k, "ds"]).withColumn("dow", F.dayofweek("ds"))
-    yhat = F.col("shift") + (F.col("a") + F.col("b") * _t(F.col("ds"), F.col("start")) + season)
-    scored = test.select(*k, "cutoff", "y", yhat.alias("yhat"), "sigma")
-    scored = scored.select(*k, "cutoff", "y", "yhat", (F.col("yhat") - F.lit(z) * F.col("sigma")).alias("yhat_lower"),
-                           (F.col("yhat") + F.lit(z) * F.col("sigma")).alias("yhat_upper"))
-    return _drop_key(_score(scored, k), k)
-
-
-def backtest_refit(history: DataFrame, keys=(), horizon: int = CV_HORIZON, z: float = Z_80) -> DataFrame:
-    """F4 the direct way: join each cut-off to its training days and refit.
-    Same result as ``backtest``; kept as its reference (work is days x cut-offs)."""
+    rows = _backtest_rows(h, k, horizon)
+    width = F.lit(z) * F.col("sigma")
+    return _drop_key(_score(rows.select("*", (F.col("yhat") - width).alias("yhat_lower"), (F.col("yhat") + width).alias("yhat_upper")), k), k)
+
+
+# ---------------------------------------------------------------------------------------
+# Bands that hold what they promise
+
+
+def conformal_widths(rows: DataFrame, keys=(), level: float = 0.8) -> DataFrame:
+    """(keys..., step, width, n): per series and days ahead, the conformal quantile of the back-test's |y - yhat|.
+
+    ``rows`` are those of ``backtest_rows``. Of n misses the width is the ceil(level * (n + 1))-th smallest (the
+    largest, if there are too few), so a further miss stays within it in ``level`` of all cases if
+    misses are exchangeable, whatever their distribution. A group is a series' cut-offs at one step: bounded by its days.
+    """
+    keys = _keys(keys)
+    r, k = _with_key(rows, keys)
+    return _drop_key(_widths(r, k, level), k)
+
+
+def _widths(r: DataFrame, k: list[str], level: float) -> DataFrame:
+    r = r.select(*k, F.datediff("ds", "cutoff").alias("step"), F.abs(F.col("y") - F.col("yhat")).alias("width"))
+    own = Window.partitionBy(*k, "step")
+    r = r.select("*", F.row_number().over(own.orderBy("width")).alias("_nth"), F.count(F.lit(1)).over(own).alias("n"))
+    want = F.least(F.ceil(F.lit(level) * (F.col("n") + 1)), F.col("n"))
+    return r.where(F.col("_nth") == want).select(*k, "step", "width", "n")
+
+
+def conformal_forecast(history: DataFrame, keys=(), periods: int = PERIODS, level: float = 0.8) -> DataFrame:
+    """F2's future days with conformal bands: keys..., ds, yhat, yhat_lower, yhat_upper.
+
+    Needs the days of one cut-off at least (``CV_MIN_DAYS``); series with fewer have no rows.
+    """
+    keys = _keys(keys)
+    h, k = _with_key(history.select(*keys, "ds", F.col("y").cast("double").alias("y")), keys)
+    widths = _widths(_backtest_rows(h, k, periods), k, level)
+    future = fit_rows(_with_future(h, k, periods), k).where("y is null").select(
+        *k, "ds", "yhat", F.row_number().over(Window.partitionBy(*k).orderBy("ds")).alias("step"))
+    out = future.join(widths, [*k, "step"])
+    return _drop_key(out.select(*k, "ds", "yhat", (F.col("yhat") - F.col("width")).alias("yhat_lower"), (F.col("yhat") + F.col("width")).alias("yhat_upper")), k)
+
+
+def conformal_coverage(history: DataFrame, keys=(), horizon: int = CV_HORIZON, level: float = 0.8) -> DataFrame:
+    """(keys..., n_days, coverage): share of back-test days within the bands, judged by cut-offs that did not set them.
+
+    Every second cut-off, counted from a series' last, sets the widths; the others are scored.
+    """
     keys = _keys(keys)
     h, k = _with_key(history.select(*keys, "ds", F.col("y").cast("double").alias("y")), keys)
-    cuts = cutoffs(h, k, horizon=horizon)
-    sid = [*k, "cutoff"]
-    paired = h.join(cuts, k)
-    train = paired.where(F.col("ds") <= F.col("cutoff")).select(*sid, "ds", "y")
-    test = paired.where((F.col("ds") > F.col("cutoff"))
-                        & (F.col("ds") <= F.date_add("cutoff", horizon))).select(*sid, "ds", "y")
-    m = fit(train, sid)
-    return _drop_key(_score(predict(m, test, z), k), k)
+    rows = _backtest_rows(h, k, horizon)
+    last = F.max("cutoff").over(Window.partitionBy(*k))
+    rows = rows.select("*", (F.floor(F.datediff(last, F.col("cutoff")) / F.lit(CV_PERIOD)) % 2 == 0).alias("_sets"))
+    widths = _widths(rows.where("_sets"), k, level)
+    scored = rows.where("not _sets").withColumn("step", F.datediff("ds", "cutoff")).join(widths.drop("n"), [*k, "step"])
+    return _drop_key(scored.groupBy(*k).agg(F.count(F.lit(1)).alias("n_days"),
+                                            F.avg(F.when(F.abs(F.col("y") - F.col("yhat")) <= F.col("width"), 1.0).otherwise(0.0)).alias("coverage")), k)
 
 
 # ---------------------------------------------------------------------------------------
