@@ -13,6 +13,7 @@ engines in the last bits.
 from __future__ import annotations
 
 import datetime as _dt
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from tokentally.functions.columns import event_day, level_rank
 from tokentally.operators import forecast as FC
-from tokentally.operators.filters import Filters, invalid_values
+from tokentally.operators.filters import Domains, Filters, invalid_values
 from tokentally.operators.reshape import level_sorted, normalize_series
 from tokentally.plans import catalog
 from tokentally.plans import forecasts as FP
@@ -29,18 +30,20 @@ from tokentally.plans import oracle as O
 from tokentally.plans.reshaped import RESHAPED
 from tokentally.session import scratch_path
 from tokentally.sources import driver_tables as D
+from tokentally.sources import export as X
 from tokentally.sources import ingest as I
 from tokentally.sources.driver_tables import driver_tables
 from tokentally.sources.schemas import FACT_SCHEMAS
 from tokentally.sources.tables import Tables
+from tokentally.streaming import ingest_stream as S
 
-# The training-data operators (subpackage llm) and their pipeline are optional.
+# The training-data operators (subpackage llm) and their pipeline are optional: without them, or without a library
+# that they need, the analytics queries stay.
 try:
     import corpus_pipeline
     from tokentally.llm import queries as LLM
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "tokentally.llm"):
-        raise
+except ImportError as missing:
+    logging.getLogger(__name__).warning("training-data queries left out: %s", missing)
     corpus_pipeline = LLM = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -143,6 +146,10 @@ FORECAST_ROUND = {
     "f4_backtest": {"mae": 2, "mape": 6, "coverage": 6},
     "f6_forecast_future": {c: 2 for c in _MONEY[:3]},
     "f6_daily_cost_forecast": {c: 2 for c in _MONEY[:3]},
+    "f4_steep_trend": {"mae": 2, "mape": 6, "coverage": 6},
+    "f4_shifted_series": {"mae": 2, "mape": 6, "coverage": 6},
+    "f2_conformal_forecast": {c: 2 for c in _MONEY[:3]},
+    "f4_conformal_coverage": {"coverage": 6},
 }
 
 
@@ -165,6 +172,25 @@ def _f4(spark, sf_dir):
     return round_doubles(FC.backtest(FP.orders_daily(spark, sf_dir), ["priority"]), per_col=FORECAST_ROUND["f4_backtest"])
 
 
+def _f4_steep(spark, sf_dir):
+    """F4 where totals of about one grow by 0 to ten million a day."""
+    return round_doubles(FC.backtest(FP.steep_series(spark, sf_dir), ["priority"]), per_col=FORECAST_ROUND["f4_steep_trend"])
+
+
+def _f4_shifted(spark, sf_dir):
+    """F4 where totals of about one lie on a level of a hundred million."""
+    h = FP.steep_series(spark, sf_dir, slopes=[0.0] * 5, level=1e8)
+    return round_doubles(FC.backtest(h, ["priority"]), per_col=FORECAST_ROUND["f4_shifted_series"])
+
+
+def _f2_conformal(spark, sf_dir):
+    return round_doubles(FC.conformal_forecast(FP.orders_daily(spark, sf_dir), ["priority"]), per_col=FORECAST_ROUND["f2_conformal_forecast"])
+
+
+def _f4_conformal(spark, sf_dir):
+    return round_doubles(FC.conformal_coverage(FP.orders_daily(spark, sf_dir), ["priority"]), per_col=FORECAST_ROUND["f4_conformal_coverage"])
+
+
 def _f6_status(spark, sf_dir):
     s = FP.practice_daily_cost(driver_tables(spark, sf_dir), _filters(FULL))
     return FC.forecast_summary(s, ["practice"]).status
@@ -208,6 +234,10 @@ FORECAST = {
     "f6_forecast_future": _f6_future,
     "f6_daily_cost_status": _f6_daily_status,
     "f6_daily_cost_forecast": _f6_daily_forecast,
+    "f4_steep_trend": _f4_steep,
+    "f4_shifted_series": _f4_shifted,
+    "f2_conformal_forecast": _f2_conformal,
+    "f4_conformal_coverage": _f4_conformal,
 }
 
 
@@ -230,41 +260,83 @@ def _pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S20 output parsed back: per batch its size, first/last event and date parts."""
     lines = D.pack_batches(D.telemetry_events(D.read_driver(spark, sf_dir, "events")),
                            "batch_id", "event_id", id_col="event_id", epoch_ms_col="epoch_ms")
+    return _parsed_batches(lines, "batch_id")
+
+
+def _cut_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S20 over the events in time order, batches of 1 to 10 cut along the stream, parsed back."""
+    events = D.telemetry_events(D.read_driver(spark, sf_dir, "events"))
+    return _parsed_batches(X.cut_batches(events, ["epoch_ms", "event_id"], id_col="event_id", epoch_ms_col="epoch_ms"), "batch_no")
+
+
+def _parsed_batches(lines: DataFrame, key: str) -> DataFrame:
     schema = "logEvents array<struct<id string, timestamp bigint, message string>>, " \
              "year int, month int, day int"
-    b = lines.select("batch_id", F.from_json("value", schema).alias("b"))
+    b = lines.select(key, F.from_json("value", schema).alias("b"))
     ids = F.transform("b.logEvents", lambda x: x["id"].cast("bigint"))
-    return b.select("batch_id", F.size("b.logEvents").cast("bigint").alias("n_events"),
+    return b.select(key, F.size("b.logEvents").cast("bigint").alias("n_events"),
                     F.array_min(ids).alias("first_event_id"), F.array_max(ids).alias("last_event_id"),
                     "b.year", "b.month", "b.day")
 
 
-def _stream_ingest(spark: SparkSession, sf_dir: str, table: str = "api_requests") -> DataFrame:
-    """JSONL files -> streaming ingest (several micro-batches) -> table."""
-    from tokentally.sources.export import write_lines
-    from tokentally.streaming import ingest_stream as S
+def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose message has no body or no attributes, in every way a producer can leave them out."""
+    found = I.classify_lines(D.envelope_lines(D.read_driver(spark, sf_dir, "events")))
+    no_envelope = F.coalesce(F.col("detail") == I.MSG_NO_ENVELOPE, F.lit(False)).alias("no_envelope")
+    return found.groupBy("status", no_envelope).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _configured_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 through the dict form: a company's own practices, levels and locations are the valid ones."""
+    own = Domains(practices=LISTS["practices"], levels=LISTS["levels"], locations=LISTS["locations"])
+    asked = {**WINDOW, "practices": ["BUILDING"], "locations": ["ASIA", "EUROPE"]}
+    return round_doubles(catalog.run("q12_usage_by_practice", driver_tables(spark, sf_dir), asked, own))
+
+
+def _stream_ingest(spark: SparkSession, sf_dir: str, again: bool = False, within: str | None = None) -> str:
+    """JSONL files -> streaming ingest (several micro-batches) -> the folder of its tables.
+
+    ``again`` delivers every third line a second time, in later files.
+    """
     src = scratch_path(spark, "stream-src")
-    write_lines(D.telemetry_lines(D.read_driver(spark, sf_dir, "events")), src)
+    lines = D.telemetry_lines(D.read_driver(spark, sf_dir, "events"))
+    X.write_lines(lines, f"{src}/feed=1")
+    if again:
+        X.write_lines(lines.where("batch_id % 3 = 1"), f"{src}/feed=2")
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    S.start_ingest_stream(spark, src, out, ck, max_files_per_trigger=2).awaitTermination()
-    return S.read_stream_table(spark, out, table), out
+    S.start_ingest_stream(spark, f"{src}/*", out, ck, max_files_per_trigger=2, dedupe_within=within).awaitTermination()
+    return out
 
 
 def _e1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream_ingest(spark, sf_dir)[0]
+    return S.read_stream_table(spark, _stream_ingest(spark, sf_dir), "api_requests")
+
+
+def _e1_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 with lines delivered twice, each counted once."""
+    return S.read_stream_table(spark, _stream_ingest(spark, sf_dir, again=True, within="1 day"), "api_requests")
+
+
+def _directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.employees_view(*[D.read_driver(spark, sf_dir, t) for t in ("customer", "nation", "region")])
 
 
 def _e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watermarked daily cost per practice over the streamed requests."""
-    from tokentally.streaming import ingest_stream as S
-    _, out = _stream_ingest(spark, sf_dir)
-    emp = D.employees_view(D.read_driver(spark, sf_dir, "customer"), D.read_driver(spark, sf_dir, "nation"),
-                           D.read_driver(spark, sf_dir, "region"))
+    out = _stream_ingest(spark, sf_dir)
     res, ck = scratch_path(spark, "daily-cost"), scratch_path(spark, "daily-cost-ck")
-    S.start_daily_cost_stream(spark, f"{out}/api_requests", emp, res, ck).awaitTermination()
+    S.start_daily_cost_stream(spark, f"{out}/api_requests", _directory(spark, sf_dir), res, ck).awaitTermination()
     return round_doubles(spark.read.parquet(res))
 
 
+def _e2_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 in upserting form: every day and practice, whichever micro-batch its requests came in."""
+    out = _stream_ingest(spark, sf_dir)
+    res, ck = scratch_path(spark, "daily-upserts"), scratch_path(spark, "daily-upserts-ck")
+    S.start_daily_cost_upserts(spark, f"{out}/api_requests", _directory(spark, sf_dir), res, ck, max_files_per_trigger=40).awaitTermination()
+    return round_doubles(S.read_daily_cost(spark, res).drop("corrections"))
+
+
 def _csv_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S21 then S2 with quotes, commas and line breaks in every name."""
     name = F.concat(F.lit('Ann "Bo", '), F.col("full_name"), F.lit("\nJr. \"X\""))
@@ -323,6 +395,7 @@ def _dirty_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Cases that the clean tables don't show: dirty text, bad directories, unknown users, tables written and read back.
 CASES = {
+    "d5_configured_domains": _configured_domains,
     "d5_invalid_values": _invalid_values,
     "j1_unknown_users": _unknown_users,
     "p7_level_sorted": _level_sorted,
@@ -334,7 +407,10 @@ CASES = {
 
 INGEST = {
     "e1_stream_ingest_api_requests": (_e1, "api_requests"),
+    "e1_stream_dedupe": (_e1_dedupe, "api_requests"),
     "e2_stream_daily_cost": (_e2, "stream_daily_cost"),
+    "e2_stream_daily_upserts": (_e2_upserts, "stream_daily_upserts"),
+    "s5_envelope_faults": (_envelopes, "envelopes"),
     "s8_ingest_user_prompts": (_ingest_table("user_prompts"), "user_prompts"),
     "s9_ingest_api_requests": (_ingest_table("api_requests"), "api_requests"),
     "s10_ingest_tool_decisions": (_ingest_table("tool_decisions"), "tool_decisions"),
@@ -344,6 +420,7 @@ INGEST = {
     "s13_reject_counts": (_reject_counts, "reject_counts"),
     "s15_reject_summary": (D.reject_summary_by_part, "reject_summary"),
     "s20_pack_batches": (_pack_batches, "pack"),
+    "s20_cut_batches": (_cut_batches, "cut"),
     "s21_employees_csv_roundtrip": (D.employees_csv_roundtrip, "employees"),
 }
 

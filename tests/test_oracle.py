@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 TRAINING_DATA = re.compile(r"op\d+_|pipeline$")  # tested in their own folder
-SLOW = {"e1_stream_ingest_api_requests", "e2_stream_daily_cost"}
+SLOW = {"e1_stream_ingest_api_requests", "e1_stream_dedupe", "e2_stream_daily_cost", "e2_stream_daily_upserts"}
 
 
 def norm(v):

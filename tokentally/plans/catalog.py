@@ -35,12 +35,13 @@ QUERIES = {
 }
 
 
-def run(query_id: str, tables, filters):
+def run(query_id: str, tables, filters, domains=None):
     """Run one query.  ``filters`` is a ``Filters`` or a dict with date_start,
-    date_end and optional practices / levels / locations (validated)."""
+    date_end and optional practices / levels / locations, validated against ``domains``
+    (default: the reference's lists)."""
     from tokentally.operators.filters import Filters
     if isinstance(filters, dict):
-        filters = Filters.from_dict(filters)
+        filters = Filters.from_dict(filters, domains)
     if query_id not in QUERIES:
         raise ValueError(f"Unknown query: {query_id!r}")
     return QUERIES[query_id](tables, filters)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokentally.operators import forecast as FC
@@ -33,6 +33,17 @@ def orders_daily(spark: SparkSession, root: str) -> DataFrame:
     return FC.normalize_daily(orders_raw(spark, root), ["priority"])
 
 
+STEEP = (0.0, 1e3, 1e5, 1e6, 1e7)
+
+
+def steep_series(spark: SparkSession, root: str, slopes=STEEP, level: float = 0.0) -> DataFrame:
+    """The daily order totals in units of 100,000 on a level and a slope a day, by the priority's leading digit."""
+    h = orders_daily(spark, root)
+    day = F.datediff("ds", F.min("ds").over(Window.partitionBy("priority"))).cast("double")
+    slope = F.element_at(F.array(*[F.lit(s) for s in slopes]), F.substring("priority", 1, 1).cast("int"))
+    return h.select("priority", "ds", (F.col("y") / 100_000 + level + slope * day).alias("y"))
+
+
 def daily_cost_forecast(tables, filters: Filters, periods: int = FC.PERIODS) -> FC.ForecastSummary:
     """The reference's forecast flow: Q9 daily totals under the filter as one
     series, gap-filled over the filter's dates, then F2-F6."""

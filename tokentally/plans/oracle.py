@@ -8,6 +8,8 @@ Queries affected by the prompt fan-out (K1) are written here the direct way
 
 from __future__ import annotations
 
+import datetime as _dt
+
 MAPPING_CTES = """
 employees AS (
   SELECT 'user' || CAST(c.c_custkey AS VARCHAR) || '@example.com' AS email,
@@ -126,6 +128,23 @@ def ingest_sql() -> dict[str, str]:
                CAST(month(arg_min(ts, event_id)) AS INTEGER) AS month,
                CAST(day(arg_min(ts, event_id)) AS INTEGER) AS day
         FROM events GROUP BY 1"""
+    out["cut"] = """
+        WITH e AS (SELECT event_id, ts, row_number() OVER (ORDER BY epoch_ms(ts), event_id) - 1 AS r FROM events),
+        j AS (SELECT b, j, (((b * 1000 + j + 42) % 2147483648) * 1103515245 + 12345) % 2147483648 // 65536 % 10 + 1 AS size
+              FROM (SELECT DISTINCT r // 1000 AS b FROM e), range(1000) t(j)),
+        c AS (SELECT b, j, size, CAST(SUM(size) OVER (PARTITION BY b ORDER BY j) - size AS BIGINT) AS start FROM j)
+        SELECT b * 1000 + j AS batch_no, COUNT(*) AS n_events, MIN(event_id) AS first_event_id, MAX(event_id) AS last_event_id,
+               CAST(year(arg_min(ts, r)) AS INTEGER) AS year, CAST(month(arg_min(ts, r)) AS INTEGER) AS month,
+               CAST(day(arg_min(ts, r)) AS INTEGER) AS day
+        FROM e JOIN c ON c.b = e.r // 1000 AND e.r % 1000 >= start AND e.r % 1000 < start + size GROUP BY 1"""
+    out["envelopes"] = f"""
+        SELECT CASE WHEN event_id % 10 < 5 OR {f['bad_message']} THEN 'missing_fields' WHEN {f['unknown_body']} THEN 'unknown_types'
+                    WHEN {f['drop_field']} OR {f['bad_int']} THEN 'missing_fields' ELSE 'ingested' END AS status,
+               event_id % 10 < 5 AS no_envelope, COUNT(*) AS count FROM events GROUP BY 1, 2"""
+    out["stream_daily_upserts"] = f"""WITH {mapping_ctes(True).strip()}
+        SELECT CAST(ar."timestamp" AS DATE) AS date, e.practice,
+               CAST(ROUND(TRY_CAST(CAST(SUM(ar.cost_usd) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS total_cost, COUNT(*) AS n_requests
+        FROM api_requests ar JOIN employees e ON ar.user_email = e.email GROUP BY 1, 2"""
     out["employees"] = f"WITH {mapping_ctes().strip()}\nSELECT * FROM employees"
     # Daily cost per practice over the ingested requests, days closed by a
     # one-day watermark (window end <= last event time - 1 day).
@@ -143,6 +162,8 @@ def ingest_sql() -> dict[str, str]:
 def case_sql() -> dict[str, str]:
     """Oracles of the cases that the clean tables don't show."""
     out = {}
+    own = SqlFilter(date_start=_dt.date(2024, 1, 5), date_end=_dt.date(2024, 1, 20), practices=("BUILDING",), locations=("ASIA", "EUROPE"))
+    out["d5_configured_domains"] = round_cols(query_sql(own)["q12_usage_by_practice"], ["total_cost"])
     out["d5_invalid_values"] = with_mapping("""
         SELECT field, value FROM (VALUES ('practice', 'BUILDING'), ('practice', 'Alchemy'), ('level', 'L1'), ('level', 'L11'),
                                          ('location', 'ASIA'), ('location', 'asia')) v(field, value)
@@ -404,18 +425,22 @@ def reshape_sql(f: SqlFilter) -> dict[str, str]:
 # Forecasting (F1-F6): the same closed-form model written directly in SQL; the
 # back-test is brute force (history x cut-offs joined and refitted per cut-off).
 
-def _fit_ctes(p: str, src: str, sid: list[str]) -> str:
+def _fit_ctes(p: str, src: str, sid: list[str], stable: bool = False) -> str:
+    """``stable``: the engine's own regression instead of sums, which cancel on steep series."""
     k = ", ".join(sid)
     on = " AND ".join(f"se.{c} = h.{c}" for c in sid)
+    coef = f"""SELECT {k}, b, (sy - b * st) / n AS a FROM (
+               SELECT *, CASE WHEN n * stt - st * st <> 0 THEN (n * sty - st * sy) / (n * stt - st * st)
+                              ELSE 0.0 END AS b FROM {p}_sums)"""
+    if stable:
+        coef = f"SELECT {k}, b, my - b * mt AS a FROM (SELECT {k}, COALESCE(regr_slope(y, t), 0.0) AS b, AVG(y) AS my, AVG(t) AS mt FROM {p}_h GROUP BY ALL)"
     return f"""
 {p}_first AS (SELECT {k}, MIN(ds) AS start, MAX(ds) AS last FROM {src} GROUP BY {k}),
 {p}_h AS (SELECT s.*, f.start, CAST(date_diff('day', f.start, s.ds) AS DOUBLE) AS t
           FROM {src} s JOIN {p}_first f USING ({k})),
 {p}_sums AS (SELECT {k}, CAST(COUNT(*) AS DOUBLE) AS n, SUM(t) AS st, SUM(y) AS sy,
                     SUM(t * t) AS stt, SUM(t * y) AS sty FROM {p}_h GROUP BY {k}),
-{p}_coef AS (SELECT {k}, b, (sy - b * st) / n AS a FROM (
-               SELECT *, CASE WHEN n * stt - st * st <> 0 THEN (n * sty - st * sy) / (n * stt - st * st)
-                              ELSE 0.0 END AS b FROM {p}_sums)),
+{p}_coef AS ({coef}),
 {p}_season AS (SELECT {k}, dayofweek(h.ds) AS dow, AVG(h.y - (c.a + c.b * h.t)) AS s
                FROM {p}_h h JOIN {p}_coef c USING ({k}) GROUP BY ALL),
 {p}_fit AS (SELECT h.*, c.a + c.b * h.t + COALESCE(se.s, 0.0) AS yhat
@@ -470,14 +495,42 @@ def forecast_sql(f: SqlFilter, z: float, periods: int = 14, f1_start=None, f1_en
 SELECT priority, ds, y AS actual_cost, yhat AS expected_cost, y - yhat AS residual FROM (
   SELECT *, stddev_samp(y - yhat) OVER (PARTITION BY priority) AS sd FROM m_fit)
 WHERE sd IS NOT NULL AND sd <> 0 AND abs(y - yhat) > 2.0 * sd"""
-    bt = (_normalize_cte("od", ORDERS_RAW, "priority") + """,
+    def back_test(series: str, stable: bool) -> str:
+        """Every cut-off of the daily totals, as changed by ``series``, joined with its training and test days."""
+        source = _normalize_cte("od", ORDERS_RAW, "priority").replace("COALESCE(d.y, 0.0) AS y", f"{series} AS y")
+        return (source + """,
 bounds AS (SELECT priority, MIN(ds) AS lo, MAX(ds) AS hi, COUNT(*) AS n FROM od GROUP BY 1),
 cuts AS (SELECT priority, CAST(hi - CAST(14 + 7 * k AS INTEGER) AS DATE) AS cutoff FROM bounds,
          range(0, CAST(floor((date_diff('day', lo, hi) - 43) / 7) AS BIGINT) + 1) r(k)
          WHERE n >= 44 AND date_diff('day', lo, hi) >= 43),
 train AS (SELECT od.priority, c.cutoff, od.ds, od.y FROM od JOIN cuts c USING (priority) WHERE od.ds <= c.cutoff),
 test AS (SELECT od.priority, c.cutoff, od.ds, od.y FROM od JOIN cuts c USING (priority)
-         WHERE od.ds > c.cutoff AND od.ds <= c.cutoff + 14),""" + _fit_ctes("cv", "train", ["priority", "cutoff"]))
+         WHERE od.ds > c.cutoff AND od.ds <= c.cutoff + 14),""" + _fit_ctes("cv", "train", ["priority", "cutoff"], stable))
+
+    bt = back_test("COALESCE(d.y, 0.0)", False)
+    score = _predict("cv", "test", ["priority", "cutoff"], z)
+    metrics = f"""
+SELECT priority, COUNT(DISTINCT cutoff) AS n_cutoffs, AVG(abs(y - yhat)) AS mae, AVG(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) AS mape,
+       AVG(CASE WHEN y >= yhat_lower AND y <= yhat_upper THEN 1.0 ELSE 0.0 END) AS coverage FROM ({score}) GROUP BY 1"""
+    day = "CAST(date_diff('day', (SELECT MIN(b.s) FROM od_b b WHERE b.priority = x.priority), x.ds) AS DOUBLE)"
+    slope = "[0.0, 1e3, 1e5, 1e6, 1e7][CAST(substring(x.priority, 1, 1) AS INTEGER)]"
+    out["f4_steep_trend"] = "WITH " + back_test(f"COALESCE(d.y, 0.0) / 100000 + {slope} * {day}", True) + metrics
+    out["f4_shifted_series"] = "WITH " + back_test("COALESCE(d.y, 0.0) / 100000 + 1e8", True) + metrics
+    widths = """SELECT priority, step, width FROM (
+  SELECT priority, step, width, row_number() OVER (PARTITION BY priority, step ORDER BY width) AS nth, COUNT(*) OVER (PARTITION BY priority, step) AS n FROM miss{where})
+  WHERE nth = least(CAST(ceil(round(0.8 * (n + 1), 9)) AS BIGINT), n)"""
+    miss = f""",
+miss AS (SELECT priority, cutoff, date_diff('day', cutoff, ds) AS step, abs(y - yhat) AS width,
+                (date_diff('day', cutoff, MAX(cutoff) OVER (PARTITION BY priority)) // 7) % 2 = 0 AS sets FROM ({score}))"""
+    out["f4_conformal_coverage"] = "WITH " + bt + miss + f""",
+w AS ({widths.format(where=" WHERE sets")})
+SELECT priority, COUNT(*) AS n_days, AVG(CASE WHEN miss.width <= w.width THEN 1.0 ELSE 0.0 END) AS coverage
+FROM miss JOIN w USING (priority, step) WHERE NOT sets GROUP BY 1"""
+    out["f2_conformal_forecast"] = "WITH " + bt + miss + "," + _fit_ctes("m", "od", ["priority"]) + "," + fut + f""",
+w AS ({widths.format(where="")}),
+p AS (SELECT priority, ds, yhat, row_number() OVER (PARTITION BY priority ORDER BY ds) AS step
+      FROM ({_predict("m", "(SELECT priority, ds FROM fut)", ["priority"], z)}))
+SELECT priority, ds, yhat, yhat - width AS yhat_lower, yhat + width AS yhat_upper FROM p JOIN w USING (priority, step)"""
     out["f1_nan_totals"] = "WITH " + _normalize_cte("od", ORDERS_RAW.replace(
         "o_totalprice AS y", "CASE WHEN o_orderkey % 11 <> 3 THEN o_totalprice END AS y"), "priority") + "\nSELECT priority, ds, y FROM od"
     out["f6_summary_anomalies"] = out["f3_anomalies"]

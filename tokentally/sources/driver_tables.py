@@ -257,6 +257,19 @@ def telemetry_lines(events: DataFrame) -> DataFrame:
                          .otherwise(F.col("value")).alias("value")).orderBy("batch_id")
 
 
+# Messages whose envelope lacks a body or attributes, by event_id % 10.
+ENVELOPE_FAULTS = ('{"attributes":{"a":"b"}}', '{"body":"","attributes":{"a":"b"}}', '{"body":"claude_code.api_request"}',
+                   '{"body":"claude_code.api_request","attributes":{}}', '{"body":null,"attributes":null}')
+
+
+def envelope_lines(events: DataFrame) -> DataFrame:
+    """events -> packed JSONL batch lines, half of the messages without a whole envelope."""
+    message = F.col("message")
+    for i, text in enumerate(ENVELOPE_FAULTS):
+        message = F.when(F.col("event_id") % 10 == i, F.lit(text)).otherwise(message)
+    return pack_batches(telemetry_events(events).withColumn("message", message), "batch_id", "event_id", id_col="event_id", epoch_ms_col="epoch_ms")
+
+
 def ingest_roundtrip(spark: SparkSession, root: str, persist: bool = False):
     """events -> JSONL batches written under the shared checkpoint folder -> S1 text
     scan -> ingest.  Returns the ``IngestResult`` (tables, rejects, counts)."""

@@ -7,7 +7,8 @@ it (exactly-once with the checkpointed file source).  Like the reference, events
 re-delivered in *different* files are not deduplicated (K15).
 
 E2 keeps a per-(day, practice) running cost with a one-day watermark and
-appends each day once it is closed; it equals Q5 on closed days.
+appends each day once it is closed; it equals Q5 on closed days. Its upserting form emits every
+change instead, late requests included, and equals Q5 on all days.
 """
 
 from __future__ import annotations
@@ -30,27 +31,55 @@ from tokentally.sources.schemas import API_REQUESTS, FACT_SCHEMAS
 from tokentally.sources.tables import DEFAULT_BROADCAST_MAX_ROWS
 
 
-_SEEN = "line_sha string, seen_at timestamp, batch_id bigint"
+_SEEN = "line_sha string, seen_at timestamp"
+_MANIFEST = "folder string, newest timestamp"
+MAX_SEEN_FOLDERS = 8
 
 
 def _drop_redelivered(batch: DataFrame, batch_id: int, seen_root: str, within: str) -> DataFrame:
     """Rows of the micro-batch that were not delivered before (same text, within the delay).
 
-    Only lines that hold an event can be redeliveries; malformed and empty ones always
-    pass.  The micro-batch's own lines are added to the seen table; a retried batch
-    overwrites its own part and is not compared with it.
+    Only lines that hold an event can be redeliveries; malformed and empty ones always pass.
+
+    The seen lines are a few folders that the manifest of the micro-batch before names; this one adds
+    a folder and writes its own manifest last. A retried micro-batch starts from the same manifest
+    and overwrites what it left, so it never meets its own lines. Folders whose newest line is past the delay
+    are dropped unread; beyond ``MAX_SEEN_FOLDERS`` the live lines are merged into one. State and files read
+    are bounded by the delay, not by the stream's age.
     """
     spark = batch.sparkSession
     has_event = F.get_json_object("value", "$.logEvents[0]").isNotNull()
     rows = batch.withColumn("line_sha", F.when(has_event, F.sha2("value", 256)))
     first = rows.where("line_sha is not null").groupBy("line_sha").agg(F.min("row_id").alias("first_row"))
-    seen = spark.read.schema(_SEEN).parquet(seen_root).where(
-        (F.col("batch_id") != batch_id) & (F.col("seen_at") >= F.current_timestamp() - F.expr(f"INTERVAL {within}")))
-    new = first.join(seen, "line_sha", "left_anti")
-    first.select("line_sha", F.current_timestamp().alias("seen_at")).write.mode("overwrite") \
-        .parquet(f"{seen_root}/batch_id={batch_id}")
-    kept = rows.join(new.select(F.col("first_row").alias("row_id")), "row_id", "left_semi")
-    return kept.unionByName(rows.where("line_sha is null")).drop("line_sha")
+    limit = F.current_timestamp() - F.expr(f"INTERVAL {within}")
+    folders = spark.read.schema(_MANIFEST).parquet(f"{seen_root}/manifest/batch_id={batch_id - 1}").where(F.col("newest") >= limit).collect()
+    live = spark.read.schema(_SEEN).parquet(*[r["folder"] for r in folders]) if folders else spark.createDataFrame([], _SEEN)
+    live = live.where(F.col("seen_at") >= limit)
+    new = first.join(live, "line_sha", "left_anti")
+    added = f"{seen_root}/lines/batch_id={batch_id}"
+    fresh = first.select("line_sha", F.current_timestamp().alias("seen_at"))
+    merge = len(folders) >= MAX_SEEN_FOLDERS
+    (fresh.unionByName(live) if merge else fresh).write.mode("overwrite").parquet(added)
+    newest = spark.range(1).select(F.lit(added).alias("folder"), F.current_timestamp().alias("newest"))
+    kept = spark.createDataFrame([] if merge else folders, _MANIFEST)
+    kept.unionByName(newest).coalesce(1).write.mode("overwrite").parquet(f"{seen_root}/manifest/batch_id={batch_id}")
+    _remove_unnamed(spark, seen_root, batch_id)
+    out = rows.join(new.select(F.col("first_row").alias("row_id")), "row_id", "left_semi").unionByName(rows.where("line_sha is null"))
+    return out.drop("line_sha").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _remove_unnamed(spark: SparkSession, seen_root: str, batch_id: int) -> None:
+    """Delete folders and manifests that neither this micro-batch nor a retry of it needs."""
+    named = {r["folder"] for b in (batch_id, batch_id - 1)
+             for r in spark.read.schema(_MANIFEST).parquet(f"{seen_root}/manifest/batch_id={b}").collect()}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(seen_root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind, needed in (("lines", lambda p: p in named), ("manifest", lambda p: p.rsplit("=", 1)[1] in (str(batch_id), str(batch_id - 1)))):
+        if fs.exists(path(f"{seen_root}/{kind}")):
+            for status in fs.listStatus(path(f"{seen_root}/{kind}")):
+                name = status.getPath().getName()
+                if name.startswith("batch_id=") and not needed(f"{seen_root}/{kind}/{name}"):
+                    fs.delete(status.getPath(), True)
 
 
 def _write_batch(output_root: str, dedupe_within: str | None = None):
@@ -71,6 +100,7 @@ def _write_batch(output_root: str, dedupe_within: str | None = None):
                 .parquet(f"{root}/rejects/batch_id={batch_id}")
         finally:
             classified.unpersist()
+            lines.unpersist()
             batch.unpersist()
     return write
 
@@ -92,9 +122,9 @@ def start_ingest_stream(spark: SparkSession, source_dir: str, output_root: str,
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = file_columns(reader.load(source_dir))
     if dedupe_within:
-        # an empty part, so that the first micro-batch finds a table of seen lines
-        spark.createDataFrame([], "line_sha string, seen_at timestamp").write.mode("overwrite") \
-            .parquet(f"{output_root.rstrip('/')}/seen_lines/batch_id=-1")
+        # an empty manifest, which the first micro-batch starts from
+        spark.createDataFrame([], _MANIFEST).coalesce(1).write.mode("overwrite") \
+            .parquet(f"{output_root.rstrip('/')}/seen_lines/manifest/batch_id=-1")
     w = lines.writeStream.foreachBatch(_write_batch(output_root, dedupe_within)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
@@ -116,37 +146,79 @@ def daily_cost_stream(requests: DataFrame, employees: DataFrame, watermark: str
     # (TIMESTAMP_NTZ).  Epoch microseconds convert it without the session zone.
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp")))
-    r = requests.withColumn("event_time", instant).withWatermark("event_time", watermark)
-    emp = employees.select("email", "practice")
-    # broadcast only a directory under the checked row bound (counted once here)
-    if emp.count() <= DEFAULT_BROADCAST_MAX_ROWS:
-        emp = F.broadcast(emp)
-    j = r.join(emp, F.col("user_email") == F.col("email"))
+    j = _with_practice(requests.withColumn("event_time", instant).withWatermark("event_time", watermark), employees)
     agg = j.groupBy(F.window("event_time", "1 day").alias("w"), "practice") \
            .agg(F.sum("cost_usd").alias("total_cost"))
     day = F.date_from_unix_date(F.floor(F.unix_micros(F.col("w.start")) / F.lit(86_400_000_000)).cast("int"))
     return agg.select(day.alias("date"), "practice", "total_cost")
 
 
-def start_daily_cost_stream(spark: SparkSession, requests_dir: str, employees: DataFrame,
-                            output_dir: str, checkpoint: str, watermark: str = "1 day",
-                            state_partitions: int | None = None) -> StreamingQuery:
-    """E2 as a running query (append mode, one row per closed day and practice).
+def _with_practice(requests: DataFrame, employees: DataFrame) -> DataFrame:
+    emp = employees.select("email", "practice")
+    # broadcast only a directory under the checked row bound (counted once here)
+    if emp.count() <= DEFAULT_BROADCAST_MAX_ROWS:
+        emp = F.broadcast(emp)
+    return requests.join(emp, F.col("user_email") == F.col("email"))
+
+
+def start_daily_cost_upserts(spark: SparkSession, requests_dir: str, employees: DataFrame, output_root: str, checkpoint: str,
+                             max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> StreamingQuery:
+    """E2 without a closing day: totals per (date, practice) that late requests correct.
 
-    ``state_partitions`` sets how many partitions hold the aggregation state
-    (default: the cluster's parallelism).  Spark fixes that number when a query
-    first starts from a checkpoint, so it is set only around ``start()``.
+    Update mode keeps one sum per day and practice, however old, and emits those that a micro-batch changed; the
+    sink writes them as that micro-batch's version, by day. A retried micro-batch overwrites its own version.
+    Work per micro-batch follows its changed days. ``read_daily_cost`` takes each key's latest version.
+    """
+    reader = spark.readStream.schema(T.StructType(API_REQUESTS.fields + [T.StructField("event_date", T.DateType())]))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    totals = _with_practice(reader.parquet(requests_dir), employees).groupBy(event_day("timestamp").alias("date"), "practice") \
+        .agg(F.sum("cost_usd").alias("total_cost"), F.count(F.lit(1)).alias("n_requests"))
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.repartition("date").write.mode("overwrite").partitionBy("date").parquet(f"{output_root.rstrip('/')}/version={batch_id}")
+
+    query = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return _start(spark, query, state_partitions)
+
+
+def read_daily_cost(spark: SparkSession, output_root: str, date_start=None, date_end=None) -> DataFrame:
+    """(date, practice, total_cost, n_requests, corrections): the latest version of each key; earlier ones were corrected.
+
+    Date bounds prune the folders of other days.
+    """
+    versions = spark.read.schema("practice string, total_cost double, n_requests bigint, version bigint, date date").parquet(output_root)
+    if date_start is not None:
+        versions = versions.where(F.col("date") >= F.lit(date_start).cast("date"))
+    if date_end is not None:
+        versions = versions.where(F.col("date") <= F.lit(date_end).cast("date"))
+    return versions.groupBy("date", "practice").agg(
+        F.max_by("total_cost", "version").alias("total_cost"), F.max_by("n_requests", "version").alias("n_requests"),
+        (F.count(F.lit(1)) - 1).alias("corrections"))
+
+
+def _start(spark: SparkSession, query, state_partitions: int | None) -> StreamingQuery:
+    """Start with the state spread over ``state_partitions`` (default: the cluster's parallelism).
+
+    Spark fixes that number when a query first starts from a checkpoint, so it is set only around ``start()``.
     """
-    schema = T.StructType(API_REQUESTS.fields + [T.StructField("event_date", T.DateType())])
-    requests = spark.readStream.schema(schema).parquet(requests_dir)
-    out = daily_cost_stream(requests, employees, watermark)
-    n = state_partitions or spark.sparkContext.defaultParallelism
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
     try:
-        return (out.writeStream.outputMode("append").format("parquet")
-                   .option("path", output_dir).option("checkpointLocation", checkpoint)
-                   .trigger(availableNow=True).start())
+        return query.start()
     finally:
         spark.conf.set(key, before)
+
+
+def start_daily_cost_stream(spark: SparkSession, requests_dir: str, employees: DataFrame,
+                            output_dir: str, checkpoint: str, watermark: str = "1 day",
+                            state_partitions: int | None = None) -> StreamingQuery:
+    """E2 as a running query (append mode, one row per closed day and practice).
+
+    ``state_partitions`` sets how many partitions hold the aggregation state.
+    """
+    schema = T.StructType(API_REQUESTS.fields + [T.StructField("event_date", T.DateType())])
+    daily_cost = daily_cost_stream(spark.readStream.schema(schema).parquet(requests_dir), employees, watermark)
+    return _start(spark, daily_cost.writeStream.outputMode("append").format("parquet").option("path", output_dir)
+                  .option("checkpointLocation", checkpoint).trigger(availableNow=True), state_partitions)
