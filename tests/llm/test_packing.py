@@ -99,3 +99,21 @@ def test_pack_round_trip(spark):
 
 def test_pack_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_memo_is_bounded_in_bytes(monkeypatch):
+    import random
+    import sys
+
+    from tokentally.llm import byte_tokens as B
+    monkeypatch.setattr(B, "_MEMO_BYTES", 2_000_000)  # of what one call adds beyond it, 20 texts
+    tok = ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    lines = ["".join(rng.choice("中文字符测试语料东西南北") for _ in range(300)) for _ in range(3_000)]  # no spaces at all
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) + rng.choice([",", "...", "!" * rng.randint(1, 20)]) for _ in range(40_000)]
+    for texts in ([" ".join(words[i:i + 100]) for i in range(0, len(words), 100)], ["\n".join(lines[i:i + 10]) for i in range(0, len(lines), 10)]):
+        for i in range(0, len(texts), 20):
+            part = texts[i:i + 20]
+            assert [np.frombuffer(b, "<u4").tolist() for b in tok.blobs(part)] == [e.ids for e in tok.tok.encode_batch_fast(part, add_special_tokens=False)]
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for m in (tok.memo, tok.old) for k, v in m.items())
+    assert held < 4_500_000 and max(map(len, [*tok.memo, *tok.old])) <= B._WORD_CHARS

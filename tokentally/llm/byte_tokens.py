@@ -3,19 +3,26 @@
 Byte-level BPE never joins bytes across a single space or newline between two other
 characters, nor across the end of a run of letters. So a text in which white space is such
 single spaces and newlines is the concatenation of its chunks (" word,", "\\nWord"), and most
-chunks are a word and its punctuation. Both repeat: a worker encodes each once and remembers
-it. Texts with other white space or special-token strings are encoded whole.
+chunks are a word and its punctuation. Both repeat: a worker encodes each word once and remembers
+it within a bound of bytes. Texts with other white space or special-token strings are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
-from itertools import filterfalse
-from operator import add
 
-_MEMO_MAX = 250_000  # chunks in a generation of the memo; a worker keeps two
-_TAIL = ".,!?*$%&#|;:)\"-"
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tokentally.llm.common import gathered
+
+_MEMO_BYTES = 80_000_000  # of a generation of the memo; a worker keeps two
+_ENTRY_BYTES = 240        # of an entry besides its characters and ids
+_WORD_CHARS = 64          # longer chunks (lines without spaces) are encoded, not remembered
+# Behind a letter, which below U+0250 is one in every Unicode version, punctuation up to the chunk's end is a piece of its own.
+_TAIL = r"""([A-Za-zÀ-ÖØ-öø-ɏ])([.,!?*$%&#|;:)"-]+)( |$)"""
 
 
 def regular(text: str) -> bool:
@@ -23,28 +30,21 @@ def regular(text: str) -> bool:
     return " ".join(text.split()) == text.replace("\n", " ")
 
 
-def chunks(text: str) -> list[str]:
-    """Keys of a regular text's chunks: without the leading space; "\\r" marks the first chunk."""
-    keys = text.replace("\n", " \n").split(" ")
-    keys[0] = "\r" + keys[0]
-    return keys
-
-
 def spelled(key: str) -> str:
-    """The string that a chunk key stands for."""
-    return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
+    """The string that a chunk key stands for: without its leading space; "\\r" marks a text's first chunk, "\\x01" punctuation."""
+    return key[1:] if key[:1] in "\r\x01" else key if key[:1] == "\n" else " " + key
 
 
 class ChunkMemo:
-    """Ids of texts as little-endian unsigned 32-bit blobs, chunk by chunk with a bounded memo.
+    """Ids of texts as little-endian unsigned 32-bit blobs, chunk by chunk with a memo bounded in bytes.
 
     Subclasses encode strings (``_encode``) and say which texts must be encoded whole (``_whole``).
     """
 
     def __init__(self):
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}    # the generation before
-        self.tails: dict[str, bytes] = {}  # punctuation behind a word
+        self.memo: dict[str, bytes] = {}  # chunks without the punctuation behind them, and that punctuation
+        self.old: dict[str, bytes] = {}   # the generation before
+        self.size = 0                     # bytes of the memo
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         raise NotImplementedError
@@ -52,48 +52,48 @@ class ChunkMemo:
     def _whole(self, text: str) -> bool:
         return not regular(text)
 
-    def _join(self, parts):
-        return b"".join(parts)
-
-    def _learn(self, keys: set[str]) -> None:
-        """Put every key into the memo: a word with a punctuation tail from its two parts."""
-        memo, fresh = self.memo, set()
-        whole, words, tails = [], [], []
-        for k in keys:
-            word = k.rstrip(_TAIL)
-            # Below U+0250 the letters are the same in every Unicode version.
-            if len(word) < len(k) and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                whole.append(k)
-                words.append(word)
-                tails.append(k[len(word):])
-                fresh.add(word)
-            else:
-                fresh.add(k)
-        fresh = list(filterfalse(memo.__contains__, fresh))
+    def _assemble(self, values: list, codes: np.ndarray, ends: np.ndarray) -> list:
+        """One blob per text from its chunks' ``values``; text i has the chunks ``codes[ends[i]:ends[i + 1]]``."""
+        ids = np.frombuffer(b"".join(values), np.uint32)
+        n = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        length = n[codes]
+        flat = gathered(ids, (np.cumsum(n) - n)[codes], length)
+        at = np.concatenate([[0], np.cumsum(length)])[ends].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+    def _values(self, keys: list[str]) -> list:
+        """What distinct chunks stand for; new ones are encoded and, if short, remembered."""
+        if self.size > _MEMO_BYTES:
+            self.memo, self.old, self.size = {}, self.memo, 0
+        out = list(map(self.memo.get, keys))
+        at = [i for i, v in enumerate(out) if v is None]
         if self.old:
-            memo.update([(k, self.old[k]) for k in fresh if k in self.old])
-            fresh = list(filterfalse(memo.__contains__, fresh))
-        memo.update(zip(fresh, self._encode(list(map(spelled, fresh)))))
-        new = list(set(tails).difference(self.tails))
-        self.tails.update(zip(new, self._encode(new)))
-        memo.update(zip(whole, map(add, map(memo.__getitem__, words), map(self.tails.__getitem__, tails))))
+            for i in at:
+                out[i] = self.old.get(keys[i])
+        fresh = [i for i in at if out[i] is None]
+        for i, v in zip(fresh, self._encode([spelled(keys[i]) for i in fresh])):
+            out[i] = v
+        kept = {k: out[i] for i in at if len(k := keys[i]) <= _WORD_CHARS}
+        self.memo |= kept
+        self.size += _ENTRY_BYTES * len(kept) + 5 * sum(map(len, kept))
+        return out
 
     def blobs(self, texts: list) -> list:
         """One blob (or what ``_encode`` gives) per text; null counts as empty."""
-        if len(self.memo) > _MEMO_MAX:
-            self.memo, self.old = {}, self.memo
-        split, missing = [], set()
-        for t in texts:
-            if not t:
-                split.append(None)
-            elif self._whole(t):
-                split.append(t)
-            else:
-                split.append(chunks(t))
-                missing.update(filterfalse(self.memo.__contains__, split[-1]))
-        self._learn(missing)
-        get = self.memo.__getitem__
-        return [self._join(()) if s is None else self._encode([s])[0] if isinstance(s, str) else self._join(map(get, s)) for s in split]
+        whole = [bool(t) and ("\x01" in t or self._whole(t)) for t in texts]
+        some = [i for i, t in enumerate(texts) if t and not whole[i]]
+        out = [None] * len(texts)
+        if some:
+            apart = pc.replace_substring_regex(pa.array(["\r" + texts[i].replace("\n", " \n") for i in some], pa.large_string()), _TAIL, "\\1 \x01\\2\\3")
+            split = pc.split_pattern(apart, " ")
+            coded = split.flatten().dictionary_encode()
+            values = self._values(coded.dictionary.to_pylist())
+            for i, blob in zip(some, self._assemble(values, coded.indices.to_numpy(), split.offsets.to_numpy())):
+                out[i] = blob
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = self._encode([t])[0] if whole[i] else self._assemble([], np.zeros(0, np.int64), np.zeros(2, np.int64))[0]
+        return out
 
 
 class ChunkTokenizer(ChunkMemo):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,9 @@ def join_skewed(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int
     cold = groups.where(F.col(n) * 1000 <= F.lit(total)).hint("shuffle_merge")
     return rows.join(F.broadcast(hot), key).unionByName(
         rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+
+
+def gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``values[start:start + length]`` of every range, one behind the other."""
+    before = np.cumsum(length) - length
+    return values[np.arange(int(length.sum())) + np.repeat(start - before, length)]

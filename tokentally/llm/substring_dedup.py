@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokentally.llm.common import join_skewed, shared_table, small_batches
+from tokentally.llm.common import gathered, join_skewed, shared_table, small_batches
 from tokentally.llm.xxh import xxh64_ranges
 
 WINDOW = 13
@@ -154,12 +154,6 @@ def _survey(rows: DataFrame, window: int, gram: int, cells: int) -> tuple[list[s
     return [r["word"] for r in common], [r["cell"] for r in hot], strings
 
 
-def _gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """``values[start:start + length]`` of every range, one behind the other."""
-    before = np.cumsum(length) - length
-    return values[np.arange(int(length.sum())) + np.repeat(start - before, length)]
-
-
 def _packed(rows: DataFrame, common: list[str], hot: list[int], window: int, gram: int, cells: int, buckets: int) -> DataFrame:
     """(bucket, hot, strings): the super-k-mers of all texts, those of hot cells window by window, as ``_Strings`` a bucket."""
     is_hot = np.zeros(cells, bool)
@@ -191,8 +185,8 @@ def _packed(rows: DataFrame, common: list[str], hot: list[int], window: int, gra
             r0, r1 = ends[np.searchsorted(rare, at)], ends[np.searchsorted(rare, at + n)]
             columns = [b.column("doc_id").to_numpy()[text], b.column("text_key").to_numpy()[text], (at - words.ends[text]).astype(np.int32), n.astype(np.int32),
                        (r1 - r0).astype(np.int32)]
-            packed = _gathered(code, at, n)
-            behind = _gathered(np.frombuffer(b"".join(letters), np.uint8), r0, r1 - r0)
+            packed = gathered(code, at, n)
+            behind = gathered(np.frombuffer(b"".join(letters), np.uint8), r0, r1 - r0)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
             word_end, rare_end = np.concatenate([[0], np.cumsum(n)]).tolist(), np.concatenate([[0], np.cumsum(r1 - r0)]).tolist()
             blobs = [b"".join([int(y - x).to_bytes(4, "little"), *(c[x:y].tobytes() for c in columns),

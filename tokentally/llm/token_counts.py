@@ -15,6 +15,7 @@ import math
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -95,8 +96,9 @@ class UnigramCounter(ChunkMemo):
     def _whole(self, text: str) -> bool:
         return not self.by_chunk or not regular(text)
 
-    def _join(self, parts) -> int:
-        return sum(parts)
+    def _assemble(self, values: list, codes: np.ndarray, ends: np.ndarray) -> list:
+        total = np.concatenate([[0], np.cumsum(np.array(values, np.int64)[codes])])
+        return np.diff(total[ends]).tolist()
 
 
 _COUNTERS: dict[tuple[str, str], UnigramCounter] = {}
