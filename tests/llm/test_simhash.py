@@ -141,3 +141,11 @@ def test_repeated_ids_of_unrelated_texts_and_rows_without_id(spark):
     docs = spark.createDataFrame([(i, t, "x", 1, s) for s, (i, t) in enumerate(rows)], "doc_id long, text string, fingerprint string, cell int, source int")
     kept = sorted((r.doc_id or 0, r.text, r.source) for r in S.keep_one_per_group(docs.repartition(3)).collect())
     assert kept == sorted([(5, a, 0), (5, b, 1), (2, c, 4), (0, d, 6), (0, a, 8)])
+
+
+def test_one_per_group_leaves_all_columns_alone(spark):
+    rows = [(1, "a b c d e", 7, 8, "x", "y", 5), (2, "a b c d e", 9, 8, "x", "y", 6), (3, "other words here now", 8, None, None, "z", 7), (3, "other words here now", 1, None, None, "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _nth int, _keep int, _keep_hash string, _documents_text string, __id int")
+    got = sorted(tuple(r) for r in S.keep_one_per_group(docs).collect())
+    assert len(got) == 2 and got[0] == rows[0] and got[1] in rows[2:]
+    assert S.keep_one_per_group(docs.limit(0)).count() == 0

@@ -108,3 +108,15 @@ def test_tree_boxes_and_quantile():
         assert ((p[tree.order[a:b]] - p[3]) ** 2).sum(1).min() >= d[node] - 1e-12
     assert ann.KdTree(np.zeros((500, 6)), leaf=10).span == [(0, 500)]
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+
+
+def test_nearest_of_very_large_and_very_small_vectors(spark):
+    rows = rows_of(200, 4, 8)
+    scales = [1.0, 1e200, 1e-200, 1e300, 5e-324]
+    scaled = [(i, [float(v) * scales[i % 4] for v in x], *rest) for i, x, *rest in rows]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(scaled, SCHEMA.replace("array<float>", "array<double>")).repartition(3), confidence=0.999999).collect()]
+    want = brute(rows, cosine)
+    assert [(q, n, v) for q, n, v, _ in sorted(got)] == [(q, n, v) for q, n, v, _ in want]
+    assert [s for *_, s in sorted(got)] == pytest.approx([s for *_, s in want], abs=1e-12)
+    mixed = [(0, [1e200, 1e-200], 1, "a", 1), (1, [1e200, 1.0], 1, "a", 1), (2, [5e-324, 0.0], 1, "a", 1), (3, [0.0, 1e308], 1, "a", 1)]
+    assert [(r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(mixed, SCHEMA.replace("array<float>", "array<double>"))).orderBy("rank").collect()] == [(1, 1.0), (2, 1.0), (3, 0.0)]

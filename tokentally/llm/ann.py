@@ -87,6 +87,11 @@ class KdTree:
         return (gap * gap).sum(1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component near 1: the cosine stays, squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def _cosines(q: np.ndarray, q_norm: float, x: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (norms * q_norm)
 
@@ -123,10 +128,11 @@ def _neighbours(rows: DataFrame, queries, k: int, m: int, quantile: float, seed:
 
     def shard(ids, x, best):
         d = x.shape[1]
+        x = _scaled(x)
         norms = np.sqrt((x * x).sum(1))
         tree = KdTree((x / norms[:, None]) @ directions(d, m, seed))
         x, norms, ids = x[tree.order], norms[tree.order], ids[tree.order]
-        q_ids, q = queries.value[d]
+        q_ids, q = queries.value[d][0], _scaled(queries.value[d][1])
         q_norms = np.sqrt((q * q).sum(1))
         q_low = (q / q_norms[:, None]) @ directions(d, m, seed)
         for i, own in enumerate(q_ids.tolist()):

@@ -76,8 +76,10 @@ def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT,
     places = F.greatest(F.length("text") - F.lit(SAMPLE_CHARS - 1), F.lit(1)).cast("long")
     block = F.substring("text", (F.pmod(F.xxhash64("text", F.lit(1)), places) + 1).cast("int"), F.lit(SAMPLE_CHARS))
     hashed = learn.select("lang", F.xxhash64("text").alias("h"), block.alias("t"))
-    smallest = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut to sample_docs a task before its shuffle
-    picked = hashed.select("lang", "h").distinct().withColumn("nth", smallest).where(F.col("nth") <= sample_docs).select("lang", "h")
+    picked = hashed.select("lang", "h").distinct()
+    for groups in (512, 64, 8, 1):  # a hot language is cut down group by group, each to sample_docs
+        nth = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(groups))).orderBy("h"))
+        picked = picked.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "h")
     sample = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("t").alias("t"))
     parts: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}
     for r in sample.orderBy("lang", "h").collect():

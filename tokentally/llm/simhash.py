@@ -265,13 +265,15 @@ def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     rows, named = _labelled(docs, "doc_id", "text", shingle, radius)
     first = rows.join(named, "fingerprint").groupBy("group", F.col("doc_id").isNull().alias("no_id")) \
         .agg(F.min(F.struct("doc_id", "fingerprint", "text_hash")).alias("f"))
-    keep = first.select(F.col("f.doc_id").alias("_keep"), F.col("f.text_hash").alias("_keep_hash")).distinct()
+    free = "_" * max([1, *map(len, docs.columns)])  # longer than any name in the table
+    keep_id, keep_hash, place = free + "id", free + "hash", free + "nth"
+    keep = first.select(F.col("f.doc_id").alias(keep_id), F.col("f.text_hash").alias(keep_hash)).distinct()
     hashed = _text_hash("text")
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (hashed == F.col("_keep_hash")), "left_semi")
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (hashed == F.col(keep_hash)), "left_semi")
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     order = F.to_json(F.struct(*others)) if others else F.lit(0)
     nth = F.row_number().over(Window.partitionBy("doc_id", hashed).orderBy(order))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return kept.withColumn(place, nth).where(F.col(place) == 1).select(*docs.columns)
 
 
 def _text_hash(text_col):

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentally.llm.common import checkpointed
@@ -105,11 +105,11 @@ def fit_urls(urls: DataFrame, longest: int = LONGEST, smoothing: float = SMOOTHI
 
 
 def score_urls(urls: DataFrame, model: DataFrame, any_char: float, longest: int = LONGEST) -> DataFrame:
-    """(url, score): log-likelihood accepted minus rejected, per character."""
+    """``urls`` (id, url, ...) with their score: log-likelihood accepted minus rejected, per character. N-grams travel with ids, not urls."""
     if model.count() <= BROADCAST_ROWS:
         model = F.broadcast(model)
-    sums = _grams(urls.select("url"), longest).join(model, "g").groupBy("url").agg(F.sum("w").alias("w"))
-    return urls.join(sums, "url", "left") \
+    sums = _grams(urls.select("id", "url"), longest).select("id", "g").join(model, "g").groupBy("id").agg(F.sum("w").alias("w"))
+    return urls.join(sums, "id", "left") \
         .withColumn("score", F.coalesce("w", F.lit(0.0)) / (F.length("url") + 2) + any_char).drop("w")
 
 
@@ -117,12 +117,9 @@ def calibrate(scored: DataFrame) -> float:
     """Threshold with the best balanced accuracy on (score, n, verdict): the edge of a bin; 0 without labels."""
     at = F.greatest(F.lit(-BIN_MAX), F.least(F.lit(BIN_MAX), F.floor(F.col("score") / BIN)))
     bins = scored.groupBy(at.cast("int").alias("bin")).agg(*[F.sum(F.when(F.col("verdict") == k, F.col("n")).otherwise(0)).alias(k) for k in ("allow", "block")])
-    bins.createOrReplaceTempView("url_filter_bins")  # at most 2 * BIN_MAX + 1 rows
-    best = scored.sparkSession.sql("""
-        SELECT bin FROM (
-          SELECT bin, sum(allow) OVER (ORDER BY bin DESC) / greatest(sum(allow) OVER (), 1)
-                    - sum(block) OVER (ORDER BY bin DESC) / greatest(sum(block) OVER (), 1) AS gain FROM url_filter_bins)
-        ORDER BY round(gain, 9) DESC, abs(bin), bin LIMIT 1""").first()
+    every, down = Window.partitionBy(), Window.orderBy(F.desc("bin"))  # at most 2 * BIN_MAX + 1 rows
+    share = lambda k: F.sum(k).over(down) / F.greatest(F.sum(k).over(every), F.lit(1))
+    best = bins.select("bin", (share("allow") - share("block")).alias("gain")).orderBy(F.desc(F.round("gain", 9)), F.abs("bin"), "bin").first()
     return best["bin"] * BIN if best else 0.0
 
 
@@ -138,10 +135,12 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     distinct = checkpointed(
         rows.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
         .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-        .withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", verdict_of(F.col("rule"), rules)))
+        .withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", verdict_of(F.col("rule"), rules))
+        # few bytes make many n-grams: dealt out again, one partition of urls a task
+        .repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("id", F.monotonically_increasing_id()))
     held_out = F.md5(F.col("url").cast("binary")).substr(1, 1).isin(*HELD_OUT)
     model, any_char = fit_urls(distinct.where(F.col("rule").isNotNull() & ~held_out).select("url", "n", "verdict"))
-    scored = checkpointed(score_urls(distinct.where(F.col("rule").isNull() | held_out).select("url", "n", "verdict"), model, any_char))
+    scored = checkpointed(score_urls(distinct.where(F.col("rule").isNull() | held_out).select("id", "url", "n", "verdict"), model, any_char))
     threshold = calibrate(scored.where("verdict is not null"))
     judged = scored.where("verdict is null").select(
         F.col("url"), "score", F.when(F.col("score") >= threshold, "allow").otherwise("block").alias("model_verdict"))
