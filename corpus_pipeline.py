@@ -52,8 +52,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _aside(docs: DataFrame, names) -> dict[str, str]:
-    """Columns of documents that an operator would replace, under names it leaves alone."""
-    return {n: f"_documents_{n}" for n in names if n in docs.columns}
+    """Columns of documents that an operator would replace, under names that no column has."""
+    free = "_" * max([1, *map(len, docs.columns)])
+    return {n: free + n for n in names if n in docs.columns}
 
 
 def _back(docs: DataFrame, names) -> dict[str, str]:
