@@ -25,73 +25,74 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.common import checkpointed, small_batches
+from tokentally.llm.common import shared_table, small_batches
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
 MIN_LENGTH = 7
 MIN_COUNT = 2
 RATIO = 10          # a form is at least so many times as frequent
 DROP_ONE_IN = 31
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_REST_CHARS = 48           # longer sides of a gram enter a key by a running hash
 _HELD_BYTES = 32_000_000  # distinct words that a task holds before it passes their counts on
 _ROUNDS = 64
 
 
-def words_of(doc_id, text: str, min_length: int = MIN_LENGTH) -> Counter:
-    """Counts of one text's words of at least ``min_length`` code points, after the keyed deletions."""
-    runs = Counter(RUN.findall(text.translate(_LOWER)))
-    key = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    out: Counter = Counter()
-    for run, n in runs.items():
-        if len(run) >= min_length:
-            h = zlib.crc32(run.encode(), key)
-            if h % DROP_ONE_IN == 0:
-                at = h % len(run)
-                run = run[:at] + run[at + 1:]
-                if len(run) < min_length:
-                    continue
-            out[run] += n
-    return out
+def add_words(held: dict[str, int], doc_id, text: str, runs: re.Pattern, min_length: int) -> int:
+    """Add one text's words, after the keyed deletions, to the counts ``held``; the bytes that this took.
+
+    ``runs`` finds the lower-cased runs of at least ``min_length`` code points; shorter ones give no word.
+    """
+    key, size = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), 0
+    for run, n in Counter(runs.findall(text.encode().lower().decode())).items():  # bytes lower A-Z alone
+        h = zlib.crc32(run.encode(), key)
+        if h % DROP_ONE_IN == 0:
+            at = h % len(run)
+            run = run[:at] + run[at + 1:]
+            if len(run) < min_length:
+                continue
+        if run in held:
+            held[run] += n
+        else:
+            held[run] = n
+            size += 120 + 2 * len(run)
+    return size
 
 
 def vocabulary(docs: DataFrame, id_col: str, text_col: str, min_length: int, min_count: int) -> DataFrame:
     """(word, n) over all rows: counted per task in bounded memory, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        runs = re.compile(f"[a-zÀ-ÿ]{{{min_length},}}")
+        held: dict[str, int] = {}
         size = 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                fresh = words_of(doc_id, text.as_py() or "", min_length)
-                size += sum(100 + 2 * len(w) for w in fresh if w not in held)
-                held.update(fresh)
+                size += add_words(held, doc_id, text.as_py() or "", runs, min_length)
                 if size > _HELD_BYTES:
                     yield _table(held)
-                    held, size = Counter(), 0
+                    held, size = {}, 0
         yield _table(held)
 
-    def _table(held: Counter) -> pa.RecordBatch:
+    def _table(held: dict[str, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     rows = small_batches(docs).select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
-def pivots(prefix: list[tuple[int, int, str]], k: int = 2) -> list[tuple[int, int, str]]:
-    """``k`` disjoint bigrams (frequency, position, gram) of least total frequency, by dynamic programming over positions.
+def pivots(prefix: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Two disjoint bigrams (frequency, position, gram) of least total frequency, by dynamic programming over positions.
 
-    ``best[i][j]``: the cheapest choice of j of the first i grams; gram i follows any that ends at or before it.
+    ``before``: the cheapest gram that ends at or before the current one begins; a pair ends with the current one.
     """
     grams = sorted(prefix, key=lambda g: g[1])
-    best = [[(0, ())] + [None] * k]
-    for i, g in enumerate(grams):
-        before = next((b for b in range(i, 0, -1) if grams[b - 1][1] + 2 <= g[1]), 0)
-        row = [(0, ())]
-        for j in range(1, k + 1):
-            options = [o for o in (best[i][j], best[before][j - 1] and (best[before][j - 1][0] + g[0], (*best[before][j - 1][1], g))) if o]
-            row.append(min(options, default=None))
-        best.append(row)
-    return list(best[-1][k][1])
+    best, before, j = None, None, 0
+    for g in grams:
+        while grams[j][1] + 2 <= g[1]:
+            before = grams[j] if before is None else min(before, grams[j])
+            j += 1
+        if before and (best is None or before[0] + g[0] < best[0]):
+            best = (before[0] + g[0], before, g)
+    return [best[1], best[2]]
 
 
 def _beginnings(word: str) -> list[int]:
@@ -106,28 +107,32 @@ def _beginnings(word: str) -> list[int]:
 
 def keys_of(word: str, frequency: dict[str, int]) -> tuple[list[int], list[int]]:
     """Index keys of the word's gram prefix, and those that its pivots look up."""
-    grams = sorted((frequency[word[i:i + 2]], word[i:i + 2], i) for i in range(len(word) - 1))
+    n = len(word)
+    grams = sorted([(frequency[g := word[i:i + 2]], g, i) for i in range(n - 1)])
     last = grams[2][:2]
     prefix = [(f, i, g) for f, g, i in grams if (f, g) <= last]
-    n = len(word)
-
-    # Side L: the edit is behind the gram, the word before it stays. Side R: the edit is before it. One pass hashes all beginnings or ends.
-    heads, tails = _beginnings(word), _beginnings(word[::-1])
-
-    def key(side: str, at: int, gram: str, length: int, rest: int) -> int:
-        return xxhash.xxh64_intdigest(f"{side}{at}:{length}:{rest}:{gram}", 42) - 2**63
-
-    index = [k for _, i, g in prefix for k in (key("L", i, g, n, heads[i]), key("R", i, g, n, tails[n - i - 2]))]
-    probe = [k for _, i, g in pivots(prefix) for change in (-1, 0, 1)
-             for k in (key("L", i, g, n + change, heads[i]), key("R", i + change, g, n + change, tails[n - i - 2]))]
+    # Side L: the edit is behind the gram, the word before it stays. Side R: the edit is before it.
+    if n <= _REST_CHARS:
+        left, right = (lambda i: word[:i]), (lambda i: word[i + 2:])
+    else:  # one pass hashes all beginnings or ends, so that many keys of a long word take no longer
+        heads, tails = _beginnings(word), _beginnings(word[::-1])
+        left = lambda i: word[:i] if i <= _REST_CHARS else heads[i]
+        right = lambda i: word[i + 2:] if n - i - 2 <= _REST_CHARS else tails[n - i - 2]
+    digest = xxhash.xxh64_intdigest
+    index = [k for _, i, g in prefix for k in (digest(f"L{i}:{n}:{g}{left(i)}", 42) - 2**63, digest(f"R{i}:{n}:{g}{right(i)}", 42) - 2**63)]
+    probe = []
+    for _, i, g in pivots(prefix):
+        head, tail = f"{g}{left(i)}", f"{g}{right(i)}"
+        for change in (-1, 0, 1):
+            probe += (digest(f"L{i}:{n + change}:{head}", 42) - 2**63, digest(f"R{i + change}:{n + change}:{tail}", 42) - 2**63)
     return index, probe
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """Distinct words -> (a, b), a < b, for every two that are one edit apart. Words have at least four code points.
+    """Distinct words (id, word) -> (a, b), a < b, for every two that are one edit apart. Words have at least four code points.
 
     The grams' frequencies, at most a few thousand of a small alphabet, go to every task. Keys travel with a
-    word's digest, not the word: a long word of one repeated bigram has as many keys as letters.
+    word's id, not the word: a long word of one repeated bigram has as many keys as letters.
     """
     grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("gram"))
     frequency = {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # alphabet squared: 8,100
@@ -142,12 +147,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 probes += [False] * len(index) + [True] * len(probe)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(key, pa.int64()), pa.array(probes, pa.bool_())], ["id", "key", "probe"])
 
-    named = words.select(F.unhex(F.md5("word")).alias("id"), "word")
-    keys = checkpointed(named.mapInArrow(run, "id binary, key long, probe boolean"))
+    keys = shared_table(words.select("id", "word").mapInArrow(run, "id long, key long, probe boolean"), "spelling-keys")
     index = keys.where("not probe").select("key", F.col("id").alias("a"))
     probe = keys.where("probe").select("key", F.col("id").alias("b"))
     met = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    texts = met.join(named.select(F.col("id").alias("a"), F.col("word").alias("v")), "a").join(named.select(F.col("id").alias("b"), F.col("word").alias("w")), "b")
+    texts = met.join(words.select(F.col("id").alias("a"), F.col("word").alias("v")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("w")), "b")
     return texts.where(F.levenshtein("v", "w", 1) == 1).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
 
 
@@ -159,16 +163,17 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     end of the chain of forms. Null texts have no words; a null id counts as empty in the key of deletions; repeated
     rows count again; an empty table has no words; other columns are ignored. ``ratio`` above 1 keeps chains finite.
     """
-    words = checkpointed(vocabulary(docs, id_col, text_col, max(min_length, 4), min_count))
-    pairs = checkpointed(near_pairs(words))
+    found = vocabulary(docs, id_col, text_col, max(min_length, 4), min_count)
+    words = shared_table(found.withColumn("id", F.monotonically_increasing_id()), "spelling-words")
+    pairs = shared_table(near_pairs(words), "spelling-pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other")))
     counts = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
     best = both.join(counts, "other").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), F.col("other"))).alias("best"))
     fits = -F.col("best.m") >= F.col("n") * ratio
-    formed = checkpointed(words.join(best, "word", "left").select(
+    formed = shared_table(words.join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
-        F.when(fits, F.col("best.other")).alias("form"), F.when(fits, -F.col("best.m")).alias("form_n")))
+        F.when(fits, F.col("best.other")).alias("form"), F.when(fits, -F.col("best.m")).alias("form_n")), "spelling-formed")
     ends = roots(formed.where("form is not null").select("word", F.col("form").alias("root")))
     return formed.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
@@ -178,10 +183,10 @@ def roots(steps: DataFrame) -> DataFrame:
 
     Counts grow by ``RATIO`` a step, so a chain has at most 19 words and five rounds end it.
     """
-    steps = checkpointed(steps)
+    steps = shared_table(steps, "spelling-roots")
     for _ in range(_ROUNDS):
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
         if steps.join(ahead, "root", "left_semi").isEmpty():
             return steps
-        steps = checkpointed(steps.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root")))
+        steps = shared_table(steps.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root")), "spelling-roots")
     raise ArithmeticError("chain of forms without an end")
