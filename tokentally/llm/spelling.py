@@ -132,7 +132,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """Distinct words (id, word) -> (a, b), a < b, for every two that are one edit apart. Words have at least four code points.
 
     The grams' frequencies, at most a few thousand of a small alphabet, go to every task. Keys travel with a
-    word's id, not the word: a long word of one repeated bigram has as many keys as letters.
+    word's id and, if it is short, the word, so that pairs are verified where they meet. A long word of one repeated
+    bigram has as many keys as letters; its pairs are verified after its text is joined.
     """
     grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("gram"))
     frequency = {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # alphabet squared: 8,100
@@ -140,18 +141,24 @@ def near_pairs(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, key, probes = [], [], []
-            for i, w in enumerate(b.column(1).to_pylist()):
+            words_here = b.column(1).to_pylist()
+            for i, w in enumerate(words_here):
                 index, probe = keys_of(w, frequency)
                 own += [i] * (len(index) + len(probe))
                 key += index + probe
                 probes += [False] * len(index) + [True] * len(probe)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(key, pa.int64()), pa.array(probes, pa.bool_())], ["id", "key", "probe"])
-
-    keys = shared_table(words.select("id", "word").mapInArrow(run, "id long, key long, probe boolean"), "spelling-keys")
-    index = keys.where("not probe").select("key", F.col("id").alias("a"))
-    probe = keys.where("probe").select("key", F.col("id").alias("b"))
-    met = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    texts = met.join(words.select(F.col("id").alias("a"), F.col("word").alias("v")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("w")), "b")
+            at = pa.array(own, pa.int64())
+            short = pa.array([w if len(w) <= _REST_CHARS else None for w in words_here], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), short.take(at), pa.array(key, pa.int64()), pa.array(probes, pa.bool_())],
+                                             ["id", "word", "key", "probe"])
+
+    keys = shared_table(words.select("id", "word").mapInArrow(run, "id long, word string, key long, probe boolean"), "spelling-keys")
+    index = keys.where("not probe").select("key", F.col("id").alias("a"), F.col("word").alias("v"))
+    probe = keys.where("probe").select("key", F.col("id").alias("b"), F.col("word").alias("w"))
+    near = F.col("v").isNull() | F.col("w").isNull() | (F.levenshtein("v", "w", 1) == 1)
+    met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    texts = pairs.join(words.select(F.col("id").alias("a"), F.col("word").alias("v")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("w")), "b")
     return texts.where(F.levenshtein("v", "w", 1) == 1).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
 
 
