@@ -6,11 +6,10 @@ pivots (dynamic programming). One edit spoils at most three bigrams and at most
 disjoint ones, so of two near words one has a pivot that is a gram of the other's prefix: the
 one whose prefix ends with the rarer gram, either if they tie.
 
-One edit is on one side of a surviving gram and leaves the other side as it was. So a
-pivot at position p of a word of length n meets only prefix grams at p in words of length n,
-n - 1 or n + 1 with the same beginning, or shifted by the change of length with the same end:
-position limits and the untouched side are part of the index key, and a bigram that half of the
-vocabulary has is still dealt out finely. Pairs that meet are verified by edit distance.
+One edit is on one side of a surviving gram and leaves the other side as it was: the gram keeps its
+position from that end of the word. Of the edited side, either the half next to the gram or the half
+at the far end stays too. Position, untouched side and one half are part of the index key, so a
+bigram that half of the vocabulary has is still dealt out finely. Pairs that meet are verified by edit distance.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ MIN_LENGTH = 7
 MIN_COUNT = 2
 RATIO = 10          # a form is at least so many times as frequent
 DROP_ONE_IN = 31
+_HALF = 16                 # characters of a half that enter a key
 _REST_CHARS = 48           # longer sides of a gram enter a key by a running hash
 _HELD_BYTES = 32_000_000  # distinct words that a task holds before it passes their counts on
 _ROUNDS = 64
@@ -119,13 +119,19 @@ def keys_of(word: str, frequency: dict[str, int]) -> tuple[list[int], list[int]]
         left = lambda i: word[:i] if i <= _REST_CHARS else heads[i]
         right = lambda i: word[i + 2:] if n - i - 2 <= _REST_CHARS else tails[n - i - 2]
     digest = xxhash.xxh64_intdigest
-    index = [k for _, i, g in prefix for k in (digest(f"L{i}:{n}:{g}{left(i)}", 42) - 2**63, digest(f"R{i}:{n}:{g}{right(i)}", 42) - 2**63)]
-    probe = []
-    for _, i, g in pivots(prefix):
-        head, tail = f"{g}{left(i)}", f"{g}{right(i)}"
-        for change in (-1, 0, 1):
-            probe += (digest(f"L{i}:{n + change}:{head}", 42) - 2**63, digest(f"R{i + change}:{n + change}:{tail}", 42) - 2**63)
-    return index, probe
+
+    def keys(i: int, g: str) -> set[int]:
+        out = set()
+        for side, at, stays, edited in (("L", i, left(i), n - i - 2), ("R", n - i, right(i), i)):
+            for c in {max(m - 1, 0) // 2 for m in (edited - 1, edited)}:  # from the shorter of both words' edited sides
+                c = min(c, _HALF)
+                near, far = (word[i + 2:i + 2 + c], word[n - c:]) if side == "L" else (word[i - c:i], word[:c])
+                out.add(digest(f"{side}{at}:{c}:{near}:{g}{stays}", 42) - 2**63)
+                if c:
+                    out.add(digest(f"{side}{at}:{c}-{far}:{g}{stays}", 42) - 2**63)
+        return out
+
+    return [k for _, i, g in prefix for k in keys(i, g)], [k for _, i, g in pivots(prefix) for k in keys(i, g)]
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -155,7 +161,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = shared_table(words.select("id", "word").mapInArrow(run, "id long, word string, key long, probe boolean"), "spelling-keys")
     index = keys.where("not probe").select("key", F.col("id").alias("a"), F.col("word").alias("v"))
     probe = keys.where("probe").select("key", F.col("id").alias("b"), F.col("word").alias("w"))
-    near = F.col("v").isNull() | F.col("w").isNull() | (F.levenshtein("v", "w", 1) == 1)
+    lengths = F.abs(F.length("v") - F.length("w")) <= 1
+    near = F.col("v").isNull() | F.col("w").isNull() | (lengths & (F.levenshtein("v", "w", 1) == 1))
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     texts = pairs.join(words.select(F.col("id").alias("a"), F.col("word").alias("v")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("w")), "b")
