@@ -7,8 +7,8 @@ disjoint ones, so of two near words one has a pivot that is a gram of the other'
 one whose prefix ends with the rarer gram, either if they tie.
 
 One edit is on one side of a surviving gram and leaves the other side as it was: the gram keeps its
-position from that end of the word. Of the edited side, either the half next to the gram or the half
-at the far end stays too. Position, untouched side and one half are part of the index key, so a
+position from that end of the word. The shorter of both edited sides, cut in two, keeps either the half next to
+the gram or the other one. Position, untouched side and one half are part of the index key, so a
 bigram that half of the vocabulary has is still dealt out finely. Pairs that meet are verified by edit distance.
 """
 
@@ -105,8 +105,8 @@ def _beginnings(word: str) -> list[int]:
     return out
 
 
-def keys_of(word: str, frequency: dict[str, int]) -> tuple[list[int], list[int]]:
-    """Index keys of the word's gram prefix, and those that its pivots look up."""
+def keys_of(word: str, frequency: dict[str, int]) -> tuple[list[int], list[int], str]:
+    """Index keys of the word's gram prefix, those that its pivots look up, and the prefix's last gram."""
     n = len(word)
     grams = sorted([(frequency[g := word[i:i + 2]], g, i) for i in range(n - 1)])
     last = grams[2][:2]
@@ -123,15 +123,16 @@ def keys_of(word: str, frequency: dict[str, int]) -> tuple[list[int], list[int]]
     def keys(i: int, g: str) -> set[int]:
         out = set()
         for side, at, stays, edited in (("L", i, left(i), n - i - 2), ("R", n - i, right(i), i)):
-            for c in {max(m - 1, 0) // 2 for m in (edited - 1, edited)}:  # from the shorter of both words' edited sides
-                c = min(c, _HALF)
-                near, far = (word[i + 2:i + 2 + c], word[n - c:]) if side == "L" else (word[i - c:i], word[:c])
-                out.add(digest(f"{side}{at}:{c}:{near}:{g}{stays}", 42) - 2**63)
-                if c:
-                    out.add(digest(f"{side}{at}:{c}-{far}:{g}{stays}", 42) - 2**63)
+            for m in {max(edited - 1, 0), edited}:  # the shorter of both words' edited sides
+                near, far = min(m // 2, _HALF), min(m - m // 2, _HALF)
+                half = word[i + 2:i + 2 + near] if side == "L" else word[i - near:i]
+                out.add(digest(f"{side}{at}:{near}:{half}:{g}{stays}", 42) - 2**63)
+                if near:
+                    half = word[n - far:] if side == "L" else word[:far]
+                    out.add(digest(f"{side}{at}:{far}-{half}:{g}{stays}", 42) - 2**63)
         return out
 
-    return [k for _, i, g in prefix for k in keys(i, g)], [k for _, i, g in pivots(prefix) for k in keys(i, g)]
+    return [k for _, i, g in prefix for k in keys(i, g)], [k for _, i, g in pivots(prefix) for k in keys(i, g)], last[1]
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -144,26 +145,30 @@ def near_pairs(words: DataFrame) -> DataFrame:
     grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("gram"))
     frequency = {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # alphabet squared: 8,100
 
+    rank = {g: i for i, (_, g) in enumerate(sorted((n, g) for g, n in frequency.items()))}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, key, probes = [], [], []
+            own, key, probes, last = [], [], [], []
             words_here = b.column(1).to_pylist()
             for i, w in enumerate(words_here):
-                index, probe = keys_of(w, frequency)
+                index, probe, gram = keys_of(w, frequency)
                 own += [i] * (len(index) + len(probe))
                 key += index + probe
                 probes += [False] * len(index) + [True] * len(probe)
+                last.append(rank[gram])
             at = pa.array(own, pa.int64())
             short = pa.array([w if len(w) <= _REST_CHARS else None for w in words_here], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), short.take(at), pa.array(key, pa.int64()), pa.array(probes, pa.bool_())],
-                                             ["id", "word", "key", "probe"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), short.take(at), pa.array(last, pa.int32()).take(at), pa.array(key, pa.int64()), pa.array(probes, pa.bool_())],
+                                             ["id", "word", "last", "key", "probe"])
 
-    keys = shared_table(words.select("id", "word").mapInArrow(run, "id long, word string, key long, probe boolean"), "spelling-keys")
-    index = keys.where("not probe").select("key", F.col("id").alias("a"), F.col("word").alias("v"))
-    probe = keys.where("probe").select("key", F.col("id").alias("b"), F.col("word").alias("w"))
+    keys = shared_table(words.select("id", "word").mapInArrow(run, "id long, word string, last int, key long, probe boolean"), "spelling-keys")
+    index = keys.where("not probe").select("key", F.col("id").alias("a"), F.col("word").alias("v"), F.col("last").alias("index_last"))
+    probe = keys.where("probe").select("key", F.col("id").alias("b"), F.col("word").alias("w"), F.col("last").alias("probe_last"))
     lengths = F.abs(F.length("v") - F.length("w")) <= 1
     near = F.col("v").isNull() | F.col("w").isNull() | (lengths & (F.levenshtein("v", "w", 1) == 1))
-    met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
+    rarer = F.col("probe_last") <= F.col("index_last")  # the word whose prefix ends with the rarer gram looks up the other
+    met = index.join(probe, (index["key"] == probe["key"]) & rarer & (F.col("a") != F.col("b")) & near)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     texts = pairs.join(words.select(F.col("id").alias("a"), F.col("word").alias("v")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("w")), "b")
     return texts.where(F.levenshtein("v", "w", 1) == 1).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
