@@ -33,6 +33,7 @@ DROP_ONE_IN = 31
 _HALF = 16                 # characters of a half that enter a key
 _REST_CHARS = 48           # longer sides of a gram enter a key by a running hash
 _HELD_BYTES = 32_000_000  # distinct words that a task holds before it passes their counts on
+_WORDS_A_TASK = 50_000     # whose keys a task makes
 _ROUNDS = 64
 
 
@@ -162,7 +163,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), short.take(at), pa.array(last, pa.int32()).take(at), pa.array(key, pa.int64()), pa.array(probes, pa.bool_())],
                                              ["id", "word", "last", "key", "probe"])
 
-    keys = shared_table(words.select("id", "word").mapInArrow(run, "id long, word string, last int, key long, probe boolean"), "spelling-keys")
+    dealt = words.select("id", "word").repartition(words.count() // _WORDS_A_TASK + 1)  # a word makes some 25 keys
+    keys = shared_table(dealt.mapInArrow(run, "id long, word string, last int, key long, probe boolean"), "spelling-keys")
     index = keys.where("not probe").select("key", F.col("id").alias("a"), F.col("word").alias("v"), F.col("last").alias("index_last"))
     probe = keys.where("probe").select("key", F.col("id").alias("b"), F.col("word").alias("w"), F.col("last").alias("probe_last"))
     lengths = F.abs(F.length("v") - F.length("w")) <= 1
