@@ -144,3 +144,18 @@ def test_long_texts_teach_more_than_their_beginning(spark):
     model = L.fit_languages(spark.createDataFrame(rows, EXTRA))
     assert b"finale" in model["en"] and b"start start" in model["en"]
     assert all(f"short text {i}".rsplit(" ", 1)[0].encode() in model["en"] for i in range(20) if fold(100 + i, 3) != 1)
+
+
+def test_every_sampled_text_gets_an_equal_share_of_a_dictionary(monkeypatch):
+    assert L._content([]) == b"" and L._content([b"", b"ab"]) == b" ab"
+    monkeypatch.setattr(L, "DICT_BYTES", 100)
+    assert L._content([b"a" * 30, b"b" * 40]) == b"a" * 30 + b" " + b"b" * 40
+    got = L._content([b"a" * 5_000, b"b" * 10, b"c" * 5_000]).split(b" ")
+    assert [len(t) for t in got] == [43, 10, 43]
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 5)
+    with pytest.raises(ValueError, match="5 distinct"):
+        L.fit_languages(docs)

@@ -1,7 +1,7 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-Each language's dictionary is raw content: normalised texts of a bounded sample of its labelled
-documents. A text is normalised (lower case, ASCII characters that are no letters to single
+Each language's dictionary is raw content: an equal share of every normalised text of a bounded sample of
+its labelled documents; what short texts leave of theirs goes to the others. A text is normalised (lower case, ASCII characters that are no letters to single
 spaces), cut into blocks, and every block is compressed with every dictionary; the language with
 the smallest total wins, ties go to the language with more labelled documents. When the
 runner-up is nearly as small, the prediction stands but the document is marked rejected. How near
@@ -23,7 +23,8 @@ from tokentally.llm.common import crc_fold, small_batches
 
 SAMPLE_DOCS = 400     # distinct labelled texts a language's dictionary is made of at most
 SAMPLE_CHARS = 2_000  # of each sampled document, from a place that its hash chooses
-DICT_BYTES = 120_000
+DICT_BYTES = 120_000  # of all of them, dealt out evenly
+MAX_LANGUAGES = 1_000  # distinct labels; the dictionaries of more would not fit a worker
 BLOCK = 1_024         # bytes compressed at once
 LEVEL = 6
 # The runner-up's extra size, as a share of the winner's, below which a document is rejected: MARGIN_SHARE of
@@ -58,7 +59,15 @@ def learned_margin(parts: dict[str, list[tuple[int, bytes]]]) -> float:
 
 
 def _content(texts) -> bytes:
-    return b" ".join(texts)[:DICT_BYTES]
+    """The texts, joined, each cut to the largest equal share with which all fit into ``DICT_BYTES``."""
+    texts = list(texts)
+    left, share = DICT_BYTES - len(texts), DICT_BYTES
+    for i, size in enumerate(sorted(map(len, texts))):
+        if size * (len(texts) - i) > left:
+            share = left // (len(texts) - i)
+            break
+        left -= size
+    return b" ".join(t[:share] for t in texts)
 
 
 def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample_docs: int = SAMPLE_DOCS) -> Dictionaries:
@@ -66,11 +75,13 @@ def fit_languages(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT,
 
     One count over the labels, one pass that picks each language's ``sample_docs`` smallest hashes of
     distinct texts, and one that fetches those texts; copies weigh nothing in the choice. Rows without text
-    or language are not learned from.
+    or language are not learned from. More than ``MAX_LANGUAGES`` labels raise ValueError.
     """
     learn = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")) \
         .where(crc_fold("doc_id", folds) != held_out).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} distinct language labels")
     if not counts:
         return Dictionaries()
     places = F.greatest(F.length("text") - F.lit(SAMPLE_CHARS - 1), F.lit(1)).cast("long")
@@ -126,7 +137,8 @@ class Compressors:
 def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_rejected (replacing such columns); whole texts.
 
-    Null and empty texts and texts without a letter get ``und``, score 0, rejected. Rows and other columns are kept.
+    Null and empty texts and texts without a letter get ``und``, score 0, rejected; so does every text if nothing was
+    learned. Rows, repeated ones too, and other columns are kept; an empty table gives an empty result.
     """
     added = {"lang_pred": T.StringType(), "lang_score": T.DoubleType(), "lang_rejected": T.BooleanType()}
     kept = [f for f in docs.schema if f.name not in added]
