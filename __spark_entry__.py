@@ -31,6 +31,7 @@ from tokentally.plans.reshaped import RESHAPED
 from tokentally.session import scratch_path
 from tokentally.sources import driver_tables as D
 from tokentally.sources import export as X
+from tokentally.sources import generations as G
 from tokentally.sources import ingest as I
 from tokentally.sources.driver_tables import driver_tables
 from tokentally.sources.schemas import FACT_SCHEMAS
@@ -347,7 +348,10 @@ def _tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S16/S17 write, S19 read: rows per table and day, and rows under a wrong day."""
     path = scratch_path(spark, "curated")
     D.driver_tables(spark, sf_dir).write_parquet(path)
-    back = Tables.from_parquet(spark, path)
+    return _rows_by_day(Tables.from_parquet(spark, path))
+
+
+def _rows_by_day(back: Tables) -> DataFrame:
     out = back.employees.agg(F.lit("employees").alias("table_name"), F.lit(None).cast("date").alias("day"),
                              F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("bigint").alias("misplaced"))
     for t in FACT_SCHEMAS:
@@ -356,6 +360,18 @@ def _tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _published_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S16/S19 by generations: a first build without some employees, a whole one, then one that stops
+    after three tables. Rows of both published versions; the third is never seen."""
+    root, tables = scratch_path(spark, "published"), D.driver_tables(spark, sf_dir)
+    G.publish(D.without_employees(tables, (7, 3)), root)
+    G.publish(tables, root)
+    for write in tables.writers(G.generation_path(root, "stopped"))[:3]:
+        write()
+    now = _rows_by_day(G.read_published(spark, root)).withColumn("version", F.lit("current"))
+    return now.unionByName(_rows_by_day(G.read_published(spark, root, 1)).withColumn("version", F.lit("1")))
+
+
 def _bad_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Employees with an empty name or no practice go to the rejects, the others stay."""
     emp, n = D.driver_tables(spark, sf_dir).employees, D.employee_number()
@@ -401,6 +417,7 @@ CASES = {
     "p7_level_sorted": _level_sorted,
     "p9_dirty_series": _dirty_series,
     "s16_tables_roundtrip": _tables_roundtrip,
+    "s16_published_generations": _published_generations,
     "s18_bad_directory": _bad_directory,
     "s21_employees_csv_quoting": _csv_quoting,
 }

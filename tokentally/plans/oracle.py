@@ -181,6 +181,12 @@ def case_sql() -> dict[str, str]:
     out["s16_tables_roundtrip"] = with_mapping(
         "SELECT 'employees' AS table_name, CAST(NULL AS DATE) AS day, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS misplaced "
         f"FROM employees UNION ALL {facts}")
+    out["s16_published_generations"] = with_mapping(f"""
+        SELECT b.*, v.version FROM (
+          SELECT 'employees' AS table_name, CAST(NULL AS DATE) AS day, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS misplaced FROM employees
+          UNION ALL {facts}) b, (VALUES ('current'), ('1')) v(version)
+        WHERE v.version = 'current' OR b.table_name <> 'employees'
+        UNION ALL SELECT 'employees', NULL, COUNT(*), 0, '1' FROM employees WHERE CAST(regexp_extract(email, '[0-9]+') AS BIGINT) % 7 <> 3""")
     out["s18_bad_directory"] = """
         SELECT 'user' || c_custkey || '@example.com' AS email,
                CASE WHEN c_custkey % 11 = 4 OR c_custkey % 13 = 5 THEN 'constraint' ELSE 'kept' END AS outcome

@@ -400,6 +400,13 @@ class IngestResult:
         run_all(jobs, concurrent)
         return row.asDict()
 
+    def publish(self, root: str, concurrent: int = 4) -> dict:
+        """As ``write``, but as a new generation that readers see whole or not at all; counts and ``version``."""
+        from tokentally.sources.generations import publish
+        check_employee_keys(self.tables.employees)
+        row = self.counts.first()
+        return row.asDict() | {"version": publish(self.tables, root, self.rejects, concurrent)}
+
     def unpersist(self) -> None:
         self.classified.unpersist()
 
