@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings every job in this package assumes.
 BASE_CONF = {
@@ -75,3 +75,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = ensure_checkpoint_dir(spark)
     token = os.urandom(6).hex()
     return f"{root.rstrip('/')}/{name}-{token}"
+
+
+def compilable(df: DataFrame) -> DataFrame:
+    """``df``, in a session where no generated method is longer than HotSpot compiles (8,000 bytes).
+
+    A stage beyond that would run interpreted; Spark then generates its operators one by one, in short methods.
+    """
+    df.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return df

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tokentally.functions.columns import parse_utc_timestamp
+from tokentally.session import compilable
 from tokentally.sources.schemas import BATCH, EMPLOYEES, FACT_SCHEMAS, MESSAGE
 from tokentally.sources.tables import Tables, run_all
 
@@ -224,6 +225,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     batches; it is valid iff exactly one non-null object came out (garbage,
     trailing text, blank lines, top-level arrays and ``{},{}`` all fail).
     """
+    lines = compilable(lines)
     for c, t in (("source_file", "string"), ("block_start", "long"), ("row_id", "long")):
         if c not in lines.columns:
             lines = lines.withColumn(c, F.lit(None).cast(t))
