@@ -161,3 +161,29 @@ def test_late_requests_correct_their_day(spark):
     got = {(r.date.day, r.practice): (r.total_cost, r.n_requests, r.corrections) for r in S.read_daily_cost(spark, res).collect()}
     assert got == {(1, "P"): (17.0, 2, 1), (1, "Q"): (2.0, 1, 0), (2, "P"): (4.0, 1, 0), (3, "Q"): (32.0, 1, 0), (20, "P"): (8.0, 1, 0)}
     assert {r.date.day for r in S.read_daily_cost(spark, res, "2025-12-02", "2025-12-03").collect()} == {2, 3}
+
+
+def test_dropping_lines_moves_only_their_ids(spark, monkeypatch):
+    """The lines stay in their partitions; beyond the broadcast bound the shuffled join keeps the same ones."""
+    from pyspark.sql import functions as F
+    lines = [_telemetry_line(20, n % 40) for n in range(60)] + ["not json"] * 3
+    rows = spark.createDataFrame([(v,) for v in lines], "value string").repartition(3).withColumn("row_id", F.monotonically_increasing_id()).persist()
+    got = []
+    for bound in (S.DEFAULT_BROADCAST_MAX_ROWS, 0):
+        monkeypatch.setattr(S, "DEFAULT_BROADCAST_MAX_ROWS", bound)
+        root = tempfile.mkdtemp(prefix="tt-seen-")
+        spark.createDataFrame([], S._MANIFEST).write.parquet(f"{root}/manifest/batch_id=-1")
+        out = S._drop_redelivered(rows, 0, root, "1 hour")
+        got.append(sorted(map(tuple, out.collect())))
+        assert out.columns == rows.columns
+        if bound:
+            assert out.rdd.getNumPartitions() == 3
+    rows.unpersist()
+    assert got[0] == got[1] and len(got[0]) == 43 and sum(v == "not json" for v, _ in got[0]) == 3
+
+
+def test_classification_leaves_no_method_too_long_to_compile(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(key)
+    I.classify_lines(spark.createDataFrame([("x",)], "value string"))
+    assert spark.conf.get(key) == "8000"

@@ -64,8 +64,12 @@ def _drop_redelivered(batch: DataFrame, batch_id: int, seen_root: str, within: s
     kept = spark.createDataFrame([] if merge else folders, _MANIFEST)
     kept.unionByName(newest).coalesce(1).write.mode("overwrite").parquet(f"{seen_root}/manifest/batch_id={batch_id}")
     _remove_unnamed(spark, seen_root, batch_id)
-    out = rows.join(new.select(F.col("first_row").alias("row_id")), "row_id", "left_semi").unionByName(rows.where("line_sha is null"))
-    return out.drop("line_sha").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = new.select(F.col("first_row").alias("row_id"), F.lit(True).alias("is_new"))
+    # Only ids move if they are few: shuffled lines would leave one file per shuffle partition and day in every table.
+    if batch.count() <= DEFAULT_BROADCAST_MAX_ROWS:
+        kept = F.broadcast(kept)
+    out = rows.join(kept, "row_id", "left").where(F.col("line_sha").isNull() | F.col("is_new"))
+    return out.drop("line_sha", "is_new").select(*batch.columns).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _remove_unnamed(spark: SparkSession, seen_root: str, batch_id: int) -> None:
