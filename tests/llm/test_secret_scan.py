@@ -125,3 +125,23 @@ def test_many_base_spans_in_one_text_take_linear_time():
     start = time.process_time()
     out = S.candidates(text, base)
     assert len(base) == 40_000 and len(out) == 40_000 and time.process_time() - start < 2
+
+
+def test_every_value_counts(spark, monkeypatch):
+    """A format that one value in a hundred has, among thousands, is in counts and states; so with a tree of few nodes."""
+    rng = random.Random(9)
+    values = [key(rng) for _ in range(1000)] + ["AKIA" + "9" * 16]
+    docs = spark.createDataFrame([(i, f"see {v} now") for i, v in enumerate(values)], "doc_id long, text string").repartition(4)
+    words = sorted(set(values))
+    whole = S.infer(words, longest=S.VALUE_CHARS)
+    (a, floors, shortest), = S.fit_secrets(docs).automata
+    assert a.passed[0] == len(words) and shortest == 16
+    assert [a.score(w) for w in words] == [whole.score(w) for w in words]
+    for length, floor in floors:
+        scores = sorted(a.score(w[:length]) for w in words)
+        assert floor == scores[int(S.QUANTILE * len(scores))]
+    monkeypatch.setattr(S, "TREE_NODES", 60)
+    (b, floors, _), = S.fit_secrets(docs).automata
+    assert b.passed[0] == len(words) and sum(b.ended) == len(words) and floors
+    own = sum(S.SecretModel([(b, floors, 16)]).fits(key(rng)) for _ in range(100))
+    assert own >= 90 and not S.SecretModel([(b, floors, 16)]).fits("thequickbrownfox1234")
