@@ -117,3 +117,34 @@ def test_memo_is_bounded_in_bytes(monkeypatch):
             assert [np.frombuffer(b, "<u4").tolist() for b in tok.blobs(part)] == [e.ids for e in tok.tok.encode_batch_fast(part, add_special_tokens=False)]
     held = sum(sys.getsizeof(k) + sys.getsizeof(v) for m in (tok.memo, tok.old) for k, v in m.items())
     assert held < 4_500_000 and max(map(len, [*tok.memo, *tok.old])) <= B._WORD_CHARS
+
+
+class Watched:
+    """A tokenizer that notes what its library is given."""
+
+    def __init__(self, tok):
+        self.tok, self.calls = tok, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls.append(list(texts))
+        return self.tok.encode_batch_fast(texts, **options)
+
+
+def test_new_words_reach_the_library_as_lines_of_few_texts():
+    tok, ref = ChunkTokenizer(PATH), Tokenizer.from_file(PATH)
+    tok.tok = Watched(tok.tok)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéß文9'.,-(") for _ in range(rng.randint(1, 12))) for _ in range(5_000)]
+    texts = ["".join(w + rng.choice([" ", " ", "\n"]) for w in words[i:i + 50]).strip() for i in range(0, len(words), 50)]
+    got = tok.blobs(texts)
+    given = [t for call in tok.tok.calls for t in call]
+    assert len(given) <= len(words) / 50 and max(map(len, given)) < 20_000
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [ref.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_joined_lines_part_as_strings_encoded_alone():
+    tok, ref = ChunkTokenizer(PATH), Tokenizer.from_file(PATH)
+    for strings in (["\nA", " b", "\nc", "'s", ",", " d"], ["a\nb", "\nc", "d"], ["a", "\n", "b"], ["a\n", " b"], ["a ", "b"], ["", "a", ""], ["a", "", "", "b"],
+                    ["x" * 30_000, " b", "\n" + "z" * 900], [" a"] * 401, ["one"], []):
+        want = [ref.encode(s, add_special_tokens=False).ids for s in strings]
+        assert [np.frombuffer(b, "<u4").tolist() for b in tok._encode(strings)] == want

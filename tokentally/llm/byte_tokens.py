@@ -4,13 +4,12 @@ Byte-level BPE never joins bytes across a single space or newline between two ot
 characters, nor across the end of a run of letters. So a text in which white space is such
 single spaces and newlines is the concatenation of its chunks (" word,", "\\nWord"), and most
 chunks are a word and its punctuation. Both repeat: a worker encodes each word once and remembers
-it within a bound of bytes. Texts with other white space or special-token strings are encoded whole.
+it within a bound of bytes. New words go to the library many at a time, as the lines of a short text. Texts with other white space or special-token strings are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from tokentally.llm.common import gathered
 _MEMO_BYTES = 80_000_000  # of a generation of the memo; a worker keeps two
 _ENTRY_BYTES = 240        # of an entry besides its characters and ids
 _WORD_CHARS = 64          # longer chunks (lines without spaces) are encoded, not remembered
+_LINES = 200              # strings that the library encodes at once, as lines of one text
 # Behind a letter, which below U+0250 is one in every Unicode version, punctuation up to the chunk's end is a piece of its own.
 _TAIL = r"""([A-Za-zÀ-ÖØ-öø-ɏ])([.,!?*$%&#|;:)"-]+)( |$)"""
 
@@ -105,9 +105,29 @@ class ChunkTokenizer(ChunkMemo):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.newline = self._ids("\n")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _encode(self, strings: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+        out = []
+        for lo in range(0, len(strings), _LINES):
+            lines = strings[lo:lo + _LINES]
+            joined = len(lines) > 1 and sum(map(len, lines)) <= _LINES * _WORD_CHARS
+            out += self._encode_lines(lines) if joined else [self._ids(s).tobytes() for s in lines]
+        return out
+
+    def _encode_lines(self, lines: list[str]) -> list[bytes]:
+        """Joined by newlines; if every newline in the text is a token of its own, these part the ids."""
+        ids = self._ids("\n".join(lines))
+        newlines = np.flatnonzero(ids == self.newline) if len(self.newline) == 1 else ids
+        last = np.cumsum([1 + s.count("\n") for s in lines]) - 1  # of the newlines up to each line's end; the last line has none
+        if len(newlines) != last[-1]:
+            return [self._ids(s).tobytes() for s in lines]
+        ends = [*(4 * newlines[last[:-1]]).tolist(), 4 * len(ids)]
+        blob = ids.tobytes()
+        return [blob[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
 
     def _whole(self, text: str) -> bool:
         return not regular(text) or any(s in text for s in self.special)

@@ -34,7 +34,7 @@ from tokentally.llm.common import shared_table, small_batches
 SIZE = 1024
 END_ID = 2
 OFFSETS_BROADCAST_ROWS = 500_000  # 80 MB (32,768 rows were 5); more are joined by shuffle
-_GROUP_CHARS = 1_000_000          # text tokenised at once in a task
+_GROUP_CHARS = 2_000_000          # text tokenised at once in a task
 
 
 def default_tokenizer() -> str:
