@@ -148,3 +148,11 @@ def test_joined_lines_part_as_strings_encoded_alone():
                     ["x" * 30_000, " b", "\n" + "z" * 900], [" a"] * 401, ["one"], []):
         want = [ref.encode(s, add_special_tokens=False).ids for s in strings]
         assert [np.frombuffer(b, "<u4").tolist() for b in tok._encode(strings)] == want
+
+
+def test_library_is_given_one_short_text_at_a_time():
+    tok = ChunkTokenizer(PATH)
+    tok.tok = Watched(tok.tok)
+    rng = random.Random(6)
+    tok.blobs([" ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(200)) for _ in range(50)])
+    assert all(len(call) == 1 and len(call[0]) < 20_000 for call in tok.tok.calls)
